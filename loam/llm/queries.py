@@ -4,6 +4,8 @@ from importlib import import_module
 
 #: Query name -> module of this subpackage.
 MODULES = {
+    "op2_line_dedup": "line_dedup",
+    "op4_warc_revisit": "warc",
     "op5_bpe_roundtrip": "bpe",
     "op6_token_id_output": "token_output",
     "op9_benchmark_decontamination": "decontaminate",
