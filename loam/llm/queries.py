@@ -8,6 +8,7 @@ MODULES = {
     "op4_warc_revisit": "warc",
     "op5_bpe_roundtrip": "bpe",
     "op6_token_id_output": "token_output",
+    "op7_substring_dedup": "substring_dedup",
     "op9_benchmark_decontamination": "decontaminate",
 }
 
