@@ -10,6 +10,7 @@ MODULES = {
     "op6_token_id_output": "token_output",
     "op7_substring_dedup": "substring_dedup",
     "op9_benchmark_decontamination": "decontaminate",
+    "op10_suffix_array_dedup": "suffix_dedup",
 }
 
 _loaded = {name: import_module(f".{module}", __package__) for name, module in MODULES.items()}
