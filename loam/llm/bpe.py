@@ -20,10 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import list_array, map_arrow, table
+from .common import list_array, map_arrow, table, worker_state
 
 #: Fixed by the vocabulary file: what it keeps of a normalised text.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+PATTERN = r"\p{L}+|'(?:[stmd]|re|ve|ll)|\p{N}|[^\s\p{L}\p{N}]+"
 NONE = 1 << 62
 SEEN = 1 << 19
 
@@ -144,13 +144,8 @@ class Encoder(dict):
         return " ".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-_encoders: dict = {}
-
-
 def encoder(path: str) -> Encoder:
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    return worker_state(("bpe", path), lambda: Encoder(path))
 
 
 def vocabulary() -> str:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
+import types
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -44,6 +46,14 @@ def small(df: DataFrame, most_rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
 
 
+def worker_state(key, make: Callable):
+    """What make() gave the first time in this process: tables that a Python worker keeps from task to task."""
+    kept = sys.modules.setdefault("_loam_worker_state", types.ModuleType("_loam_worker_state")).__dict__
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]
+
+
 def map_arrow(df: DataFrame, f: Callable[[pa.RecordBatch], dict | None], schema: str) -> DataFrame:
     """mapInArrow with a function from a batch to columns by name."""
     out = df.sparkSession.createDataFrame([], schema).schema

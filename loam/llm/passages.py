@@ -21,17 +21,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE_A, BASE_B, Rolling, WordHash, list_array, map_arrow, mixed, raw_texts, signed, small, word_hashes, written
+from .common import BASE_A, BASE_B, Rolling, WordHash, list_array, map_arrow, mixed, raw_texts, signed, small, word_hashes, worker_state, written
 
 SIZE, GRAM = 50, 16
 BROADCAST_ROWS = 1_000_000
 
-_seen, _a, _b, _gram = WordHash(), Rolling(BASE_A), Rolling(BASE_B), Rolling(BASE_A)
-
-
 def tools() -> tuple[WordHash, Rolling, Rolling]:
-    """The worker's own tables; they fill as it works."""
-    return _seen, _a, _b
+    return worker_state("windows", lambda: (WordHash(), Rolling(BASE_A), Rolling(BASE_B)))
 
 
 def grams_and_minimisers(w: np.ndarray, rolling: Rolling, size: int, gram: int) -> tuple[np.ndarray, np.ndarray]:

@@ -4,6 +4,7 @@ from importlib import import_module
 
 #: Query name -> module of this subpackage.
 MODULES = {
+    "op1_ngram_jaccard_join": "jaccard_join",
     "op2_line_dedup": "line_dedup",
     "op4_warc_revisit": "warc",
     "op5_bpe_roundtrip": "bpe",

@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import struct
 import zlib
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -25,9 +24,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from .common import map_arrow, new_path, ranges, table
+from .common import map_arrow, new_path, ranges, table, worker_state
 
-END_ID, BLOCK, CHUNK_IDS = 2, 4096, 1 << 20
+END_ID, BLOCK, CHUNK_IDS, SEEN = 2, 4096, 1 << 19, 700_000
 MAGIC = b"S8B1"
 #: Fixed values of the coding: ids in a word, and bits of each, by selector.
 COUNTS = [240, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1]
@@ -35,30 +34,47 @@ BITS = [0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60]
 ESCAPE = (1 << 60) - 1
 NULL_ID = -(1 << 63)
 #: Fixed by the vocabulary file: how it splits a text before its merges.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+PATTERN = r" ?\p{L}+|'(?:[stmd]|re|ve|ll)| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+ASCII_PATTERN = r" ?[A-Za-z]+|'(?:[stmd]|re|ve|ll)| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+"
+
+
+def widths(ids: np.ndarray) -> np.ndarray:
+    """The bits of each id, from 0 to 60; 61 for those that need an escape."""
+    out = worker_state("widths", lambda: np.array([x.bit_length() for x in range(1 << 16)], np.uint8))
+    if not len(ids) or ids.max() < 1 << 16:
+        return out[ids]
+    big = ids.astype(np.uint64)
+    found = np.zeros(len(ids), np.uint8)
+    for b in range(60):
+        found += big >= np.uint64(1 << b)
+    return found + (big >= np.uint64(ESCAPE))
 
 
 def packed(ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Words of the ids (uint64) and the word at which each block begins; ends: of the blocks, ascending, the last is len(ids)."""
     n = len(ids)
+    bits = widths(ids)
     ids = ids.astype(np.uint64)
     top = int(ids.max()) if n else 0
-    room = np.repeat(ends, np.diff(ends, prepend=0)) - np.arange(n)
-    take, selector = np.ones(n, np.int64), np.full(n, 15, np.int8)
-    width, peak = 1, ids  # peak[i]: the largest of ids[i : i + width]
+    take, selector = np.ones(n, np.uint8), np.full(n, 15, np.int8)
+    width, peak = 1, bits  # peak[i]: the largest of bits[i : i + width]
     for s in range(14, -1, -1):
-        c, limit = COUNTS[s], 1 << BITS[s]
+        c = COUNTS[s]
         if c > n:
             break
         while 2 * width <= c:
             peak = np.maximum(peak[:-width], peak[width:])
             width *= 2
         most = np.maximum(peak[: n - c + 1], peak[c - width : c - width + n - c + 1]) if c > width else peak[: n - c + 1]
-        fits = (most < np.uint64(limit)) & (room[: n - c + 1] >= c)
-        if not fits.any() and (most >= np.uint64(limit)).all():
+        fits = most <= BITS[s]
+        crossing = (ends[:, None] - np.arange(1, c)).ravel()  # starts from which c ids would cross the end of a block
+        fits[crossing[(crossing >= 0) & (crossing <= n - c)]] = False
+        at = np.flatnonzero(fits)
+        if len(at):
+            take[at] = c
+            selector[at] = s
+        elif not (most <= BITS[s]).any():
             break
-        take[: n - c + 1][fits] = c
-        selector[: n - c + 1][fits] = s
     steps, starts, i = take.tolist(), [], 0
     while i < n:
         starts.append(i)
@@ -134,46 +150,53 @@ def chunks(content: bytes):
         yield names, lengths, ids
 
 
-class LibraryIds(dict):
-    """Ids of a piece of text between two splits, from the library; kept for pieces seen before."""
+class LibraryIds:
+    """Ids of texts from the library, which encodes each distinct piece between two splits; pieces seen before are kept as bytes."""
 
     def __init__(self, path: str):
+        import os
+        import re
+
         import regex
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        super().__init__()
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
         self.special = {t.content: i for i, t in self.library.get_added_tokens_decoder().items()}
-        self.find = regex.compile(PATTERN).findall
+        self.find, self.find_ascii = regex.compile(PATTERN).findall, re.compile(ASCII_PATTERN).findall
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split
-
-    def __missing__(self, piece: str) -> list[int]:
-        ids = self.library.encode(piece, add_special_tokens=False).ids
-        if len(piece) <= 64:
-            if len(self) >= 1 << 19:
-                self.clear()
-            self[piece] = ids
-        return ids
-
-    def encode(self, text: str | None) -> list[int]:
-        out: list = []
+        self.seen: dict[str, bytes] = {}
+
+    def learn(self, pieces: set[str]) -> None:
+        missing = [p for p in pieces if p not in self.seen]
+        if len(self.seen) + len(missing) > SEEN:
+            self.seen, missing = {}, list(pieces)
+        for first in range(0, len(missing), 2000):
+            part = missing[first : first + 2000]
+            for piece, got in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False)):
+                self.seen[piece] = np.array(got.ids, "<u4").tobytes()
+
+    def encode(self, text: str | None) -> bytes:
+        """The ids of text, 32 bits each."""
+        out: list[bytes] = []
         for part in self.cut(text or ""):
             if part in self.special:
-                out.append([self.special[part]])
+                out.append(self.special[part].to_bytes(4, "little"))
             elif part:
-                out += map(self.__getitem__, self.find(part))
-        return list(chain.from_iterable(out))
-
-
-_libraries: dict = {}
+                pieces = (self.find_ascii if part.isascii() else self.find)(part)
+                try:
+                    out.append(b"".join(map(self.seen.__getitem__, pieces)))
+                except KeyError:
+                    self.learn(set(pieces))
+                    out.append(b"".join(map(self.seen.__getitem__, pieces)))
+        return b"".join(out)
 
 
 def library(path: str) -> LibraryIds:
-    if path not in _libraries:
-        _libraries[path] = LibraryIds(path)
-    return _libraries[path]
+    return worker_state(("library", path), lambda: LibraryIds(path))
 
 
 def vocabulary() -> str:
@@ -186,14 +209,13 @@ def write(documents: DataFrame, vocabulary_path: str, out: str, end_id: int = EN
     """Files of the ids of all documents, in ascending doc_id order over the files and in each."""
 
     def run(batches):
-        lib = library(vocabulary_path)
+        lib, end = library(vocabulary_path), end_id.to_bytes(4, "little")
         names, ids, held = [], [], 0
         for batch in batches:
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                own = lib.encode(text)
-                own.append(end_id)
+                own = np.frombuffer(lib.encode(text) + end, "<u4")
                 names.append(doc_id)
-                ids.append(np.array(own, np.uint64))
+                ids.append(own)
                 held += len(own)
                 if held >= CHUNK_IDS:
                     yield pa.RecordBatch.from_pydict({"chunk": pa.array([chunk(names, ids)], pa.binary())})
