@@ -10,6 +10,7 @@ MODULES = {
     "op5_bpe_roundtrip": "bpe",
     "op6_token_id_output": "token_output",
     "op7_substring_dedup": "substring_dedup",
+    "op8_quality_classifier": "quality",
     "op9_benchmark_decontamination": "decontaminate",
     "op10_suffix_array_dedup": "suffix_dedup",
 }
