@@ -18,7 +18,6 @@ import unicodedata
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from .common import list_array, map_arrow, table, worker_state
 
@@ -154,19 +153,16 @@ def vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def digests(documents: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256: each text encoded, and what its ids decode to."""
+def encoded_digests(documents: DataFrame, path: str) -> DataFrame:
+    """doc_id, n_tokens, ids, ids_sha256, decoded_sha256: each text encoded, and what its ids decode to."""
 
     def run(batch: pa.RecordBatch) -> dict:
-        bpe, n, of_ids, of_text = encoder(path), [], [], []
-        for text in batch.column("text").to_pylist():
-            ids = bpe.encode(text)
-            n.append(len(ids) // 4)
-            of_ids.append(hashlib.sha256(ids).hexdigest())
-            of_text.append(hashlib.sha256(bpe.decode(ids).encode()).hexdigest())
-        return {"doc_id": batch.column("doc_id"), "n_tokens": n, "ids_sha256": of_ids, "decoded_sha256": of_text}
+        bpe = encoder(path)
+        ids = [bpe.encode(text) for text in batch.column("text").to_pylist()]
+        n = [len(x) // 4 for x in ids]
+        return {"doc_id": batch.column("doc_id"), "n_tokens": n, "ids": list_array(np.frombuffer(b"".join(ids), "<i4"), n), "ids_sha256": [hashlib.sha256(x).hexdigest() for x in ids], "decoded_sha256": [hashlib.sha256(bpe.decode(x).encode()).hexdigest() for x in ids]}
 
-    return map_arrow(documents.select("doc_id", "text"), run, f"doc_id {dict(documents.dtypes)['doc_id']}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_arrow(documents.select("doc_id", "text"), run, f"doc_id {dict(documents.dtypes)['doc_id']}, n_tokens long, ids array<int>, ids_sha256 string, decoded_sha256 string")
 
 
 def encoded(documents: DataFrame, path: str) -> DataFrame:
@@ -193,4 +189,4 @@ def decoded(frame: DataFrame, path: str) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digests(table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")), vocabulary())
+    return encoded_digests(table(spark, sf_dir, "documents"), vocabulary()).drop("ids")

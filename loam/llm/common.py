@@ -54,6 +54,10 @@ def worker_state(key, make: Callable):
     return kept[key]
 
 
+#: Rows that a function of map_arrow gets at once, so that what it holds stays small whatever the session's batches are.
+ROWS_AT_ONCE = 1000
+
+
 def map_arrow(df: DataFrame, f: Callable[[pa.RecordBatch], dict | None], schema: str) -> DataFrame:
     """mapInArrow with a function from a batch to columns by name."""
     out = df.sparkSession.createDataFrame([], schema).schema
@@ -63,8 +67,9 @@ def map_arrow(df: DataFrame, f: Callable[[pa.RecordBatch], dict | None], schema:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if b.num_rows and (cols := f(b)) is not None:
-                yield record_batch(cols, arrow)
+            for first in range(0, b.num_rows, ROWS_AT_ONCE):
+                if (cols := f(b.slice(first, ROWS_AT_ONCE))) is not None:
+                    yield record_batch(cols, arrow)
 
     return df.mapInArrow(run, out)
 
@@ -77,7 +82,7 @@ class WordHash(dict):
     """64-bit hash of a word (bytes), kept for words seen before; forgets all when it holds too many."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 1 << 19:
+        if len(self) >= 1 << 18:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h

@@ -6,6 +6,7 @@ from importlib import import_module
 MODULES = {
     "op1_ngram_jaccard_join": "jaccard_join",
     "op2_line_dedup": "line_dedup",
+    "op3_exact_topk_search": "topk_search",
     "op4_warc_revisit": "warc",
     "op5_bpe_roundtrip": "bpe",
     "op6_token_id_output": "token_output",

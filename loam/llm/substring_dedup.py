@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_arrow, mixed, raw_texts, table, word_hashes
+from .common import map_arrow, mixed, raw_texts, table, word_hashes, written
 from .passages import GRAM, SIZE, WINDOW_SCHEMA, classes, covered, grams_and_minimisers, repeats, representatives, tools, window_rows
 
 MAX_LOG2, BLOCK_LOG2 = 28, 20
@@ -125,7 +125,7 @@ def removals(documents: DataFrame, size: int = SIZE, gram: int = GRAM, max_log2:
     expected = 2 * words / (size - gram + 2)
     log2 = int(min(max_log2, max(BLOCK_LOG2, np.ceil(np.log2(8 * expected + 1)))))
     bits = documents.sparkSession.sparkContext.broadcast(sketch(texts, log2, size, gram))
-    found = repeats(estimated(texts, bits, log2, size, gram))
+    found = repeats(written(estimated(texts, bits, log2, size, gram), "windows"))
     copies = known.filter((F.col("doc_id") > F.col("rep")) & (F.col("n_words") >= size)).select("doc_id").distinct()
     return copies.select("doc_id", F.lit(True).alias("whole"), F.expr("cast(null as array<int>)").alias("starts")).unionByName(found.select("doc_id", F.lit(False).alias("whole"), "starts"))
 
