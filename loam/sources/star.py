@@ -42,7 +42,7 @@ def order_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = t("lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey"), "left").join(t("customer").select("c_custkey", "c_nationkey", "c_mktsegment"), F.col("o_custkey") == F.col("c_custkey"), "left")
     out = out.join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey"), "left").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"), "left").join(t("part").select("p_partkey", "p_brand", "p_type", "p_size"), F.col("l_partkey") == F.col("p_partkey"), "left")
     return out.select(
-        ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 1_000_000 + F.col("l_partkey")).alias("fact_id"),
+        ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 1_000_000_000 + F.col("l_partkey") * 10_000 + F.col("l_suppkey")).alias("fact_id"),
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("slide_id"),
         F.col("l_linenumber").alias("slide_number"),
         F.col("l_orderkey").alias("document_id"),
@@ -73,7 +73,7 @@ def order_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: order_facts for DuckDB.
 FACT_SQL = """
-fact AS (SELECT (l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey AS fact_id, l_orderkey * 10 + l_linenumber AS slide_id, l_linenumber AS slide_number, l_orderkey AS document_id,
+fact AS (SELECT (l_orderkey * 10 + l_linenumber) * 1000000000 + l_partkey * 10000 + l_suppkey AS fact_id, l_orderkey * 10 + l_linenumber AS slide_id, l_linenumber AS slide_number, l_orderkey AS document_id,
   'order ' || l_orderkey AS document_name, '/orders/' || l_orderkey AS file_path, p_brand AS metric_id, p_type AS metric_name, l_returnflag AS category,
   l_extendedprice * (1 - l_discount) AS value, CASE p_size % 3 WHEN 0 THEN 'currency' WHEN 1 THEN 'percent' ELSE 'count' END AS unit, 'ones' AS scale,
   c_mktsegment AS client_name, r_name AS region, n_name AS country, 'Q' || quarter(o_orderdate + INTERVAL 3 MONTH) || ' FY' || year(o_orderdate + INTERVAL 3 MONTH) AS period_label,
