@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import struct
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -24,9 +25,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from .common import map_arrow, new_path, ranges, table, worker_state
+from .common import map_arrow, new_path, ranges, table, worker_state, written
 
-END_ID, BLOCK, CHUNK_IDS, SEEN = 2, 4096, 1 << 19, 700_000
+END_ID, BLOCK, CHUNK_IDS, SEEN = 2, 4096, 1 << 19, 300_000
 MAGIC = b"S8B1"
 #: Fixed values of the coding: ids in a word, and bits of each, by selector.
 COUNTS = [240, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1]
@@ -35,7 +36,10 @@ ESCAPE = (1 << 60) - 1
 NULL_ID = -(1 << 63)
 #: Fixed by the vocabulary file: how it splits a text before its merges.
 PATTERN = r" ?\p{L}+|'(?:[stmd]|re|ve|ll)| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-ASCII_PATTERN = r" ?[A-Za-z]+|'(?:[stmd]|re|ve|ll)| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+"
+#: The same for texts of PLAIN characters alone: ASCII, Latin letters, and dashes, quotes and dots of U+2010 to U+2027.
+PLAIN = r"[\x00-\x7F\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F\u2010-\u2027]*"
+_L = "A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F"
+PLAIN_PATTERN = rf" ?[{_L}]+|'(?:[stmd]|re|ve|ll)| ?[0-9]+| ?[^\t-\r 0-9{_L}]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+"
 
 
 def widths(ids: np.ndarray) -> np.ndarray:
@@ -75,7 +79,7 @@ def packed(ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             selector[at] = s
         elif not (most <= BITS[s]).any():
             break
-    steps, starts, i = take.tolist(), [], 0
+    steps, starts, i = take.tobytes(), [], 0
     while i < n:
         starts.append(i)
         i += steps[i]
@@ -166,18 +170,27 @@ class LibraryIds:
         self.library.no_truncation()
         self.library.no_padding()
         self.special = {t.content: i for i, t in self.library.get_added_tokens_decoder().items()}
-        self.find, self.find_ascii = regex.compile(PATTERN).findall, re.compile(ASCII_PATTERN).findall
+        self.plain = re.compile(PLAIN).fullmatch
+        self.find, self.find_plain = regex.compile(PATTERN).findall, re.compile(PLAIN_PATTERN).findall
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split
         self.seen: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
 
     def learn(self, pieces: set[str]) -> None:
-        missing = [p for p in pieces if p not in self.seen]
-        if len(self.seen) + len(missing) > SEEN:
-            self.seen, missing = {}, list(pieces)
+        """Puts the pieces into the table. A full table becomes the one before, from which pieces still in use come back."""
+        if len(self.seen) + len(pieces) > SEEN:
+            self.seen, self.before = {}, self.seen
+        missing = []
+        for p in pieces:
+            if p not in self.seen:
+                if (ids := self.before.get(p)) is None:
+                    missing.append(p)
+                else:
+                    self.seen[p] = ids
         for first in range(0, len(missing), 2000):
             part = missing[first : first + 2000]
             for piece, got in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False)):
-                self.seen[piece] = np.array(got.ids, "<u4").tobytes()
+                self.seen[piece] = array("I", got.ids).tobytes()
 
     def encode(self, text: str | None) -> bytes:
         """The ids of text, 32 bits each."""
@@ -186,7 +199,7 @@ class LibraryIds:
             if part in self.special:
                 out.append(self.special[part].to_bytes(4, "little"))
             elif part:
-                pieces = (self.find_ascii if part.isascii() else self.find)(part)
+                pieces = (self.find_plain if self.plain(part) else self.find)(part)
                 try:
                     out.append(b"".join(map(self.seen.__getitem__, pieces)))
                 except KeyError:
@@ -247,6 +260,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         return cols
 
     rows = map_arrow(spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content"), run, "file string, doc_id long, before long, n_tokens long, ids_crc32 long")
+    rows = written(rows, "token-rows")
     # a row for each file: file names rise with the range of doc_ids
     sizes = rows.groupBy("file").agg(F.sum("n_tokens").alias("n"))
     firsts = sizes.select("file", (F.sum("n").over(W.Window.orderBy("file")) - F.col("n")).alias("first"))
