@@ -10,6 +10,8 @@ link when 100 * |intersection| >= percent * |union|; the distance 1 - Jaccard is
    shingles come last in the order (at most HOT of them; any order is right, this one keeps regions small). The documents that share
    a seed belong to the region of the seed's smallest doc_id, the pivot: every link lies within a region. A document alone with all
    its seeds has no link and goes no further.
+   A region's documents are first compared by how their shingles spread over cells of the hash space: the counts of two linked sets
+   differ by no more than the sets do, so a document that is too far from all others of the region by that measure has no link in it.
 3. A region of at most LEAF documents is joined in one task. A larger one gets pivots of its own, drawn by hash: a document belongs
    to the cell of the nearest, and also to each cell whose pivot is at most 2 * EPS farther (if x is at home in a cell and y is
    linked with x, y is in that cell). Documents within EPS of a cell's pivot link to it there and then; a cell whose documents are
@@ -37,7 +39,7 @@ from .common import BASE_A, Rolling, WordHash, list_array, map_arrow, raw_texts,
 from .graph import components
 
 K, PERCENT = 4, 85
-HOT, HOT_FROM, LEAF, LEVELS, PIVOTS = 1 << 18, 64, 512, 2, 24
+HOT, HOT_FROM, LEAF, LEVELS, PIVOTS, COMPARED = 1 << 18, 64, 512, 2, 24, 4096
 BROADCAST_ROWS = 250_000
 
 def tools() -> tuple[WordHash, Rolling]:
@@ -81,17 +83,51 @@ def in_sorted(x: np.ndarray, table: np.ndarray) -> np.ndarray:
     return table[np.minimum(np.searchsorted(table, x), len(table) - 1)] == x
 
 
+def n_cells(n: int) -> int:
+    """Cells for a set of n: fine enough to tell unrelated sets apart, a power of two from 64 to 4096."""
+    return min(4096, max(64, 1 << max(0, (n - 1) // 8).bit_length()))
+
+
+def spread(s: np.ndarray) -> np.ndarray:
+    """How many shingles each cell of the hash space has, to 255; a cell is a value of the leading bits, so cells fold in pairs."""
+    c = n_cells(len(s))
+    return np.minimum(np.bincount((s >> np.uint64(65 - c.bit_length())).astype(np.int64), minlength=c), 255).astype(np.uint8)
+
+
+def with_company(n: np.ndarray, spreads: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which sets can be linked with another, by their sizes and spreads; n ascending."""
+    keep = np.zeros(len(n), bool)
+    folded: dict = {}
+    last = np.searchsorted(n, n * 100 // percent, side="right")
+    for i in range(len(n)):
+        if last[i] <= i + 1:
+            continue
+        c = len(spreads[i])
+        if c not in folded:  # the sets from the first with so many cells on
+            first = next(j for j in range(len(n)) if len(spreads[j]) >= c)
+            folded[c] = first, np.array([x.reshape(c, -1).sum(1, dtype=np.int32).clip(max=255) for x in spreads[first:]], np.int16)
+        first, cells = folded[c]
+        apart = np.abs(cells[i + 1 - first : last[i] - first] - cells[i - first]).sum(1, dtype=np.int64)
+        # |x - y| of linked sets is at most (100 - percent) / (100 + percent) of the sum of their sizes
+        near = apart * (100 + percent) <= (100 - percent) * (n[i] + n[i + 1 : last[i]])
+        if near.any():
+            keep[i] = True
+            keep[i + 1 : last[i]] |= near
+    return keep
+
+
 def sketched(documents: DataFrame, hot, k: int, percent: int) -> DataFrame:
-    """doc_id, n, two halves of the set's digest, and the seeds; written."""
+    """doc_id, n, two halves of the set's digest, the spread, and the seeds; written."""
 
     def run(batch: pa.RecordBatch) -> dict:
-        last, n, d1, d2, seeds = hot.value, [], [], [], []
+        last, n, d1, d2, seeds, spreads = hot.value, [], [], [], [], []
         for text in raw_texts(batch):
             s = shingles(text, k)
             h = xxhash.xxh3_128_intdigest(s.tobytes())
             n.append(len(s))
             d1.append((h >> 64) - (1 << 63))
             d2.append((h & (1 << 64) - 1) - (1 << 63))
+            spreads.append(spread(s).tobytes())
             p = prefix_length(len(s), percent)
             head = s[: 4 * p]
             frequent = in_sorted(head, last)
@@ -100,18 +136,44 @@ def sketched(documents: DataFrame, hot, k: int, percent: int) -> DataFrame:
                     head, frequent = s, in_sorted(s, last)
                 head = np.concatenate([head[~frequent], head[frequent]])
             seeds.append(signed(head[:p]))
-        return {"doc_id": batch.column("doc_id"), "n": n, "d1": d1, "d2": d2, "seeds": list_array(np.concatenate(seeds), [len(x) for x in seeds])}
+        return {"doc_id": batch.column("doc_id"), "n": n, "d1": d1, "d2": d2, "spread": spreads, "seeds": list_array(np.concatenate(seeds), [len(x) for x in seeds])}
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return written(map_arrow(rows, run, "doc_id long, n long, d1 long, d2 long, seeds array<long>"), "shingled")
+    return written(map_arrow(rows, run, "doc_id long, n long, d1 long, d2 long, spread binary, seeds array<long>"), "shingled")
 
 
-def seeded(rows: DataFrame, copies: DataFrame) -> DataFrame:
-    """region (its pivot's doc_id) and doc_id of the documents that share seeds; written."""
+def seeded(rows: DataFrame, copies: DataFrame, percent: int) -> DataFrame:
+    """region (its pivot's doc_id) and doc_id of the documents that share seeds and can have a link in the region; written."""
     again = small(copies.select("doc_id", "d1").distinct(), BROADCAST_ROWS)
     tokens = rows.filter("doc_id is not null and n > 0").join(again, ["doc_id", "d1"], "left_anti").select(F.explode("seeds").alias("token"), "doc_id")
     shared = tokens.groupBy("token").agg(F.min("doc_id").alias("region"), F.max("doc_id").alias("other")).filter("region < other").select("token", "region")
-    return written(tokens.join(shared, "token").select("region", "doc_id").distinct(), "regions")
+    members = tokens.join(shared, "token").select("region", "doc_id").distinct()
+    sized = members.join(rows.select("doc_id", "n", "spread"), "doc_id")
+
+    def run(batches):
+        now, held, passing = None, [], False
+
+        def done():
+            held.sort(key=lambda x: x[1])
+            keep = with_company(np.array([x[1] for x in held], np.int64), [np.frombuffer(x[2], np.uint8) for x in held], percent) if not passing else np.ones(len(held), bool)
+            ids = [x[0] for x, k in zip(held, keep) if k]
+            return pa.RecordBatch.from_pydict({"region": pa.array([now] * len(ids), pa.int64()), "doc_id": pa.array(ids, pa.int64())})
+
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in ("region", "doc_id", "n", "spread"))):
+                if row[0] != now:
+                    if held:
+                        yield done()
+                    now, held, passing = row[0], [], False
+                held.append(row[1:])
+                if len(held) == COMPARED:  # a region this large goes on as it is
+                    passing = True
+                    yield done()
+                    held = []
+        if held:
+            yield done()
+
+    return written(sized.repartition("region").sortWithinPartitions("region").mapInArrow(run, "region long, doc_id long"), "regions")
 
 
 def with_sets(documents: DataFrame, members: DataFrame, k: int) -> DataFrame:
@@ -301,7 +363,7 @@ def components_of(documents: DataFrame, k: int = K, percent: int = PERCENT) -> D
     rows = sketched(documents, hot, k, percent)
     classes = rows.filter("doc_id is not null and n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("other")).filter("rep < other").drop("other")
     known = written(rows.select("doc_id", "n", "d1", "d2").join(classes, ["d1", "d2"], "left"), "classes")
-    members = seeded(rows, known.filter("doc_id > rep"))
+    members = seeded(rows, known.filter("doc_id > rep"), percent)
     found = written(components(links(documents, members, k, percent)), "components")
     own = known.withColumn("rep", F.coalesce("rep", "doc_id"))
     out = own.join(found, F.col("rep") == F.col("node"), "left")
