@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import WordHash, map_arrow, ranges, raw_texts, signed, table, word_hashes, worker_state, written
 
 K1, B, K, DIGITS = 1.2, 0.75, 10, 6
-SHARD, BLOCK, TILE, CHUNK, DENSE = 4096, 64, 256, 8192, 768
+SHARD, BLOCK, TILE, CHUNK, DENSE = 1024, 64, 256, 8192, 768
 LAST = 1 << 62
 
 
@@ -117,9 +117,10 @@ def searched(shard: list[tuple[int, np.ndarray, np.ndarray, int]], queries: Quer
     term, column, impact = term[~often][order], column[~often][order], impact[~often][order]
     # pairs of a rare term's queries and postings, by query
     many = queries.first[term + 1] - queries.first[term]
-    pair_query, pair_of = queries.owner[ranges(queries.first[term], many)], np.repeat(np.arange(len(term)), many)
+    pair_query, pair_of = queries.owner[ranges(queries.first[term], many)], np.repeat(np.arange(len(term), dtype=np.int32), many)
     order = np.argsort(pair_query, kind="stable")
     pair_query, pair_of = pair_query[order], pair_of[order]
+    del order
     for first in range(0, len(queries.ids), TILE):
         size = min(TILE, len(queries.ids) - first)
         tile = slice(first, first + size)
