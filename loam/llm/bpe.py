@@ -14,6 +14,7 @@ from __future__ import annotations
 import hashlib
 import json
 import unicodedata
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +25,7 @@ from .common import list_array, map_arrow, table, worker_state
 #: Fixed by the vocabulary file: what it keeps of a normalised text.
 PATTERN = r"\p{L}+|'(?:[stmd]|re|ve|ll)|\p{N}|[^\s\p{L}\p{N}]+"
 NONE = 1 << 62
-SEEN = 1 << 19
+SEEN = 120_000
 
 
 def byte_letters() -> list[str]:
@@ -64,12 +65,14 @@ class PairTree:
 
 
 class Encoder(dict):
-    """ids of a word as bytes (little-endian, 32 bits each), for words seen before; `split` gives a text's words."""
+    """ids of a word as bytes (little-endian, 32 bits each), for words seen before: a full table becomes the one before, from which
+    words still in use come back."""
 
     def __init__(self, path: str):
         super().__init__()
         import regex
 
+        self.before: dict[str, bytes] = {}
         spec = json.load(open(path, encoding="utf-8"))
         model, vocab = spec["model"], spec["model"]["vocab"]
         self.suffix = model.get("end_of_word_suffix") or ""
@@ -113,11 +116,13 @@ class Encoder(dict):
         return [x for x in ids if x >= 0]
 
     def __missing__(self, word: str) -> bytes:
-        raw = word.encode()
-        ids = [self.inner[b] for b in raw[:-1]] + [self.final[raw[-1]]]
-        out = np.array(self.merge([x for x in ids if x is not None]), "<u4").tobytes()
-        if len(raw) <= 64:
+        if (out := self.before.get(word)) is None:
+            raw = word.encode()
+            ids = [self.inner[b] for b in raw[:-1]] + [self.final[raw[-1]]]
+            out = array("I", self.merge([x for x in ids if x is not None])).tobytes()
+        if len(word) <= 64:
             if len(self) >= SEEN:
+                self.before = dict(self)
                 self.clear()
             self[word] = out
         return out

@@ -56,6 +56,13 @@ def worker_state(key, make: Callable):
 
 #: Rows that a function of map_arrow gets at once, so that what it holds stays small whatever the session's batches are.
 ROWS_AT_ONCE = 1000
+BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def modest_batches(spark: SparkSession) -> None:
+    """Long texts: batches of ROWS_AT_ONCE rows between JVM and Python, unless the session asks for fewer."""
+    if int(spark.conf.get(BATCH_CONF)) > ROWS_AT_ONCE:
+        spark.conf.set(BATCH_CONF, str(ROWS_AT_ONCE))
 
 
 def map_arrow(df: DataFrame, f: Callable[[pa.RecordBatch], dict | None], schema: str) -> DataFrame:
@@ -64,12 +71,14 @@ def map_arrow(df: DataFrame, f: Callable[[pa.RecordBatch], dict | None], schema:
     from pyspark.sql.pandas.types import to_arrow_schema
 
     arrow = to_arrow_schema(out)
+    modest_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for first in range(0, b.num_rows, ROWS_AT_ONCE):
                 if (cols := f(b.slice(first, ROWS_AT_ONCE))) is not None:
                     yield record_batch(cols, arrow)
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, out)
 
@@ -82,7 +91,7 @@ class WordHash(dict):
     """64-bit hash of a word (bytes), kept for words seen before; forgets all when it holds too many."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 1 << 18:
+        if len(self) >= 1 << 17:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BASE_A, BASE_B, Rolling, WordHash, list_array, map_arrow, mixed, raw_texts, signed, small, word_hashes, worker_state, written
+from .common import BASE_A, BASE_B, Rolling, WordHash, map_arrow, raw_texts, signed, small, worker_state, written
 
 SIZE, GRAM = 50, 16
 BROADCAST_ROWS = 1_000_000

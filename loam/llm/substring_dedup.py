@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_arrow, mixed, raw_texts, table, word_hashes, written
+from .common import map_arrow, mixed, modest_batches, raw_texts, table, word_hashes, written
 from .passages import GRAM, SIZE, WINDOW_SCHEMA, classes, covered, grams_and_minimisers, repeats, representatives, tools, window_rows
 
 MAX_LOG2, BLOCK_LOG2 = 28, 20
@@ -83,6 +83,7 @@ def sketch(documents: DataFrame, log2: int, size: int = SIZE, gram: int = GRAM)
         if now is not None:
             yield done()
 
+    modest_batches(documents.sparkSession)
     parts = documents.select("text").mapInArrow(partial, "block int, cells binary")
     merged = parts.repartition("block").sortWithinPartitions("block").mapInArrow(merge, "block int, bits binary")
     out = np.zeros(2 << log2 >> 3, np.uint8)

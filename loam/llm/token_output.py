@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from .common import map_arrow, new_path, ranges, table, worker_state, written
+from .common import map_arrow, modest_batches, new_path, ranges, table, worker_state, written
 
 END_ID, BLOCK, CHUNK_IDS, SEEN = 2, 4096, 1 << 19, 300_000
 MAGIC = b"S8B1"
@@ -237,6 +237,7 @@ def write(documents: DataFrame, vocabulary_path: str, out: str, end_id: int = EN
             yield pa.RecordBatch.from_pydict({"chunk": pa.array([chunk(names, ids)], pa.binary())})
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"), "text")
+    modest_batches(documents.sparkSession)
     rows.mapInArrow(run, "chunk binary").select(F.col("chunk").cast("string")).write.option("lineSep", "\n").text(out)
 
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WordHash, map_arrow, ranges, raw_texts, signed, table, word_hashes, worker_state, written
+from .common import WordHash, map_arrow, modest_batches, ranges, raw_texts, signed, table, word_hashes, worker_state
 
 K1, B, K, DIGITS = 1.2, 0.75, 10, 6
 SHARD, BLOCK, TILE, CHUNK, DENSE = 1024, 64, 256, 8192, 768
@@ -149,6 +149,7 @@ def searched(shard: list[tuple[int, np.ndarray, np.ndarray, int]], queries: Quer
 def search(documents: DataFrame, query_rows: DataFrame, k: int = K) -> DataFrame:
     """query_id, rank (from 1), doc_id and score of the k best documents for each row (query_id, text) of query_rows."""
     spark = documents.sparkSession
+    modest_batches(spark)
     n_chunks = max(1, -(-query_rows.count() // CHUNK))
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     out = None
