@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import catalog
 from ..functions.fiscal import half_bounds, quarter_bounds, year_bounds
@@ -120,7 +121,7 @@ def table_key(rows: Column) -> Column:
     return F.sha2(F.to_json(rows), 256)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def table_uuid(keys: pd.Series) -> pd.Series:
     """The name-based UUID (version 5) of a key."""
     return keys.map(lambda k: str(uuid.uuid5(uuid.NAMESPACE_URL, k)), na_action="ignore")
@@ -408,7 +409,7 @@ def masked_number(match: re.Match) -> str:
     return (text.zfill(len(whole)) if whole.startswith("0") and len(whole) > 1 and not part else text) + percent
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def masked(texts: pd.Series) -> pd.Series:
     pattern = re.compile(r"(\d[\d,]*(?:\.\d+)?)(%?)")
     return texts.map(lambda t: pattern.sub(masked_number, t), na_action="ignore")
@@ -455,3 +456,21 @@ def manifest(datasets: dict[str, DataFrame]) -> DataFrame:
 
 def as_json(row) -> str:
     return json.dumps(row.asDict(recursive=True), sort_keys=True)
+
+
+#: The stages of model-made additions, in order, and the columns each fills; the model is the caller's.
+ENHANCEMENTS = {"slides": ["summary"], "metrics": ["label", "category", "baseline", "period"], "charts": ["description"], "document": ["summary"], "entities": ["entities"], "images": ["description"], "sections": ["section"]}
+
+
+def enhanced(rows: DataFrame, stage: str, client: Callable[[dict], dict]) -> DataFrame:
+    """rows with the stage's columns from the client, a row at a time in batches; what the client leaves out is null."""
+    columns = ENHANCEMENTS[stage]
+    base = rows.drop(*columns)
+    kinds = ", ".join(f"`{n}` {t}" for n, t in base.dtypes)
+
+    def run(batches):
+        for pdf in batches:
+            answers = [client(r) for r in pdf.to_dict("records")]
+            yield pdf.assign(**{c: [a.get(c) for a in answers] for c in columns})
+
+    return base.mapInPandas(run, kinds + "".join(f", `{c}` string" for c in columns))

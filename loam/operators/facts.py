@@ -189,7 +189,7 @@ def formatted(value: Column, unit: Column) -> Column:
 
 def grid(facts: DataFrame, most: int = 4) -> DataFrame:
     """For each document and slide, the first values in order of their facts, joined."""
-    w = W.partitionBy("document_id", "slide_number").orderBy("fact_id")
+    w = W.partitionBy("document_id", "slide_number").orderBy("fact_id", "value")
     rows = facts.withColumn("n", F.row_number().over(w)).filter(F.col("n") <= most)
     return rows.groupBy("document_id", "slide_number").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", F.concat_ws("=", "metric_id", F.round("value", 4).cast("decimal(20,4)").cast("string")).alias("t")))), lambda x: x["t"]), "; ").alias("values"), F.count("*").alias("n_values"))
 

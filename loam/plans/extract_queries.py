@@ -355,6 +355,12 @@ def d44(spark, d):
     return op.in_batches(f, ["unit"], lambda rows: [i for i, r in enumerate(rows) if r["fact_id"] % 2 == 0])
 
 
+@query("d45_enhancement_stage", "SELECT p_partkey, upper(p_type) AS summary FROM part")
+def d45(spark, d):
+    rows = table(spark, d, "part").select("p_partkey", "p_type")
+    return op.enhanced(rows, "slides", lambda r: {"summary": r["p_type"].upper()}).select("p_partkey", "summary")
+
+
 @query("d46_slide_titles", W + ", s AS (SELECT document_id AS slide_id, metric_name AS text, slide_number * 40 AS top, fact_id % 50 AS font, CASE WHEN fact_id % 5 = 0 THEN 100 ELSE 0 END AS p FROM fact), r AS (SELECT *, p + least(font, 60) + CASE WHEN top < 100 THEN 20 ELSE 0 END AS score FROM s), k AS (SELECT *, row_number() OVER (PARTITION BY slide_id ORDER BY score DESC, top, text) AS n FROM r) SELECT slide_id, text AS title, score FROM k WHERE n = 1")
 def d46(spark, d):
     f = facts(spark, d)

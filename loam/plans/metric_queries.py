@@ -187,7 +187,7 @@ def a27(spark, d):
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", op.formatted(F.col("l_extendedprice"), unit).alias("text"))
 
 
-@query("a28_answer_grid", W + ", r AS (SELECT document_id, slide_number, fact_id, metric_id || '=' || printf('%.4f', round(value, 4)) AS t, row_number() OVER (PARTITION BY document_id, slide_number ORDER BY fact_id) AS n FROM fact) SELECT document_id, slide_number, string_agg(t, '; ' ORDER BY n) AS \"values\", count(*) AS n_values FROM r WHERE n <= 4 GROUP BY 1, 2")
+@query("a28_answer_grid", W + ", r AS (SELECT document_id, slide_number, fact_id, metric_id || '=' || printf('%.4f', round(value, 4)) AS t, row_number() OVER (PARTITION BY document_id, slide_number ORDER BY fact_id, value) AS n FROM fact) SELECT document_id, slide_number, string_agg(t, '; ' ORDER BY n) AS \"values\", count(*) AS n_values FROM r WHERE n <= 4 GROUP BY 1, 2")
 def a28(spark, d):
     return op.grid(facts(spark, d))
 
