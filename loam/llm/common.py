@@ -47,11 +47,13 @@ def small(df: DataFrame, most_rows: int) -> DataFrame:
 
 
 def worker_state(key, make: Callable):
-    """What make() gave the first time in this process: tables that a Python worker keeps from task to task."""
-    kept = sys.modules.setdefault("_loam_worker_state", types.ModuleType("_loam_worker_state")).__dict__
-    if key not in kept:
-        kept[key] = make()
-    return kept[key]
+    """What make() gave the first time in this process: tables that a Python worker keeps from task to task. The two used last stay."""
+    kept = sys.modules.setdefault("_loam_worker_state", types.ModuleType("_loam_worker_state")).__dict__.setdefault("kept", {})
+    found = kept.pop(key) if key in kept else make()
+    kept[key] = found
+    if len(kept) > 2:
+        del kept[next(iter(kept))]
+    return found
 
 
 #: Rows that a function of map_arrow gets at once, so that what it holds stays small whatever the session's batches are.

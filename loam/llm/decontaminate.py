@@ -185,6 +185,19 @@ def hits(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard
     return out if keep_text else out.drop("text")
 
 
+def cut(text: bytes | None, n_words: int, spans: list[int], max_coverage: float) -> bytes | None:
+    """text without the spans of words (from, to, from, to ...); empty if they hold more than max_coverage of its words."""
+    if not spans:
+        return text
+    if sum(b - a for a, b in zip(spans[::2], spans[1::2])) > max_coverage * n_words:
+        return b""
+    at, kept, last = [m.span() for m in re.finditer(WORD, text.lower())], [], 0
+    for a, b in zip(spans[::2], spans[1::2]):
+        kept.append(text[last : at[a][0]])
+        last = at[b - 1][1]
+    return b"".join([*kept, text[last:]])
+
+
 def cleaned(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_coverage: float = 0.8, shard_words: int = SHARD_WORDS) -> DataFrame:
     """documents with the hit spans cut out of their texts, in the same columns; a text whose words are hit by more than max_coverage becomes empty.
 
@@ -192,25 +205,17 @@ def cleaned(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, ma
     spare = {c: f"__{i}" for i, c in enumerate(documents.columns) if c not in ("doc_id", "text")}
     out = documents.select("doc_id", "text", *[F.col(f"`{c}`").alias(s) for c, s in spare.items()]).select("*", F.lit(0).cast("long").alias("n_words"), F.expr("cast(array() as array<int>)").alias("hits"), F.expr("cast(array() as array<string>)").alias("item_ids"))
     kinds = ", ".join(f"`{c}` {t}" for c, t in out.drop("n_words", "hits", "item_ids").dtypes)
-    for items in shards(benchmark, shard_words) or [[]]:
+    *rest, last = shards(benchmark, shard_words) or [[]]
+    for items in rest:
         out = map_arrow(out, matcher(items, window), f"{kinds}, {SCHEMA}")
+    match = matcher(last, window)
+
+    def run(batch: pa.RecordBatch) -> dict:
+        found = match(batch)
+        texts = [cut(t, n, h, max_coverage) for t, n, h in zip(raw_texts(batch), found["n_words"], found["hits"].to_pylist())]
+        return found | {"text": pa.array(texts, pa.binary()).cast(pa.string())}
 
-    def cut(batch: pa.RecordBatch) -> dict:
-        find, texts = re.compile(WORD).finditer, []
-        for text, n, spans in zip(raw_texts(batch), batch.column("n_words").to_pylist(), batch.column("hits").to_pylist()):
-            if spans:
-                if sum(b - a for a, b in zip(spans[::2], spans[1::2])) > max_coverage * n:
-                    text = b""
-                else:
-                    at, kept, last = [m.span() for m in find(text.lower())], [], 0
-                    for a, b in zip(spans[::2], spans[1::2]):
-                        kept.append(text[last : at[a][0]])
-                        last = at[b - 1][1]
-                    text = b"".join([*kept, text[last:]])
-            texts.append(text)
-        return {c: batch.column(c) for c in batch.schema.names} | {"text": pa.array(texts, pa.binary()).cast(pa.string())}
-
-    out = map_arrow(out.drop("item_ids"), cut, f"{kinds}, n_words long, hits array<int>")
+    out = map_arrow(out, run, f"{kinds}, {SCHEMA}")
     changed = F.size("hits") > 0
     if "n_chars" in spare:
         kind = dict(documents.dtypes)["n_chars"]

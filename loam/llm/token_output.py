@@ -27,11 +27,12 @@ from pyspark.sql import window as W
 
 from .common import map_arrow, modest_batches, new_path, ranges, table, worker_state, written
 
-END_ID, BLOCK, CHUNK_IDS, SEEN = 2, 4096, 1 << 19, 300_000
+END_ID, BLOCK, CHUNK_IDS, SEEN = 2, 4096, 1 << 18, 200_000
 MAGIC = b"S8B1"
 #: Fixed values of the coding: ids in a word, and bits of each, by selector.
 COUNTS = [240, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1]
 BITS = [0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60]
+SELECTOR = np.array([COUNTS.index(c) if c in COUNTS else 0 for c in range(241)], np.int8)
 ESCAPE = (1 << 60) - 1
 NULL_ID = -(1 << 63)
 #: Fixed by the vocabulary file: how it splits a text before its merges.
@@ -60,7 +61,7 @@ def packed(ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     bits = widths(ids)
     ids = ids.astype(np.uint64)
     top = int(ids.max()) if n else 0
-    take, selector = np.ones(n, np.uint8), np.full(n, 15, np.int8)
+    take = np.ones(n, np.uint8)
     width, peak = 1, bits  # peak[i]: the largest of bits[i : i + width]
     for s in range(14, -1, -1):
         c = COUNTS[s]
@@ -76,7 +77,6 @@ def packed(ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = np.flatnonzero(fits)
         if len(at):
             take[at] = c
-            selector[at] = s
         elif not (most <= BITS[s]).any():
             break
     steps, starts, i = take.tobytes(), [], 0
@@ -84,7 +84,7 @@ def packed(ids: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         starts.append(i)
         i += steps[i]
     starts = np.array(starts, np.int64)
-    chosen = selector[starts] if n else np.zeros(0, np.int8)
+    chosen = SELECTOR[take[starts]]
     words = chosen.astype(np.uint64) << np.uint64(60)
     for s in np.unique(chosen):
         if BITS[s]:
@@ -194,17 +194,21 @@ class LibraryIds:
 
     def encode(self, text: str | None) -> bytes:
         """The ids of text, 32 bits each."""
+        if not text:
+            return b""
         out: list[bytes] = []
-        for part in self.cut(text or ""):
+        for part in self.cut(text) if any(t in text for t in self.special) else [text]:
             if part in self.special:
                 out.append(self.special[part].to_bytes(4, "little"))
-            elif part:
-                pieces = (self.find_plain if self.plain(part) else self.find)(part)
-                try:
-                    out.append(b"".join(map(self.seen.__getitem__, pieces)))
-                except KeyError:
-                    self.learn(set(pieces))
-                    out.append(b"".join(map(self.seen.__getitem__, pieces)))
+                continue
+            pieces = (self.find_plain if part.isascii() or self.plain(part) else self.find)(part)
+            ids = list(map(self.seen.get, pieces))
+            if None in ids:
+                new = [i for i, x in enumerate(ids) if x is None]
+                self.learn({pieces[i] for i in new})
+                for i in new:
+                    ids[i] = self.seen[pieces[i]]
+            out += ids
         return b"".join(out)
 
 
