@@ -198,12 +198,15 @@ def models(documents: DataFrame, labels: DataFrame) -> dict:
 SCORES = "p_text double, p_meta double, quality_score double, toxic_score double, keep boolean"
 
 
-def scored(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """documents with p_text and p_meta (quality by each view), quality_score, toxic_score and keep, which replace columns of those names."""
-    rest = documents.drop("p_text", "p_meta", "quality_score", "toxic_score", "keep")
+NAMES = ["p_text", "p_meta", "quality_score", "toxic_score", "keep"]
+
+
+def judged(documents: DataFrame, labels: DataFrame) -> tuple[DataFrame, list[str]]:
+    """The columns of documents under names of our own, in order, then the scores; and those names."""
     known = documents.sparkSession.sparkContext.broadcast(models(documents, labels))
-    spare = rest.select(*[F.col(f"`{c}`").alias(f"__{i}") for i, c in enumerate(rest.columns)], *[F.col(f"`{c}`").cast(t).alias(c) if c in rest.columns else F.lit(None).cast(t).alias(c) for c, t in (("text", "string"), ("lang", "string"), ("source", "string"), ("n_chars", "long"))])
-    own = [c for c in spare.columns if c.startswith("__")]
+    own = [f"__{i}" for i in range(len(documents.columns))]
+    inputs = prepared(documents).columns
+    spare = documents.select(*[F.col(f"`{c}`").alias(s) for s, c in zip(own, documents.columns)], *[(F.col(f"`{c}`").cast(t) if c in documents.columns else F.lit(None).cast(t)).alias(c) for c, t in zip(inputs, ("long", "string", "string", "string", "long")) if c != "doc_id"])
 
     def run(batch: pa.RecordBatch) -> dict:
         m = known.value
@@ -212,18 +215,22 @@ def scored(documents: DataFrame, labels: DataFrame) -> DataFrame:
         blank = np.array([not (t or b"").split() for t in raw_texts(batch)])
         text, meta, quality = applied(m["quality"], [a[:, m["quality"]["keep"]], b]) if m["quality"] else [np.ones(n)] * 3
         toxic = applied(m["toxic"], [a[:, m["toxic"]["keep"]], b])[2] if m["toxic"] else np.zeros(n)
-        quality = np.where(blank, 0.0, quality)
-        toxic = np.where(blank, 0.0, toxic)
+        quality, toxic = np.where(blank, 0.0, quality), np.where(blank, 0.0, toxic)
         return {c: batch.column(c) for c in own} | {"p_text": text, "p_meta": meta, "quality_score": quality, "toxic_score": toxic, "keep": (quality >= LIMIT) & (toxic < LIMIT)}
 
-    out = map_arrow(spare, run, ", ".join(f"`{c}` {t}" for c, t in spare.dtypes if c in own) + ", " + SCORES)
-    return out.select(*[F.col(s).alias(c) for s, c in zip(own, rest.columns)], "p_text", "p_meta", "quality_score", "toxic_score", "keep")
+    return map_arrow(spare, run, ", ".join(f"`{c}` {t}" for c, t in spare.dtypes if c in own) + ", " + SCORES), own
+
+
+def scored(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    """documents with p_text and p_meta (quality by each view), quality_score, toxic_score and keep, which replace columns of those names."""
+    out, own = judged(documents, labels)
+    return out.select(*[F.col(s).alias(c) for s, c in zip(own, documents.columns) if c not in NAMES], *NAMES)
 
 
 def kept(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of documents that are kept, same columns."""
-    marked = scored(documents.select(*[F.col(f"`{c}`") for c in documents.columns]), labels).filter("keep")
-    return marked.select(*documents.columns)
+    out, own = judged(documents, labels)
+    return out.filter("keep").select(*[F.col(s).alias(c) for s, c in zip(own, documents.columns)])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -336,10 +336,10 @@ def d41(spark, d):
     return op.without_leaks(rows, x.select(F.col("id").alias("slide_id"), F.concat(F.lit("see "), "note", F.lit(" here")).alias("notes"))).select("id")
 
 
-@query("d42_client_from_filename", "WITH f AS (SELECT DISTINCT 'qbr_' || lower(c_mktsegment) || '_' || c_nationkey || '.pptx' AS filename FROM customer), n AS (SELECT DISTINCT c_mktsegment AS name FROM customer UNION SELECT 'BUILD') SELECT filename, name FROM (SELECT filename, name, row_number() OVER (PARTITION BY filename ORDER BY length(name) DESC NULLS LAST, name) AS k FROM f LEFT JOIN n ON contains(filename, lower(name))) WHERE k = 1")
+@query("d42_client_from_filename", "WITH f AS (SELECT DISTINCT 'deck_' || lower(c_mktsegment) || '_' || c_nationkey || '.pptx' AS filename FROM customer), n AS (SELECT DISTINCT c_mktsegment AS name FROM customer UNION SELECT 'BUILD') SELECT filename, name FROM (SELECT filename, name, row_number() OVER (PARTITION BY filename ORDER BY length(name) DESC NULLS LAST, name) AS k FROM f LEFT JOIN n ON contains(filename, lower(name))) WHERE k = 1")
 def d42(spark, d):
     c = table(spark, d, "customer")
-    files = c.select(F.concat(F.lit("qbr_"), F.lower("c_mktsegment"), F.lit("_"), F.col("c_nationkey").cast("string"), F.lit(".pptx")).alias("filename")).distinct()
+    files = c.select(F.concat(F.lit("deck_"), F.lower("c_mktsegment"), F.lit("_"), F.col("c_nationkey").cast("string"), F.lit(".pptx")).alias("filename")).distinct()
     return op.inferred(files, c.select(F.col("c_mktsegment").alias("name")).unionByName(spark.createDataFrame([("BUILD",)], "name string")).distinct())
 
 
