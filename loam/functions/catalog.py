@@ -6,22 +6,26 @@ from __future__ import annotations
 ENTRIES = """
 click_through_rate | Click Through Rate | percent | 3 | CTR, click-through rate, click through rate | click, through
 view_through_rate | View Through Rate | percent | 3 | VTR, view-through rate, view through rate | view, through
-video_completion_rate | Video Completion Rate | percent | 3 | VCR, video completion rate, completion rate | completion, complete, video
+video_completion_rate | Video Completion Rate | percent | 2 | VCR, video completion rate, completion rate | completion, complete, video
 conversion_rate | Conversion Rate | percent | 3 | CVR, conversion rate | conversion, convert
-cost_per_acquisition | Cost per Acquisition | currency | 3 | CPA, cost per acquisition | acquisition, acquired
+cost_per_acquisition | Cost per Acquisition | currency | 3 | CPA, cost per acquisition, cost per acquired user | acquisition, acquired
 cost_per_install | Cost per Install | currency | 3 | CPI, cost per install | install
 cost_per_engagement | Cost per Engagement | currency | 3 | CPE, cost per engagement | engagement
 cost_per_click | Cost per Click | currency | 3 | CPC, cost per click | click
-cost_per_mille | Cost per Mille | currency | 3 | CPM, cost per mille | mille, thousand
+cost_per_mille | Cost per Mille | currency | 3 | CPM, cost per mille, cost per thousand | mille, thousand
 cost_per_view | Cost per View | currency | 3 | CPV, cost per view | view
+install_rate | Install Rate | percent | 2 | install rate |
+launch_rate | Launch Rate | percent | 2 | launch rate |
 install_lift | Install Lift | percent | 2 | install lift | lift, install
 launch_lift | Launch Lift | percent | 2 | launch lift | lift, launch
-roas | ROAS | ratio | 3 | ROAS, return on ad spend | return, spend
-roi | ROI | ratio | 3 | ROI, return on investment | return, investment
+roas | Return on Ad Spend | ratio | 3 | ROAS, return on ad spend | return, spend
+roi | Return on Investment | percent | 3 | ROI, return on investment | return, investment
+installs | Installs | count | 2 | install, installs, total installs |
+launches | Launches | count | 2 | launches, launch, total launches |
+unique_reach | Unique Reach | count | 3 | unique reach, deduplicated reach, de-duplicated reach, unduplicated reach | unique, deduplicated, unduplicated
 monthly_active_users | Monthly Active Users | count | 2 | MAU, monthly active users |
 daily_active_users | Daily Active Users | count | 2 | DAU, daily active users |
 reach | Reach | count | 1 | reach |
-unique_reach | Unique Reach | count | 2 | unique reach, deduplicated reach | unique, deduplicated, unduplicated
 household_reach | Household Reach | count | 2 | household reach, hh reach | household, hh
 share_of_voice | Share of Voice | percent | 2 | share of voice, SOV | voice, share
 grps | GRPs | count | 2 | GRP, GRPs, gross rating point, gross rating points | rating, gross
@@ -35,18 +39,14 @@ spend | Spend | currency | 2 | spend, spending, total spend |
 csrb_spend | Content Store Roadblock Spend | currency | 1 | CSRB, content store roadblock, content store rb |
 acquisitions | Acquisitions | count | 2 | acquisitions, acquired users, acquired user |
 qualified_acquisitions | Qualified Acquisitions | count | 2 | qualified acquisitions, qualified acquired users, qualified acquired user | qualified
-installs | Installs | count | 2 | install, installs |
-launches | Launches | count | 2 | launch, launches |
 conversions | Conversions | count | 2 | conversions, converted users, converted user |
 purchases | Purchases | count | 2 | purchases, purchase, transactions, transaction |
 sign_ups | Sign-ups | count | 2 | sign up, sign-up, signups, sign ups, sign-in, sign in |
 leads | Leads | count | 2 | lead, leads |
 engagements | Engagements | count | 2 | engagement, engagements, engaged users, engaged user |
 sessions | Sessions | count | 2 | session, sessions, session count |
-avg_session_duration | Average Session Duration | time | 2 | avg session duration, average session duration, session duration, duration per session |
-time_spent | Time Spent | time | 2 | time spent |
-streaming_hours | Streaming Hours | time | 2 | streaming hours |
-frequency | Frequency | count | 1 | frequency, freq, monthly frequency |
+avg_session_duration | Average Session Duration | time | 2 | avg session duration, average session duration, session duration, duration per session, avg duration per session, average duration per session |
+frequency | Frequency | count | 1 | frequency, freq, avg monthly freq, avg monthly frequency, average monthly frequency, monthly freq, monthly frequency |
 video_starts | Video Starts | count | 2 | video starts, video start |
 fill_rate | Fill Rate | percent | 2 | fill rate |
 win_rate | Win Rate | percent | 2 | win rate |

@@ -406,7 +406,7 @@ def d52(spark, d):
     return op.review_context(x).select("id", "review")
 
 
-@query("d53_builtin_catalog", "SELECT * FROM (VALUES ('count', 23), ('currency', 9), ('percent', 10), ('ratio', 2), ('time', 3)) t(unit, n)")
+@query("d53_builtin_catalog", "SELECT * FROM (VALUES ('count', 23), ('currency', 9), ('percent', 13), ('ratio', 1), ('time', 1)) t(unit, n)")
 def d53(spark, d):
     return catalog.frame(spark).groupBy("unit").agg(F.count("*").alias("n"))
 

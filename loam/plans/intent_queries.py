@@ -73,7 +73,7 @@ def f08(spark, d):
     return q.select("qid", F.array_join(info.topics(F.col("text")), ",").alias("topics"))
 
 
-@query("f09_metric_resolution", "SELECT * FROM (VALUES (1, 'click_through_rate', 3.2, 1), (2, 'investment', 2.65, 1), (3, 'unique_reach', 3.25, 1), (3, 'reach', 1.2, 2), (5, 'clicks', 2.2, 1), (10, 'spend', 1.85, 1)) t(qid, metric_id, score, rank)")
+@query("f09_metric_resolution", "SELECT * FROM (VALUES (1, 'click_through_rate', 3.2, 1), (2, 'investment', 2.65, 1), (3, 'unique_reach', 4.25, 1), (3, 'reach', 1.2, 2), (5, 'clicks', 2.2, 1), (10, 'spend', 1.85, 1)) t(qid, metric_id, score, rank)")
 def f09(spark, d):
     words = catalog.frame(spark).filter("metric_id = 'unique_reach'").select("metric_id", "disambiguation")
     return op.resolve_metrics(questions(spark), catalog.aliases(spark).select("metric_id", "alias", "priority"), words)
