@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from ..functions import catalog
 from ..functions.fiscal import half_bounds, quarter_bounds, year_bounds
 from ..functions.text import plain, plain_tokens, squeezed
-from .facts import any_of, first_by
+from .facts import any_of, bounded, first_by
 
 PAGE = r"<!-- PAGE (\d+) -->"
 #: Fixed: a number as it is written, with what says its unit.
@@ -352,9 +352,7 @@ def without_leaks(rows: DataFrame, notes: DataFrame) -> DataFrame:
 
 def inferred(files: DataFrame, names: DataFrame) -> DataFrame:
     """The longest name that each file name contains, any case; names are a dimension, and checked to be small."""
-    if names.limit(10_001).count() > 10_000:
-        raise ValueError("more than 10,000 names")
-    hit = files.join(F.broadcast(names), F.contains(F.lower("filename"), F.lower("name")), "left")
+    hit = files.join(bounded(names, 10_000, "names"), F.contains(F.lower("filename"), F.lower("name")), "left")
     return first_by(hit, ["filename"], [F.desc_nulls_last(F.length("name")), "name"]).select("filename", "name")
 
 

@@ -15,6 +15,13 @@ def any_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions)
 
 
+def bounded(df: DataFrame, most: int, what: str) -> DataFrame:
+    """df, marked for broadcast once its size is known to be small; an error if it isn't."""
+    if df.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most:,} {what}")
+    return F.broadcast(df)
+
+
 def fact_filter(metric_ids: list[str] | None = None, client_name: str | None = None, region: list[str] | None = None, period_ranges: list[tuple[str, str]] | None = None) -> Column:
     """A condition on facts: metric among the ids, client contains (any case), region among, and overlap with any range."""
     out = F.lit(True)
@@ -132,7 +139,7 @@ def semantic_rerank(facts: DataFrame, scores: DataFrame, key: str, top: int = 5,
 
 def fan_out(facts: DataFrame, scopes: DataFrame, on: list[str]) -> DataFrame:
     """Facts of each scope (scope: its order; on: equality columns), in one join; a fact in several scopes stays in the first."""
-    return first_by(facts.join(F.broadcast(scopes) if scopes.limit(1001).count() <= 1000 else scopes, on), ["fact_id"], ["scope"])
+    return first_by(facts.join(scopes, on), ["fact_id"], ["scope"])
 
 
 def in_scope(chunks: DataFrame, ranges: DataFrame, documents: DataFrame | None = None) -> DataFrame:
@@ -154,7 +161,7 @@ def relaxed(facts: DataFrame, tiers: list[Column], strict: bool = False) -> Data
 
 def context_signal(chunks: DataFrame, terms: DataFrame, sure: float = 0.35) -> DataFrame:
     """For each term the best-scoring chunk that contains it, and whether that is sure."""
-    hit = chunks.join(F.broadcast(terms), F.lower(chunks.text).contains(F.lower(terms.term)))
+    hit = chunks.join(bounded(terms, 1000, "terms"), F.lower(chunks.text).contains(F.lower(terms.term)))
     best = hit.groupBy("term").agg(F.max(F.struct("score", (-F.col("chunk_id")).alias("i"))).alias("b"))
     return best.select("term", (-F.col("b.i")).alias("chunk_id"), F.col("b.score").alias("score"), (F.col("b.score") >= sure).alias("confident"))
 

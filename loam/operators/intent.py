@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from ..functions.fiscal import half_bounds, quarter_bounds, year_bounds
 from ..functions.text import plain_tokens
-from .facts import any_of
+from .facts import any_of, bounded
 
 #: Fixed: words too general to choose a metric by themselves.
 GENERIC = ["spend", "spending", "investment", "cost", "revenue", "value", "total"]
@@ -41,15 +41,13 @@ def has_word(text: Column, *words: str) -> Column:
 def resolve_metrics(questions: DataFrame, aliases: DataFrame, disambiguation: DataFrame | None = None) -> DataFrame:
     """qid, metric_id, score and rank of the metrics whose aliases a question has; aliases are the catalogue's, a small table that is
     checked before it is broadcast."""
-    if aliases.limit(20_001).count() > 20_000:
-        raise ValueError("more than 20,000 aliases")
     q = questions.select("qid", F.lower("text").alias("text"), plain_tokens(F.col("text")).alias("qt"))
-    hit = q.join(F.broadcast(aliases), F.expr("text rlike concat('(?i)(?<!\\\\w)\\\\Q', alias, '\\\\E(?!\\\\w)')"))
+    hit = q.join(bounded(aliases, 20_000, "aliases"), F.expr("text rlike concat('(?i)(?<!\\\\w)\\\\Q', alias, '\\\\E(?!\\\\w)')"))
     terms = plain_tokens(F.col("alias"))
     score = F.col("priority") + F.least(F.lit(1.0), 0.2 * F.size(F.array_intersect(terms, "qt"))) + F.when(F.size(terms) >= 2, 0.25).otherwise(0.0)
     score = score - F.when((F.size(terms) == 1) & terms[0].isin(GENERIC) & (F.size("qt") >= 3), 0.35).otherwise(0.0)
     if disambiguation is not None:
-        hit = hit.join(F.broadcast(disambiguation), "metric_id", "left")
+        hit = hit.join(bounded(disambiguation, 20_000, "metrics"), "metric_id", "left")
         some = F.size(F.coalesce("disambiguation", F.array().cast("array<string>"))) > 0
         score = score + F.when(some & F.exists("disambiguation", lambda w: F.contains(F.col("text"), w)), 0.6).when(some, -0.4).otherwise(0.0)
     best = hit.withColumn("score", F.round(score, 6)).groupBy("qid", "metric_id").agg(F.max("score").alias("score"))
@@ -60,9 +58,7 @@ def resolve_metrics(questions: DataFrame, aliases: DataFrame, disambiguation: Da
 
 def resolve_client(questions: DataFrame, clients: DataFrame) -> DataFrame:
     """qid, client, confidence: the longest client named; 0.3 and none if two are equally long, 0 if there is none."""
-    if clients.limit(20_001).count() > 20_000:
-        raise ValueError("more than 20,000 clients")
-    hit = questions.join(F.broadcast(clients), F.expr("text rlike concat('(?i)(?<!\\\\w)\\\\Q', client, '\\\\E(?!\\\\w)')"))
+    hit = questions.join(bounded(clients, 20_000, "clients"), F.expr("text rlike concat('(?i)(?<!\\\\w)\\\\Q', client, '\\\\E(?!\\\\w)')"))
     most = hit.groupBy("qid").agg(F.max(F.length("client")).alias("n"))
     best = hit.join(most, "qid").filter(F.length("client") == F.col("n")).groupBy("qid").agg(F.count_distinct("client").alias("k"), F.min("client").alias("client"))
     out = questions.join(best, "qid", "left")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import plain_tokens, tokens
 from ..functions.vector import cosine, distance, doubles, dot, hash_embedding, norm, normalised
-from .facts import any_of, first_by
+from .facts import any_of, bounded, first_by
 
 K1, B = 1.2, 0.75
 #: Fixed: words that full-text search leaves out.
@@ -260,9 +260,7 @@ def chunk_metadata(chunks: DataFrame, slides: DataFrame) -> DataFrame:
 def embedding_match(queries: DataFrame, catalog: DataFrame, least: float = 0.7) -> DataFrame:
     """The nearest catalogue entry of each query (query_id, q), if it is near enough. The catalogue is a list of metrics, and the
     queries those of one question: both are small by nature, and checked."""
-    if catalog.limit(10_001).count() > 10_000:
-        raise ValueError("a catalogue of more than 10,000 entries needs vector_search, query by query")
-    rows = queries.join(F.broadcast(catalog)).select("query_id", "metric_id", F.round(cosine(F.col("embedding"), F.col("q")), 6).alias("score"))
+    rows = queries.join(bounded(catalog, 10_000, "entries; a larger catalogue needs vector_search, query by query")).select("query_id", "metric_id", F.round(cosine(F.col("embedding"), F.col("q")), 6).alias("score"))
     best = rows.groupBy("query_id").agg(F.max(F.struct("score", (-F.col("metric_id")).alias("m"))).alias("b"))
     return best.filter(F.col("b.score") >= least).select("query_id", (-F.col("b.m")).alias("metric_id"), F.col("b.score").alias("score"))
 

@@ -155,7 +155,7 @@ def b19(spark, d):
     return answer["rows"].select("fact_id", "metric_id", F.round("value", 4).alias("value"))
 
 
-@query("b20_tool_registry")
+@query("b20_tool_registry", "SELECT * FROM (VALUES " + ", ".join(f"('{n}', '{o}', '{','.join(p)}')" for n, (o, p) in op.TOOLS.items()) + ") t(tool, operator, parameters)")
 def b20(spark, d):
     return spark.createDataFrame([(n, o, ",".join(p)) for n, (o, p) in op.TOOLS.items()], "tool string, operator string, parameters string")
 
