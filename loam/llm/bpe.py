@@ -87,6 +87,17 @@ class Encoder(dict):
         names = {i: t for t, i in vocab.items()} | {i: t for t, i in self.special.items()}
         self.tokens = [names.get(i, "") for i in range(max(names) + 1)]
         self.find = regex.compile(PATTERN).findall
+        # Characters newer than Python's own tables: whether the library takes them for letters or numbers, and their lower case, is
+        # asked of the library, since it depends on the Unicode version that it was built with.
+        from tokenizers import Tokenizer
+
+        library = Tokenizer.from_file(path)
+        pieces = lambda t: len(library.pre_tokenizer.pre_tokenize_str(t))
+        new = [c for c in map(chr, range(0x80, 0x34000)) if unicodedata.category(c) == "Cn" and regex.match(r"[\p{L}\p{N}]", c)]
+        late = regex.escape("".join(c for c in new if (pieces("a" + c) > 1 if regex.match(r"\p{L}", c) else pieces(c + c) == 1)))
+        self.lower = {ord(c): low for c in new if (low := library.normalizer.normalize_str(c)) != c.lower()}
+        self.new = regex.compile(f"[{regex.escape(''.join(new))}]").search if new else lambda t: None
+        self.find_new = regex.compile(rf"(?:(?![{late}])\p{{L}})+|'(?:[stmd]|re|ve|ll)|(?![{late}])\p{{N}}|(?:[^\s\p{{L}}\p{{N}}]|[{late}])+").findall if late else self.find
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else lambda t: [t]
         self.space = regex.compile(r"\s+").sub
 
@@ -132,15 +143,17 @@ class Encoder(dict):
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
         return self.space(" ", text).lower()
 
-    def encode(self, text: str | None) -> bytes:
-        if not text:
+    def encode(self, whole: str | None) -> bytes:
+        if not whole:
             return b""
         out = []
-        for part in self.cut(text):
+        for part in self.cut(whole) if any(t in whole for t in self.special) else [whole]:
             if part in self.special:
                 out.append(self.special[part].to_bytes(4, "little"))
             elif part:
-                out += map(self.__getitem__, self.find(self.normal(part)))
+                text = self.normal(part)
+                new = not text.isascii() and self.new(text)
+                out += map(self.__getitem__, self.find_new(text.translate(self.lower)) if new else self.find(text))
         return b"".join(out)
 
     def decode(self, ids: bytes) -> str:
