@@ -74,7 +74,7 @@ def frequent(documents: DataFrame, k: int, percent: int) -> np.ndarray:
 
     counts = map_arrow(documents.select("text"), run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).filter(F.col("n") >= HOT_FROM)
     top = counts.orderBy(F.desc("n"), "token").limit(HOT).select("token")
-    return np.sort(np.array([r.token for r in top.toLocalIterator()], np.int64).view(np.uint64))
+    return np.sort(top.toArrow()["token"].to_numpy().view(np.uint64))
 
 
 def in_sorted(x: np.ndarray, table: np.ndarray) -> np.ndarray:

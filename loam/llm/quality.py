@@ -180,16 +180,17 @@ def models(documents: DataFrame, labels: DataFrame) -> dict:
 
     def run(batch: pa.RecordBatch) -> dict:
         a, b = views_of(batch, chosen)
-        return {"doc_id": batch.column("doc_id"), "held": batch.column("held"), "a": list(a), "b": list(b)} | {t: batch.column(t) for t in words}
+        return {"doc_id": batch.column("doc_id"), "held": batch.column("held"), "a": [x.tobytes() for x in a], "b": [x.tobytes() for x in b]} | {t: batch.column(t) for t in words}
 
-    found = map_arrow(rows.select("*", held_out().alias("held")).withColumns({t: F.col(t).cast("double") for t in words}), run, "doc_id long, held boolean, a array<double>, b array<double>, quality double, toxic double")
-    got = sorted(found.toLocalIterator(), key=lambda r: r.doc_id)  # LABELLED + POOL rows at most
+    found = map_arrow(rows.select("*", held_out().alias("held")).withColumns({t: F.col(t).cast("double") for t in words}), run, "doc_id long, held boolean, a binary, b binary, quality double, toxic double")
+    got = found.toArrow().sort_by("doc_id")  # LABELLED + POOL rows at most
     out: dict = {"words": chosen, "quality": None, "toxic": None}
-    if got:
-        views, held = [np.array([r.a for r in got]), np.array([r.b for r in got])], np.array([r.held for r in got])
+    if got.num_rows:
+        views = [np.frombuffer(b"".join(got[c].to_pylist()), float).reshape(got.num_rows, -1) for c in ("a", "b")]
+        held = got["held"].to_numpy()
         for t in words:
             keep = np.concatenate([np.ones(views[0].shape[1] - len(chosen), bool), np.isin(chosen, words[t])])
-            y = np.array([np.nan if r[t] is None else float(r[t]) for r in got])
+            y = got[t].to_numpy().astype(float)
             if (m := co_trained([views[0][:, keep], views[1]], y, held)) is not None:
                 out[t] = m | {"keep": keep}
     return out

@@ -156,12 +156,11 @@ def search(documents: DataFrame, query_rows: DataFrame, k: int = K) -> DataFrame
     for chunk in range(n_chunks):
         got = [(r.query_id, terms_of(r.text.encode() if r.text else None)[0]) for r in query_rows.filter(F.pmod(F.xxhash64("query_id"), F.lit(n_chunks)) == chunk).toLocalIterator()]
         queries = spark.sparkContext.broadcast(Queries([q for q, _ in got], [t for _, t in got]))
-        df, totals = np.zeros(len(queries.value.vocab)), (0, 0)
-        for r in statistics(rows, queries).toLocalIterator():  # a row for each word of the chunk
-            if r.term < 0:
-                totals = (r.df, r.words)
-            else:
-                df[r.term] = r.df
+        df = np.zeros(len(queries.value.vocab))
+        found = statistics(rows, queries).toArrow()  # a row for each word of the chunk, and one of totals
+        term, counts = found["term"].to_numpy(), found["df"].to_numpy()
+        df[term[term >= 0]] = counts[term >= 0]
+        totals = (int(counts[term < 0].sum()), int(found["words"].to_numpy()[term < 0].sum()))
         idf = np.log(1 + (totals[0] - df + 0.5) / (df + 0.5))
         frequent = np.argsort(-df, kind="stable")[:DENSE]
         given = spark.sparkContext.broadcast((idf, np.sort(frequent[df[frequent] * 128 >= totals[0]]), totals[1] / max(totals[0], 1)))
