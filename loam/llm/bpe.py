@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import unicodedata
 from array import array
 
@@ -96,7 +97,10 @@ class Encoder(dict):
         new = [c for c in map(chr, range(0x80, 0x34000)) if unicodedata.category(c) == "Cn" and regex.match(r"[\p{L}\p{N}]", c)]
         late = regex.escape("".join(c for c in new if (pieces("a" + c) > 1 if regex.match(r"\p{L}", c) else pieces(c + c) == 1)))
         self.lower = {ord(c): low for c in new if (low := library.normalizer.normalize_str(c)) != c.lower()}
-        self.new = regex.compile(f"[{regex.escape(''.join(new))}]").search if new else lambda t: None
+        # in the first plane a table look-up for each character; beyond it, only for texts that reach it
+        low, high = ("".join(c for c in new if (c > "\uffff") == far) for far in (False, True))
+        in_low, beyond, in_high = (re.compile(f"[{x}]").search if x else lambda t: None for x in (re.escape(low), "\U00010000-\U0010ffff", re.escape(high)))
+        self.new = lambda t: in_low(t) or (beyond(t) and in_high(t))
         self.find_new = regex.compile(rf"(?:(?![{late}])\p{{L}})+|'(?:[stmd]|re|ve|ll)|(?![{late}])\p{{N}}|(?:[^\s\p{{L}}\p{{N}}]|[{late}])+").findall if late else self.find
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else lambda t: [t]
         self.space = regex.compile(r"\s+").sub

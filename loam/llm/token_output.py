@@ -27,7 +27,7 @@ from pyspark.sql import window as W
 
 from .common import map_arrow, modest_batches, new_path, ranges, table, worker_state, written
 
-END_ID, BLOCK, CHUNK_IDS, SEEN = 2, 4096, 1 << 18, 300_000
+END_ID, BLOCK, CHUNK_IDS, SEEN = 2, 4096, 1 << 18, 600_000
 MAGIC = b"S8B1"
 #: Fixed values of the coding: ids in a word, and bits of each, by selector.
 COUNTS = [240, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1]
