@@ -20,13 +20,18 @@ LINE = "l AS (SELECT l_orderkey AS deck_id, l_linenumber AS page, l_partkey * 10
 DECK = LINE + ", d AS (SELECT deck_id, string_agg('<!-- PAGE ' || page || ' -->' || chr(10) || body || chr(10) || '### Notes:' || chr(10) || note, chr(10) ORDER BY page, tie) AS text FROM l GROUP BY 1)"
 
 
-def lines(spark, d):
-    x = table(spark, d, "lineitem").filter("l_orderkey <= 1500")
+def all_lines(spark, d):
+    x = table(spark, d, "lineitem")
     body = F.concat(F.lit("Discount rate: "), F.round(F.col("l_discount") * 100).cast("int").cast("string"), F.lit("%\nPrice $"), F.col("l_extendedprice").cast("decimal(12,2)").cast("string"))
     tie = F.col("l_partkey") * 10000 + F.col("l_suppkey")
     return x.select(F.col("l_orderkey").alias("deck_id"), F.col("l_linenumber").alias("page"), tie.alias("tie"), ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 1_000_000_000 + tie).alias("id"), body.alias("body"), F.concat(F.lit("flag "), "l_returnflag").alias("note"), "l_discount", "l_extendedprice", "l_quantity", "l_returnflag")
 
 
+def lines(spark, d):
+    """The lines that LINE has: those of the first orders only."""
+    return all_lines(spark, d).filter("deck_id <= 1500")
+
+
 def decks(spark, d):
     text = F.concat(F.lit("<!-- PAGE "), F.col("page").cast("string"), F.lit(" -->\n"), "body", F.lit("\n### Notes:\n"), "note")
     return lines(spark, d).groupBy("deck_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page", "tie", text.alias("t")))), lambda x: x["t"]), "\n").alias("text"))
@@ -224,8 +229,7 @@ def d27(spark, d):
     return x.select("raw", op.parsed_number(F.col("raw")).alias("value"), op.unit_of(F.col("raw")).alias("unit"))
 
 
-def box_decks(spark, d):
-    x = lines(spark, d).filter("deck_id <= 200")
+def box_decks(x):
     bar = "\n- - - - -\n"
     s = lambda c: F.col(c).cast("int").cast("string")
     text = F.concat(F.lit("<!-- PAGE "), s("page"), F.lit(f" -->{bar}Results by market{bar}ignored{bar}Click rate: "), F.round(F.col("l_discount") * 100).cast("int").cast("string"), F.lit(f"%{bar}ignored{bar}Total spend\n$"), F.col("l_extendedprice").cast("decimal(12,2)").cast("string"), F.lit(f"{bar}ignored{bar}[TABLE]\n | Reach | CPA*\nUS | "), s("l_quantity"), F.lit("K | $"), s("l_quantity"), F.lit(bar))
@@ -234,12 +238,12 @@ def box_decks(spark, d):
 
 @query("d28_box_parser", "WITH " + LINE + " SELECT id AS deck_id, page, i AS idx, count(*) AS n FROM l, (SELECT unnest([0, 1, 2, 3]) AS i) WHERE deck_id <= 200 GROUP BY ALL")
 def d28(spark, d):
-    return bx.boxes(box_decks(spark, d)).groupBy("deck_id", "page", "idx").agg(F.count("*").alias("n"))
+    return bx.boxes(box_decks(lines(spark, d).filter("deck_id <= 200"))).groupBy("deck_id", "page", "idx").agg(F.count("*").alias("n"))
 
 
 @query("d29_pair_extraction", "WITH " + LINE + " SELECT DISTINCT id AS deck_id, page, 'Click rate' AS name, CAST(round(l_discount * 100) AS INT) || '%' AS raw, 'inline' AS pattern FROM l WHERE deck_id <= 200 UNION SELECT id, page, 'Total spend', '$' || CAST(l_extendedprice AS DECIMAL(12, 2)), 'stacked' FROM l WHERE deck_id <= 200")
 def d29(spark, d):
-    return bx.pairs(bx.boxes(box_decks(spark, d))).select("deck_id", "page", "name", "raw", "pattern").distinct()
+    return bx.pairs(bx.boxes(box_decks(lines(spark, d).filter("deck_id <= 200")))).select("deck_id", "page", "name", "raw", "pattern").distinct()
 
 
 ONE_TABLE = "<!-- PAGE 1 -->\n- - - - -\n[TABLE]\n | S1 | S2\nCTR | 0.11% | 0.14%\n- - - - -\nx\n- - - - -\n[TABLE]\n | Rate | CostX*\nGroup 1 | 0.57% | $20.5\n- - - - -\n"
@@ -252,7 +256,7 @@ def d30(spark, d):
 
 @query("d31_descriptor_resolution")
 def d31(spark, d):
-    b = bx.boxes(box_decks(spark, d))
+    b = bx.boxes(box_decks(all_lines(spark, d)))
     return bx.descriptors(bx.pairs(b), b).select("deck_id", "page", "name", "raw", "descriptor", "score")
 
 
@@ -272,7 +276,7 @@ def d33(spark, d):
 
 @query("d34_raw_context")
 def d34(spark, d):
-    b = bx.boxes(box_decks(spark, d))
+    b = bx.boxes(box_decks(all_lines(spark, d)))
     return bx.raw_context(bx.pairs(b), b)
 
 
@@ -370,7 +374,7 @@ def d46(spark, d):
 
 @query("d47_box_pipeline")
 def d47(spark, d):
-    return bx.extracted(box_decks(spark, d))
+    return bx.extracted(box_decks(all_lines(spark, d)))
 
 
 @query("d48_duplicate_context", W + ", n AS (SELECT metric_name, unit, count(DISTINCT slide_number) AS n FROM fact WHERE document_id <= 300 GROUP BY 1, 2) SELECT fact_id, CASE WHEN n > 1 THEN 'slide ' || slide_number || ': ' || region || ' ' || f.context ELSE f.context END AS context FROM fact f JOIN n USING (metric_name, unit) WHERE document_id <= 300")
