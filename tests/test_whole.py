@@ -1,5 +1,6 @@
 """Queries without SQL take every row of their tables, whatever its id."""
 
+from loam.plans import extract_queries
 from loam.plans.all import QUERIES
 
 
@@ -14,3 +15,9 @@ def test_boxes_of_all_orders(spark, tmp_path):
     d = lineitem(spark, tmp_path, orders)
     for name in ("d31_descriptor_resolution", "d34_raw_context", "d47_box_pipeline"):
         assert {r.deck_id // 10**10 for r in QUERIES[name](spark, d).collect()} == set(orders), name
+
+
+def test_batches_of_all_documents(spark, monkeypatch):
+    rows = [(d, 2 * d + i, "count", 1.0) for d in (1, 200, 201, 90_000) for i in (0, 1)]
+    monkeypatch.setattr(extract_queries, "facts", lambda spark, d: spark.createDataFrame(rows, "document_id long, fact_id long, unit string, value double"))
+    assert {r.fact_id for r in QUERIES["d44_batched_client"](spark, "").collect()} == {2, 400, 402, 180_000}
