@@ -90,8 +90,9 @@ def d09(spark, d):
 
 @query("d10_page_alignment")
 def d10(spark, d):
-    x = table(spark, d, "documents").select((F.col("doc_id") % 50).alias("deck"), F.expr("cast(doc_id div 50 as int)").alias("n"), "text")
-    return op.aligned(x.filter("n < 5"), x.filter("n >= 5 and n < 10").withColumn("n", F.col("n") - 5), "deck")
+    # fifty decks of five pages and five slides from each 500 documents
+    x = table(spark, d, "documents").select(F.expr("doc_id div 500 * 50 + doc_id % 50").alias("deck"), F.expr("cast(doc_id % 500 div 50 as int)").alias("n"), "text")
+    return op.aligned(x.filter("n < 5"), x.filter("n >= 5").withColumn("n", F.col("n") - 5), "deck")
 
 
 HTML = "'<table><tr><th>Metric</th><th>Value</th></tr><tr><td>' || p_brand || '</td><td><b>' || p_size || '</b>%</td></tr></table>'"

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import search as op
-from ..functions.vector import hash_embedding
+from ..functions.vector import cosine, hash_embedding
 from ..sources.tables import conformed, table
 from .registry import query
 
@@ -140,8 +141,9 @@ def c14(spark, d):
 
 @query("c15_mmr")
 def c15(spark, d):
-    v = op.with_query(vectors(spark, d).filter("id < 200"), query_vector(spark, d))
-    rows = v.select((F.col("id") % 5).alias("query_id"), F.col("id").alias("chunk_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.col("q").cast("array<double>").alias("q"), F.col("id").alias("position"))
+    v = op.with_query(vectors(spark, d), query_vector(spark, d)).select((F.col("id") % 5).alias("query_id"), F.col("id").alias("chunk_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.col("q").cast("array<double>").alias("q"))
+    best = Window.partitionBy("query_id").orderBy(F.desc(cosine(F.col("embedding"), F.col("q"))), "chunk_id")
+    rows = v.withColumn("position", F.row_number().over(best)).filter("position <= 40")
     return op.diverse(rows, "query_id", 5)
 
 

@@ -21,3 +21,17 @@ def test_batches_of_all_documents(spark, monkeypatch):
     rows = [(d, 2 * d + i, "count", 1.0) for d in (1, 200, 201, 90_000) for i in (0, 1)]
     monkeypatch.setattr(extract_queries, "facts", lambda spark, d: spark.createDataFrame(rows, "document_id long, fact_id long, unit string, value double"))
     assert {r.fact_id for r in QUERIES["d44_batched_client"](spark, "").collect()} == {2, 400, 402, 180_000}
+
+
+def test_alignment_of_all_documents(spark, tmp_path):
+    rows = [(3, "alpha beta"), (253, "beta alpha"), (1003, "gamma delta"), (1253, "delta gamma"), (1303, "other words")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert sorted(map(tuple, QUERIES["d10_page_alignment"](spark, str(tmp_path)).collect())) == [(3, 0, 0, 2), (103, 0, 0, 2)]
+
+
+def test_mmr_candidates_are_the_nearest_of_all(spark, tmp_path):
+    near = {0, 1003, 2001}
+    rows = [(i, [1.0, 0.01 * (i % 7)] if i in near else [0.0, 1.0]) for i in [*range(300), 1003, 2001]]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    first = {r.query_id: r.chunk_id for r in QUERIES["c15_mmr"](spark, str(tmp_path)).collect() if r.rank == 1}
+    assert (first[0], first[1], first[3]) == (0, 2001, 1003)
