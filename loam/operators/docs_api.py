@@ -65,7 +65,8 @@ def top_metrics(df: DataFrame, limit: int = 10) -> DataFrame:
 
 
 def grouped(df: DataFrame, by: str, default: str, columns: list[str], name: str) -> DataFrame:
-    return nested(df.withColumn(by, F.coalesce(by, F.lit(default))), [by], columns, name)
+    """Metrics of each document by category, the default where there is none: a list is no longer than its document."""
+    return nested(df.withColumn(by, F.coalesce(by, F.lit(default))), ["document_id", by], columns, name)
 
 
 def compare_across(df: DataFrame, name: str, documents: list[int]) -> DataFrame:

@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 from ..functions.text import plain_tokens, tokens
 from ..functions.vector import cosine, distance, doubles, dot, hash_embedding, norm, normalised
-from .facts import any_of, bounded, first_by
+from .facts import any_of, first_by
 
 K1, B = 1.2, 0.75
+#: Queries that go to a catalogue at once.
+MATCH_BLOCK = 2048
 #: Fixed: words that full-text search leaves out.
 STOP_WORDS = ["a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "to", "was", "with"]
 
@@ -199,11 +201,18 @@ def hybrid(chunks: DataFrame, vectors: DataFrame, query: str, query_vector: Data
     """Text and vector search of max(4 k, k) candidates each, fused, reranked and capped."""
     n = max(4 * k, k)
     text = text_search(chunks, query, n).select("chunk_id", "score")
-    vector = vector_search(vectors, query_vector, n).withColumnRenamed("id", "chunk_id")
+    vector = vector_only(chunks, vectors, query_vector, n).select("chunk_id", "score")
     both = fused(text, vector).filter(F.col("score") >= min_score).join(chunks.select("chunk_id", "document_id"), "chunk_id")
     return document_cap(reranked(both, rerank_scores), k, per_document)
 
 
+def vector_only(chunks: DataFrame, vectors: DataFrame, query: DataFrame, k: int, min_score: float | None = None) -> DataFrame:
+    """chunk_id, document_id and score of the k nearest of the chunks that have a vector: a vector without a chunk takes no place."""
+    mine = vectors.join(chunks.select(F.col("chunk_id").alias("id")), "id", "left_semi")
+    hits = vector_search(mine, query, k, min_score=min_score).withColumnRenamed("id", "chunk_id")
+    return chunks.select("chunk_id", "document_id").join(F.broadcast(hits), "chunk_id")
+
+
 def slide_range(start: Column, end: Column) -> Column:
     return F.when(start.isNull(), F.lit("")).when(end.isNull() | (start == end), F.concat(F.lit("slide "), start.cast("string"))).otherwise(F.concat(F.lit("slides "), start.cast("string"), F.lit("-"), end.cast("string")))
 
@@ -258,10 +267,17 @@ def chunk_metadata(chunks: DataFrame, slides: DataFrame) -> DataFrame:
 
 
 def embedding_match(queries: DataFrame, catalog: DataFrame, least: float = 0.7) -> DataFrame:
-    """The nearest catalogue entry of each query (query_id, q), if it is near enough. The catalogue is a list of metrics, and the
-    queries those of one question: both are small by nature, and checked."""
-    rows = queries.join(bounded(catalog, 10_000, "entries; a larger catalogue needs vector_search, query by query")).select("query_id", "metric_id", F.round(cosine(F.col("embedding"), F.col("q")), 6).alias("score"))
-    best = rows.groupBy("query_id").agg(F.max(F.struct("score", (-F.col("metric_id")).alias("m"))).alias("b"))
+    """The nearest catalogue entry of each query (query_id, q), if it is near enough; of equal ones the smallest metric_id.
+
+    The catalogue may be of any size and stays where it is; the queries go to it in blocks of MATCH_BLOCK, and each task keeps one
+    best entry a query before anything is shuffled."""
+    blocks = max(1, -(-queries.count() // MATCH_BLOCK))
+    best = None
+    for i in range(blocks):
+        part = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)
+        rows = catalog.join(F.broadcast(part)).select("query_id", "metric_id", F.round(cosine(F.col("embedding"), F.col("q")), 6).alias("score"))
+        rows = rows.groupBy("query_id").agg(F.max(F.struct("score", (-F.col("metric_id")).alias("m"))).alias("b"))
+        best = rows if best is None else best.unionByName(rows)
     return best.filter(F.col("b.score") >= least).select("query_id", (-F.col("b.m")).alias("metric_id"), F.col("b.score").alias("score"))
 
 

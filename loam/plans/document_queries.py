@@ -30,11 +30,11 @@ def b02(spark, d):
     return op.counts_by(documents(spark, d).select("document_id", "status"), {"metrics": lines, "charts": lines.filter("l_discount > 0.05")})
 
 
-@query("b03_document_summary", W + ", r AS (SELECT document_id, metric_name, row_number() OVER (PARTITION BY document_id ORDER BY value DESC NULLS LAST, fact_id) AS n FROM fact), t AS (SELECT document_id, string_agg(metric_name, '|' ORDER BY n) AS top FROM r WHERE n <= 5 GROUP BY 1), i AS (SELECT document_id, string_agg(x, '|' ORDER BY slide_number, fact_id, p) AS items FROM (SELECT document_id, slide_number, fact_id, unnest([context, unit]) AS x, unnest([0, 1]) AS p FROM fact WHERE slide_number = 1) GROUP BY 1) SELECT document_id, top FROM (SELECT o_orderkey AS document_id FROM orders WHERE o_orderkey <= 2000) LEFT JOIN t USING (document_id)")
+@query("b03_document_summary", W + ", r AS (SELECT document_id, metric_name, row_number() OVER (PARTITION BY document_id ORDER BY value DESC NULLS LAST, fact_id) AS n FROM fact), t AS (SELECT document_id, string_agg(metric_name, '|' ORDER BY n) AS top FROM r WHERE n <= 5 GROUP BY 1), i AS (SELECT document_id, string_agg(x, '|' ORDER BY slide_number, fact_id, p) AS items FROM (SELECT document_id, slide_number, fact_id, unnest([context, unit]) AS x, unnest([0, 1]) AS p FROM fact WHERE slide_number = 1) GROUP BY 1) SELECT document_id, top FROM (SELECT o_orderkey AS document_id FROM orders) LEFT JOIN t USING (document_id)")
 def b03(spark, d):
     f = facts(spark, d)
     slides = f.filter("slide_number = 1").withColumn("todo", F.to_json(F.array("context", "unit")))
-    docs = documents(spark, d).select("document_id").filter("document_id <= 2000")
+    docs = documents(spark, d).select("document_id")
     return op.summary(docs, f, slides, "todo").select("document_id", F.array_join("top", "|").alias("top"))
 
 
@@ -43,10 +43,10 @@ def b04(spark, d):
     return op.metrics(facts(spark, d), "R", "e", 1000, 90000, categories=("A", "N", "R")).select("fact_id", "category", F.round("value", 4).alias("value"))
 
 
-@query("b05_metrics_by_category", W + "SELECT coalesce(CASE WHEN category <> 'N' THEN category END, 'uncategorized') AS category, count(*) AS n, string_agg(fact_id, ',' ORDER BY fact_id) AS ids FROM fact WHERE document_id <= 100 GROUP BY 1")
+@query("b05_metrics_by_category", W + "SELECT document_id, coalesce(CASE WHEN category <> 'N' THEN category END, 'uncategorized') AS category, count(*) AS n, string_agg(fact_id, ',' ORDER BY fact_id) AS ids FROM fact GROUP BY 1, 2")
 def b05(spark, d):
-    f = facts(spark, d).filter("document_id <= 100").withColumn("category", F.when(F.col("category") != "N", F.col("category")))
-    return op.grouped(f, "category", "uncategorized", ["fact_id"], "m").select("category", F.size("m").cast("long").alias("n"), F.array_join(F.transform("m", lambda x: x["fact_id"].cast("string")), ",").alias("ids"))
+    f = facts(spark, d).withColumn("category", F.when(F.col("category") != "N", F.col("category")))
+    return op.grouped(f, "category", "uncategorized", ["fact_id"], "m").select("document_id", "category", F.size("m").cast("long").alias("n"), F.array_join(F.transform("m", lambda x: x["fact_id"].cast("string")), ",").alias("ids"))
 
 
 @query("b06_top_metrics", W + "SELECT fact_id, round(value, 4) AS value FROM fact ORDER BY value DESC NULLS LAST, fact_id LIMIT 10")
@@ -81,9 +81,9 @@ def b09(spark, d):
     return s.groupBy("slide_type").agg(F.count("*").alias("n"), F.max("slide_id").alias("last"))
 
 
-@query("b10_slide_detail", W + "SELECT slide_id, count(*) AS n_entities, string_agg(metric_id, ',' ORDER BY metric_id, fact_id) AS entities, sum(CASE WHEN baseline_type = 'overall' THEN 1 END) AS n_charts FROM fact WHERE document_id <= 500 GROUP BY 1")
+@query("b10_slide_detail", W + "SELECT slide_id, count(*) AS n_entities, string_agg(metric_id, ',' ORDER BY metric_id, fact_id) AS entities, sum(CASE WHEN baseline_type = 'overall' THEN 1 END) AS n_charts FROM fact GROUP BY 1")
 def b10(spark, d):
-    f = facts(spark, d).filter("document_id <= 500")
+    f = facts(spark, d)
     out = op.slide_detail(f.select("slide_id").distinct(), {"e": (f, ["metric_id", "fact_id"]), "c": (f.filter("baseline_type = 'overall'"), ["fact_id"])})
     return out.select("slide_id", F.size("e").cast("long").alias("n_entities"), F.array_join(F.transform("e", lambda x: x["metric_id"]), ",").alias("entities"), F.when(F.col("c").isNotNull(), F.size("c")).cast("long").alias("n_charts"))
 
@@ -130,16 +130,16 @@ def b16(spark, d):
 
 
 def insight_rows(spark, d):
-    f = facts(spark, d).filter("document_id <= 300")
+    f = facts(spark, d)
     return f.withColumn("insights", F.when(F.col("slide_number") % 2 == 0, F.to_json(F.array("metric_id", "unit"))).when(F.col("slide_number") == 1, F.col("context")))
 
 
-@query("b17_insight_roll_up", W + ", s AS (SELECT document_id, CASE WHEN slide_number % 2 = 0 THEN [metric_id, unit] WHEN slide_number = 1 THEN [context] ELSE [] END AS l FROM fact WHERE document_id <= 300) SELECT document_id, unnest(l) AS item FROM s")
+@query("b17_insight_roll_up", W + ", s AS (SELECT document_id, CASE WHEN slide_number % 2 = 0 THEN [metric_id, unit] WHEN slide_number = 1 THEN [context] ELSE [] END AS l FROM fact) SELECT document_id, unnest(l) AS item FROM s")
 def b17(spark, d):
     return op.roll_up(insight_rows(spark, d), "insights").select("document_id", "item")
 
 
-@query("b18_action_items", W + "SELECT document_id, slide_number, unnest([metric_id, unit]) AS item, unnest([0, 1]) AS pos FROM fact WHERE document_id <= 300 AND slide_number % 2 = 0")
+@query("b18_action_items", W + "SELECT document_id, slide_number, unnest([metric_id, unit]) AS item, unnest([0, 1]) AS pos FROM fact WHERE slide_number % 2 = 0")
 def b18(spark, d):
     return op.roll_up(insight_rows(spark, d).filter("slide_number % 2 = 0"), "insights").select("document_id", "slide_number", "item", "pos")
 
@@ -160,9 +160,9 @@ def b20(spark, d):
     return spark.createDataFrame([(n, o, ",".join(p)) for n, (o, p) in op.TOOLS.items()], "tool string, operator string, parameters string")
 
 
-@query("b21_export_rows", "SELECT o_orderkey AS document_id, '{\"document_id\":' || o_orderkey || ',\"status\":\"' || o_orderstatus || '\"}' AS json FROM orders WHERE o_orderkey <= 200")
+@query("b21_export_rows", "SELECT o_orderkey AS document_id, '{\"document_id\":' || o_orderkey || ',\"status\":\"' || o_orderstatus || '\"}' AS json FROM orders")
 def b21(spark, d):
-    x = documents(spark, d).filter("document_id <= 200")
+    x = documents(spark, d)
     return x.select("document_id", F.to_json(F.struct("document_id", "status")).alias("json"))
 
 

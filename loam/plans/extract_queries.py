@@ -9,27 +9,20 @@ from ..functions.text import chunked, window_around
 from ..operators import boxes as bx
 from ..operators import extract as op
 from ..operators.facts import first_by
-from ..sources.star import FACT_SQL
+from ..sources.star import FACT_SQL, LINES_SQL, numbered_lines
 from ..sources.tables import table
 from .metric_queries import facts
 from .registry import query
 
 W = "WITH " + FACT_SQL
-KEY = "l_orderkey, l_linenumber, l_partkey, l_suppkey"
-LINE = "l AS (SELECT l_orderkey AS deck_id, l_linenumber AS page, l_partkey * 10000 + l_suppkey AS tie, (l_orderkey * 10 + l_linenumber) * 1000000000 + l_partkey * 10000 + l_suppkey AS id, 'Discount rate: ' || CAST(round(l_discount * 100) AS INT) || '%' || chr(10) || 'Price $' || CAST(l_extendedprice AS DECIMAL(12, 2)) AS body, 'flag ' || l_returnflag AS note, l_discount, l_extendedprice, l_quantity, l_returnflag FROM lineitem WHERE l_orderkey <= 1500)"
+LINE = "l AS (SELECT l_orderkey AS deck_id, l_linenumber AS page, line_no AS tie, line_id AS id, 'Discount rate: ' || CAST(round(l_discount * 100) AS INT) || '%' || chr(10) || 'Price $' || CAST(l_extendedprice AS DECIMAL(12, 2)) AS body, 'flag ' || l_returnflag AS note, l_discount, l_extendedprice, l_quantity, l_returnflag FROM " + LINES_SQL + ")"
 DECK = LINE + ", d AS (SELECT deck_id, string_agg('<!-- PAGE ' || page || ' -->' || chr(10) || body || chr(10) || '### Notes:' || chr(10) || note, chr(10) ORDER BY page, tie) AS text FROM l GROUP BY 1)"
 
 
-def all_lines(spark, d):
-    x = table(spark, d, "lineitem")
-    body = F.concat(F.lit("Discount rate: "), F.round(F.col("l_discount") * 100).cast("int").cast("string"), F.lit("%\nPrice $"), F.col("l_extendedprice").cast("decimal(12,2)").cast("string"))
-    tie = F.col("l_partkey") * 10000 + F.col("l_suppkey")
-    return x.select(F.col("l_orderkey").alias("deck_id"), F.col("l_linenumber").alias("page"), tie.alias("tie"), ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 1_000_000_000 + tie).alias("id"), body.alias("body"), F.concat(F.lit("flag "), "l_returnflag").alias("note"), "l_discount", "l_extendedprice", "l_quantity", "l_returnflag")
-
-
 def lines(spark, d):
-    """The lines that LINE has: those of the first orders only."""
-    return all_lines(spark, d).filter("deck_id <= 1500")
+    x = numbered_lines(spark, d)
+    body = F.concat(F.lit("Discount rate: "), F.round(F.col("l_discount") * 100).cast("int").cast("string"), F.lit("%\nPrice $"), F.col("l_extendedprice").cast("decimal(12,2)").cast("string"))
+    return x.select(F.col("l_orderkey").alias("deck_id"), F.col("l_linenumber").alias("page"), F.col("line_no").alias("tie"), F.col("line_id").alias("id"), body.alias("body"), F.concat(F.lit("flag "), "l_returnflag").alias("note"), "l_discount", "l_extendedprice", "l_quantity", "l_returnflag")
 
 
 def decks(spark, d):
@@ -73,10 +66,10 @@ def d07(spark, d):
     return decks(spark, d).select("deck_id", a.alias("first"), b.alias("last"))
 
 
-@query("d08_range_merge", "WITH r AS (SELECT o_custkey % 40 AS k, CAST(o_orderkey % 97 AS INT) AS s, CAST(o_orderkey % 97 + o_custkey % 3 AS INT) AS e FROM orders WHERE o_orderkey % 11 = 0), n AS (SELECT *, CASE WHEN s <= max(e) OVER (PARTITION BY k ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 THEN 0 ELSE 1 END AS new FROM r), i AS (SELECT *, sum(new) OVER (PARTITION BY k ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island FROM n) SELECT k, min(s) AS start, max(e) AS \"end\" FROM i GROUP BY k, island")
+@query("d08_range_merge", "WITH r AS (SELECT o_custkey % 40 AS k, CAST(o_orderkey % 97 AS INT) AS s, CAST(o_orderkey % 97 + o_custkey % 3 AS INT) AS e FROM orders), n AS (SELECT *, CASE WHEN s <= max(e) OVER (PARTITION BY k ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 THEN 0 ELSE 1 END AS new FROM r), i AS (SELECT *, sum(new) OVER (PARTITION BY k ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island FROM n) SELECT k, min(s) AS start, max(e) AS \"end\" FROM i GROUP BY k, island")
 def d08(spark, d):
     s = (F.col("o_orderkey") % 97).cast("int")
-    r = table(spark, d, "orders").filter("o_orderkey % 11 = 0").select((F.col("o_custkey") % 40).alias("k"), s.alias("start"), (s + (F.col("o_custkey") % 3).cast("int")).alias("end"))
+    r = table(spark, d, "orders").select((F.col("o_custkey") % 40).alias("k"), s.alias("start"), (s + (F.col("o_custkey") % 3).cast("int")).alias("end"))
     return op.merged_ranges(r, "k")
 
 
@@ -237,14 +230,14 @@ def box_decks(x):
     return x.select(F.col("id").alias("deck_id"), text.alias("text"))
 
 
-@query("d28_box_parser", "WITH " + LINE + " SELECT id AS deck_id, page, i AS idx, count(*) AS n FROM l, (SELECT unnest([0, 1, 2, 3]) AS i) WHERE deck_id <= 200 GROUP BY ALL")
+@query("d28_box_parser", "WITH " + LINE + " SELECT id AS deck_id, page, i AS idx, count(*) AS n FROM l, (SELECT unnest([0, 1, 2, 3]) AS i) GROUP BY ALL")
 def d28(spark, d):
-    return bx.boxes(box_decks(lines(spark, d).filter("deck_id <= 200"))).groupBy("deck_id", "page", "idx").agg(F.count("*").alias("n"))
+    return bx.boxes(box_decks(lines(spark, d))).groupBy("deck_id", "page", "idx").agg(F.count("*").alias("n"))
 
 
-@query("d29_pair_extraction", "WITH " + LINE + " SELECT DISTINCT id AS deck_id, page, 'Click rate' AS name, CAST(round(l_discount * 100) AS INT) || '%' AS raw, 'inline' AS pattern FROM l WHERE deck_id <= 200 UNION SELECT id, page, 'Total spend', '$' || CAST(l_extendedprice AS DECIMAL(12, 2)), 'stacked' FROM l WHERE deck_id <= 200")
+@query("d29_pair_extraction", "WITH " + LINE + " SELECT DISTINCT id AS deck_id, page, 'Click rate' AS name, CAST(round(l_discount * 100) AS INT) || '%' AS raw, 'inline' AS pattern FROM l UNION SELECT id, page, 'Total spend', '$' || CAST(l_extendedprice AS DECIMAL(12, 2)), 'stacked' FROM l")
 def d29(spark, d):
-    return bx.pairs(bx.boxes(box_decks(lines(spark, d).filter("deck_id <= 200")))).select("deck_id", "page", "name", "raw", "pattern").distinct()
+    return bx.pairs(bx.boxes(box_decks(lines(spark, d)))).select("deck_id", "page", "name", "raw", "pattern").distinct()
 
 
 ONE_TABLE = "<!-- PAGE 1 -->\n- - - - -\n[TABLE]\n | S1 | S2\nCTR | 0.11% | 0.14%\n- - - - -\nx\n- - - - -\n[TABLE]\n | Rate | CostX*\nGroup 1 | 0.57% | $20.5\n- - - - -\n"
@@ -257,7 +250,7 @@ def d30(spark, d):
 
 @query("d31_descriptor_resolution")
 def d31(spark, d):
-    b = bx.boxes(box_decks(all_lines(spark, d)))
+    b = bx.boxes(box_decks(lines(spark, d)))
     return bx.descriptors(bx.pairs(b), b).select("deck_id", "page", "name", "raw", "descriptor", "score")
 
 
@@ -277,7 +270,7 @@ def d33(spark, d):
 
 @query("d34_raw_context")
 def d34(spark, d):
-    b = bx.boxes(box_decks(all_lines(spark, d)))
+    b = bx.boxes(box_decks(lines(spark, d)))
     return bx.raw_context(bx.pairs(b), b)
 
 
@@ -291,9 +284,9 @@ def d35(spark, d):
     return x.select("text", bx.is_value(t).alias("is_value"), bx.is_label(t).alias("is_label"), bx.is_country(t).alias("is_country"), bx.clean_name(t).alias("clean"))
 
 
-@query("d36_context_strategies", W + "SELECT fact_id, coalesce(baseline_type, CASE WHEN fact_id % 2 = 0 THEN unit END, context) AS label, CASE WHEN baseline_type IS NOT NULL THEN '' WHEN fact_id % 2 = 0 THEN 'llm:label' ELSE 'rule:label' END AS trace FROM fact WHERE document_id <= 1000")
+@query("d36_context_strategies", W + "SELECT fact_id, coalesce(baseline_type, CASE WHEN fact_id % 2 = 0 THEN unit END, context) AS label, CASE WHEN baseline_type IS NOT NULL THEN '' WHEN fact_id % 2 = 0 THEN 'llm:label' ELSE 'rule:label' END AS trace FROM fact")
 def d36(spark, d):
-    f = facts(spark, d).filter("document_id <= 1000").withColumn("label", F.col("baseline_type"))
+    f = facts(spark, d).withColumn("label", F.col("baseline_type"))
     llm = f.filter("fact_id % 2 = 0").select("fact_id", F.col("unit").alias("label"))
     rule = f.select("fact_id", F.col("context").alias("label"))
     return op.contextual(f.select("fact_id", "label"), ["label"], [("llm", llm), ("rule", rule)], "fact_id").select("fact_id", "label", F.array_join("trace", ",").alias("trace"))
@@ -310,9 +303,8 @@ def d37(spark, d):
 
 @query("d38_overall_slides", W + "SELECT fact_id, CASE WHEN regexp_matches(context, '(?i)\\burgent\\b') THEN 'overall' ELSE baseline_type END AS baseline_type FROM fact")
 def d38(spark, d):
-    f = facts(spark, d)
-    flagged = f.filter(F.col("context").rlike(r"(?i)\burgent\b")).select("fact_id", F.lit(True).alias("overall"))
-    return f.join(flagged, "fact_id", "left").select("fact_id", F.when(F.col("overall"), "overall").otherwise(F.col("baseline_type")).alias("baseline_type"))
+    overall = F.coalesce(F.col("context").rlike(r"(?i)\burgent\b"), F.lit(False))
+    return facts(spark, d).select("fact_id", F.when(overall, "overall").otherwise(F.col("baseline_type")).alias("baseline_type"))
 
 
 @query("d39_period_default", W + "SELECT fact_id, 'Q1 FY1997' AS period FROM fact WHERE slide_number = 1 OR period_label = 'Q1 FY1997'")
@@ -375,12 +367,12 @@ def d46(spark, d):
 
 @query("d47_box_pipeline")
 def d47(spark, d):
-    return bx.extracted(box_decks(all_lines(spark, d)))
+    return bx.extracted(box_decks(lines(spark, d)))
 
 
-@query("d48_duplicate_context", W + ", n AS (SELECT metric_name, unit, count(DISTINCT slide_number) AS n FROM fact WHERE document_id <= 300 GROUP BY 1, 2) SELECT fact_id, CASE WHEN n > 1 THEN 'slide ' || slide_number || ': ' || region || ' ' || f.context ELSE f.context END AS context FROM fact f JOIN n USING (metric_name, unit) WHERE document_id <= 300")
+@query("d48_duplicate_context", W + ", n AS (SELECT metric_name, unit, count(DISTINCT slide_number) AS n FROM fact GROUP BY 1, 2) SELECT fact_id, CASE WHEN n > 1 THEN 'slide ' || slide_number || ': ' || region || ' ' || f.context ELSE f.context END AS context FROM fact f JOIN n USING (metric_name, unit)")
 def d48(spark, d):
-    f = facts(spark, d).filter("document_id <= 300").select("fact_id", F.col("metric_name").alias("name"), F.col("unit").alias("value"), "slide_number", F.col("region").alias("title"), "context")
+    f = facts(spark, d).select("fact_id", F.col("metric_name").alias("name"), F.col("unit").alias("value"), "slide_number", F.col("region").alias("title"), "context")
     return op.with_duplicate_context(f).select("fact_id", "context")
 
 

@@ -129,9 +129,9 @@ def a16(spark, d):
     return facts(spark, d).groupBy("metric_id").agg(F.round(F.avg(op.row_confidence()), 6).alias("confidence"))
 
 
-@query("a17_semantic_rerank", W + ", r AS (SELECT client_name, fact_id, slide_number, coalesce(CASE WHEN fact_id % 3 <> 0 THEN (fact_id * 31 % 997) / 997.0 END, 0) AS score FROM fact WHERE fact_id % 7 = 0), w AS (SELECT *, row_number() OVER w AS rank, lead(score) OVER w AS nx FROM r WINDOW w AS (PARTITION BY client_name ORDER BY score DESC, fact_id)), b AS (SELECT client_name, coalesce(score < 0.6 OR score - nx < 0.05, false) AS ambiguous FROM w WHERE rank = 1) SELECT client_name, fact_id, slide_number, round(score, 6) AS score, rank, ambiguous FROM w JOIN b USING (client_name) WHERE rank <= 5")
+@query("a17_semantic_rerank", W + ", r AS (SELECT client_name, fact_id, slide_number, coalesce(CASE WHEN fact_id % 3 <> 0 THEN (fact_id * 31 % 997) / 997.0 END, 0) AS score FROM fact), w AS (SELECT *, row_number() OVER w AS rank, lead(score) OVER w AS nx FROM r WINDOW w AS (PARTITION BY client_name ORDER BY score DESC, fact_id)), b AS (SELECT client_name, coalesce(score < 0.6 OR score - nx < 0.05, false) AS ambiguous FROM w WHERE rank = 1) SELECT client_name, fact_id, slide_number, round(score, 6) AS score, rank, ambiguous FROM w JOIN b USING (client_name) WHERE rank <= 5")
 def a17(spark, d):
-    f = facts(spark, d).filter("fact_id % 7 = 0")
+    f = facts(spark, d)
     scores = f.filter("fact_id % 3 <> 0").select("fact_id", (F.col("fact_id") * 31 % 997 / 997.0).alias("score"))
     return op.semantic_rerank(f, scores, "client_name").withColumns({"score": F.round("score", 6), "rank": F.col("rank").cast("long")})
 
@@ -142,10 +142,10 @@ def a19(spark, d):
     return op.fan_out(facts(spark, d), scopes, ["region"]).groupBy("scope").agg(F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total"))
 
 
-@query("a20_scope_filter", W + ", r AS (SELECT * FROM (VALUES (1, 1, 2), (3, 2, 3)) r(document_id, s, e)) SELECT fact_id FROM fact f WHERE document_id <= 50 AND (NOT EXISTS (SELECT 1 FROM r WHERE r.document_id = f.document_id) OR EXISTS (SELECT 1 FROM r WHERE r.document_id = f.document_id AND slide_number BETWEEN s AND e))")
+@query("a20_scope_filter", W + ", r AS (SELECT * FROM (VALUES (1, 1, 2), (3, 2, 3)) r(document_id, s, e)) SELECT fact_id FROM fact f JOIN orders ON o_orderkey = document_id WHERE o_orderpriority = '1-URGENT' AND (NOT EXISTS (SELECT 1 FROM r WHERE r.document_id = f.document_id) OR EXISTS (SELECT 1 FROM r WHERE r.document_id = f.document_id AND slide_number BETWEEN s AND e))")
 def a20(spark, d):
     r = spark.createDataFrame([(1, 1, 2), (3, 2, 3)], "document_id long, start int, end int")
-    docs = table(spark, d, "orders").filter("o_orderkey <= 50").select(F.col("o_orderkey").alias("document_id"))
+    docs = table(spark, d, "orders").filter("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("document_id"))
     return op.in_scope(facts(spark, d), r, docs).select("fact_id")
 
 

@@ -63,9 +63,9 @@ def e06(spark, d):
     return op.similar_pairs(name_sets(spark, d))
 
 
-@query("e07_components", "SELECT * FROM (VALUES ('Click Rate', 'Click Rate'), ('click rate*', 'Click Rate')) t(name, cluster)")
+@query("e07_components")
 def e07(spark, d):
-    return op.clusters(op.similar_pairs(name_sets(spark, d)).filter("not (a like '%Reach%')"))
+    return op.clusters(op.similar_pairs(name_sets(spark, d)))
 
 
 @query("e08_canonical", "WITH c AS (SELECT p_brand AS cluster, p_type AS name, count(*) AS occurrences FROM part GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY occurrences DESC, length(name), lower(name)) AS k FROM c) SELECT cluster, name AS canonical FROM r WHERE k = 1")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import search as op
 from ..functions.vector import cosine, hash_embedding
+from ..sources.star import LINES_SQL, numbered_lines
 from ..sources.tables import conformed, table
 from .registry import query
 
@@ -34,10 +35,12 @@ def rounded(df):
     return df.withColumn("score", F.round("score", 6))
 
 
-@query("a18_embedding_match", "WITH " + V + ", r AS (SELECT a.id AS query_id, b.id AS metric_id, round(list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))), 6) AS score FROM v a, v b WHERE a.id BETWEEN 100 AND 119 AND b.id < 100), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, metric_id) AS n FROM r) SELECT query_id, metric_id, score FROM k WHERE n = 1 AND score >= 0.1")
+@query("a18_embedding_match", "WITH " + V + ", r AS (SELECT a.id AS query_id, b.id AS metric_id, round(list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))), 6) AS score FROM (SELECT id, list_reverse(e) AS e FROM v WHERE id % 50 = 0) a, v b), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, metric_id) AS n FROM r) SELECT query_id, metric_id, score FROM k WHERE n = 1 AND score >= 0.1")
 def a18(spark, d):
     v = vectors(spark, d)
-    return op.embedding_match(v.filter("id between 100 and 119").select(F.col("id").alias("query_id"), F.col("embedding").alias("q")), v.filter("id < 100").select(F.col("id").alias("metric_id"), "embedding"), 0.1)
+    # queries are the vectors of the query rows turned round, so that no query is its own answer
+    queries = v.filter("id % 50 = 0").select(F.col("id").alias("query_id"), F.reverse("embedding").alias("q"))
+    return op.embedding_match(queries, v.select(F.col("id").alias("metric_id"), "embedding"), 0.1)
 
 
 def bm25_sql(terms: list[str]) -> str:
@@ -52,9 +55,12 @@ def c01(spark, d):
     return rounded(op.bm25(chunks(spark, d), "the heti", 20))
 
 
-@query("c02_text_rank")
+STEMS = f"list_transform(list_filter({TOK}, lambda x: x NOT IN ({', '.join(repr(x) for x in op.STOP_WORDS)})), lambda x: regexp_replace(x, '([a-z]{{3}})(es|s)$', '\\1'))"
+
+
+@query("c02_text_rank", CH + f", w AS (SELECT chunk_id, {STEMS} AS w FROM ch), r AS (SELECT chunk_id, len(list_filter(w, lambda x: x IN ('en', 'que'))) / CAST(abs(list_position(w, 'en') - list_position(w, 'que')) + 1 AS DOUBLE) AS score FROM w WHERE list_contains(w, 'en') AND list_contains(w, 'que')) SELECT chunk_id, round(score, 6) AS score FROM r ORDER BY r.score DESC, chunk_id LIMIT 20")
 def c02(spark, d):
-    return rounded(op.text_rank(chunks(spark, d), "the heti reand"))
+    return rounded(op.text_rank(chunks(spark, d), "the en ques"))
 
 
 @query("c03_like_score", CH + " SELECT chunk_id, CAST((text ILIKE '%heti%')::INT + (text ILIKE '%wh%')::INT AS DOUBLE) AS score FROM ch WHERE text ILIKE '%heti%' OR text ILIKE '%wh%' ORDER BY chunk_id LIMIT 20")
@@ -116,12 +122,12 @@ def c12(spark, d):
     return op.filled(c).select("chunk_id", F.size("embedding").cast("long").alias("dims"))
 
 
-FUSE = ", t AS (SELECT chunk_id, score FROM bm ORDER BY score DESC, chunk_id LIMIT 20), vv AS (SELECT id AS chunk_id, " + COS + " AS score FROM v, q ORDER BY 2 DESC, 1 LIMIT 20), f AS (SELECT chunk_id, 0.6 * coalesce(t.score / (SELECT max(score) FROM t), 0) + 0.4 * coalesce(vv.score / (SELECT max(score) FROM vv), 0) AS score FROM t FULL OUTER JOIN vv USING (chunk_id))"
+FUSE = ", t AS (SELECT chunk_id, score FROM bm ORDER BY score DESC, chunk_id LIMIT 20), vv AS (SELECT id AS chunk_id, " + COS + " AS score FROM v JOIN ch ON id = chunk_id, q ORDER BY 2 DESC, 1 LIMIT 20), f AS (SELECT chunk_id, 0.6 * coalesce(t.score / (SELECT max(score) FROM t), 0) + 0.4 * coalesce(vv.score / (SELECT max(score) FROM vv), 0) AS score FROM t FULL OUTER JOIN vv USING (chunk_id))"
 FUSED = CH + bm25_sql(["the"]) + ", " + V + FUSE
 
 
 def fused(spark, d):
-    v = op.vector_search(vectors(spark, d), query_vector(spark, d), 20).withColumnRenamed("id", "chunk_id")
+    v = op.vector_only(chunks(spark, d), vectors(spark, d), query_vector(spark, d), 20).select("chunk_id", "score")
     return op.fused(op.bm25(chunks(spark, d), "the", 20), v)
 
 
@@ -155,8 +161,7 @@ def c16(spark, d):
 
 @query("c17_vector_search", CH + ", " + V + f" SELECT id AS chunk_id, document_id, round({COS}, 6) AS score FROM v JOIN ch ON id = chunk_id, q ORDER BY {COS} DESC, id LIMIT 5")
 def c17(spark, d):
-    hits = op.vector_search(vectors(spark, d), query_vector(spark, d), 5).withColumnRenamed("id", "chunk_id")
-    return rounded(hits.join(chunks(spark, d).select("chunk_id", "document_id"), "chunk_id"))
+    return rounded(op.vector_only(chunks(spark, d), vectors(spark, d), query_vector(spark, d), 5))
 
 
 @query("c18_hybrid_search", FUSED + ", p AS (SELECT f.chunk_id, document_id, score, row_number() OVER (ORDER BY score DESC, f.chunk_id) AS position FROM f JOIN ch USING (chunk_id)), c AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY position) AS k FROM p) SELECT chunk_id, document_id, round(score, 6) AS score, position FROM c WHERE k <= 3 ORDER BY position LIMIT 5")
@@ -165,11 +170,6 @@ def c18(spark, d):
     return rounded(out.select("chunk_id", "document_id", "score", F.col("position").cast("long").alias("position")))
 
 
-@query("c19_context_blocks", CH + " SELECT chunk_id AS position, '[' || row_number() OVER (ORDER BY chunk_id) || '] ' || source || ' (' || CASE WHEN start_slide = end_slide THEN 'slide ' || start_slide ELSE 'slides ' || start_slide || '-' || end_slide END || ')' || chr(10) || text AS block FROM ch WHERE chunk_id < 40")
-def c19(spark, d):
-    return op.context_blocks(chunks(spark, d).filter("chunk_id < 40").withColumn("position", F.col("chunk_id")).withColumn("file", F.col("source")))
-
-
 HITS = CH + bm25_sql(["the"]) + ", h AS (SELECT bm.chunk_id, document_id, round(score, 6) AS score FROM bm JOIN ch USING (chunk_id))"
 
 
@@ -177,6 +177,12 @@ def hits(spark, d):
     return rounded(op.bm25(chunks(spark, d), "the")).join(chunks(spark, d).select("chunk_id", "document_id"), "chunk_id")
 
 
+@query("c19_context_blocks", HITS + ", t AS (SELECT chunk_id, row_number() OVER (ORDER BY score DESC, chunk_id) AS position FROM h ORDER BY position LIMIT 20) SELECT position, '[' || position || '] ' || source || ' (' || CASE WHEN start_slide = end_slide THEN 'slide ' || start_slide ELSE 'slides ' || start_slide || '-' || end_slide END || ')' || chr(10) || text AS block FROM t JOIN ch USING (chunk_id)")
+def c19(spark, d):
+    top = op.reranked(hits(spark, d).orderBy(F.desc("score"), "chunk_id").limit(20), None).select("chunk_id", F.col("position").cast("long").alias("position"))
+    return op.context_blocks(chunks(spark, d).join(F.broadcast(top), "chunk_id").withColumn("file", F.col("source")))
+
+
 @query("c20_two_stage", HITS + ", b AS (SELECT document_id FROM h GROUP BY 1 ORDER BY round(sum(score), 6) DESC, document_id LIMIT 3), r AS (SELECT h.*, row_number() OVER (PARTITION BY document_id ORDER BY score DESC, chunk_id) AS rank FROM h JOIN b USING (document_id)) SELECT document_id, chunk_id, rank FROM r WHERE rank <= 3")
 def c20(spark, d):
     return op.two_stage(hits(spark, d)).select("document_id", "chunk_id", F.col("rank").cast("long").alias("rank"))
@@ -205,10 +211,10 @@ def c24(spark, d):
     return table(spark, d, "part").filter(~op.other_region(text, "US")).select("p_partkey")
 
 
-@query("c25_chunk_metadata", CH + ", s AS (SELECT l_orderkey, l_linenumber, min_by(l_returnflag, l_partkey * 10000 + l_suppkey) AS title FROM lineitem GROUP BY 1, 2) SELECT chunk_id, title FROM ch LEFT JOIN s ON document_id = l_orderkey AND start_slide = l_linenumber WHERE chunk_id IN (1, 4, 9, 16, 25, 36, 49, 64)")
+@query("c25_chunk_metadata", CH + ", s AS (SELECT l_orderkey, l_linenumber, min_by(l_returnflag, line_id) AS title FROM " + LINES_SQL + " GROUP BY 1, 2) SELECT chunk_id, title FROM ch LEFT JOIN s ON document_id = l_orderkey AND start_slide = l_linenumber")
 def c25(spark, d):
-    s = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("document_id"), F.col("l_linenumber").alias("slide_number"), (F.col("l_partkey") * 10000 + F.col("l_suppkey")).alias("slide_id"), F.col("l_returnflag").alias("title"))
-    return op.chunk_metadata(chunks(spark, d).filter(F.col("chunk_id").isin(1, 4, 9, 16, 25, 36, 49, 64)), s).select("chunk_id", "title")
+    s = numbered_lines(spark, d).select(F.col("l_orderkey").alias("document_id"), F.col("l_linenumber").alias("slide_number"), F.col("line_id").alias("slide_id"), F.col("l_returnflag").alias("title"))
+    return op.chunk_metadata(chunks(spark, d), s).select("chunk_id", "title")
 
 
 @query("c26_tolerant_documents", "SELECT doc_id AS id, CAST(NULL AS VARCHAR) AS client, lang FROM documents WHERE source ILIKE '%RC1%' AND lang IN ('fr', 'es')")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.fiscal import fiscal_quarter, fiscal_year, quarter_bounds
@@ -31,6 +32,17 @@ def star_view(metrics: DataFrame, slides: DataFrame, catalog: DataFrame, documen
     return out.select(*[F.col(n).cast(t).alias(n) for n, t in SCHEMA.items()], "slide_title")
 
 
+#: What tells lines of one order and number apart; lines that are equal in all of it are interchangeable.
+LINE_ORDER = ["l_partkey", "l_suppkey", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_quantity"]
+
+
+def numbered_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lineitem with line_id, a key even where order and number don't make one, and line_no, the place among those that share both."""
+    no = F.row_number().over(Window.partitionBy("l_orderkey", "l_linenumber").orderBy(*LINE_ORDER))
+    rows = table(spark, sf_dir, "lineitem").withColumn("line_no", no)
+    return rows.withColumn("line_id", (F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 1_000_000 + F.col("line_no"))
+
+
 def order_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same columns from order lines: an order is a document, a line a slide, a part the catalogue entry, its customer's segment
     the client, and the fiscal quarter of the order its period."""
@@ -39,10 +51,10 @@ def order_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     year, quarter = fiscal_year(F.col("day")), fiscal_quarter(F.col("day"))
     begin, end = quarter_bounds(year, quarter)
     orders = orders.select("o_orderkey", "o_custkey", "o_orderpriority", year.alias("fiscal_year"), quarter.alias("period_number"), begin.cast("string").alias("period_start"), end.cast("string").alias("period_end"))
-    out = t("lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey"), "left").join(t("customer").select("c_custkey", "c_nationkey", "c_mktsegment"), F.col("o_custkey") == F.col("c_custkey"), "left")
+    out = numbered_lines(spark, sf_dir).join(orders, F.col("l_orderkey") == F.col("o_orderkey"), "left").join(t("customer").select("c_custkey", "c_nationkey", "c_mktsegment"), F.col("o_custkey") == F.col("c_custkey"), "left")
     out = out.join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey"), "left").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"), "left").join(t("part").select("p_partkey", "p_brand", "p_type", "p_size"), F.col("l_partkey") == F.col("p_partkey"), "left")
     return out.select(
-        ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 1_000_000_000 + F.col("l_partkey") * 10_000 + F.col("l_suppkey")).alias("fact_id"),
+        F.col("line_id").alias("fact_id"),
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("slide_id"),
         F.col("l_linenumber").alias("slide_number"),
         F.col("l_orderkey").alias("document_id"),
@@ -71,9 +83,10 @@ def order_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-#: order_facts for DuckDB.
-FACT_SQL = """
-fact AS (SELECT (l_orderkey * 10 + l_linenumber) * 1000000000 + l_partkey * 10000 + l_suppkey AS fact_id, l_orderkey * 10 + l_linenumber AS slide_id, l_linenumber AS slide_number, l_orderkey AS document_id,
+#: numbered_lines and order_facts for DuckDB.
+LINES_SQL = "(SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY " + ", ".join(LINE_ORDER) + ") AS line_no, (l_orderkey * 10 + l_linenumber) * 1000000 + line_no AS line_id FROM lineitem)"
+FACT_SQL = f"""
+fact AS (SELECT line_id AS fact_id, l_orderkey * 10 + l_linenumber AS slide_id, l_linenumber AS slide_number, l_orderkey AS document_id,
   'order ' || l_orderkey AS document_name, '/orders/' || l_orderkey AS file_path, p_brand AS metric_id, p_type AS metric_name, l_returnflag AS category,
   l_extendedprice * (1 - l_discount) AS value, CASE p_size % 3 WHEN 0 THEN 'currency' WHEN 1 THEN 'percent' ELSE 'count' END AS unit, 'ones' AS scale,
   c_mktsegment AS client_name, r_name AS region, n_name AS country, 'Q' || quarter(o_orderdate + INTERVAL 3 MONTH) || ' FY' || year(o_orderdate + INTERVAL 3 MONTH) AS period_label,
@@ -81,6 +94,6 @@ fact AS (SELECT (l_orderkey * 10 + l_linenumber) * 1000000000 + l_partkey * 1000
   strftime(date_trunc('quarter', o_orderdate), '%Y-%m-%d') AS period_start, strftime(last_day(date_trunc('quarter', o_orderdate) + INTERVAL 2 MONTH), '%Y-%m-%d') AS period_end,
   0.5 + l_tax * 5 AS confidence, CASE WHEN l_returnflag = 'R' THEN 'overall' END AS baseline_type, o_orderpriority AS context,
   CASE WHEN l_linenumber % 3 <> 0 THEN l_discount * 10 END AS semantic_score
- FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey
+ FROM {LINES_SQL} LEFT JOIN orders ON l_orderkey = o_orderkey LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey
  LEFT JOIN region ON n_regionkey = r_regionkey LEFT JOIN part ON l_partkey = p_partkey)
 """

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +12,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a folder of our own, on one machine only."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        found = tempfile.mkdtemp(prefix="loam-")
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(found)
+    return found.rstrip("/")
+
+
 def col_or_null(df: DataFrame, name: str, kind: str) -> Column:
     """The column, or a typed null where the table has no such column."""
     return F.col(f"`{name}`").cast(kind).alias(name) if name in df.columns else F.lit(None).cast(kind).alias(name)
@@ -26,9 +40,10 @@ def empty_to_null(df: DataFrame, *names: str) -> DataFrame:
 
 
 def read_json(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """JSON files of a tree; malformed records are dropped, each file may hold a record over many lines."""
-    reader = spark.read.option("recursiveFileLookup", "true").option("multiLine", "true").option("mode", "DROPMALFORMED")
-    return (reader.schema(schema) if schema else reader).json(path).withColumn("source_path", F.input_file_name())
+    """JSON files of a tree, each of a record over many lines; a malformed one is a row of nulls with its text in _corrupt_record."""
+    reader = spark.read.option("recursiveFileLookup", "true").option("multiLine", "true").option("mode", "PERMISSIVE")
+    rows = (reader.schema(f"{schema}, _corrupt_record string") if schema else reader).json(path)
+    return rows.select(*[c for c in rows.columns if c != "_corrupt_record"], col_or_null(rows, "_corrupt_record", "string"), F.input_file_name().alias("source_path"))
 
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:

@@ -59,3 +59,19 @@ def test_refresh_changes_only_what_changed(spark):
     first = op.refreshed(f.withColumn("text", F.lit("same")), spark.createDataFrame([], "id long, embedding array<double>, embedding_model string, text_hash string"))
     assert [r.id for r in op.stale(f, first, "hash-256").collect()] == [2]
     assert op.refreshed(f, first).count() == 2
+
+
+def test_vectors_without_a_chunk_take_no_place(spark):
+    chunks = spark.createDataFrame([(2, 1, "x"), (3, 1, "y")], "chunk_id long, document_id long, text string")
+    vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.9, 0.1]), (3, [0.0, 1.0])], "id long, embedding array<double>")
+    query = spark.createDataFrame([([1.0, 0.0],)], "q array<double>")
+    assert {r.chunk_id for r in op.vector_only(chunks, vectors, query, 2).collect()} == {2, 3}
+
+
+def test_matches_in_blocks_of_queries(spark, monkeypatch):
+    catalog = spark.createDataFrame([(i, [1.0, i / 10]) for i in range(10)], "metric_id long, embedding array<double>")
+    queries = spark.createDataFrame([(i, [1.0, i / 10]) for i in range(5)], "query_id long, q array<double>")
+    whole = sorted(map(tuple, op.embedding_match(queries, catalog).collect()))
+    monkeypatch.setattr(op, "MATCH_BLOCK", 2)
+    assert sorted(map(tuple, op.embedding_match(queries, catalog).collect())) == whole
+    assert [(q, m) for q, m, _ in whole] == [(i, i) for i in range(5)]
