@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -20,11 +20,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, one of our own, on one machine only."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="loam-"))
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
@@ -41,9 +43,39 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, most_rows: int) -> DataFrame:
-    """df (already written) marked for broadcast if it has at most most_rows rows; else as it is, and the join shuffles."""
-    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
+def small(df: DataFrame, most_rows: int, size: Column | None = None, most_bytes: int = 64 << 20) -> DataFrame:
+    """df (already written) marked for broadcast if it has at most most_rows rows and, where rows vary in size (size: bytes of one),
+    at most most_bytes; else as it is, and the join shuffles."""
+    if df.limit(most_rows + 1).count() > most_rows:
+        return df
+    if size is not None and (df.agg(F.sum(size).alias("s")).first().s or 0) > most_bytes:
+        return df
+    return F.broadcast(df)
+
+
+#: Keys that hold HOT_FROM rows or more are joined by broadcast, the HOT_KEYS most frequent of them; no other key holds more than
+#: that many rows, or a HOT_KEYS-th of all.
+HOT_FROM, HOT_KEYS = 1000, 20_000
+
+
+def hot_keys(keyed: DataFrame, on: list[str]) -> DataFrame:
+    """The hot keys of keyed (already written; unique in on; n: rows with the key), written: HOT_KEYS rows at most."""
+    return written(keyed.filter(F.col("n") >= HOT_FROM).orderBy(F.desc("n"), *on).limit(HOT_KEYS), "hot-keys")
+
+
+def join_hot(rows: DataFrame, keyed: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """rows joined with keyed (already written; unique in on; n: rows with the key), without n: hot keys by broadcast, the others by a
+    shuffle, so that no task gets all rows of a hot key."""
+    hot = hot_keys(keyed, on)
+    light = keyed.join(F.broadcast(hot.select(on)), on, "left_anti").drop("n")
+    there = F.broadcast(hot.drop("n"))
+    return rows.join(there, on).unionByName(rows.join(F.broadcast(hot.select(on)), on, "left_anti").join(light, on, how))
+
+
+def apart(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """df with its columns under names of our own, which no column of an operator has, and those names by the old ones."""
+    own = {c: f"own_{i}" for i, c in enumerate(df.columns)}
+    return df.toDF(*own.values()), own
 
 
 def worker_state(key, make: Callable):

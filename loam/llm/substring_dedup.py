@@ -1,15 +1,15 @@
-"""Operator 7, substring dedup: a count-min sketch, merged from sketches of the partitions, overestimates how often windows occur;
-a second pass groups exactly only the windows that it estimates repeated, and so loses none.
-
-The sketch counts, per document once, the minimiser of each window (see passages): a window occurs no more often than its minimiser,
-and the minimiser no more often than its cells say, so a window in two documents is always estimated repeated. Partition sketches
-are sparse and cut into blocks; the merge streams through each block with one byte a cell. What goes to the executors is one bit a
-cell: two rows of 2**20 to 2**max_log2 cells, 64 MB at most as the default stands, chosen at eight cells a minimiser. Beyond that
-the filter grows weaker and the second pass larger, but the result stays the same.
-
-Defined cases: a null, empty or blank text has no words; texts under SIZE words lose none; rows with one doc_id are one document; a
-null doc_id neither removes nor loses words; an empty table gives no rows; extra columns are ignored by `removals` and kept by
-`deduplicated`.
+"""Operator 7, substring dedup: a count-min sketch of all windows, merged from sketches of the partitions, overestimates how often each
+window occurs; a second pass groups exactly only the windows that it estimates repeated, and so loses none.
+
+The sketch has two rows of 2**16 to 2**max_log2 counters, chosen at about four a window, that stop at 255. Sketches of partitions are
+sparse and cut into blocks of counters; the merge streams through the partitions' parts of one block at a time. What goes to the
+executors is one bit a counter, whether it has LEAST or more: 64 MB at most as the default stands. Beyond that many windows the filter
+grows weaker and the second pass larger, but the result stays the same.
+
+Defined cases: a null, empty or blank text has no words; texts under SIZE words lose none; a very long text is one row of a task, with
+a few numbers of 8 bytes for each of its words; rows with one doc_id are documents of their own that are no repeats of one another; a
+null doc_id neither removes nor loses words; an empty table gives no rows; extra columns, whatever their names, are ignored by
+`removals` and kept by `deduplicated`.
 """
 
 from __future__ import annotations
@@ -22,118 +22,131 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import map_arrow, mixed, modest_batches, raw_texts, table, word_hashes, written
-from .passages import GRAM, SIZE, WINDOW_SCHEMA, classes, covered, grams_and_minimisers, repeats, representatives, tools, window_rows
+from .passages import SIZE, WINDOW_SCHEMA, Windows, classes, covered, keyed, repeats, representatives, rewritten, tools
 
-MAX_LOG2, BLOCK_LOG2 = 28, 20
-HOLD = 1 << 21
+MAX_LOG2, BLOCK_LOG2, LEAST = 28, 16, 2
+HOLD = 1 << 20
 
 
-def cells(g: np.ndarray, log2: int) -> np.ndarray:
-    """The two cells of each hash; those of the second row come after all of the first."""
+def block_log2(log2: int) -> int:
+    """A block's counters, as a power of two."""
+    return min(BLOCK_LOG2, log2)
+
+
+def cells(h: np.ndarray, log2: int) -> np.ndarray:
+    """The two counters of each window hash; those of the second row come after all of the first."""
     low = np.uint64((1 << log2) - 1)
     with np.errstate(over="ignore"):
-        return np.stack([g & low, (mixed(g ^ np.uint64(0x5851F42D4C957F2D)) & low) + np.uint64(1 << log2)])
+        return np.stack([h & low, (mixed(h ^ np.uint64(0x5851F42D4C957F2D)) & low) + np.uint64(1 << log2)])
 
 
-def sketch(documents: DataFrame, log2: int, size: int = SIZE, gram: int = GRAM) -> np.ndarray:
-    """Whether each cell of the merged sketch counts two or more, as bits."""
+def blocks_of(h: np.ndarray, log2: int) -> pa.RecordBatch:
+    """A sparse sketch of window hashes: for each block of counters the places in it and, behind them, their counts."""
+    flat = np.sort(cells(h, log2).ravel())
+    at = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
+    counts = np.minimum(np.diff(at, append=len(flat)), 255).astype(np.uint8)
+    flat = flat[at]
+    wide = block_log2(log2)
+    block = (flat >> np.uint64(wide)).astype(np.int32)
+    place = (flat & np.uint64((1 << wide) - 1)).astype("<u2")
+    edges = np.flatnonzero(np.diff(block, prepend=-1)).tolist()
+    parts = [place[a:b].tobytes() + counts[a:b].tobytes() for a, b in zip(edges, [*edges[1:], len(flat)])]
+    return pa.RecordBatch.from_pydict({"block": pa.array(block[edges]), "counts": pa.array(parts, pa.binary())})
 
-    def partial(batches):
-        seen, a, _ = tools()
-        held: list = []
-        n = 0
-
-        def flush():
-            every, counts = np.unique(np.concatenate(held), return_counts=True)
-            block = (every >> np.uint64(BLOCK_LOG2)).astype(np.int32)
-            code = ((every & np.uint64((1 << BLOCK_LOG2) - 1)) << np.uint64(1) | (counts > 1)).astype("<u4")
-            edges = np.flatnonzero(np.diff(block, prepend=-1))
-            return pa.RecordBatch.from_pydict({"block": pa.array(block[edges]), "cells": pa.array([x.tobytes() for x in np.split(code, edges[1:])], pa.binary())})
 
-        for batch in batches:
-            for text in raw_texts(batch):
-                words = text.split()
-                if len(words) >= size:
-                    g, at = grams_and_minimisers(word_hashes(words, seen), a, size, gram)
-                    own = np.unique(cells(np.unique(g[np.unique(at)]), log2))
-                    held.append(own)
-                    n += len(own)
-            if n >= HOLD:
-                yield flush()
-                held, n = [], 0
-        if n:
-            yield flush()
+def merged(parts: DataFrame, log2: int) -> DataFrame:
+    """block and its counters (a byte each), summed over the sparse sketches of all partitions."""
 
     def merge(batches):
-        now, counter = None, np.zeros(1 << BLOCK_LOG2, np.uint8)
+        now, counter = None, np.zeros(1 << block_log2(log2), np.uint32)
 
         def done():
-            return pa.RecordBatch.from_pydict({"block": pa.array([now], pa.int32()), "bits": pa.array([np.packbits(counter > 1, bitorder="little").tobytes()], pa.binary())})
+            return pa.RecordBatch.from_pydict({"block": pa.array([now], pa.int32()), "counters": pa.array([np.minimum(counter, 255).astype(np.uint8).tobytes()], pa.binary())})
 
         for batch in batches:
-            for block, code in zip(batch.column("block").to_pylist(), batch.column("cells").to_pylist()):
+            for block, counts in zip(batch.column("block").to_pylist(), batch.column("counts").to_pylist()):
                 if block != now:
                     if now is not None:
                         yield done()
                     now = block
                     counter[:] = 0
-                code = np.frombuffer(code, "<u4")
-                at = code >> 1
-                counter[at] = np.minimum(counter[at] + 1 + (code & 1).astype(np.uint8), 2)
+                n = len(counts) // 3
+                place, own = np.frombuffer(counts, "<u2", n), np.frombuffer(counts, np.uint8, n, 2 * n)
+                counter[place] = np.minimum(counter[place] + own, 255)
         if now is not None:
             yield done()
 
+    return parts.repartition("block").sortWithinPartitions("block").mapInArrow(merge, "block int, counters binary")
+
+
+def sketch(documents: DataFrame, log2: int, size: int = SIZE) -> DataFrame:
+    """The merged count-min sketch of all windows: block, counters."""
+
+    def partial(batches):
+        seen, a, _ = tools()
+        held: list = []
+        n = 0
+        for batch in batches:
+            for text in raw_texts(batch):
+                words = text.split()
+                if len(words) >= size:
+                    held.append(a(word_hashes(words, seen), size))
+                    n += len(held[-1])
+                if n >= HOLD:
+                    yield blocks_of(np.concatenate(held), log2)
+                    held, n = [], 0
+        if n:
+            yield blocks_of(np.concatenate(held), log2)
+
     modest_batches(documents.sparkSession)
-    parts = documents.select("text").mapInArrow(partial, "block int, cells binary")
-    merged = parts.repartition("block").sortWithinPartitions("block").mapInArrow(merge, "block int, bits binary")
+    return merged(documents.select("text").mapInArrow(partial, "block int, counts binary"), log2)
+
+
+def often(counters: DataFrame, log2: int, least: int = LEAST) -> np.ndarray:
+    """A bit for each counter, whether it is least or more; rows come one by one, at most 2 << (log2 - BLOCK_LOG2) of 8 KB."""
+
+    def run(batch: pa.RecordBatch) -> dict:
+        bits = [np.packbits(np.frombuffer(c, np.uint8) >= least, bitorder="little").tobytes() for c in batch.column("counters").to_pylist()]
+        return {"block": batch.column("block"), "bits": pa.array(bits, pa.binary())}
+
+    width = 1 << block_log2(log2) >> 3
     out = np.zeros(2 << log2 >> 3, np.uint8)
-    width = 1 << BLOCK_LOG2 >> 3
-    for row in merged.toLocalIterator():  # at most 2 << (log2 - BLOCK_LOG2) rows of 128 KB
+    for row in map_arrow(counters, run, "block int, bits binary").toLocalIterator():
         out[row.block * width : (row.block + 1) * width] = np.frombuffer(row.bits, np.uint8)
     return out
 
 
-def estimated(documents: DataFrame, bits, log2: int, size: int = SIZE, gram: int = GRAM) -> DataFrame:
-    """The windows whose minimiser is estimated to be in two documents or more."""
+def estimated(documents: DataFrame, bits, log2: int, size: int = SIZE) -> DataFrame:
+    """The windows that are estimated to occur LEAST times or more."""
 
     def run(batch: pa.RecordBatch) -> dict | None:
         seen, a, b = tools()
-        table, doc_ids, starts, h1, h2 = bits.value, [], [], [], []
-        for doc_id, text in zip(batch.column("doc_id").to_pylist(), raw_texts(batch)):
+        table, out = bits.value, Windows()
+        for doc_id, part, text in zip(batch.column("doc_id").to_pylist(), batch.column("part").to_pylist(), raw_texts(batch)):
             words = text.split()
             if len(words) < size:
                 continue
             w = word_hashes(words, seen)
-            g, at = grams_and_minimisers(w, a, size, gram)
-            c = cells(g, log2)
-            often = ((table[c >> np.uint64(3)] >> (c & np.uint64(7)).astype(np.uint8)) & 1).all(0)
-            keep = np.flatnonzero(often[at])
+            h = a(w, size)
+            c = cells(h, log2)
+            keep = np.flatnonzero(((table[c >> np.uint64(3)] >> (c & np.uint64(7)).astype(np.uint8)) & 1).all(0))
             if len(keep):
-                doc_ids.append(doc_id)
-                starts.append(keep)
-                h1.append(a(w, size)[keep])
-                h2.append(b(w, size)[keep])
-        return window_rows(doc_ids, starts, h1, h2)
+                out.add(doc_id, part, keep, h[keep], b(w, size)[keep])
+        return out.columns()
 
     return map_arrow(documents, run, WINDOW_SCHEMA)
 
 
-def removals(documents: DataFrame, size: int = SIZE, gram: int = GRAM, max_log2: int = MAX_LOG2) -> DataFrame:
-    """doc_id, whole (all words go) and starts of repeated windows, of the documents that lose words."""
+def removals(documents: DataFrame, size: int = SIZE, max_log2: int = MAX_LOG2) -> DataFrame:
+    """doc_id, part, whole (all words go) and starts of repeated windows, of the rows that lose words."""
     known = classes(documents)
     texts = representatives(documents, known, size)
     words = known.filter("doc_id = rep").agg(F.sum("n_words").alias("n")).first().n or 0
-    expected = 2 * words / (size - gram + 2)
-    log2 = int(min(max_log2, max(BLOCK_LOG2, np.ceil(np.log2(8 * expected + 1)))))
-    bits = documents.sparkSession.sparkContext.broadcast(sketch(texts, log2, size, gram))
-    found = repeats(written(estimated(texts, bits, log2, size, gram), "windows"))
-    copies = known.filter((F.col("doc_id") > F.col("rep")) & (F.col("n_words") >= size)).select("doc_id").distinct()
-    return copies.select("doc_id", F.lit(True).alias("whole"), F.expr("cast(null as array<int>)").alias("starts")).unionByName(found.select("doc_id", F.lit(False).alias("whole"), "starts"))
-
-
-def with_removals(documents: DataFrame, size: int = SIZE) -> DataFrame:
-    gone = removals(documents, size).withColumnsRenamed({"doc_id": "__id", "whole": "__whole", "starts": "__starts"})
-    return documents.join(gone, F.col("doc_id") == F.col("__id"), "left").drop("__id")
+    log2 = int(min(max_log2, max(16, np.ceil(np.log2(4 * words + 1)))))
+    bits = documents.sparkSession.sparkContext.broadcast(often(sketch(texts, log2, size), log2))
+    found = repeats(written(estimated(texts, bits, log2, size), "windows"))
+    copies = known.filter((F.col("doc_id") > F.col("rep")) & (F.col("n_words") >= size)).select("doc_id", "part").distinct()
+    return copies.select("doc_id", "part", F.lit(True).alias("whole"), F.expr("cast(null as array<int>)").alias("starts")).unionByName(found.select("doc_id", "part", F.lit(False).alias("whole"), "starts"))
 
 
 def kept_words(text: bytes | None, whole: bool | None, starts: list | None, size: int = SIZE) -> tuple[int, list[bytes]]:
@@ -143,35 +156,26 @@ def kept_words(text: bytes | None, whole: bool | None, starts: list | None, size
         return len(words), []
     if not starts:
         return len(words), words
-    gone = covered(len(words), [s for s in starts if s + size <= len(words)], size)
-    return len(words), [words[i] for i in np.flatnonzero(~gone).tolist()]
+    return len(words), [words[i] for i in np.flatnonzero(~covered(len(words), starts, size)).tolist()]
 
 
 def digests(documents: DataFrame, size: int = SIZE) -> DataFrame:
     def run(batch: pa.RecordBatch) -> dict:
         n_words, n_removed, kept = [], [], []
-        for text, whole, starts in zip(raw_texts(batch), batch.column("__whole").to_pylist(), batch.column("__starts").to_pylist()):
+        for text, whole, starts in zip(raw_texts(batch), batch.column("whole").to_pylist(), batch.column("starts").to_pylist()):
             n, stay = kept_words(text, whole, starts, size)
             n_words.append(n)
             n_removed.append(n - len(stay))
             kept.append(hashlib.sha256(b" ".join(stay)).hexdigest())
         return {"doc_id": batch.column("doc_id"), "n_words": n_words, "n_removed": n_removed, "kept_sha256": kept}
 
-    rows = with_removals(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), size)
+    rows = keyed(documents).join(removals(documents, size), ["doc_id", "part"], "left")
     return map_arrow(rows, run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def deduplicated(documents: DataFrame, size: int = SIZE) -> DataFrame:
     """documents, same columns; a text that loses words is its remaining words joined by one space."""
-    rows = with_removals(documents, size)
-
-    def run(batch: pa.RecordBatch) -> dict:
-        texts = []
-        for text, whole, starts in zip(raw_texts(batch), batch.column("__whole").to_pylist(), batch.column("__starts").to_pylist()):
-            texts.append(b" ".join(kept_words(text, whole, starts, size)[1]) if whole or starts else text)
-        return {c: batch.column(c) for c in batch.schema.names} | {"text": pa.array(texts, pa.binary()).cast(pa.string())}
-
-    return map_arrow(rows, run, ", ".join(f"`{c}` {t}" for c, t in rows.dtypes)).select(*documents.columns)
+    return rewritten(documents, removals(documents, size), lambda text, whole, starts: b" ".join(kept_words(text, whole, starts, size)[1]), ["whole", "starts"])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,18 +1,29 @@
 """Operator 10, suffix-array dedup: a sparse suffix array of the suffixes that begin at minimisers, sorted; neighbours are compared,
-and matches extended to the right and left of the minimiser.
+and matches extended to the left and right of the minimiser.
 
-A suffix is known by its key: the hash of its first GRAM words and one byte of hash for each of the next SIZE - GRAM words. Keys
-are dealt by the first GRAM words and sorted; in sorted order a suffix's longest match with any other is its match with one of its
-two neighbours. Equal words have equal bytes, so the length found is that of the true match or more: to the right of a minimiser
-there is no repeat beyond it. Every window around a minimiser that stays within that reach is then matched exactly, with all its
-words left and right of the minimiser, by its hash of 96 bits, against the smallest doc_id that holds it.
+The minimiser of a window is the leftmost of its GRAM-word sequences with the lowest hash: it follows from the window's words alone,
+so equal windows have equal minimisers, and the minimisers of a document are about one in eighteen of its words.
+
+1. A suffix is known by its key: the hash of its first GRAM words and a byte of hash for each pair of the words after it, as far as a
+   window can go. Keys are dealt by the first GRAM words and sorted; in sorted order a suffix's longest match with any other is its
+   match with one of its two neighbours. Equal words have equal bytes, so that length is the true one or a little more: to the right
+   of a minimiser there is no repeat beyond it, and a suffix without a neighbour goes no further.
+2. The others come with their words: those of the suffix to its reach, and those before it that a window can hold. Sorted by the
+   words to the right, each is compared with the nearest suffixes above and below that belong to a smaller doc_id, and the match is
+   extended to the right and, from the minimiser, to the left. SIZE words or more are a repeated span.
+3. Windows within reach that no such match covers (the first occurrence itself, and repeats whose left and right sides match
+   different neighbours best) are matched exactly by their hashes. A window that is covered has an occurrence in a smaller document
+   that is not, so the first occurrence is always among those left.
+   The grams of HOT_KEYS hottest suffixes are not sorted, for one task would get all of them: their windows all go to this step,
+   where equal windows are reduced before the shuffle.
 
 The result is the same set of words as that of substring dedup: those in a window that also starts in a document with a smaller
 doc_id. Every window has a minimiser within it, so none is missed.
 
-Defined cases: a null, empty or blank text has no words; texts under SIZE words have no span; rows with one doc_id are one document;
-a null doc_id neither removes nor loses words; an empty table gives no rows; extra columns are ignored by `spans` and kept by
-`deduplicated`.
+Defined cases: a null, empty or blank text has no words; texts under SIZE words have no span; a very long text is one row of a task,
+with a few numbers of 8 bytes for each of its words; rows with one doc_id are documents of their own that are no repeats of one another;
+a null doc_id neither removes nor loses words; an empty table gives no rows; extra columns, whatever their names, are ignored by `spans`
+and kept by `deduplicated`.
 """
 
 from __future__ import annotations
@@ -22,147 +33,271 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_arrow, raw_texts, table, word_hashes
-from .passages import GRAM, SIZE, WINDOW_SCHEMA, classes, grams_and_minimisers, repeats, representatives, tools, window_rows
+from .common import hot_keys, map_arrow, mixed, raw_texts, signed, small, table, word_hashes, written
+from .passages import GRAM, SIZE, classes, folded, repeats, representatives, rewritten, tools
+
+#: Candidates of documents that are broadcast to the texts at most, and their bytes.
+CANDIDATE_ROWS, CANDIDATE_BYTES = 100_000, 32 << 20
+
+
+def grams_and_minimisers(w: np.ndarray, rolling, size: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all gram-word sequences, and for each window the place of its minimiser."""
+    g = rolling(w, gram)
+    span = size - gram + 1
+    if len(g) < span:
+        return g, np.zeros(0, np.int64)
+    view = np.lib.stride_tricks.sliding_window_view(g, span)
+    return g, np.arange(len(view)) + view.argmin(1)
 
 
 def suffixes(documents: DataFrame, size: int = SIZE, gram: int = GRAM) -> DataFrame:
-    """gram, rest (a byte a word), doc_id and place of each retained suffix."""
-    more = size - gram
+    """gram, rest (a byte for each pair of words), doc_id, part and place of each retained suffix."""
+    pairs = (size - gram + 1) // 2
 
     def run(batch: pa.RecordBatch) -> dict | None:
         seen, a, _ = tools()
-        grams, rests, doc_ids, counts, places = [], [], [], [], []
-        for doc_id, text in zip(batch.column("doc_id").to_pylist(), raw_texts(batch)):
+        grams, rests, owner, counts, places = [], [], [], [], []
+        for i, text in enumerate(raw_texts(batch)):
             words = text.split()
             if len(words) < size:
                 continue
             w = word_hashes(words, seen)
             g, at = grams_and_minimisers(w, a, size, gram)
             at = np.unique(at)
-            after = np.concatenate([(w >> np.uint64(40)).astype(np.uint8), np.zeros(more, np.uint8)])
-            rests.append(after[(at + gram)[:, None] + np.arange(more)])
+            with np.errstate(over="ignore"):
+                two = np.concatenate([(mixed(w[:-1] * np.uint64(3) + w[1:]) >> np.uint64(40)).astype(np.uint8), np.zeros(2 * pairs + 1, np.uint8)])
+            rests.append(two[(at + gram)[:, None] + 2 * np.arange(pairs)])
             grams.append(g[at].view(np.int64))
             places.append(at.astype(np.int32))
-            doc_ids.append(doc_id)
+            owner.append(i)
             counts.append(len(at))
         if not counts:
             return None
         flat = np.concatenate(rests)
-        rest = pa.FixedSizeBinaryArray.from_buffers(pa.binary(more), len(flat), [None, pa.py_buffer(flat.tobytes())]).cast(pa.binary())
-        return {"gram": np.concatenate(grams), "rest": rest, "doc_id": np.repeat(np.array(doc_ids, np.int64), counts), "place": np.concatenate(places)}
+        rest = pa.FixedSizeBinaryArray.from_buffers(pa.binary(pairs), len(flat), [None, pa.py_buffer(flat.tobytes())]).cast(pa.binary())
+        rows = np.repeat(np.array(owner), counts)
+        return {"gram": np.concatenate(grams), "rest": rest, "doc_id": batch.column("doc_id").take(pa.array(rows)), "part": batch.column("part").take(pa.array(rows)), "place": np.concatenate(places)}
 
-    return map_arrow(documents, run, "gram long, rest binary, doc_id long, place int")
+    return map_arrow(documents, run, "gram long, rest binary, doc_id long, part int, place int")
+
+
+REACHED = "doc_id long, part int, place int, reach int"
 
 
 def reaches(sparse: DataFrame, size: int = SIZE, gram: int = GRAM) -> DataFrame:
-    """doc_id, place and reach: the words that a suffix has in common with a neighbour, where that is GRAM or more.
+    """doc_id, part, place and reach: the words that a suffix has in common with a neighbour, or one more, where that is gram or more.
 
     Each task streams through its sorted suffixes and holds one row beyond the batch, however many suffixes are alike."""
-    more = size - gram
+    pairs = (size - gram + 1) // 2
+    columns = ("doc_id", "part", "place")
 
     def run(batches):
         held = None  # the last row so far, and its match with the row before it
 
-        def emit(doc_id, place, reach):
+        def emit(own, reach):
             keep = reach >= gram
-            return pa.RecordBatch.from_pydict({"doc_id": pa.array(doc_id[keep], pa.int64()), "place": pa.array(place[keep], pa.int32()), "reach": pa.array(np.minimum(reach[keep], size), pa.int32())})
+            return pa.RecordBatch.from_arrays([pa.array(x[keep], t) for x, t in zip((*own, np.minimum(reach, size)), (pa.int64(), pa.int32(), pa.int32(), pa.int32()))], [*columns, "reach"])
 
         for batch in batches:
             n = batch.num_rows
             if not n:
                 continue
-            g, doc_id, place = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("gram", "doc_id", "place"))
-            rest = np.frombuffer(b"".join(batch.column("rest").to_pylist()), np.uint8).reshape(n, more)
+            rows = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("gram", *columns)]
+            rest = np.frombuffer(b"".join(batch.column("rest").to_pylist()), np.uint8).reshape(n, pairs)
             before = np.zeros(1, np.int64)
             if held is not None:
-                g, doc_id, place, rest = (np.concatenate([x, y]) for x, y in zip(held[:4], (g, doc_id, place, rest)))
-                before = held[4]
-            same = np.concatenate([rest[1:] == rest[:-1], np.zeros((len(rest) - 1, 1), bool)], 1).argmin(1) + gram
-            same = np.where(g[1:] == g[:-1], same, 0)
+                rows = [np.concatenate([x, y]) for x, y in zip(held[0], rows)]
+                rest, before = np.concatenate([held[1], rest]), held[2]
+            same = np.concatenate([rest[1:] == rest[:-1], np.zeros((len(rest) - 1, 1), bool)], 1).argmin(1)
+            same = np.where(rows[0][1:] == rows[0][:-1], gram + 2 * same + 1, 0)
             left = np.concatenate([before, same])
             reach = np.maximum(left[:-1], same)
-            held = (g[-1:], doc_id[-1:], place[-1:], rest[-1:], left[-1:])
+            held = ([x[-1:] for x in rows], rest[-1:], left[-1:])
             if len(reach):
-                yield emit(doc_id[:-1], place[:-1], reach)
+                yield emit([x[:-1] for x in rows[1:]], reach)
         if held is not None:
-            yield emit(held[1], held[2], held[4])
+            yield emit(held[0][1:], held[2])
+
+    return sparse.repartition("gram").sortWithinPartitions("gram", "rest").mapInArrow(run, REACHED)
 
-    return sparse.repartition("gram").sortWithinPartitions("gram", "rest").mapInArrow(run, "doc_id long, place int, reach int")
 
+CONTEXT = "gram long, rights binary, doc_id long, part int, place int, lefts binary, first int, h1 binary, h2 binary, hot boolean"
 
-def extended(texts: DataFrame, reached: DataFrame, size: int = SIZE, gram: int = GRAM) -> DataFrame:
-    """The windows whose minimiser has a neighbour that matches as far as the window goes to its right."""
-    per_doc = reached.groupBy("doc_id").agg(F.collect_list("place").alias("places"), F.collect_list("reach").alias("reach"))
-    rows = texts.join(per_doc, "doc_id")
+
+def contexts(texts: DataFrame, reached: DataFrame, size: int = SIZE, gram: int = GRAM) -> DataFrame:
+    """For each suffix with a neighbour: its words after the gram to its reach and those before it, as hashes, and its windows within
+    reach (the first start and the hashes of each). Suffixes of hot grams come without words; written."""
+    more = size - gram
+    per_row = written(reached.groupBy("doc_id", "part").agg(F.collect_list(F.struct("place", "reach", "hot")).alias("found")), "reached")
+    rows = texts.join(small(per_row, CANDIDATE_ROWS, F.size("found") * 16, CANDIDATE_BYTES), ["doc_id", "part"])
 
     def run(batch: pa.RecordBatch) -> dict | None:
         seen, a, b = tools()
-        doc_ids, starts, h1, h2 = [], [], [], []
-        for doc_id, text, places, reach in zip(batch.column("doc_id").to_pylist(), raw_texts(batch), batch.column("places").to_pylist(), batch.column("reach").to_pylist()):
+        out: dict = {c: [] for c in ("gram", "rights", "doc_id", "part", "place", "lefts", "first", "h1", "h2", "hot")}
+        for doc_id, part, text, found in zip(batch.column("doc_id").to_pylist(), batch.column("part").to_pylist(), raw_texts(batch), batch.column("found").to_pylist()):
             words = text.split()
             if len(words) < size:
                 continue
             w = word_hashes(words, seen)
             g, at = grams_and_minimisers(w, a, size, gram)
-            far = np.zeros(len(g), np.int64)
-            np.maximum.at(far, [p for p in places if p < len(g)], [r for p, r in zip(places, reach) if p < len(g)])
-            start = np.arange(len(at))
-            keep = np.flatnonzero(start + size - at <= far[at])
-            if len(keep):
-                doc_ids.append(doc_id)
-                starts.append(keep)
-                h1.append(a(w, size)[keep])
-                h2.append(b(w, size)[keep])
-        return window_rows(doc_ids, starts, h1, h2)
+            h1, h2 = a(w, size), folded(b(w, size))
+            reach = {x["place"]: (x["reach"], x["hot"]) for x in found}
+            edges = np.flatnonzero(np.diff(at, prepend=-1, append=-1)).tolist()
+            for i, j in zip(edges[:-1], edges[1:]):
+                p = int(at[i])
+                if p not in reach:
+                    continue
+                far, hot = reach[p]
+                j = min(j, p + far - size + 1)  # windows start at i .. j - 1
+                if i >= j:
+                    continue
+                out["gram"].append(int(g[p].view(np.int64)))
+                # big-endian, so that bytes sort as words do
+                out["rights"].append(b"" if hot else w[p + gram : p + gram + min(far - gram, more)].astype(">u8").tobytes())
+                out["lefts"].append(b"" if hot else w[max(0, p - more) : p][::-1].astype(">u8").tobytes())
+                for c, v in (("doc_id", doc_id), ("part", part), ("place", p), ("first", i), ("h1", signed(h1[i:j]).tobytes()), ("h2", h2[i:j].tobytes()), ("hot", hot)):
+                    out[c].append(v)
+        return out if out["gram"] else None
+
+    return written(map_arrow(rows, run, CONTEXT), "contexts")
+
+
+def common(x: np.ndarray, y: np.ndarray) -> int:
+    """The number of leading words that two runs of words have in common."""
+    n = min(len(x), len(y))
+    differ = x[:n] != y[:n]
+    return int(differ.argmax()) if differ.any() else n
+
+
+EXTENDED = "doc_id long, part int, first int, last int, h1 binary, h2 binary"
+
+
+def extended(found: DataFrame, size: int = SIZE, gram: int = GRAM) -> DataFrame:
+    """From contexts to the starts first .. last of windows in matches with a neighbour of a smaller doc_id (h1 is null), and the
+    windows that are left (h1 and h2 hold a window's hashes each)."""
 
-    return map_arrow(rows, run, WINDOW_SCHEMA)
+    def groups(batches):
+        now, rows = None, []
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("gram", "rights", "doc_id", "part", "place", "lefts", "first", "h1", "h2")]
+            for g, *row in zip(*columns):
+                if g != now:
+                    if rows:
+                        yield rows
+                    now, rows = g, []
+                rows.append(row)
+        if rows:
+            yield rows
+
+    def run(batches):
+        out: list = []
+        for rows in groups(batches):
+            words = [(np.frombuffer(r[0], ">u8"), np.frombuffer(r[4], ">u8")) for r in rows]
+            spans: list[list] = [[] for _ in rows]
+            for order in (range(len(rows)), range(len(rows) - 1, -1, -1)):
+                smaller: list[int] = []  # the nearest suffixes so far, of ever smaller doc_ids towards the bottom
+                for i in order:
+                    while smaller and rows[smaller[-1]][1] >= rows[i][1]:
+                        smaller.pop()
+                    if smaller:
+                        (right, left), (r, l) = words[smaller[-1]], words[i]
+                        before, after = common(left, l), gram + common(right, r)
+                        if before + after >= size:
+                            place = rows[i][3]
+                            spans[i].append((place - before, place + after - size))
+                    smaller.append(i)
+            for (_, doc_id, part, _, _, first, h1, h2), own in zip(rows, spans):
+                h1, h2 = np.frombuffer(h1, np.int64), np.frombuffer(h2, np.int32)
+                left = np.ones(len(h1), bool)
+                for a, b in own:
+                    out.append((doc_id, part, a, b, None, None))
+                    left[max(0, a - first) : max(0, b + 1 - first)] = False
+                if left.any():
+                    at = np.flatnonzero(left)
+                    for run_ in np.split(at, np.flatnonzero(np.diff(at) > 1) + 1):
+                        i, j = int(run_[0]), int(run_[-1]) + 1
+                        out.append((doc_id, part, first + i, first + j - 1, h1[i:j].tobytes(), h2[i:j].tobytes()))
+            if len(out) >= 5000:
+                yield batch_of(out)
+                out = []
+        if out:
+            yield batch_of(out)
+
+    def batch_of(out):
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), kinds)], ["doc_id", "part", "first", "last", "h1", "h2"])
+
+    return found.repartition("gram").sortWithinPartitions("gram", "rights").mapInArrow(run, EXTENDED)
+
+
+def unrolled(left: DataFrame) -> DataFrame:
+    """Windows, a row each, from rows with the hashes of a run of them."""
+
+    def run(batch: pa.RecordBatch) -> dict:
+        h1 = [np.frombuffer(x, np.int64) for x in batch.column("h1").to_pylist()]
+        h2 = [np.frombuffer(x, np.int32) for x in batch.column("h2").to_pylist()]
+        counts = [len(x) for x in h1]
+        at = [(p << 32) + f + np.arange(n) for p, f, n in zip(batch.column("part").to_pylist(), batch.column("first").to_pylist(), counts)]
+        return {"h1": np.concatenate(h1), "h2": np.concatenate(h2), "doc_id": np.repeat(batch.column("doc_id").to_numpy(zero_copy_only=False), counts), "at": np.concatenate(at)}
+
+    return map_arrow(left, run, "h1 long, h2 int, doc_id long, at long")
+
+
+def removals(documents: DataFrame, known: DataFrame, size: int = SIZE, gram: int = GRAM) -> DataFrame:
+    """doc_id, part and starts: runs (first, last) of the starts of repeated windows."""
+    texts = representatives(documents, known, size)
+    sparse = written(suffixes(texts, size, gram), "suffixes")
+    hot = hot_keys(sparse.groupBy("gram").agg(F.count("*").alias("n")), ["gram"]).select("gram")
+    cold = reaches(sparse.join(F.broadcast(hot), "gram", "left_anti"), size, gram).withColumn("hot", F.lit(False))
+    warm = sparse.join(F.broadcast(hot), "gram", "left_semi").select("doc_id", "part", "place", F.lit(size).alias("reach"), F.lit(True).alias("hot"))
+    found = contexts(texts, cold.unionByName(warm), size, gram)
+    matched = written(extended(found.filter("not hot"), size, gram), "extended")
+    left = matched.filter("h1 is not null").select("doc_id", "part", "first", "h1", "h2").unionByName(found.filter("hot").select("doc_id", "part", "first", "h1", "h2"))
+    exact = repeats(written(unrolled(left), "windows")).select("doc_id", "part", F.explode("starts").alias("first"))
+    spans = matched.filter("h1 is null").select("doc_id", "part", "first", "last").unionByName(exact.select("doc_id", "part", "first", F.col("first").alias("last")))
+    return spans.groupBy("doc_id", "part").agg(F.array_sort(F.collect_set(F.struct("first", "last"))).alias("starts"))
+
+
+def joined(starts: list | None, size: int) -> list[dict]:
+    """Spans of words, merged and ascending, from runs of starts in order."""
+    out: list = []
+    for s in starts or []:
+        a, b = s["first"], s["last"] + size
+        if out and a <= out[-1]["to"]:
+            out[-1]["to"] = max(out[-1]["to"], b)
+        else:
+            out.append({"from": a, "to": b})
+    return out
 
 
 def spans(documents: DataFrame, size: int = SIZE, gram: int = GRAM) -> DataFrame:
-    """doc_id, n_words and spans (from, to: places of words, merged, ascending) of the repeated passages of each row."""
+    """doc_id, part, n_words and spans (from, to: places of words, merged, ascending) of the repeated passages of each row."""
     known = classes(documents)
-    texts = representatives(documents, known, size)
-    found = repeats(extended(texts, reaches(suffixes(texts, size, gram), size, gram), size, gram)).withColumnRenamed("doc_id", "__id")
-    rows = known.join(found, F.col("doc_id") == F.col("__id"), "left").drop("__id")
+    rows = known.join(removals(documents, known, size, gram), ["doc_id", "part"], "left")
 
     def run(batch: pa.RecordBatch) -> dict:
         out = []
         for doc_id, n, rep, starts in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n_words", "rep", "starts"))):
-            own: list = []
             if doc_id is not None and doc_id > rep:
-                own = [{"from": 0, "to": n}] if n >= size else []
+                out.append([{"from": 0, "to": n}] if n >= size else [])
             else:
-                for s in sorted(starts or []):
-                    if s + size > n:
-                        continue
-                    if own and s <= own[-1]["to"]:
-                        own[-1]["to"] = s + size
-                    else:
-                        own.append({"from": s, "to": s + size})
-            out.append(own)
-        return {"doc_id": batch.column("doc_id"), "n_words": batch.column("n_words"), "spans": out}
+                out.append(joined(starts, size))
+        return {"doc_id": batch.column("doc_id"), "part": batch.column("part"), "n_words": batch.column("n_words"), "spans": out}
 
-    return map_arrow(rows, run, "doc_id long, n_words long, spans array<struct<`from`:int,`to`:int>>")
+    return map_arrow(rows, run, "doc_id long, part int, n_words long, spans array<struct<`from`:int,`to`:int>>")
 
 
 def deduplicated(documents: DataFrame, size: int = SIZE) -> DataFrame:
     """documents, same columns; a text that has repeated passages is its remaining words joined by one space."""
-    gone = spans(documents, size).filter(F.size("spans") > 0).groupBy("doc_id").agg(F.first("spans").alias("__spans")).withColumnRenamed("doc_id", "__id")
-    rows = documents.join(gone, F.col("doc_id") == F.col("__id"), "left").drop("__id")
+    gone = spans(documents, size).filter(F.size("spans") > 0).dropDuplicates(["doc_id", "part"]).select("doc_id", "part", "spans")
 
-    def run(batch: pa.RecordBatch) -> dict:
-        texts = []
-        for text, own in zip(raw_texts(batch), batch.column("__spans").to_pylist()):
-            if own and text:
-                words = text.split()
-                for s in reversed(own):
-                    del words[s["from"] : s["to"]]
-                text = b" ".join(words)
-            texts.append(text)
-        return {c: batch.column(c) for c in batch.schema.names} | {"text": pa.array(texts, pa.binary()).cast(pa.string())}
-
-    return map_arrow(rows, run, ", ".join(f"`{c}` {t}" for c, t in rows.dtypes)).select(*documents.columns)
+    def kept(text: bytes, own: list) -> bytes:
+        words = text.split()
+        for s in reversed(own):
+            del words[s["from"] : s["to"]]
+        return b" ".join(words)
+
+    return rewritten(documents, gone, kept, ["spans"])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

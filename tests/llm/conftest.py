@@ -8,7 +8,7 @@ def odd(spark):
     """Rows with nulls, blanks, a very long text, repeats, and columns whose names an operator might use itself."""
     words = " ".join(f"p{i}" for i in range(80))
     rows = [(1, words, "en"), (2, words + " tail", None), (2, words + " tail", None), (3, None, "de"), (4, "", "en"), (5, "  \n\t ", "en"), (6, LONG, "en"), (7, LONG, "fr"), (None, words, "en"), (8, "one two", "en"), (9, "ONE  two", "en"), (10, "a\nb\nc\nd\na\nb\nc", "en"), (11, "z\na\nb\nc", "en")]
-    return spark.createDataFrame([(*r, "x", 7, [1], "mine", 1, 2) for r in rows], "doc_id long, text string, lang string, label string, n long, ids array<int>, keep string, hits int, start int")
+    return spark.createDataFrame([(*r, "x", 7, [1], "mine", 1, 2, 3, [4], True, [5], "s", 6, "r", 8) for r in rows], "doc_id long, text string, lang string, label string, n long, ids array<int>, keep string, hits int, start int, __id int, __at array<int>, __whole boolean, __starts array<int>, __spans string, part int, rep string, own_0 int")
 
 
 @pytest.fixture(scope="session")
