@@ -1,15 +1,19 @@
 """Operator 2, line dedup, in DataFrame functions only: overlapping windows of three lines, hashed, counted over all documents, and
 later occurrences removed by merging the positions they cover.
 
-Lines are what line feeds separate. A window is three consecutive lines of one document; of the places where a window occurs, the
-first by (doc_id, line) stays and every line of each later place is removed. Windows are judged on the input.
+Lines are what line feeds separate. A window is three consecutive lines of one row; of the places where a window occurs, the first by
+(doc_id, line) stays and every line of each later place is removed. Windows are judged on the input.
+
+Every row is a document of its own: rows that share a doc_id but not a text are told apart by a hash of the text, which also decides
+which of their places at one line comes first.
 
 Defined cases: a null text has no lines and stays null; an empty text is one empty line; a text of fewer than three lines has no
-window; equal rows with one doc_id count as one place and are treated alike; a null doc_id sorts before all others; an empty table
-gives no rows; extra columns are ignored by `marked` and kept by `deduplicated`.
+window; a very long text is an array of hashes in one row, 16 bytes for each of its lines; rows equal in doc_id and text count as one
+place and are treated alike; a null doc_id sorts before all others; an empty table gives no rows; extra columns, whatever their names,
+are ignored by `marked` and kept by `deduplicated`.
 
-Windows travel as two 64-bit hashes, a doc_id and a line number; they are reduced per window before the shuffle, and only windows
-that repeat go into the joins, whose skewed keys Spark splits.
+Windows travel as two 64-bit hashes and a place; they are reduced per window before the shuffle, and only windows that repeat go into
+the joins, the hot ones by broadcast.
 """
 
 from __future__ import annotations
@@ -17,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import apart, join_hot, table, written
 
 SIZE = 3
 
@@ -26,22 +30,27 @@ def lines_of(text: Column) -> Column:
     return F.split(text, "\n")
 
 
-def windows(documents: DataFrame, size: int = SIZE) -> DataFrame:
-    """doc_id, line (from 0) and two independent hashes of each window."""
-    lines = documents.select("doc_id", F.transform(lines_of(F.col("text")), lambda x: F.xxhash64(x)).alias("a"), F.transform(lines_of(F.col("text")), lambda x: F.xxhash64(F.lit("b"), x)).alias("b"))
+def keyed(documents: DataFrame) -> DataFrame:
+    """doc_id, text and row, a hash of the text."""
+    return documents.select("doc_id", "text", F.xxhash64("text").alias("row"))
+
+
+def windows(rows: DataFrame, size: int = SIZE) -> DataFrame:
+    """doc_id, row, line (from 0) and two independent hashes of each window."""
+    lines = rows.select("doc_id", "row", F.transform(lines_of(F.col("text")), lambda x: F.xxhash64(x)).alias("a"), F.transform(lines_of(F.col("text")), lambda x: F.xxhash64(F.lit("b"), x)).alias("b"))
     n = F.size("a")
     at = F.when(n >= size, F.sequence(F.lit(0), n - size))
-    out = lines.select("doc_id", "a", "b", F.explode(at).alias("line"))
-    return out.select("doc_id", "line", F.xxhash64(*[F.col("a")[F.col("line") + i] for i in range(size)]).alias("h1"), F.xxhash64(F.lit("b"), *[F.col("b")[F.col("line") + i] for i in range(size)]).alias("h2"))
+    out = lines.select("doc_id", "row", "a", "b", F.explode(at).alias("line"))
+    return out.select("doc_id", "row", "line", F.xxhash64(*[F.col("a")[F.col("line") + i] for i in range(size)]).alias("h1"), F.xxhash64(F.lit("b"), *[F.col("b")[F.col("line") + i] for i in range(size)]).alias("h2"))
 
 
-def later(documents: DataFrame, size: int = SIZE) -> DataFrame:
-    """doc_id and lines: the ascending places at which windows occur that have occurred before."""
-    w = windows(documents, size)
-    first = w.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.max(F.struct("doc_id", "line")).alias("last")).filter(~F.col("first").eqNullSafe(F.col("last"))).select("h1", "h2", "first")
-    first = written(first, "repeated-lines")
-    out = w.join(first, ["h1", "h2"]).filter(~F.struct("doc_id", "line").eqNullSafe(F.col("first")))
-    return out.groupBy("doc_id").agg(F.array_sort(F.collect_set("line")).alias("at"))
+def later(rows: DataFrame, size: int = SIZE) -> DataFrame:
+    """doc_id, row and at: the ascending places at which windows occur that have occurred before."""
+    w = windows(rows, size)
+    place = F.struct("doc_id", "line", "row")
+    first = w.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count("*").alias("n")).filter(~F.col("first").eqNullSafe(F.col("last"))).select("h1", "h2", "first", "n")
+    out = join_hot(w, written(first, "repeated-lines"), ["h1", "h2"]).filter(~place.eqNullSafe(F.col("first")))
+    return out.groupBy("doc_id", "row").agg(F.array_sort(F.collect_set("line")).alias("at"))
 
 
 def kept(lines: Column, at: Column, size: int = SIZE) -> Column:
@@ -52,24 +61,29 @@ def kept(lines: Column, at: Column, size: int = SIZE) -> Column:
     return F.flatten(F.transform(gaps, lambda g: F.slice(lines, g["a"] + 1, g["b"] - g["a"])))
 
 
+def placed(rows: DataFrame, size: int = SIZE) -> DataFrame:
+    """rows (doc_id, row and more) with at."""
+    places = later(rows, size)
+    return rows.alias("d").join(places.alias("p"), F.col("d.doc_id").eqNullSafe(F.col("p.doc_id")) & (F.col("d.row") == F.col("p.row")), "left").select("d.*", "p.at")
+
+
 def marked(documents: DataFrame, size: int = SIZE) -> DataFrame:
     """doc_id, text, n_lines, kept (lines that stay) of each row."""
-    places = later(documents, size)
-    out = documents.select(F.col("doc_id"), F.col("text")).alias("d").join(places.alias("p"), F.col("d.doc_id").eqNullSafe(F.col("p.doc_id")), "left").select("d.doc_id", "d.text", "p.at")
     lines = lines_of(F.col("text"))
     n = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long")
-    return out.select("doc_id", "text", n.alias("n_lines"), F.when(F.col("text").isNull(), F.expr("cast(array() as array<string>)")).when(F.col("at").isNull(), lines).otherwise(kept(lines, F.col("at"), size)).alias("kept"))
+    stay = F.when(F.col("text").isNull(), F.expr("cast(array() as array<string>)")).when(F.col("at").isNull(), lines).otherwise(kept(lines, F.col("at"), size))
+    return placed(keyed(documents), size).select("doc_id", "text", n.alias("n_lines"), stay.alias("kept"))
 
 
 def deduplicated(documents: DataFrame, size: int = SIZE) -> DataFrame:
     """documents, same columns, without the lines of later occurrences; n_chars, where there is one, follows a changed text."""
-    places = later(documents, size).select(F.col("doc_id").alias("__id"), F.col("at").alias("__at"))
-    out = documents.join(places, F.col("doc_id").eqNullSafe(F.col("__id")), "left")
-    text = F.when(F.col("__at").isNull(), F.col("text")).otherwise(F.array_join(kept(lines_of(F.col("text")), F.col("__at"), size), "\n"))
-    out = out.withColumn("text", text)
-    if "n_chars" in documents.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__at").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(dict(documents.dtypes)["n_chars"])))
-    return out.select(*documents.columns)
+    own, names = apart(documents)
+    rows = own.withColumnsRenamed({names["doc_id"]: "doc_id", names["text"]: "text"}).withColumn("row", F.xxhash64("text"))
+    out = placed(rows, size)
+    out = out.withColumn("text", F.when(F.col("at").isNull(), F.col("text")).otherwise(F.array_join(kept(lines_of(F.col("text")), F.col("at"), size), "\n")))
+    if n := names.get("n_chars"):
+        out = out.withColumn(n, F.when(F.col("at").isNull(), F.col(n)).otherwise(F.length("text").cast(dict(own.dtypes)[n])))
+    return out.select(*[F.col({names["doc_id"]: "doc_id", names["text"]: "text"}.get(c, c)) for c in own.columns]).toDF(*documents.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,6 +35,13 @@ def test_overlapping_repeats_merge(spark):
     assert got == plain(rows) == {1: "a\nb\nc\nd\ne", 2: "x\ny", 3: "a"}
 
 
+def test_rows_that_share_a_doc_id_but_not_a_text(spark):
+    lines = lambda t: "\n".join(t)
+    rows = [(1, lines("abcd")), (2, lines("zabc")), (2, lines("qrst")), (2, lines("qrst")), (3, lines("yqrs"))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, m.deduplicated(df).collect())) == sorted([(1, lines("abcd")), (2, "z"), (2, lines("qrst")), (2, lines("qrst")), (3, "y")])
+
+
 def test_plan_has_no_python(spark, small):
     plan = m.query(spark, small)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
