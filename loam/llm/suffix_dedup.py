@@ -1,9 +1,6 @@
 """Operator 10, suffix-array dedup: a sparse suffix array of the suffixes that begin at minimisers, sorted; neighbours are compared,
 and matches extended to the left and right of the minimiser.
 
-The minimiser of a window is the leftmost of its GRAM-word sequences with the lowest hash: it follows from the window's words alone,
-so equal windows have equal minimisers, and the minimisers of a document are about one in eighteen of its words.
-
 1. A suffix is known by its key: the hash of its first GRAM words and a byte of hash for each pair of the words after it, as far as a
    window can go. Keys are dealt by the first GRAM words and sorted; in sorted order a suffix's longest match with any other is its
    match with one of its two neighbours. Equal words have equal bytes, so that length is the true one or a little more: to the right
@@ -14,8 +11,8 @@ so equal windows have equal minimisers, and the minimisers of a document are abo
 3. Windows within reach that no such match covers (the first occurrence itself, and repeats whose left and right sides match
    different neighbours best) are matched exactly by their hashes. A window that is covered has an occurrence in a smaller document
    that is not, so the first occurrence is always among those left.
-   The grams of HOT_KEYS hottest suffixes are not sorted, for one task would get all of them: their windows all go to this step,
-   where equal windows are reduced before the shuffle.
+   A hot gram is dealt to many tasks by its documents, each of which compares and extends the suffixes it has; what they miss of
+   one another is left to this step, where equal windows are reduced before the shuffle.
 
 The result is the same set of words as that of substring dedup: those in a window that also starts in a document with a smaller
 doc_id. Every window has a minimiser within it, so none is missed.
@@ -33,22 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hot_keys, map_arrow, mixed, raw_texts, signed, small, table, word_hashes, written
-from .passages import GRAM, SIZE, classes, folded, repeats, representatives, rewritten, tools
-
-#: Candidates of documents that are broadcast to the texts at most, and their bytes.
-CANDIDATE_ROWS, CANDIDATE_BYTES = 100_000, 32 << 20
-
-
-def grams_and_minimisers(w: np.ndarray, rolling, size: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all gram-word sequences, and for each window the place of its minimiser."""
-    g = rolling(w, gram)
-    span = size - gram + 1
-    if len(g) < span:
-        return g, np.zeros(0, np.int64)
-    view = np.lib.stride_tricks.sliding_window_view(g, span)
-    return g, np.arange(len(view)) + view.argmin(1)
-
+from .common import HOT_FROM, hot_keys, map_arrow, mixed, raw_texts, signed, table, word_hashes, written
+from .passages import GRAM, SIZE, classes, folded, grams_and_minimisers, repeats, representatives, rewritten, tools
 
 def suffixes(documents: DataFrame, size: int = SIZE, gram: int = GRAM) -> DataFrame:
     """gram, rest (a byte for each pair of words), doc_id, part and place of each retained suffix."""
@@ -121,19 +104,19 @@ def reaches(sparse: DataFrame, size: int = SIZE, gram: int = GRAM) -> DataFrame:
     return sparse.repartition("gram").sortWithinPartitions("gram", "rest").mapInArrow(run, REACHED)
 
 
-CONTEXT = "gram long, rights binary, doc_id long, part int, place int, lefts binary, first int, h1 binary, h2 binary, hot boolean"
+CONTEXT = "gram long, rights binary, doc_id long, part int, place int, lefts binary, first int, h1 binary, h2 binary, salt int"
 
 
 def contexts(texts: DataFrame, reached: DataFrame, size: int = SIZE, gram: int = GRAM) -> DataFrame:
     """For each suffix with a neighbour: its words after the gram to its reach and those before it, as hashes, and its windows within
-    reach (the first start and the hashes of each). Suffixes of hot grams come without words; written."""
+    reach (the first start and the hashes of each); written."""
     more = size - gram
-    per_row = written(reached.groupBy("doc_id", "part").agg(F.collect_list(F.struct("place", "reach", "hot")).alias("found")), "reached")
-    rows = texts.join(small(per_row, CANDIDATE_ROWS, F.size("found") * 16, CANDIDATE_BYTES), ["doc_id", "part"])
+    per_row = written(reached.groupBy("doc_id", "part").agg(F.collect_list(F.struct("place", "reach", "salt")).alias("found")), "reached")
+    rows = texts.hint("shuffle_merge").join(per_row, ["doc_id", "part"])
 
     def run(batch: pa.RecordBatch) -> dict | None:
         seen, a, b = tools()
-        out: dict = {c: [] for c in ("gram", "rights", "doc_id", "part", "place", "lefts", "first", "h1", "h2", "hot")}
+        out: dict = {c: [] for c in ("gram", "rights", "doc_id", "part", "place", "lefts", "first", "h1", "h2", "salt")}
         for doc_id, part, text, found in zip(batch.column("doc_id").to_pylist(), batch.column("part").to_pylist(), raw_texts(batch), batch.column("found").to_pylist()):
             words = text.split()
             if len(words) < size:
@@ -141,21 +124,21 @@ def contexts(texts: DataFrame, reached: DataFrame, size: int = SIZE, gram: int =
             w = word_hashes(words, seen)
             g, at = grams_and_minimisers(w, a, size, gram)
             h1, h2 = a(w, size), folded(b(w, size))
-            reach = {x["place"]: (x["reach"], x["hot"]) for x in found}
+            reach = {x["place"]: (x["reach"], x["salt"]) for x in found}
             edges = np.flatnonzero(np.diff(at, prepend=-1, append=-1)).tolist()
             for i, j in zip(edges[:-1], edges[1:]):
                 p = int(at[i])
                 if p not in reach:
                     continue
-                far, hot = reach[p]
+                far, salt = reach[p]
                 j = min(j, p + far - size + 1)  # windows start at i .. j - 1
                 if i >= j:
                     continue
                 out["gram"].append(int(g[p].view(np.int64)))
                 # big-endian, so that bytes sort as words do
-                out["rights"].append(b"" if hot else w[p + gram : p + gram + min(far - gram, more)].astype(">u8").tobytes())
-                out["lefts"].append(b"" if hot else w[max(0, p - more) : p][::-1].astype(">u8").tobytes())
-                for c, v in (("doc_id", doc_id), ("part", part), ("place", p), ("first", i), ("h1", signed(h1[i:j]).tobytes()), ("h2", h2[i:j].tobytes()), ("hot", hot)):
+                out["rights"].append(w[p + gram : p + gram + min(far - gram, more)].astype(">u8").tobytes())
+                out["lefts"].append(w[max(0, p - more) : p][::-1].astype(">u8").tobytes())
+                for c, v in (("doc_id", doc_id), ("part", part), ("place", p), ("first", i), ("h1", signed(h1[i:j]).tobytes()), ("h2", h2[i:j].tobytes()), ("salt", salt)):
                     out[c].append(v)
         return out if out["gram"] else None
 
@@ -179,12 +162,12 @@ def extended(found: DataFrame, size: int = SIZE, gram: int = GRAM) -> DataFrame:
     def groups(batches):
         now, rows = None, []
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("gram", "rights", "doc_id", "part", "place", "lefts", "first", "h1", "h2")]
-            for g, *row in zip(*columns):
-                if g != now:
+            columns = [batch.column(c).to_pylist() for c in ("gram", "salt", "rights", "doc_id", "part", "place", "lefts", "first", "h1", "h2")]
+            for g, salt, *row in zip(*columns):
+                if (g, salt) != now:
                     if rows:
                         yield rows
-                    now, rows = g, []
+                    now, rows = (g, salt), []
                 rows.append(row)
         if rows:
             yield rows
@@ -227,7 +210,7 @@ def extended(found: DataFrame, size: int = SIZE, gram: int = GRAM) -> DataFrame:
         kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
         return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), kinds)], ["doc_id", "part", "first", "last", "h1", "h2"])
 
-    return found.repartition("gram").sortWithinPartitions("gram", "rights").mapInArrow(run, EXTENDED)
+    return found.repartition("gram", "salt").sortWithinPartitions("gram", "salt", "rights").mapInArrow(run, EXTENDED)
 
 
 def unrolled(left: DataFrame) -> DataFrame:
@@ -247,12 +230,12 @@ def removals(documents: DataFrame, known: DataFrame, size: int = SIZE, gram: int
     """doc_id, part and starts: runs (first, last) of the starts of repeated windows."""
     texts = representatives(documents, known, size)
     sparse = written(suffixes(texts, size, gram), "suffixes")
-    hot = hot_keys(sparse.groupBy("gram").agg(F.count("*").alias("n")), ["gram"]).select("gram")
-    cold = reaches(sparse.join(F.broadcast(hot), "gram", "left_anti"), size, gram).withColumn("hot", F.lit(False))
-    warm = sparse.join(F.broadcast(hot), "gram", "left_semi").select("doc_id", "part", "place", F.lit(size).alias("reach"), F.lit(True).alias("hot"))
-    found = contexts(texts, cold.unionByName(warm), size, gram)
-    matched = written(extended(found.filter("not hot"), size, gram), "extended")
-    left = matched.filter("h1 is not null").select("doc_id", "part", "first", "h1", "h2").unionByName(found.filter("hot").select("doc_id", "part", "first", "h1", "h2"))
+    hot = hot_keys(sparse.groupBy("gram").agg(F.count("*").alias("n")), ["gram"])
+    cold = reaches(sparse.join(F.broadcast(hot), "gram", "left_anti"), size, gram).withColumn("salt", F.lit(0))
+    salt = F.pmod(F.xxhash64("doc_id", "part"), F.ceil(F.col("n") / HOT_FROM)).cast("int")
+    warm = sparse.join(F.broadcast(hot), "gram").select("doc_id", "part", "place", F.lit(size).alias("reach"), salt.alias("salt"))
+    matched = written(extended(contexts(texts, cold.unionByName(warm), size, gram), size, gram), "extended")
+    left = matched.filter("h1 is not null").select("doc_id", "part", "first", "h1", "h2")
     exact = repeats(written(unrolled(left), "windows")).select("doc_id", "part", F.explode("starts").alias("first"))
     spans = matched.filter("h1 is null").select("doc_id", "part", "first", "last").unionByName(exact.select("doc_id", "part", "first", F.col("first").alias("last")))
     return spans.groupBy("doc_id", "part").agg(F.array_sort(F.collect_set(F.struct("first", "last"))).alias("starts"))
