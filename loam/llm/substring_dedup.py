@@ -1,10 +1,12 @@
 """Operator 7, substring dedup: a count-min sketch of all windows, merged from sketches of the partitions, overestimates how often each
 window occurs; a second pass groups exactly only the windows that it estimates repeated, and so loses none.
 
-The sketch has two rows of 2**16 to 2**max_log2 counters, chosen at about four a window, that stop at 255. Sketches of partitions are
-sparse and cut into blocks of counters; the merge streams through the partitions' parts of one block at a time. What goes to the
-executors is one bit a counter, whether it has LEAST or more: 64 MB at most as the default stands. Beyond that many windows the filter
-grows weaker and the second pass larger, but the result stays the same.
+The sketch has two rows of 2**16 to 2**max_log2 counters, chosen at about four a window, that stop at 255. Beside it, and in the same
+pass, a smaller one counts the minimisers of windows: a window occurs no more often than its minimiser, so a window is estimated
+repeated only if both sketches say so, which holds the number of wrong estimates down when the counters fill. Sketches of partitions
+are sparse and cut into blocks of counters; the merge streams through the partitions' parts of one block at a time. What goes to the
+executors is one bit a counter, whether it has LEAST or more: 72 MB at most as the defaults stand. Beyond that many windows the
+filter grows weaker and the second pass larger, but the result stays the same.
 
 Defined cases: a null, empty or blank text has no words; texts under SIZE words lose none; a very long text is one row of a task, with
 a few numbers of 8 bytes for each of its words; rows with one doc_id are documents of their own that are no repeats of one another; a
@@ -22,9 +24,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import map_arrow, mixed, modest_batches, raw_texts, table, word_hashes, written
-from .passages import SIZE, WINDOW_SCHEMA, Windows, classes, covered, keyed, repeats, representatives, rewritten, tools
+from .passages import GRAM, SIZE, WINDOW_SCHEMA, Windows, classes, covered, grams_and_minimisers, keyed, repeats, representatives, rewritten, tools
 
 MAX_LOG2, BLOCK_LOG2, LEAST = 28, 16, 2
+#: The minimisers are so many times fewer that their sketch has 2**3 times fewer counters.
+FEWER_LOG2 = 3
 HOLD = 1 << 20
 
 
@@ -40,8 +44,8 @@ def cells(h: np.ndarray, log2: int) -> np.ndarray:
         return np.stack([h & low, (mixed(h ^ np.uint64(0x5851F42D4C957F2D)) & low) + np.uint64(1 << log2)])
 
 
-def blocks_of(h: np.ndarray, log2: int) -> pa.RecordBatch:
-    """A sparse sketch of window hashes: for each block of counters the places in it and, behind them, their counts."""
+def blocks_of(h: np.ndarray, log2: int, kind: int) -> pa.RecordBatch:
+    """A sparse sketch of hashes of a kind: for each block of counters the places in it and, behind them, their counts."""
     flat = np.sort(cells(h, log2).ravel())
     at = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
     counts = np.minimum(np.diff(at, append=len(flat)), 255).astype(np.uint8)
@@ -51,24 +55,24 @@ def blocks_of(h: np.ndarray, log2: int) -> pa.RecordBatch:
     place = (flat & np.uint64((1 << wide) - 1)).astype("<u2")
     edges = np.flatnonzero(np.diff(block, prepend=-1)).tolist()
     parts = [place[a:b].tobytes() + counts[a:b].tobytes() for a, b in zip(edges, [*edges[1:], len(flat)])]
-    return pa.RecordBatch.from_pydict({"block": pa.array(block[edges]), "counts": pa.array(parts, pa.binary())})
+    return pa.RecordBatch.from_pydict({"kind": pa.array([kind] * len(edges), pa.int32()), "block": pa.array(block[edges]), "counts": pa.array(parts, pa.binary())})
 
 
-def merged(parts: DataFrame, log2: int) -> DataFrame:
-    """block and its counters (a byte each), summed over the sparse sketches of all partitions."""
+def merged(parts: DataFrame) -> DataFrame:
+    """kind, block and its counters (a byte each), summed over the sparse sketches of all partitions."""
 
     def merge(batches):
-        now, counter = None, np.zeros(1 << block_log2(log2), np.uint32)
+        now, counter = None, np.zeros(1 << BLOCK_LOG2, np.uint32)
 
         def done():
-            return pa.RecordBatch.from_pydict({"block": pa.array([now], pa.int32()), "counters": pa.array([np.minimum(counter, 255).astype(np.uint8).tobytes()], pa.binary())})
+            return pa.RecordBatch.from_pydict({"kind": pa.array(now[:1], pa.int32()), "block": pa.array(now[1:], pa.int32()), "counters": pa.array([np.minimum(counter, 255).astype(np.uint8).tobytes()], pa.binary())})
 
         for batch in batches:
-            for block, counts in zip(batch.column("block").to_pylist(), batch.column("counts").to_pylist()):
-                if block != now:
+            for *key, counts in zip(*(batch.column(c).to_pylist() for c in ("kind", "block", "counts"))):
+                if key != now:
                     if now is not None:
                         yield done()
-                    now = block
+                    now = key
                     counter[:] = 0
                 n = len(counts) // 3
                 place, own = np.frombuffer(counts, "<u2", n), np.frombuffer(counts, np.uint8, n, 2 * n)
@@ -76,60 +80,82 @@ def merged(parts: DataFrame, log2: int) -> DataFrame:
         if now is not None:
             yield done()
 
-    return parts.repartition("block").sortWithinPartitions("block").mapInArrow(merge, "block int, counters binary")
+    return parts.repartition("kind", "block").sortWithinPartitions("kind", "block").mapInArrow(merge, "kind int, block int, counters binary")
 
 
-def sketch(documents: DataFrame, log2: int, size: int = SIZE) -> DataFrame:
-    """The merged count-min sketch of all windows: block, counters."""
+def logs(log2: int) -> tuple[int, int]:
+    """The counters in a row of both sketches, as powers of two."""
+    return log2, max(4, log2 - FEWER_LOG2)
+
+
+def sketch(documents: DataFrame, log2: int, size: int = SIZE, gram: int = GRAM) -> DataFrame:
+    """The merged count-min sketches of all windows (kind 0) and their minimisers (kind 1): kind, block, counters."""
 
     def partial(batches):
         seen, a, _ = tools()
-        held: list = []
+        held: tuple[list, list] = ([], [])
         n = 0
+
+        def flush():
+            for kind, own in enumerate(held):
+                yield blocks_of(np.concatenate(own), logs(log2)[kind], kind)
+
         for batch in batches:
             for text in raw_texts(batch):
                 words = text.split()
                 if len(words) >= size:
-                    held.append(a(word_hashes(words, seen), size))
-                    n += len(held[-1])
+                    w = word_hashes(words, seen)
+                    g, at = grams_and_minimisers(w, a, size, gram)
+                    held[0].append(a(w, size))
+                    held[1].append(g[np.unique(at)])
+                    n += len(at)
                 if n >= HOLD:
-                    yield blocks_of(np.concatenate(held), log2)
-                    held, n = [], 0
+                    yield from flush()
+                    held, n = ([], []), 0
         if n:
-            yield blocks_of(np.concatenate(held), log2)
+            yield from flush()
 
     modest_batches(documents.sparkSession)
-    return merged(documents.select("text").mapInArrow(partial, "block int, counts binary"), log2)
+    return merged(documents.select("text").mapInArrow(partial, "kind int, block int, counts binary"))
 
 
-def often(counters: DataFrame, log2: int, least: int = LEAST) -> np.ndarray:
-    """A bit for each counter, whether it is least or more; rows come one by one, at most 2 << (log2 - BLOCK_LOG2) of 8 KB."""
+def often(counters: DataFrame, log2: int, least: int = LEAST) -> list[np.ndarray]:
+    """For both sketches a bit for each counter, whether it is least or more; rows come one by one, a few thousand of 8 KB at most."""
 
     def run(batch: pa.RecordBatch) -> dict:
         bits = [np.packbits(np.frombuffer(c, np.uint8) >= least, bitorder="little").tobytes() for c in batch.column("counters").to_pylist()]
-        return {"block": batch.column("block"), "bits": pa.array(bits, pa.binary())}
+        return {"kind": batch.column("kind"), "block": batch.column("block"), "bits": pa.array(bits, pa.binary())}
 
-    width = 1 << block_log2(log2) >> 3
-    out = np.zeros(2 << log2 >> 3, np.uint8)
-    for row in map_arrow(counters, run, "block int, bits binary").toLocalIterator():
-        out[row.block * width : (row.block + 1) * width] = np.frombuffer(row.bits, np.uint8)
+    out = [np.zeros(max(2 << x >> 3, 1), np.uint8) for x in logs(log2)]
+    for row in map_arrow(counters, run, "kind int, block int, bits binary").toLocalIterator():
+        width = 1 << block_log2(logs(log2)[row.kind]) >> 3
+        out[row.kind][row.block * width : (row.block + 1) * width] = np.frombuffer(row.bits, np.uint8)[:width]
     return out
 
 
-def estimated(documents: DataFrame, bits, log2: int, size: int = SIZE) -> DataFrame:
-    """The windows that are estimated to occur LEAST times or more."""
+def set_in(bits: np.ndarray, h: np.ndarray, log2: int) -> np.ndarray:
+    """Whether both counters of each hash are set."""
+    c = cells(h, log2)
+    return ((bits[c >> np.uint64(3)] >> (c & np.uint64(7)).astype(np.uint8)) & 1).all(0)
+
+
+def estimated(documents: DataFrame, bits, log2: int, size: int = SIZE, gram: int = GRAM) -> DataFrame:
+    """The windows that are estimated to occur LEAST times or more, as their minimisers are."""
 
     def run(batch: pa.RecordBatch) -> dict | None:
         seen, a, b = tools()
-        table, out = bits.value, Windows()
+        (of_windows, of_grams), out = bits.value, Windows()
         for doc_id, part, text in zip(batch.column("doc_id").to_pylist(), batch.column("part").to_pylist(), raw_texts(batch)):
             words = text.split()
             if len(words) < size:
                 continue
             w = word_hashes(words, seen)
+            g, at = grams_and_minimisers(w, a, size, gram)
+            keep = np.flatnonzero(set_in(of_grams, g, logs(log2)[1])[at])
+            if not len(keep):
+                continue
             h = a(w, size)
-            c = cells(h, log2)
-            keep = np.flatnonzero(((table[c >> np.uint64(3)] >> (c & np.uint64(7)).astype(np.uint8)) & 1).all(0))
+            keep = keep[set_in(of_windows, h[keep], log2)]
             if len(keep):
                 out.add(doc_id, part, keep, h[keep], b(w, size)[keep])
         return out.columns()

@@ -55,7 +55,7 @@ def test_the_sketch_overestimates_windows(spark):
     rows = texts(5)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     counters = np.zeros(1 << 17, np.uint8)
-    for r in substring_dedup.sketch(df, 16).collect():
+    for r in substring_dedup.sketch(df, 16).filter("kind = 0").collect():
         counters[r.block << 16 : (r.block + 1) << 16] = np.frombuffer(r.counters, np.uint8)
     seen, a, _ = passages.tools()
     h = np.concatenate([a(common.word_hashes(t.encode().split(), seen), 50) for _, t in rows])
@@ -78,7 +78,7 @@ def test_neighbours_extend_to_both_sides(spark):
     rows = [(i, " ".join([*[word() for _ in range(60)], *shared, *[word() for _ in range(60)]])) for i in range(6)]
     known = suffix_dedup.classes(df := spark.createDataFrame(rows, "doc_id long, text string"))
     reps = suffix_dedup.representatives(df, known)
-    reached = suffix_dedup.reaches(suffix_dedup.suffixes(reps)).selectExpr("*", "false AS hot")
+    reached = suffix_dedup.reaches(suffix_dedup.suffixes(reps)).selectExpr("*", "0 AS salt")
     got = suffix_dedup.extended(suffix_dedup.contexts(reps, reached)).collect()
     spans = {(r.doc_id, r["first"], r["last"]) for r in got if r.h1 is None}
     for d in range(1, 6):  # the whole passage is found by matches alone
