@@ -12,19 +12,23 @@ link when 100 * |intersection| >= percent * |union|; the distance 1 - Jaccard is
    its seeds has no link and goes no further.
    A region's documents are first compared by how their shingles spread over cells of the hash space: the counts of two linked sets
    differ by no more than the sets do, so a document that is too far from all others of the region by that measure has no link in it.
-3. A region of at most LEAF documents is joined in one task. A larger one gets pivots of its own, drawn by hash: a document belongs
-   to the cell of the nearest, and also to each cell whose pivot is at most 2 * EPS farther (if x is at home in a cell and y is
-   linked with x, y is in that cell). Documents within EPS of a cell's pivot link to it there and then; a cell whose documents are
-   all connected by such links is done, and the other cells join in the same way. A region that its cells don't divide (they hold
-   more than twice its documents, or one of them nearly all), or that is still too large after LEVELS steps, is joined exactly by
-   pairs of blocks: documents that are not yet connected with the region's largest component, against all.
+   Regions of more than COMPARED documents skip that step.
+3. Every region divides into Voronoi cells. Pivots are drawn, a document is at home in the cell of the nearest, and is replicated to
+   each cell whose pivot is at most 2 * EPS farther (the window: if x is at home in a cell and y is linked with x, then by the
+   triangle inequality y is in that cell). Documents within EPS of a pivot link to it there and then; a cell whose documents are all
+   connected is done; the other cells divide in the same way, until they hold two documents, or have no more than their parent.
+   A region of at most LEAF documents and LEAF_SHINGLES shingles is divided within one task (`divided`), its pivots being documents far
+   from one another. A larger one is divided by Spark (`cells`), its pivots drawn by hash, up to LEVELS times; one that its cells don't
+   divide (they hold more than twice its documents, or one of them nearly all) is joined exactly by pairs of blocks: documents that
+   are not yet connected with the region's largest component, against all. Each pair of blocks is divided within a task again.
 4. Components of the links, by stars.
 
-Only connections leave a region (a star for each of its components), not all links of a group.
+Only connections leave a region (a tree for each of its components), not all links of a group.
 
-Defined cases: a null or empty text has no shingles and links with nothing; a row with a null doc_id links with nothing and has no
-component; rows with one doc_id are compared each and share its component; an empty table gives no rows; extra columns are ignored
-by `components_of` and kept by `one_of_each`.
+Defined cases: a null or empty text has no shingles and links with nothing; a very long text is one row of a task, with some numbers of
+8 bytes for each of its words, and is joined in regions that few others share; a row with a null doc_id links with nothing and has no
+component; rows with one doc_id are compared each and share its component; an empty table gives no rows; extra columns, whatever their
+names, are ignored by `components_of` and kept by `one_of_each`.
 """
 
 from __future__ import annotations
@@ -35,11 +39,11 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BASE_A, Rolling, WordHash, list_array, map_arrow, raw_texts, record_batch, signed, small, table, word_hashes, worker_state, written
+from .common import BASE_A, Rolling, WordHash, apart, join_hot, list_array, map_arrow, raw_texts, record_batch, signed, small, table, word_hashes, worker_state, written
 from .graph import components
 
 K, PERCENT = 4, 85
-HOT, HOT_FROM, LEAF, LEVELS, PIVOTS, COMPARED = 1 << 18, 64, 512, 2, 24, 4096
+HOT, HOT_FROM, LEAF, LEAF_SHINGLES, LEVELS, PIVOTS, COMPARED = 1 << 18, 64, 512, 4_000_000, 2, 24, 4096
 BROADCAST_ROWS = 250_000
 
 def tools() -> tuple[WordHash, Rolling]:
@@ -143,48 +147,60 @@ def sketched(documents: DataFrame, hot, k: int, percent: int) -> DataFrame:
 
 
 def seeded(rows: DataFrame, copies: DataFrame, percent: int) -> DataFrame:
-    """region (its pivot's doc_id) and doc_id of the documents that share seeds and can have a link in the region; written."""
+    """region (its pivot's doc_id), doc_id and n of the documents that share seeds and can have a link in the region; written."""
     again = small(copies.select("doc_id", "d1").distinct(), BROADCAST_ROWS)
     tokens = rows.filter("doc_id is not null and n > 0").join(again, ["doc_id", "d1"], "left_anti").select(F.explode("seeds").alias("token"), "doc_id")
-    shared = tokens.groupBy("token").agg(F.min("doc_id").alias("region"), F.max("doc_id").alias("other")).filter("region < other").select("token", "region")
-    members = tokens.join(shared, "token").select("region", "doc_id").distinct()
-    sized = members.join(rows.select("doc_id", "n", "spread"), "doc_id")
+    shared = tokens.groupBy("token").agg(F.min("doc_id").alias("region"), F.max("doc_id").alias("other"), F.count("*").alias("n")).filter("region < other").select("token", "region", "n")
+    members = written(join_hot(tokens, written(shared, "seeds"), ["token"]).select("region", "doc_id").distinct(), "members")
+    # large regions go on as they are: no task gets one whole
+    large = small(written(members.groupBy("region").agg(F.count("*").alias("m")).filter(F.col("m") > COMPARED).select("region"), "large"), BROADCAST_ROWS)
+    sizes = rows.filter("doc_id is not null").groupBy("doc_id").agg(F.max("n").alias("n"))
+    through = members.join(large, "region", "left_semi").join(sizes, "doc_id").select("region", "doc_id", "n")
+    sized = members.join(large, "region", "left_anti").join(rows.select("doc_id", "n", "spread"), "doc_id")
 
     def run(batches):
-        now, held, passing = None, [], False
+        now, held = None, []
 
         def done():
             held.sort(key=lambda x: x[1])
-            keep = with_company(np.array([x[1] for x in held], np.int64), [np.frombuffer(x[2], np.uint8) for x in held], percent) if not passing else np.ones(len(held), bool)
-            ids = [x[0] for x, k in zip(held, keep) if k]
-            return pa.RecordBatch.from_pydict({"region": pa.array([now] * len(ids), pa.int64()), "doc_id": pa.array(ids, pa.int64())})
+            keep = with_company(np.array([x[1] for x in held], np.int64), [np.frombuffer(x[2], np.uint8) for x in held], percent)
+            left = {x[0]: x[1] for x, k in zip(held, keep) if k}
+            return pa.RecordBatch.from_pydict({"region": pa.array([now] * len(left), pa.int64()), "doc_id": pa.array(list(left), pa.int64()), "n": pa.array(list(left.values()), pa.int64())})
 
         for batch in batches:
             for row in zip(*(batch.column(c).to_pylist() for c in ("region", "doc_id", "n", "spread"))):
                 if row[0] != now:
                     if held:
                         yield done()
-                    now, held, passing = row[0], [], False
+                    now, held = row[0], []
                 held.append(row[1:])
-                if len(held) == COMPARED:  # a region this large goes on as it is
-                    passing = True
-                    yield done()
-                    held = []
         if held:
             yield done()
 
-    return written(sized.repartition("region").sortWithinPartitions("region").mapInArrow(run, "region long, doc_id long"), "regions")
+    near = sized.repartition("region").sortWithinPartitions("region").mapInArrow(run, "region long, doc_id long, n long")
+    return written(near.unionByName(through), "regions")
 
 
 def with_sets(documents: DataFrame, members: DataFrame, k: int) -> DataFrame:
     """members (region, doc_id and more) with the set of each document; a document's text is read once, however many regions it is in."""
     more = [c for c in members.columns if c != "doc_id"]
     per_doc = written(members.groupBy("doc_id").agg(F.collect_list(F.struct(*more)).alias("at")), "members")
-    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(small(per_doc, BROADCAST_ROWS), "doc_id")
+    rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(small(per_doc, BROADCAST_ROWS, F.size("at") * (16 * len(more) + 16)), "doc_id")
     sets = map_arrow(rows, lambda b: {"doc_id": b.column("doc_id"), "at": b.column("at"), "items": [shingles(t, k).tobytes() for t in raw_texts(b)]}, f"doc_id long, at {dict(per_doc.dtypes)['at']}, items binary")
     return sets.select("doc_id", "items", F.explode("at").alias("at")).select("at.*", "doc_id", "items")
 
 
+def shared_with(pivots: list[np.ndarray], sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of each set with each pivot."""
+    every, inverse = np.unique(np.concatenate(pivots), return_inverse=True)
+    has = np.zeros((len(every) + 1, len(pivots)), np.int32)
+    has[inverse, np.repeat(np.arange(len(pivots)), [len(p) for p in pivots])] = 1
+    flat = np.concatenate(sets)
+    at = np.searchsorted(every, flat)
+    at[every[np.minimum(at, len(every) - 1)] != flat] = len(every)
+    return np.add.reduceat(has[at], np.concatenate([[0], np.cumsum([len(s) for s in sets])[:-1]]), axis=0)
+
+
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     """Sizes of all intersections: products of the matrix of shingles that two sets or more have, by parts."""
     sizes = [len(s) for s in sets]
@@ -206,34 +222,88 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+class Forest:
+    """What is connected so far, and a tree of connections for each component."""
+
+    def __init__(self, n: int):
+        self.up, self.links = list(range(n)), []
+
+    def top(self, i: int) -> int:
+        while self.up[i] != i:
+            self.up[i] = self.up[self.up[i]]
+            i = self.up[i]
+        return i
+
+    def connect(self, i: int, j: int) -> None:
+        a, b = self.top(i), self.top(j)
+        if a != b:
+            self.up[a] = b
+            self.links.append((i, j))
+
+
+def divided(sets: list[np.ndarray], percent: int, tally: dict | None = None) -> list[tuple[int, int]]:
+    """Pairs (i, j) of linked sets that connect all sets that links connect: Voronoi cells with windows, again and again.
+
+    Pivots are the first set and then, in turn, the one farthest from all pivots so far, while it is beyond the window of them; two
+    sets of a cell are compared themselves. tally counts cells, replicated sets and pairs compared."""
+    eps, forest = 1 - percent / 100, Forest(len(sets))
+    sizes = np.array([len(s) for s in sets], np.int64)
+    count = lambda what, n=1: tally.__setitem__(what, tally.get(what, 0) + n) if tally is not None else None
+
+    def linked(i: int, j: int) -> None:
+        count("pairs")
+        low, high = sorted((sizes[i], sizes[j]))
+        if 100 * low < percent * high or forest.top(i) == forest.top(j):
+            return
+        both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+        if 100 * both >= percent * (sizes[i] + sizes[j] - both):
+            forest.connect(i, j)
+
+    todo = [np.arange(len(sets))]
+    while todo:
+        own = todo.pop()
+        if len(own) <= 2:
+            if len(own) == 2:
+                linked(int(own[0]), int(own[1]))
+            continue
+        pivots, d = [], np.zeros((len(own), 0))
+        most = max(2, min(PIVOTS, int(len(own) ** 0.5) + 1))
+        following = 0
+        while len(pivots) < most:
+            p = int(own[following])
+            pivots.append(p)
+            both = shared_with([sets[p]], [sets[i] for i in own])[:, 0].astype(np.int64)
+            union = sizes[own] + sizes[p] - both
+            for i in own[100 * both >= percent * union].tolist():
+                if i != p:
+                    forest.connect(i, p)
+            d = np.hstack([d, (1 - both / union)[:, None]])
+            following = int(d.min(1).argmax())
+            if d[following].min() <= 2 * eps:
+                break
+        near = d.min(1)
+        parts = [own[d[:, j] <= near + 2 * eps + 1e-9] for j in range(len(pivots))]
+        count("cells", len(parts))
+        count("replicas", sum(map(len, parts)) - len(own))
+        parts = [x for x in parts if len({forest.top(int(i)) for i in x}) > 1]
+        if sum(map(len, parts)) <= 2 * len(own) and max(map(len, parts), default=0) <= 0.9 * len(own):
+            todo += parts
+        elif parts:  # no division to speak of: all pairs of the region
+            count("pairs", len(own) * (len(own) - 1) // 2)
+            both = overlaps([sets[i] for i in own]).astype(np.int64)
+            near_by = np.triu(100 * both >= percent * (sizes[own][:, None] + sizes[own][None, :] - both), 1)
+            for i, j in zip(*np.nonzero(near_by)):
+                forest.connect(int(own[i]), int(own[j]))
+    return forest.links
+
+
 def stars(ids: np.ndarray, sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """A pair (document, smallest document) for each document of each component of more than one."""
-    n = np.array([len(s) for s in sets])
-    if len(ids) == 2:
-        both = np.array([[0, len(np.intersect1d(*sets, assume_unique=True))]] * 2)
-        both[1, 0] = both[0, 1]
-    else:
-        both = overlaps(sets).astype(np.int64)
-    linked = 100 * both >= percent * (n[:, None] + n[None, :] - both)
-    np.fill_diagonal(linked, False)
-    out, todo = [], np.ones(len(ids), bool)
-    for i in range(len(ids)):
-        if todo[i] and linked[i].any():
-            reached = np.zeros(len(ids), bool)
-            front = np.array([i])
-            reached[i] = True
-            while len(front):
-                front = np.flatnonzero(linked[front].any(0) & ~reached)
-                reached[front] = True
-            todo &= ~reached
-            own = ids[reached]
-            low = own.min()
-            out += [(int(x), int(low)) for x in own if x != low]
-    return out
+    """Pairs of ids that connect all documents that links connect."""
+    return [(int(ids[i]), int(ids[j])) for i, j in divided(sets, percent)]
 
 
 def joined(members: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) that connect what is connected in each region; region, doc_id, items in, a region at most LEAF documents."""
+    """Links (a, b) that connect what is connected in each region; region, doc_id, items in, a region within the bounds of LEAF."""
 
     def run(batches):
         now, ids, sets, out = None, [], [], []
@@ -311,14 +381,15 @@ def labelled(members: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def blocks(members: DataFrame) -> DataFrame:
-    """Regions of members (region, doc_id, label) as pairs of a block of documents outside the region's largest label and a block of any.
+    """Regions of members (region, doc_id, n, label) as pairs of a block of documents outside the region's largest label and a block of any.
 
     Documents of one label are connected already, so every link that is still missing has an end outside the largest one."""
     small_block, block = LEAF // 4, 3 * LEAF // 4
-    per_label = members.groupBy("region", "label").agg(F.count("*").alias("n"))
-    per_region = per_label.groupBy("region").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("m"))
+    per_label = members.groupBy("region", "label").agg(F.count("*").alias("n"), F.sum("n").alias("w"))
+    per_region = per_label.groupBy("region").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("m"), F.sum("w").alias("w"))
     rows = members.join(per_region, "region")
-    n_out, n_all = F.ceil((F.col("m") - F.col("top.n")) / small_block).cast("int"), F.ceil(F.col("m") / block).cast("int")
+    parts = lambda m, size, share: F.ceil(F.greatest(m / size, F.col("w") / (share * LEAF_SHINGLES))).cast("int")
+    n_out, n_all = parts(F.col("m") - F.col("top.n"), small_block, 0.25), parts(F.col("m"), block, 0.75)
     h = F.xxhash64("doc_id")
     rows = rows.filter(F.col("m") > F.col("top.n")).select("region", "doc_id", (F.col("label") != F.col("top.label")).alias("out"), n_out.alias("n_out"), n_all.alias("n_all"), F.pmod(h, n_out).alias("i"), F.pmod(h, n_all).alias("j"))
     of_all = rows.select("region", "doc_id", "j", F.explode(F.sequence(F.lit(0), F.col("n_out") - 1)).alias("i"))
@@ -337,23 +408,25 @@ def links(documents: DataFrame, members: DataFrame, k: int, percent: int) -> Dat
     """Pairs (a, b) that connect all documents that links connect."""
     near, leaves = [], []
     for level in range(LEVELS):
-        sizes = written(members.groupBy("region").agg(F.count("*").alias("m")).filter("m > 1"), "sizes")
-        leaves.append(members.join(sizes.filter(F.col("m") <= LEAF).select("region"), "region", "left_semi"))
-        large = sizes.filter(F.col("m") > LEAF)
+        sizes = written(members.groupBy("region").agg(F.count("*").alias("m"), F.sum("n").alias("w")).filter("m > 1"), "sizes")
+        fits = (F.col("m") <= LEAF) & ((F.col("w") <= LEAF_SHINGLES) | (F.col("m") == 2))
+        leaves.append(members.join(sizes.filter(fits).select("region"), "region", "left_semi").select("region", "doc_id"))
+        large = sizes.filter(~fits).select("region", "m")
         if not large.limit(1).count():
             break
-        found = cells(documents, members, large, k, percent, level)
+        found = cells(documents, members.select("region", "doc_id"), large, k, percent, level)
         near.append(found.filter("d < 0 and doc_id <> cell").select(F.col("doc_id").alias("a"), F.col("cell").alias("b")))
-        found = labelled(found.select("parent", "region", "doc_id").distinct(), union(near))
+        per_doc = members.groupBy("doc_id").agg(F.max("n").alias("n"))
+        found = labelled(found.select("parent", "region", "doc_id").distinct().join(per_doc, "doc_id"), union(near))
         # a cell whose documents are all connected is done
-        open_cells = found.groupBy("parent", "region").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n")).filter("low < high")
+        open_cells = found.groupBy("parent", "region").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("m")).filter("low < high")
         # a region whose cells hold more than twice its documents gains nothing by them
-        parents = open_cells.groupBy("parent").agg(F.sum("n").alias("n"), F.max("n").alias("most")).join(large.withColumnRenamed("region", "parent"), "parent").withColumn("worse", F.expr(f"n > 2 * m or most > 0.9 * m or {level + 1} = {LEVELS}"))
+        parents = open_cells.groupBy("parent").agg(F.sum("m").alias("all"), F.max("m").alias("most")).join(large.withColumnRenamed("region", "parent"), "parent").withColumn("worse", F.expr(f"all > 2 * m or most > 0.9 * m or {level + 1} = {LEVELS}"))
         parents = written(parents.select("parent", "worse"), "parents")
-        worse = found.join(parents.filter("worse").select("parent"), "parent", "left_semi").select(F.col("parent").alias("region"), "doc_id", "label").distinct()
+        worse = found.join(parents.filter("worse").select("parent"), "parent", "left_semi").select(F.col("parent").alias("region"), "doc_id", "n", "label").distinct()
         leaves.append(blocks(worse))
         better = open_cells.join(parents.filter("not worse"), "parent", "left_semi").select("region")
-        members = written(found.join(better, "region", "left_semi").select("region", "doc_id"), "regions")
+        members = written(found.join(better, "region", "left_semi").select("region", "doc_id", "n"), "regions")
     return written(union([joined(with_sets(documents, union(leaves), k), percent), *near]), "links")
 
 
@@ -361,8 +434,8 @@ def components_of(documents: DataFrame, k: int = K, percent: int = PERCENT) -> D
     """doc_id, n_shingles and component_id of each row of documents."""
     hot = documents.sparkSession.sparkContext.broadcast(frequent(documents, k, percent))
     rows = sketched(documents, hot, k, percent)
-    classes = rows.filter("doc_id is not null and n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("other")).filter("rep < other").drop("other")
-    known = written(rows.select("doc_id", "n", "d1", "d2").join(classes, ["d1", "d2"], "left"), "classes")
+    classes = rows.filter("doc_id is not null and n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("other"), F.count("*").alias("count")).filter("rep < other").select("d1", "d2", "rep", F.col("count").alias("n"))
+    known = written(join_hot(rows.select("doc_id", F.col("n").alias("size"), "d1", "d2"), written(classes, "copies"), ["d1", "d2"], "left").withColumnRenamed("size", "n"), "classes")
     members = seeded(rows, known.filter("doc_id > rep"), percent)
     found = written(components(links(documents, members, k, percent)), "components")
     own = known.withColumn("rep", F.coalesce("rep", "doc_id"))
@@ -372,9 +445,11 @@ def components_of(documents: DataFrame, k: int = K, percent: int = PERCENT) -> D
 
 def one_of_each(documents: DataFrame, k: int = K, percent: int = PERCENT) -> DataFrame:
     """The rows of documents whose doc_id is the smallest of its component, and those without a doc_id."""
-    keep = components_of(documents, k, percent).filter("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
-    keep = written(keep, "kept")
-    return documents.join(keep, F.col("doc_id") == F.col("__id"), "left_semi").unionByName(documents.filter("doc_id is null"))
+    keep = components_of(documents, k, percent).filter("doc_id = component_id").select(F.col("doc_id").alias("kept")).distinct()
+    own, names = apart(documents)
+    doc_id = F.col(names["doc_id"])
+    out = own.join(written(keep, "kept"), doc_id == F.col("kept"), "left_semi").unionByName(own.filter(doc_id.isNull()))
+    return out.toDF(*documents.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
