@@ -8,91 +8,125 @@ Defined cases: a null or wordless text has 0 words and no hit; a null, empty or
 that share a window, are all named; a null item_id takes part in hits but is not named; an empty benchmark hits nothing. Columns of
 `documents` other than doc_id and text are ignored by `hits` and kept by `cleaned`.
 
-The automaton is built on the driver from benchmark shards of at most `shard_words` words each (a stated bound on what is sent to
-executors); each shard is one more pass of the same map, so a benchmark of any size works. Documents are never shuffled.
+A very long text is one row of a task, with a few numbers of 8 bytes for each of its words.
+
+The benchmark goes to the executors by broadcast in shards of at most `shard_words` words (or one item), as coded words; each worker
+builds a shard's automaton once, in flat arrays of about 100 bytes a word. The driver reads the benchmark shard by shard and holds one.
+Each shard beyond the first is one more pass of the same map, over a table that the pass before has written. Documents are never
+shuffled.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import uuid
+from array import array
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import list_array, map_arrow, raw_texts, table
+from .common import apart, list_array, map_arrow, raw_texts, table, worker_state, written
 
 #: Fixed by the contract: bytes that end a word (every byte of a non-ASCII character belongs to a word).
 WORD = rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-WINDOW, SHARD_WORDS = 10, 2_000_000
+WINDOW, SHARD_WORDS = 10, 500_000
 SCHEMA = "n_words long, hits array<int>, item_ids array<string>"
 
 
 class Automaton:
-    """States hold the suffix link, the longest length and the transitions; `ends` the items whose windows end in a state."""
+    """Suffix automaton of several items. A state has a suffix link, its longest length, and its transitions: the first of them in two
+    flat arrays, for most states have one only, the others in a table by (state, word). `own` has, for the states that hold windows,
+    their lengths and items; `via` leads from a state to the nearest of its suffixes that does."""
 
     def __init__(self, items: list[tuple[str | None, list[bytes]]], window: int):
         self.window, self.vocab = window, {}
-        self.next, self.link, self.length = [{}], [-1], [0]
+        self.word, self.to, self.more, self.branches = array("i", [-1]), array("i", [-1]), {}, {}
+        self.link, self.length = array("i", [-1]), array("i", [0])
         coded = [(name, [self.vocab.setdefault(w, len(self.vocab)) for w in words]) for name, words in items if words]
+        self.n_words = max(len(self.vocab), 1)
         for _, codes in coded:
             last = 0
             for c in codes:
                 last = self.extend(last, c)
-        #: For the state that holds a window as its suffix of that length: length -> items.
-        self.found: list[dict[int, set]] = [{} for _ in self.next]
+        self.own: dict[int, list[tuple[int, list]]] = {}
         for name, codes in coded:
             size = min(window, len(codes))
             at = matched = 0
             for i, c in enumerate(codes):
                 at, matched = self.step(at, matched, c)
                 if i + 1 >= size:
-                    self.found[self.holding(at, size)].setdefault(size, set()).add(name)
-        #: All windows that end with the longest match of a state: those of its own and of its suffixes.
-        order = sorted(range(len(self.next)), key=self.length.__getitem__)
-        self.windows: list[tuple] = [()] * len(self.next)
-        for v in order:
-            own = tuple((k, frozenset(s)) for k, s in self.found[v].items())
-            self.windows[v] = own + (self.windows[self.link[v]] if v else ())
+                    self.hold(self.holding(at, size), size, name)
+        self.via = array("i", [0]) * len(self.link)
+        for v in np.argsort(np.array(self.length), kind="stable").tolist():
+            self.via[v] = v if v in self.own else self.via[self.link[v]] if v else 0
         self.least = min((min(window, len(c)) for _, c in coded), default=0)
-        self.pairs = np.unique(np.array([a * len(self.vocab) + b for _, c in coded for a, b in zip(c, c[1:])] or [-1], np.int64))
+        self.pairs = np.unique(np.array([a * self.n_words + b for _, c in coded for a, b in zip(c, c[1:])] or [-1], np.int64))
+
+    def hold(self, state: int, size: int, name: str | None) -> None:
+        for k, names in (held := self.own.setdefault(state, [])):
+            if k == size:
+                if name not in names[-1:]:
+                    names.append(name)
+                return
+        held.append((size, [name]))
+
+    def after(self, state: int, c: int) -> int:
+        """The state that follows, or -1."""
+        return self.to[state] if self.word[state] == c else self.more.get(state * self.n_words + c, -1) if self.more else -1
+
+    def lead(self, state: int, c: int, to: int) -> None:
+        if self.word[state] in (c, -1):
+            self.word[state], self.to[state] = c, to
+        else:
+            self.more[state * self.n_words + c] = to
+            self.branches.setdefault(state, []).append(c)
 
-    def new(self, length: int, link: int, following: dict) -> int:
+    def new(self, length: int, link: int) -> int:
         self.length.append(length)
         self.link.append(link)
-        self.next.append(following)
-        return len(self.next) - 1
+        self.word.append(-1)
+        self.to.append(-1)
+        return len(self.link) - 1
 
     def split(self, p: int, q: int, c: int) -> int:
         """A state for the suffixes of q up to one longer than p, which takes over their transitions."""
-        copy = self.new(self.length[p] + 1, self.link[q], dict(self.next[q]))
+        copy = self.new(self.length[p] + 1, self.link[q])
+        for w in [x for x in (self.word[q], *self.branches.get(q, ())) if x != -1]:
+            self.lead(copy, w, self.after(q, w))
         self.link[q] = copy
-        while p != -1 and self.next[p].get(c) == q:
-            self.next[p][c] = copy
+        while p != -1 and self.after(p, c) == q:
+            self.replace(p, c, copy)
             p = self.link[p]
         return copy
 
+    def replace(self, state: int, c: int, to: int) -> None:
+        if self.word[state] == c:
+            self.to[state] = to
+        else:
+            self.more[state * self.n_words + c] = to
+
     def extend(self, last: int, c: int) -> int:
-        q = self.next[last].get(c)
-        if q is not None:
+        q = self.after(last, c)
+        if q != -1:
             return q if self.length[q] == self.length[last] + 1 else self.split(last, q, c)
-        state, p = self.new(self.length[last] + 1, 0, {}), last
-        while p != -1 and c not in self.next[p]:
-            self.next[p][c] = state
+        state, p = self.new(self.length[last] + 1, 0), last
+        while p != -1 and self.after(p, c) == -1:
+            self.lead(p, c, state)
             p = self.link[p]
         if p != -1:
-            q = self.next[p][c]
+            q = self.after(p, c)
             self.link[state] = q if self.length[q] == self.length[p] + 1 else self.split(p, q, c)
         return state
 
     def step(self, at: int, matched: int, c: int) -> tuple[int, int]:
         """State and length of the longest suffix read so far that occurs in an item."""
-        while at and c not in self.next[at]:
+        while (to := self.after(at, c)) == -1 and at:
             at = self.link[at]
             matched = self.length[at]
-        return (self.next[at][c], matched + 1) if c in self.next[at] else (0, 0)
+        return (to, matched + 1) if to != -1 else (0, 0)
 
     def holding(self, at: int, size: int) -> int:
         while self.length[self.link[at]] >= size:
@@ -109,7 +143,7 @@ class Automaton:
         codes = np.array([get(w, -1) for w in words], np.int64)
         known = codes >= 0
         if self.least > 1:  # a window needs least - 1 adjacent pairs that occur in items
-            joined = codes[:-1] * len(self.vocab) + codes[1:]
+            joined = codes[:-1] * self.n_words + codes[1:]
             at = np.minimum(np.searchsorted(self.pairs, joined), len(self.pairs) - 1)
             known = (self.pairs[at] == joined) & known[:-1] & known[1:]
         edges = np.flatnonzero(np.diff(np.concatenate([[False], known, [False]]).astype(np.int8)))
@@ -120,10 +154,13 @@ class Automaton:
             state = matched = 0
             for i, c in enumerate(codes[a:b].tolist(), a):
                 state, matched = self.step(state, matched, c)
-                for size, names in self.windows[state]:
-                    if size <= matched:
-                        spans.append((i + 1 - size, i + 1))
-                        items |= names
+                v = self.via[state]
+                while v:
+                    for size, names in self.own[v]:
+                        if size <= matched:
+                            spans.append((i + 1 - size, i + 1))
+                            items.update(names)
+                    v = self.via[self.link[v]]
         return spans, items
 
 
@@ -141,26 +178,28 @@ def item_words(text: str | None) -> list[bytes]:
     return re.findall(WORD, (text or "").encode().lower())
 
 
-def shards(benchmark: DataFrame, shard_words: int) -> list[list[tuple[str | None, list[bytes]]]]:
-    """The items in groups of at most shard_words words (or one item)."""
-    out: list[list] = []
-    size = shard_words + 1
+def shards(benchmark: DataFrame, shard_words: int):
+    """The items in groups of at most shard_words words (or one item), one group after the other; one without items if there are none."""
+    held: list = []
+    size, none = 0, True
     for row in benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").toLocalIterator():
         words = item_words(row.text)
         if words:
-            if size + len(words) > shard_words:
-                out.append([])
-                size = 0
-            out[-1].append((row.item_id, words))
+            if held and size + len(words) > shard_words:
+                yield held
+                held, size, none = [], 0, False
+            held.append((row.item_id, words))
             size += len(words)
-    return out
+    if held or none:
+        yield held
 
 
-def matcher(items: list, window: int, word: bytes = WORD):
-    """From batches with doc_id, text and what shards before found to the same with this shard's added."""
-    machine = Automaton(items, window)
+def matcher(spark: SparkSession, items: list, window: int, word: bytes = WORD):
+    """From batches with text and what shards before found to the same with this shard's added."""
+    sent, key = spark.sparkContext.broadcast(items), uuid.uuid4().hex
 
     def run(batch: pa.RecordBatch) -> dict:
+        machine = worker_state(("automaton", key), lambda: Automaton(sent.value, window))
         find = re.compile(word).findall
         n_words, hits, counts, names = [], [], [], []
         for text, before, also in zip(raw_texts(batch), batch.column("hits").to_pylist(), batch.column("item_ids").to_pylist()):
@@ -176,13 +215,18 @@ def matcher(items: list, window: int, word: bytes = WORD):
     return run
 
 
-def hits(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS, keep_text: bool = False) -> DataFrame:
-    """doc_id, n_words, hits (merged spans of hit words as from, to, from, to ...), item_ids (sorted as strings), and the text if asked for."""
-    out = documents.select("doc_id", "text", F.lit(0).cast("long").alias("n_words"), F.expr("cast(array() as array<int>)").alias("hits"), F.expr("cast(array() as array<string>)").alias("item_ids"))
-    kind = dict(documents.dtypes)["doc_id"]
-    for items in shards(benchmark, shard_words) or [[]]:
-        out = map_arrow(out, matcher(items, window), f"doc_id {kind}, text string, {SCHEMA}")
-    return out if keep_text else out.drop("text")
+def found_in(rows: DataFrame, benchmark: DataFrame, window: int, shard_words: int) -> DataFrame:
+    """rows (text and more) with n_words, hits and item_ids: a map for each shard, over what the one before has written."""
+    kinds = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes)
+    out = rows.select("*", F.lit(0).cast("long").alias("n_words"), F.expr("cast(array() as array<int>)").alias("hits"), F.expr("cast(array() as array<string>)").alias("item_ids"))
+    for i, items in enumerate(shards(benchmark, shard_words)):
+        out = map_arrow(written(out, "matched") if i else out, matcher(rows.sparkSession, items, window), f"{kinds}, {SCHEMA}")
+    return out
+
+
+def hits(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_words: int = SHARD_WORDS) -> DataFrame:
+    """doc_id, n_words, hits (merged spans of hit words as from, to, from, to ...) and item_ids (sorted as strings)."""
+    return found_in(documents.select("doc_id", "text"), benchmark, window, shard_words).drop("text")
 
 
 def cut(text: bytes | None, n_words: int, spans: list[int], max_coverage: float) -> bytes | None:
@@ -202,25 +246,17 @@ def cleaned(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, ma
     """documents with the hit spans cut out of their texts, in the same columns; a text whose words are hit by more than max_coverage becomes empty.
 
     What is cut reaches from a span's first word to its last word; all other characters stay. n_chars, where there is one, follows the text."""
-    spare = {c: f"__{i}" for i, c in enumerate(documents.columns) if c not in ("doc_id", "text")}
-    out = documents.select("doc_id", "text", *[F.col(f"`{c}`").alias(s) for c, s in spare.items()]).select("*", F.lit(0).cast("long").alias("n_words"), F.expr("cast(array() as array<int>)").alias("hits"), F.expr("cast(array() as array<string>)").alias("item_ids"))
-    kinds = ", ".join(f"`{c}` {t}" for c, t in out.drop("n_words", "hits", "item_ids").dtypes)
-    *rest, last = shards(benchmark, shard_words) or [[]]
-    for items in rest:
-        out = map_arrow(out, matcher(items, window), f"{kinds}, {SCHEMA}")
-    match = matcher(last, window)
+    own, names = apart(documents)
+    found = found_in(own.withColumnRenamed(names["text"], "text"), benchmark, window, shard_words)
 
     def run(batch: pa.RecordBatch) -> dict:
-        found = match(batch)
-        texts = [cut(t, n, h, max_coverage) for t, n, h in zip(raw_texts(batch), found["n_words"], found["hits"].to_pylist())]
-        return found | {"text": pa.array(texts, pa.binary()).cast(pa.string())}
-
-    out = map_arrow(out, run, f"{kinds}, {SCHEMA}")
-    changed = F.size("hits") > 0
-    if "n_chars" in spare:
-        kind = dict(documents.dtypes)["n_chars"]
-        out = out.withColumn(spare["n_chars"], F.when(changed, F.length("text").cast(kind)).otherwise(F.col(spare["n_chars"])))
-    return out.select(*[F.col(spare.get(c, c)).alias(c) for c in documents.columns])
+        texts = [cut(t, n, h, max_coverage) for t, n, h in zip(raw_texts(batch), batch.column("n_words").to_pylist(), batch.column("hits").to_pylist())]
+        return {c: batch.column(c) for c in batch.schema.names} | {"text": pa.array(texts, pa.binary()).cast(pa.string())}
+
+    out = map_arrow(found, run, ", ".join(f"`{c}` {t}" for c, t in found.dtypes)).withColumnRenamed("text", names["text"])
+    if n := names.get("n_chars"):
+        out = out.withColumn(n, F.when(F.size("hits") > 0, F.length(names["text"]).cast(dict(own.dtypes)[n])).otherwise(F.col(n)))
+    return out.select(*own.columns).toDF(*documents.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

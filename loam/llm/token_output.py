@@ -2,15 +2,17 @@
 
 A 64-bit word holds a selector in its upper 4 bits and 60 bits of ids: 240 or 120 zeros, or 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3,
 2 or 1 ids of 1 to 60 bits. An id of 60 bits or more is escaped: a one-id word of all ones, and the id in the word after it. Ids of
-a document are cut into blocks of BLOCK ids, and a word never crosses a block, so blocks decode alone or all at once.
+a document are cut into blocks of BLOCK ids, and a word never crosses a block, so blocks decode alone or many at once; the reader takes
+runs of whole blocks and checks that each holds the ids it should.
 
-A file is a run of chunks, each: magic, number of documents, of blocks and of words (4 bytes each); doc_ids (8 bytes; the lowest
+A file is a run of at most CHUNKS_PER_FILE chunks of about CHUNK_IDS ids (or one document), each: magic, number of documents, of blocks and of words (4 bytes each); doc_ids (8 bytes; the lowest
 number stands for null), ids per document (8 bytes), the word at which each block begins (4 bytes), the words (8 bytes each), and
 one line feed, all little-endian. Files are written by Spark's text writer from bytes (so any file system and its commit protocol
 serve, and a lost executor's task is simply run again) and read by its binary reader.
 
 Defined cases: a null or empty text has the end id alone; a null doc_id sorts first; rows with equal doc_id follow each other in
-the order of their texts; an empty table gives no rows; extra columns are ignored.
+the order of their texts; a very long text is one chunk; an empty table gives no rows; extra columns are ignored. A vocabulary file that
+doesn't split texts as PATTERN says is an error.
 """
 
 from __future__ import annotations
@@ -28,6 +30,8 @@ from pyspark.sql import window as W
 from .common import map_arrow, modest_batches, new_path, ranges, table, worker_state, written
 
 END_ID, BLOCK, CHUNK_IDS, SEEN = 2, 4096, 1 << 18, 600_000
+#: Chunks of a file at most, and words that are decoded at once (in whole blocks).
+CHUNKS_PER_FILE, WORDS_AT_ONCE = 64, 1 << 16
 MAGIC = b"S8B1"
 #: Fixed values of the coding: ids in a word, and bits of each, by selector.
 COUNTS = [240, 120, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1]
@@ -138,6 +142,26 @@ def chunk(doc_ids: list, ids: list[np.ndarray]) -> bytes:
     return b"".join([MAGIC, struct.pack("<III", len(ids), len(at), len(words)), names.tobytes(), lengths.astype("<i8").tobytes(), at.astype("<u4").tobytes(), words.astype("<u8").tobytes()])
 
 
+def decoded(words: np.ndarray, at: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The ids of a chunk, by its block offsets: runs of whole blocks of about WORDS_AT_ONCE words, each of which must hold the ids
+    that the lengths of its documents say."""
+    blocks = -(-lengths // BLOCK)
+    last = np.cumsum(blocks)
+    size = np.full(len(at), BLOCK, np.int64)
+    some = blocks > 0
+    size[last[some] - 1] = lengths[some] - BLOCK * (blocks[some] - 1)
+    ends = np.append(at[1:], len(words)).astype(np.int64)
+    out, first = [], 0
+    while first < len(at):
+        stop = max(first + 1, int(np.searchsorted(ends, at[first] + WORDS_AT_ONCE, side="right")))
+        ids = unpacked(words[at[first] : ends[stop - 1]])
+        if len(ids) != size[first:stop].sum():
+            raise ValueError(f"blocks {first} to {stop - 1} hold {len(ids)} ids, not {size[first:stop].sum()}")
+        out.append(ids)
+        first = stop
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+
 def chunks(content: bytes):
     """doc_ids, ids per document and ids of each chunk of a file."""
     at = 0
@@ -148,10 +172,22 @@ def chunks(content: bytes):
         at += 16
         names = np.frombuffer(content, "<i8", n, at)
         lengths = np.frombuffer(content, "<i8", n, at + 8 * n)
-        at += 16 * n + 4 * blocks
-        ids = unpacked(np.frombuffer(content, "<u8", words, at))
+        at += 16 * n
+        begins = np.frombuffer(content, "<u4", blocks, at)
+        at += 4 * blocks
+        yield names, lengths, decoded(np.frombuffer(content, "<u8", words, at), begins, lengths)
         at += 8 * words + 1
-        yield names, lengths, ids
+
+
+def check_pattern(path: str) -> None:
+    """An error unless the vocabulary file splits a text as PATTERN does and changes nothing before."""
+    import json
+
+    with open(path, encoding="utf-8") as f:
+        d = json.load(f)
+    how = d.get("pre_tokenizer") or {}
+    if d.get("normalizer") or how.get("type") != "ByteLevel" or how.get("add_prefix_space") or not how.get("use_regex", True):
+        raise ValueError(f"{path} does not split texts by the pattern that this operator knows")
 
 
 class LibraryIds:
@@ -167,6 +203,7 @@ class LibraryIds:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
+        check_pattern(path)
         self.library.no_truncation()
         self.library.no_padding()
         self.special = {t.content: i for i, t in self.library.get_added_tokens_decoder().items()}
@@ -242,7 +279,7 @@ def write(documents: DataFrame, vocabulary_path: str, out: str, end_id: int = EN
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"), "text")
     modest_batches(documents.sparkSession)
-    rows.mapInArrow(run, "chunk binary").select(F.col("chunk").cast("string")).write.option("lineSep", "\n").text(out)
+    rows.mapInArrow(run, "chunk binary").select(F.col("chunk").cast("string")).write.option("lineSep", "\n").option("maxRecordsPerFile", CHUNKS_PER_FILE).text(out)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -266,9 +303,11 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
     rows = map_arrow(spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content"), run, "file string, doc_id long, before long, n_tokens long, ids_crc32 long")
     rows = written(rows, "token-rows")
-    # a row for each file: file names rise with the range of doc_ids
-    sizes = rows.groupBy("file").agg(F.sum("n_tokens").alias("n"))
-    firsts = sizes.select("file", (F.sum("n").over(W.Window.orderBy("file")) - F.col("n")).alias("first"))
+    # a row for each file, and no more, goes to the one task of this window: the task's number in a name, then the file's among the
+    # task's, rise with the range of doc_ids
+    number = lambda p: F.regexp_extract("file", p, 1).try_cast("long")
+    sizes = rows.groupBy("file").agg(F.sum("n_tokens").alias("n")).withColumns({"task": number(r"part-(\d+)-[^/]*$"), "place": number(r"-c(\d+)\.[^/]*$")})
+    firsts = sizes.select("file", (F.sum("n").over(W.Window.orderBy("task", "place")) - F.col("n")).alias("first"))
     return rows.join(firsts, "file").select("doc_id", (F.col("first") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
 
 
