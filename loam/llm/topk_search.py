@@ -6,17 +6,22 @@ idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean length)), idf = ln(1
 mean length over all documents. Scores are rounded to DIGITS decimals; equal scores rank by doc_id. Documents that share no word
 with the query are no results.
 
-A shard is SHARD documents of one task. Its index holds, of the words that occur in queries, the postings with their impacts, and
-the largest impact of each frequent word in each block of BLOCK documents. Queries go through a shard in tiles: rare words give
-exact part scores from their postings; a block is evaluated for a tile only if, for one of its queries, the block's part scores and
-maxima together can exceed that query's k-th best score so far, which only rises. Every shard yields at most k results a query, and
-the k best of all shards are the k best of all documents.
-
-Queries are taken in chunks of about CHUNK, the bound on what the executors get at once; each chunk is a pass over all documents.
+A shard is SHARD documents of one task. Its inverted index holds, of the words that occur in queries, the postings in order of
+documents with their impacts, the place at which each word's postings of each block of BLOCK documents begin, and the largest impact
+of the word in the block. Each query has a cursor for each of its words, which moves from block to block: all cursors stand at one
+block, the pivot, which is the next one whose maxima of the query's words together can exceed the query's k-th best score so far.
+Blocks before the pivot are skipped with their postings unread; the pivot's postings are read and scored. The k-th best score only
+rises, from shard to shard of a task too, so what is skipped has no place among the k best. The blocks with the highest maxima are
+visited first, STEP at a time and then twice as many, so that the score to beat rises soon. Every task yields at most k results a
+query, and the k best of all tasks are the k best of all documents. `tally` counts postings read, and those of the queries' words.
+
+Document frequencies are reduced by Spark to a table of all words; the words of queries are joined with it there. Queries go to the
+executors in chunks of about CHUNK, as hashes of words and weights; each chunk is one pass over the documents.
 
 Defined cases: a null or blank text matches nothing and, as a query, has no result; rows with one doc_id are documents of their own
-with the same name; rows with a null doc_id are found, last among equals, but are no queries; an empty table gives no rows; extra
-columns are ignored.
+with the same name; rows with one query_id are one query with the words of all; rows with a null doc_id are found, last among equals,
+but are no queries; a very long text is a set of distinct words of one row; an empty table gives no rows; extra columns, whatever
+their names, are ignored.
 """
 
 from __future__ import annotations
@@ -26,10 +31,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WordHash, map_arrow, modest_batches, ranges, raw_texts, signed, table, word_hashes, worker_state
+from .common import WordHash, map_arrow, modest_batches, ranges, raw_texts, signed, table, word_hashes, worker_state, written
 
 K1, B, K, DIGITS = 1.2, 0.75, 10, 6
-SHARD, BLOCK, TILE, CHUNK, DENSE = 1024, 64, 256, 8192, 768
+SHARD, BLOCK, STEP, CHUNK = 4096, 32, 8, 4096
 LAST = 1 << 62
 
 
@@ -45,16 +50,14 @@ def terms_of(text: bytes | None) -> tuple[np.ndarray, np.ndarray, int]:
 
 
 class Queries:
-    """The words of a chunk of queries: hashes ascending; for each, the queries that have it."""
+    """The words of a chunk of queries: all hashes ascending (vocab) with their weights, and for each query the numbers of its words."""
 
-    def __init__(self, ids: list[int], terms: list[np.ndarray]):
+    def __init__(self, ids: list[int], terms: list[np.ndarray], idf: list[np.ndarray]):
         self.ids = np.array(ids, np.int64)
-        owner = np.repeat(np.arange(len(ids)), [len(t) for t in terms])
         flat = np.concatenate(terms) if terms else np.zeros(0, np.uint64)
-        order = np.argsort(flat, kind="stable")
-        self.vocab, self.first = np.unique(flat[order], return_index=True)
-        self.owner = owner[order].astype(np.int32)
-        self.first = np.append(self.first, len(flat))
+        self.vocab, first, number = np.unique(flat, return_index=True, return_inverse=True)
+        self.idf = (np.concatenate(idf) if idf else np.zeros(0))[first]
+        self.words = np.split(number, np.cumsum([len(t) for t in terms])[:-1]) if terms else []
 
     def known(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Which of the terms occur in queries, and their numbers."""
@@ -65,19 +68,32 @@ class Queries:
         return found, at[found]
 
 
-def statistics(documents: DataFrame, queries) -> DataFrame:
-    """term (its number, or -1 for the totals), df and words: documents with the term; for -1, all documents and all words."""
+def frequencies(documents: DataFrame) -> DataFrame:
+    """term, df and words of all documents; the row of a null term has the number of documents, and of all their words; written."""
 
     def run(batch: pa.RecordBatch) -> dict:
         parts, words = [], 0
         for text in raw_texts(batch):
             every, _, n = terms_of(text)
-            parts.append(queries.value.known(every)[1])
+            parts.append(every)
             words += n
         term, df = np.unique(np.concatenate(parts), return_counts=True)
-        return {"term": np.append(term, -1), "df": np.append(df, batch.num_rows), "words": np.append(np.zeros(len(term), np.int64), words)}
+        return {"term": pa.array([*signed(term).tolist(), None], pa.int64()), "df": np.append(df, batch.num_rows), "words": np.append(np.zeros(len(term), np.int64), words)}
+
+    return written(map_arrow(documents.select("text"), run, "term long, df long, words long").groupBy("term").agg(F.sum("df").alias("df"), F.sum("words").alias("words")), "frequencies")
+
 
-    return map_arrow(documents.select("text"), run, "term long, df long, words long").groupBy("term").agg(F.sum("df").alias("df"), F.sum("words").alias("words"))
+def weighted(query_rows: DataFrame, known: DataFrame, n_docs: int) -> DataFrame:
+    """query_id, terms and idf of each query that has words; written."""
+
+    def run(batch: pa.RecordBatch) -> dict:
+        return {"query_id": batch.column("query_id"), "term": [signed(terms_of(t)[0]) for t in raw_texts(batch)]}
+
+    terms = map_arrow(query_rows.select(F.col("query_id").cast("long").alias("query_id"), "text"), run, "query_id long, term array<long>").select("query_id", F.explode("term").alias("term")).distinct()
+    idf = F.log(1 + (F.lit(n_docs) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    one = terms.join(known.filter("term is not null"), "term").select("query_id", F.struct("term", idf.alias("idf")).alias("t"))
+    every = one.groupBy("query_id").agg(F.array_sort(F.collect_list("t")).alias("t"))
+    return written(every.select("query_id", F.col("t.term").alias("terms"), F.col("t.idf").alias("idf")), "queries")
 
 
 class Best:
@@ -86,8 +102,8 @@ class Best:
     def __init__(self, n: int, k: int):
         self.k, self.score, self.doc = k, np.full((n, k), -np.inf), np.full((n, k), LAST, np.int64)
 
-    def limit(self, tile: slice) -> np.ndarray:
-        return self.score[tile, -1]
+    def limit(self, q: int) -> float:
+        return self.score[q, -1]
 
     def add(self, q: int, scores: np.ndarray, docs: np.ndarray) -> None:
         s, d = np.concatenate([self.score[q], scores]), np.concatenate([self.doc[q], docs])
@@ -95,93 +111,99 @@ class Best:
         self.score[q], self.doc[q] = s[order], d[order]
 
 
-def searched(shard: list[tuple[int, np.ndarray, np.ndarray, int]], queries: Queries, idf: np.ndarray, dense: np.ndarray, holding: np.ndarray, mean: float, best: Best) -> None:
-    """Adds a shard's documents (doc_id, numbers of query terms, counts, length) to the best; holding: 1 where a query has a dense term."""
-    n = len(shard)
-    docs = np.array([x[0] for x in shard], np.int64)
-    column = np.repeat(np.arange(n), [len(x[1]) for x in shard])
-    term = np.concatenate([x[1] for x in shard])
-    tf = np.concatenate([x[2] for x in shard])
-    norm = K1 * (1 - B + B * np.array([x[3] for x in shard]) / max(mean, 1e-9))
-    impact = idf[term] * tf * (K1 + 1) / (tf + norm[column])
-    at = np.full(len(idf), -1, np.int64)
-    at[dense] = np.arange(len(dense))
-    often = at[term] >= 0
-    d = np.zeros((len(dense), n))
-    d[at[term[often]], column[often]] = impact[often]
-    n_blocks = -(-n // BLOCK)
-    peak = np.zeros((len(dense), n_blocks * BLOCK))
-    peak[:, :n] = d
-    peak = peak.reshape(len(dense), n_blocks, BLOCK).max(2)
-    order = np.argsort(term[~often], kind="stable")
-    term, column, impact = term[~often][order], column[~often][order], impact[~often][order]
-    # pairs of a rare term's queries and postings, by query
-    many = queries.first[term + 1] - queries.first[term]
-    pair_query, pair_of = queries.owner[ranges(queries.first[term], many)], np.repeat(np.arange(len(term), dtype=np.int32), many)
-    order = np.argsort(pair_query, kind="stable")
-    pair_query, pair_of = pair_query[order], pair_of[order]
-    del order
-    for first in range(0, len(queries.ids), TILE):
-        size = min(TILE, len(queries.ids) - first)
-        tile = slice(first, first + size)
-        limit = best.limit(tile)
-        s = np.zeros((size, n_blocks * BLOCK))
-        a, b = np.searchsorted(pair_query, [first, first + size])
-        np.add.at(s.reshape(-1), (pair_query[a:b] - first).astype(np.int64) * s.shape[1] + column[pair_of[a:b]], impact[pair_of[a:b]])
-        has = holding[tile]
-        bound = has @ peak + s.reshape(size, n_blocks, BLOCK).max(2)
-        alive = (bound >= limit[:, None] - 1e-5).any(0)
-        if not alive.any():
-            continue
-        columns = np.flatnonzero(np.repeat(alive, BLOCK)[:n])
-        full = np.round(has @ d[:, columns] + s[:, columns], DIGITS)
-        hit_q, hit_c = np.nonzero((full >= limit[:, None]) & (full > 0))
-        edges = np.flatnonzero(np.diff(hit_q, prepend=-1, append=size))
-        for i, j in zip(edges[:-1], edges[1:]):
-            q, c = hit_q[i], hit_c[i:j]
-            score = full[q, c]
-            if len(c) > 8 * best.k:  # no more than k, and what ties with the last of them
-                low = np.partition(score, len(c) - best.k)[len(c) - best.k]
-                c, score = c[score >= low], score[score >= low]
-            best.add(first + q, score, docs[columns[c]])
+class Shard:
+    """The inverted index of some documents (doc_id, numbers of query words, counts, length)."""
+
+    def __init__(self, rows: list[tuple[int, np.ndarray, np.ndarray, int]], idf: np.ndarray, mean: float):
+        self.docs = np.array([x[0] for x in rows], np.int64)
+        column = np.repeat(np.arange(len(rows)), [len(x[1]) for x in rows])
+        term, tf = np.concatenate([x[1] for x in rows]), np.concatenate([x[2] for x in rows])
+        norm = K1 * (1 - B + B * np.array([x[3] for x in rows]) / max(mean, 1e-9))
+        order = np.argsort(term, kind="stable")
+        term, self.column = term[order], column[order].astype(np.int32)
+        self.impact = (idf[term] * tf[order] * (K1 + 1) / (tf[order] + norm[self.column]))
+        self.n_blocks = -(-len(rows) // BLOCK)
+        self.terms, at = np.unique(term, return_index=True)
+        slot = np.full(len(idf), -1, np.int32)
+        slot[self.terms] = np.arange(len(self.terms))
+        self.slot = slot
+        cell = slot[term].astype(np.int64) * self.n_blocks + self.column // BLOCK
+        self.begin = np.searchsorted(cell, np.arange(len(self.terms) * self.n_blocks + 1))
+        begins = np.flatnonzero(np.diff(cell, prepend=-1))
+        self.peak = np.zeros(len(self.terms) * self.n_blocks, np.float32)
+        self.peak[cell[begins]] = np.nextafter(np.maximum.reduceat(self.impact, begins).astype(np.float32), np.float32(np.inf))
+        self.peak = self.peak.reshape(-1, self.n_blocks)
+
+    def search(self, q: int, words: np.ndarray, best: Best, tally: dict | None = None) -> None:
+        """Adds what the shard has for query q."""
+        words = self.slot[words]
+        words = words[words >= 0].astype(np.int64)
+        if not len(words):
+            return
+        bound = self.peak[words].sum(0, dtype=np.float64) * (1 + 1e-6)
+        # the cursors' way: pivots in order of their bounds; each step takes the blocks that can still hold a result
+        way = np.argsort(-bound, kind="stable")
+        at, step = 0, STEP
+        while at < len(way) and bound[way[at]] > 0 and bound[way[at]] >= best.limit(q) - 1e-5:
+            pivots = way[at : at + step]
+            pivots = np.sort(pivots[(bound[pivots] >= best.limit(q) - 1e-5) & (bound[pivots] > 0)])
+            cells = (words[:, None] * self.n_blocks + pivots).ravel()
+            begin = self.begin[cells]
+            posting = ranges(begin, self.begin[cells + 1] - begin)
+            # documents of the pivots alone, one block after another
+            place = np.full(self.n_blocks, -1, np.int64)
+            place[pivots] = np.arange(len(pivots)) * BLOCK
+            column = self.column[posting]
+            score = np.round(np.bincount(place[column // BLOCK] + column % BLOCK, self.impact[posting], len(pivots) * BLOCK), DIGITS)
+            if tally is not None:
+                tally["read"] = tally.get("read", 0) + len(posting)
+            hit = np.flatnonzero((score >= best.limit(q)) & (score > 0))
+            if len(hit) > 8 * best.k:  # no more than k, and what ties with the last of them
+                hit = hit[score[hit] >= np.partition(score[hit], len(hit) - best.k)[len(hit) - best.k]]
+            if len(hit):
+                best.add(q, score[hit], self.docs[pivots[hit // BLOCK] * BLOCK + hit % BLOCK])
+            at, step = at + step, 2 * step
+        if tally is not None:
+            tally["all"] = tally.get("all", 0) + int((self.begin[(words + 1) * self.n_blocks] - self.begin[words * self.n_blocks]).sum())
 
 
 def search(documents: DataFrame, query_rows: DataFrame, k: int = K) -> DataFrame:
     """query_id, rank (from 1), doc_id and score of the k best documents for each row (query_id, text) of query_rows."""
     spark = documents.sparkSession
     modest_batches(spark)
-    n_chunks = max(1, -(-query_rows.count() // CHUNK))
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    known = frequencies(rows)
+    total = known.filter("term is null").first()
+    n_docs, n_words = (total.df, total.words) if total else (0, 0)
+    mean = n_words / max(n_docs, 1)
+    every = weighted(query_rows.filter("query_id is not null"), known, n_docs)
+    n_chunks = max(1, -(-every.count() // CHUNK))
     out = None
     for chunk in range(n_chunks):
-        got = [(r.query_id, terms_of(r.text.encode() if r.text else None)[0]) for r in query_rows.filter(F.pmod(F.xxhash64("query_id"), F.lit(n_chunks)) == chunk).toLocalIterator()]
-        queries = spark.sparkContext.broadcast(Queries([q for q, _ in got], [t for _, t in got]))
-        df = np.zeros(len(queries.value.vocab))
-        found = statistics(rows, queries).toArrow()  # a row for each word of the chunk, and one of totals
-        term, counts = found["term"].to_numpy(), found["df"].to_numpy()
-        df[term[term >= 0]] = counts[term >= 0]
-        totals = (int(counts[term < 0].sum()), int(found["words"].to_numpy()[term < 0].sum()))
-        idf = np.log(1 + (totals[0] - df + 0.5) / (df + 0.5))
-        frequent = np.argsort(-df, kind="stable")[:DENSE]
-        given = spark.sparkContext.broadcast((idf, np.sort(frequent[df[frequent] * 128 >= totals[0]]), totals[1] / max(totals[0], 1)))
-
-        def run(batches, queries=queries, given=given):
-            q, (idf, dense, mean) = queries.value, given.value
-            best, shard = Best(len(q.ids), k), []
-            holding = np.zeros((len(q.ids), len(dense)))
-            for j, t in enumerate(dense):
-                holding[q.owner[q.first[t] : q.first[t + 1]], j] = 1
+        got = every.filter(F.pmod(F.xxhash64("query_id"), F.lit(n_chunks)) == chunk).toArrow()  # CHUNK queries or so
+        lists = lambda c: [np.asarray(x.values) for x in got[c]]
+        queries = spark.sparkContext.broadcast(Queries(got["query_id"].to_pylist(), [x.view(np.uint64) for x in lists("terms")], lists("idf")))
+
+        def run(batches, queries=queries):
+            q = queries.value
+            best, held = Best(len(q.ids), k), []
+
+            def done():
+                shard = Shard(held, q.idf, mean)
+                for i, words in enumerate(q.words):
+                    shard.search(i, words, best)
+
             for batch in batches:
                 for doc_id, text in zip(batch.column("doc_id").to_pylist(), raw_texts(batch)):
                     every, tf, n = terms_of(text)
                     found, term = q.known(every)
                     if len(term):
-                        shard.append((LAST - 1 if doc_id is None else doc_id, term, tf[found], n))
-                    if len(shard) == SHARD:
-                        searched(shard, q, idf, dense, holding, mean, best)
-                        shard = []
-            if shard:
-                searched(shard, q, idf, dense, holding, mean, best)
+                        held.append((LAST - 1 if doc_id is None else doc_id, term, tf[found], n))
+                    if len(held) == SHARD:
+                        done()
+                        held = []
+            if held:
+                done()
             at = best.doc != LAST
             for first in range(0, len(q.ids), 1000):
                 rows = at[first : first + 1000]

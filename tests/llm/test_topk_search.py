@@ -2,6 +2,7 @@ import math
 from collections import Counter
 
 import duckdb
+import numpy as np
 
 from loam.llm import topk_search as m
 
@@ -28,8 +29,8 @@ def test_query_equals_sql(spark, small):
     assert sorted(map(tuple, m.query(spark, small).collect())) == sorted(con.execute(m.SQL).fetchall())
 
 
-def test_small_shards_tiles_and_chunks(spark, monkeypatch):
-    for k, v in {"SHARD": 7, "BLOCK": 3, "TILE": 2, "CHUNK": 2, "DENSE": 5}.items():
+def test_small_shards_and_chunks(spark, monkeypatch):
+    for k, v in {"SHARD": 7, "CHUNK": 2}.items():
         monkeypatch.setattr(m, k, v)
     rows = [(i, " ".join(f"t{(i * j) % 17}" for j in range(1, 2 + i % 9))) for i in range(230)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
@@ -39,8 +40,29 @@ def test_small_shards_tiles_and_chunks(spark, monkeypatch):
     assert got == brute(rows, 4)
 
 
+def test_blocks_are_skipped_unread():
+    rnd = np.random.default_rng(3)
+    idf = np.concatenate([np.full(20, 6.0), np.full(40, 0.3)])
+    rows = []
+    for d in range(4096):
+        rare = rnd.choice(20, 2, replace=False) if d % 64 == 0 else np.zeros(0, np.int64)
+        term = np.unique(np.concatenate([rare, 20 + rnd.choice(40, 20, replace=False)])).astype(np.int64)
+        rows.append((d, term, rnd.integers(1, 4, len(term)), 30))
+    shard = m.Shard(rows, idf, 30.0)
+    words = np.array([0, 1, 2, 30, 31, 32])
+    best, tally = m.Best(1, 5), {}
+    shard.search(0, words, best, tally)
+    norm = m.K1
+    full = sorted(((-round(sum(idf[t] * c * 2.2 / (c + norm) for t, c in zip(term.tolist(), tf.tolist()) if t in words), 6), d) for d, term, tf, _ in rows))[:5]
+    assert [(-s, d) for s, d in full] == [(float(s), int(d)) for s, d in zip(best.score[0], best.doc[0])]
+    assert tally["read"] < tally["all"] / 2
+
+
 def test_odd_rows(odd, none):
     q = odd.selectExpr("doc_id AS query_id", "text").filter("query_id IN (3, 4, 8)").distinct()
     got = [(r.query_id, r.doc_id) for r in m.search(odd, q, 5).orderBy("query_id", "rank").collect()]
     assert got == [(8, 8), (8, 9)]
     assert m.search(none, none.selectExpr("doc_id AS query_id", "text")).count() == 0
+    # rows with one query_id are one query, and a null one is none
+    both = odd.sparkSession.createDataFrame([(1, "one"), (1, "two"), (None, "one")], "query_id long, text string")
+    assert [(r.query_id, r.doc_id) for r in m.search(odd, both, 5).orderBy("query_id", "rank").collect()] == [(1, 8), (1, 9)]
