@@ -9,25 +9,32 @@ a null page_id sorts below all others; rows with one page_id are a record each (
 largest url is the response; rows equal in all three columns are one record written twice, and alike); an empty table gives empty archives and no rows; extra columns are
 ignored.
 
-Records are text rows ended by CR LF CR LF, as the format asks, so Spark's own text writer makes the archives: its commit protocol
-covers lost executors and any file system that Spark reaches serves. The reader takes records by their Content-Length, never by
-searching for separators, so payloads may hold anything.
+An archive is a run of gzip members, one a record, as the format asks for random access; every piece of PIECE_BYTES compressed bytes or
+more begins with a warcinfo record, and a file holds PIECES of them at most, so files are bounded in bytes (but for one record beyond).
+Spark's own text writer makes the files, so its commit protocol covers lost executors and any file system that Spark reaches serves:
+what it writes between rows is the zero byte that ends a gzip member of less than 16 MB (the top byte of its length), which each row
+leaves out; a piece whose last member is longer ends with an empty member. Its names end in .txt. The reader takes records by their
+Content-Length, never by searching for separators, so payloads may hold anything. A very long payload is one record in one row.
 """
 
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
+import zlib
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_arrow, new_path, table, written
+from .common import join_hot, map_arrow, modest_batches, new_path, small, table, written
 
 MIN_BYTES = 0
+#: The date that the query writes, so that its archives are the same whenever it runs.
 DATE = "2000-01-01T00:00:00Z"
+PIECE_BYTES, PIECES = 4 << 20, 32
+#: Repeated digests that are broadcast at most, and the bytes of their names.
+BEST_ROWS, BEST_BYTES = 200_000, 32 << 20
 #: Fixed values of the format.
 VERSION = "WARC/1.1"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -61,23 +68,25 @@ def headers(pages: DataFrame) -> DataFrame:
 def decided(pages: DataFrame, min_bytes: int = MIN_BYTES) -> DataFrame:
     """headers with original: null for a response, else the struct (page_id, url, rid) of the response it refers to.
 
-    Only digests, lengths and names take part in the shuffle by digest, and they are reduced before it; the html follows once, to the
-    join, where Spark splits a digest that holds many rows."""
+    Only digests, lengths and names take part in the shuffle by digest, and they are reduced before it. What comes back is a row for
+    each digest that repeats: broadcast while it is small, so that no html moves, and else joined by hot digests and a shuffle."""
     h = headers(pages)
     who = F.struct(F.coalesce("page_id", F.lit(-(1 << 63))).alias("p"), F.col("url").alias("u"), F.col("rid").alias("r"))
-    best = h.filter(F.col("payload_bytes") >= min_bytes).groupBy("payload_digest", "payload_bytes").agg(F.max(who).alias("best"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    out = h.join(best, ["payload_digest", "payload_bytes"], "left")
+    on = ["payload_digest", "payload_bytes"]
+    best = written(h.filter(F.col("payload_bytes") >= min_bytes).groupBy(*on).agg(F.max(who).alias("best"), F.count("*").alias("n")).filter("n > 1"), "digests")
+    bounded = small(best, BEST_ROWS, F.octet_length("best.u") + 120, BEST_BYTES)
+    out = h.join(bounded.drop("n"), on, "left") if bounded is not best else join_hot(h, best, on, "left")
     is_best = F.col("best").isNull() | (F.col("best.r") == F.col("rid"))
     return out.withColumn("original", F.when(~is_best, F.col("best"))).drop("best")
 
 
-def records(decisions: DataFrame, date: str = DATE) -> DataFrame:
-    """The text of each record, without the CR LF CR LF that ends it."""
+def records(decisions: DataFrame, date: str) -> DataFrame:
+    """Each record up to the CR LF CR LF that ends it, inclusive."""
     revisit = F.col("original").isNotNull()
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{END}Content-Type: text/html; charset=utf-8{END}Content-Length: "), F.col("payload_bytes").cast("string"), F.lit(END + END))
     block = F.when(revisit, http).otherwise(F.concat(http, "html"))
     field = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit(END))
-    more = F.concat(field("WARC-Refers-To", F.concat(F.lit("<"), F.col("original.r"), F.lit(">"))), field("WARC-Refers-To-Target-URI", F.col("original.u")), field("WARC-Profile", F.lit(PROFILE)))
+    more = F.concat(field("WARC-Refers-To", F.concat(F.lit("<"), F.col("original.r"), F.lit(">"))), field("WARC-Refers-To-Target-URI", F.col("original.u")), field("WARC-Refers-To-Date", F.lit(date)), field("WARC-Profile", F.lit(PROFILE)))
     return decisions.select(
         F.concat(
             F.lit(VERSION + END),
@@ -92,17 +101,67 @@ def records(decisions: DataFrame, date: str = DATE) -> DataFrame:
             field("Content-Length", F.octet_length(block).cast("string")),
             F.lit(END),
             block,
+            F.lit(END + END),
         ).alias("record")
     )
 
 
-def write(pages: DataFrame, out: str, min_bytes: int = MIN_BYTES, date: str = DATE, records_per_file: int = 20_000) -> None:
-    """gzip-compressed archives of at most records_per_file records each, under the folder out."""
-    records(decided(pages, min_bytes), date).write.option("lineSep", END + END).option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(out)
+def member(data: bytes) -> bytes:
+    """A gzip member with nothing in it that changes from run to run."""
+    packer = zlib.compressobj(wbits=31)
+    return packer.compress(data) + packer.flush()
+
+
+def information(date: str) -> bytes:
+    """The warcinfo record that a piece begins with."""
+    about = f"software: loam{END}format: {VERSION[:4]} File Format {VERSION[5:]}{END}".encode()
+    name = hashlib.md5(about + date.encode()).hexdigest()
+    head = [VERSION, "WARC-Type: warcinfo", f"WARC-Record-ID: <urn:uuid:{name[:8]}-{name[8:12]}-4{name[13:16]}-8{name[17:20]}-{name[20:]}>", f"WARC-Date: {date}", "Content-Type: application/warc-fields", f"Content-Length: {len(about)}", END]
+    return END.join(head).encode() + about + (END + END).encode()
+
+
+def write(pages: DataFrame, out: str, date: str, min_bytes: int = MIN_BYTES, piece_bytes: int = PIECE_BYTES, pieces: int = PIECES) -> None:
+    """Archives, of at most `pieces` pieces of about piece_bytes compressed bytes each, under the folder out; date: of the records."""
+    first, empty = member(information(date)), member(b"")
+
+    def run(batches):
+        held, size, last = [first], 0, 0
+
+        def piece():
+            content = b"".join(held + ([empty] if last >= 1 << 24 else []))
+            return pa.RecordBatch.from_pydict({"piece": pa.array([content[:-1]], pa.binary())})
+
+        for batch in batches:
+            for record in batch.column("record").cast(pa.binary()).to_pylist():
+                held.append(member(record))
+                size, last = size + len(held[-1]), len(record)
+                if size >= piece_bytes:
+                    yield piece()
+                    held, size = [first], 0
+        if size:
+            yield piece()
+
+    modest_batches(pages.sparkSession)
+    rows = records(decided(pages, min_bytes), date).mapInArrow(run, "piece binary")
+    rows.select(F.col("piece").cast("string")).write.option("lineSep", "\0").option("maxRecordsPerFile", pieces).text(out)
+
+
+def members(content: bytes):
+    """What each gzip member of an archive holds."""
+    view, at = memoryview(content), 0
+    while at < len(content):
+        one, parts = zlib.decompressobj(wbits=31), []
+        while not one.eof:
+            if at >= len(content):
+                raise ValueError("the last member of an archive is cut off")
+            step = view[at : at + (1 << 16)]
+            parts.append(one.decompress(step))
+            at += len(step) - len(one.unused_data)
+        yield b"".join(parts)
 
 
 def parsed(content: bytes):
-    """(header fields in lower case, block) of each record of an archive."""
+    """(header fields in lower case, block) of each record."""
     at = 0
     while at < len(content):
         stop = content.index(b"\r\n\r\n", at)
@@ -121,8 +180,10 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     def run(batch: pa.RecordBatch) -> dict:
         cols: dict = {c: [] for c in ("page_id", "payload_bytes", "payload_digest", "record_type", "url", "rid", "refers_rid")}
         for content in batch.column("content").to_pylist():
-            for f, block in parsed(gzip.decompress(content)):
-                kind, page = f[b"warc-type"].decode(), f[b"x-page-id"]
+            for f, block in (x for one in members(content) for x in parsed(one)):
+                if (kind := f[b"warc-type"].decode()) == "warcinfo":
+                    continue
+                page = f[b"x-page-id"]
                 payload = block[block.index(b"\r\n\r\n") + 4 :]
                 digest = base64.b32encode(hashlib.sha1(payload).digest()).decode()
                 if kind == "response" and f[b"warc-payload-digest"] != b"sha1:" + digest.encode():
@@ -151,7 +212,7 @@ def resolved(spark: SparkSession, path: str) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = new_path(spark, "warc")
-    write(table(spark, sf_dir, "pages"), out)
+    write(table(spark, sf_dir, "pages"), out, DATE)
     return resolved(spark, out).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
