@@ -25,6 +25,8 @@ from .common import list_array, map_arrow, table, worker_state
 
 #: Fixed by the vocabulary file: what it keeps of a normalised text.
 PATTERN = r"\p{L}+|'(?:[stmd]|re|ve|ll)|\p{N}|[^\s\p{L}\p{N}]+"
+#: Fixed by the vocabulary file: its own words for that, and what it does to a text before.
+SPLIT, CHANGES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+", ["NFC", "Replace", "Lowercase"]
 NONE = 1 << 62
 SEEN = 120_000
 
@@ -75,6 +77,10 @@ class Encoder(dict):
 
         self.before: dict[str, bytes] = {}
         spec = json.load(open(path, encoding="utf-8"))
+        splits = [x.get("pattern", {}).get("Regex") for x in (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])]
+        changes = [x["type"] for x in (spec.get("normalizer") or {}).get("normalizers", [])]
+        if changes != CHANGES or splits != [SPLIT, None]:
+            raise ValueError(f"{path} does not normalise and split texts as this operator knows")
         model, vocab = spec["model"], spec["model"]["vocab"]
         self.suffix = model.get("end_of_word_suffix") or ""
         self.letters = byte_letters()

@@ -2,6 +2,7 @@ import hashlib
 import zlib
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -51,6 +52,23 @@ def test_simple8b_round_trip(ids, data):
         assert (out.unpacked(words[a:b]) == ids[x:y]).all()
 
 
+def test_other_vocabularies_are_an_error():
+    with pytest.raises(ValueError):
+        bpe.Encoder(out.vocabulary())
+    with pytest.raises(ValueError):
+        out.LibraryIds(bpe.vocabulary())
+
+
+def test_decoding_by_block_offsets(monkeypatch):
+    rnd = np.random.default_rng(1)
+    ids = [rnd.integers(0, 50_000, n).astype("<u4") for n in (1, 4096, 4097, 30_000, 2, 12_288)]
+    content = out.chunk([1, 2, 3, 4, 5, None], ids)
+    for words in (1, 3000, 1 << 16):
+        monkeypatch.setattr(out, "WORDS_AT_ONCE", words)
+        names, lengths, got = next(out.chunks(content))
+        assert lengths.tolist() == [len(x) for x in ids] and (got == np.concatenate(ids)).all()
+
+
 def test_runs_of_zeros_take_few_words():
     assert len(out.packed(np.zeros(720, np.uint64), np.array([720]))[0]) == 3
 
@@ -68,7 +86,8 @@ def test_bpe_query(odd, none, pairs):
     assert back.decoded == "one</w> two</w>"
 
 
-def test_token_files(spark, odd, none):
+def test_token_files(spark, odd, none, monkeypatch):
+    monkeypatch.setattr(out, "CHUNKS_PER_FILE", 1)
     path = out.new_path(spark, "tokens-test")
     out.write(odd, out.vocabulary(), path)
     got = [tuple(r) for r in out.read(spark, path).collect()]
@@ -82,3 +101,15 @@ def test_token_files(spark, odd, none):
     path = out.new_path(spark, "tokens-test")
     out.write(none, out.vocabulary(), path)
     assert out.read(spark, path).count() == 0
+
+
+def test_queries_over_documents_against_the_library(spark, small):
+    rows = sorted((r.doc_id, r.text) for r in spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").collect())
+    words, ids = ([lib.encode(t or "", add_special_tokens=False).ids for _, t in rows] for lib in (WORDS, BYTES))
+    got = {r.doc_id: tuple(r)[1:] for r in bpe.query(spark, small).collect()}
+    assert got == {d: (len(x), hashlib.sha256(np.array(x, "<u4").tobytes()).hexdigest(), hashlib.sha256(WORDS.decode(x, skip_special_tokens=False).encode()).hexdigest()) for (d, _), x in zip(rows, words)}
+    want, at = {}, 0
+    for (d, _), x in zip(rows, ids):
+        want[d] = (at, len(x) + 1, zlib.crc32(np.array([*x, 2], "<u4").tobytes()))
+        at += len(x) + 1
+    assert {r.doc_id: tuple(r)[1:] for r in out.query(spark, small).collect()} == want
