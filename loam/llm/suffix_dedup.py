@@ -236,9 +236,10 @@ def removals(documents: DataFrame, known: DataFrame, size: int = SIZE, gram: int
     warm = sparse.join(F.broadcast(hot), "gram").select("doc_id", "part", "place", F.lit(size).alias("reach"), salt.alias("salt"))
     matched = written(extended(contexts(texts, cold.unionByName(warm), size, gram), size, gram), "extended")
     left = matched.filter("h1 is not null").select("doc_id", "part", "first", "h1", "h2")
-    exact = repeats(written(unrolled(left), "windows")).select("doc_id", "part", F.explode("starts").alias("first"))
-    spans = matched.filter("h1 is null").select("doc_id", "part", "first", "last").unionByName(exact.select("doc_id", "part", "first", F.col("first").alias("last")))
-    return spans.groupBy("doc_id", "part").agg(F.array_sort(F.collect_set(F.struct("first", "last"))).alias("starts"))
+    run_of = lambda first, last: F.struct(first.alias("first"), last.alias("last"))
+    exact = repeats(written(unrolled(left), "windows")).select("doc_id", "part", F.transform("starts", lambda x: run_of(x, x)).alias("starts"))
+    near = matched.filter("h1 is null").groupBy("doc_id", "part").agg(F.collect_set(run_of(F.col("first"), F.col("last"))).alias("starts"))
+    return exact.unionByName(near).groupBy("doc_id", "part").agg(F.array_sort(F.flatten(F.collect_list("starts"))).alias("starts"))
 
 
 def joined(starts: list | None, size: int) -> list[dict]:
