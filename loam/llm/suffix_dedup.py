@@ -6,8 +6,8 @@ and matches extended to the left and right of the minimiser.
    match with one of its two neighbours. Equal words have equal bytes, so that length is the true one or a little more: to the right
    of a minimiser there is no repeat beyond it, and a suffix without a neighbour goes no further.
 2. The others come with their words: those of the suffix to its reach, and those before it that a window can hold. Sorted by the
-   words to the right, each is compared with the nearest suffixes above and below that belong to a smaller doc_id, and the match is
-   extended to the right and, from the minimiser, to the left. SIZE words or more are a repeated span.
+   words to the right, and once more by those to the left, each is compared with the nearest suffixes above and below that belong to a
+   smaller doc_id, and with that of the smallest; the match is extended to the right and, from the minimiser, to the left. SIZE words or more are a repeated span.
 3. Windows within reach that no such match covers (the first occurrence itself, and repeats whose left and right sides match
    different neighbours best) are matched exactly by their hashes. A window that is covered has an occurrence in a smaller document
    that is not, so the first occurrence is always among those left.
@@ -177,18 +177,22 @@ def extended(found: DataFrame, size: int = SIZE, gram: int = GRAM) -> DataFrame:
         for rows in groups(batches):
             words = [(np.frombuffer(r[0], ">u8"), np.frombuffer(r[4], ">u8")) for r in rows]
             spans: list[list] = [[] for _ in rows]
-            for order in (range(len(rows)), range(len(rows) - 1, -1, -1)):
+            by_left = sorted(range(len(rows)), key=lambda i: rows[i][4])
+            least = min(range(len(rows)), key=lambda i: rows[i][1])
+            partners = [{least} if r[1] > rows[least][1] else set() for r in rows]
+            for order in (range(len(rows)), range(len(rows) - 1, -1, -1), by_left, by_left[::-1]):
                 smaller: list[int] = []  # the nearest suffixes so far, of ever smaller doc_ids towards the bottom
                 for i in order:
                     while smaller and rows[smaller[-1]][1] >= rows[i][1]:
                         smaller.pop()
-                    if smaller:
-                        (right, left), (r, l) = words[smaller[-1]], words[i]
-                        before, after = common(left, l), gram + common(right, r)
-                        if before + after >= size:
-                            place = rows[i][3]
-                            spans[i].append((place - before, place + after - size))
+                    partners[i].update(smaller[-1:])
                     smaller.append(i)
+            for i, near in enumerate(partners):
+                (r, l), place = words[i], rows[i][3]
+                for j in near:
+                    before, after = common(words[j][1], l), gram + common(words[j][0], r)
+                    if before + after >= size:
+                        spans[i].append((place - before, place + after - size))
             for (_, doc_id, part, _, _, first, h1, h2), own in zip(rows, spans):
                 h1, h2 = np.frombuffer(h1, np.int64), np.frombuffer(h2, np.int32)
                 left = np.ones(len(h1), bool)
