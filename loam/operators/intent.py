@@ -6,7 +6,6 @@ import difflib
 import hashlib
 import json
 from collections import OrderedDict
-from dataclasses import dataclass, field, replace
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -47,7 +46,7 @@ def resolve_metrics(questions: DataFrame, aliases: DataFrame, disambiguation: Da
     """qid, metric_id, score and rank of the metrics whose aliases a question has; aliases are the catalogue's, a small table that is
     checked before it is broadcast."""
     q = questions.select("qid", F.lower("text").alias("text"), plain_tokens(F.col("text")).alias("qt"))
-    hit = q.join(bounded(aliases, 20_000, "aliases"), F.expr("text rlike concat('(?i)(?<!\\\\w)\\\\Q', alias, '\\\\E(?!\\\\w)')"))
+    hit = q.join(bounded(aliases, 20_000, "aliases"), F.expr("contains(text, lower(alias)) and text rlike concat('(?i)(?<!\\\\w)\\\\Q', alias, '\\\\E(?!\\\\w)')"))
     terms = plain_tokens(F.col("alias"))
     score = F.col("priority") + F.least(F.lit(1.0), 0.2 * F.size(F.array_intersect(terms, "qt"))) + F.when(F.size(terms) >= 2, 0.25).otherwise(0.0)
     score = score - F.when((F.size(terms) == 1) & terms[0].isin(GENERIC) & (F.size("qt") >= 3), 0.35).otherwise(0.0)
@@ -63,7 +62,7 @@ def resolve_metrics(questions: DataFrame, aliases: DataFrame, disambiguation: Da
 
 def resolve_client(questions: DataFrame, clients: DataFrame) -> DataFrame:
     """qid, client, confidence: the longest client named; 0.3 and none if two are equally long, 0 if there is none."""
-    hit = questions.join(bounded(clients, 20_000, "clients"), F.expr("text rlike concat('(?i)(?<!\\\\w)\\\\Q', client, '\\\\E(?!\\\\w)')"))
+    hit = questions.join(bounded(clients, 20_000, "clients"), F.expr("contains(lower(text), lower(client)) and text rlike concat('(?i)(?<!\\\\w)\\\\Q', client, '\\\\E(?!\\\\w)')"))
     most = hit.groupBy("qid").agg(F.max(F.length("client")).alias("n"))
     best = hit.join(most, "qid").filter(F.length("client") == F.col("n")).groupBy("qid").agg(F.count_distinct("client").alias("k"), F.min("client").alias("client"))
     out = questions.join(best, "qid", "left")
@@ -172,26 +171,70 @@ def fuzzy_best(texts: pd.Series, choices: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["choice", "score"])
 
 
-@dataclass(frozen=True)
-class Intent:
-    """What a question asks for."""
-
-    metric_ids: tuple[str, ...] = ()
-    client: str | None = None
-    region: str | None = None
-    periods: tuple[tuple[str, str], ...] = ()
-    aggregation: str | None = None
-    grouping: str | None = None
-    limit: int | None = None
-    assumptions: tuple[str, ...] = field(default=())
-
-    def merged(self, other: Intent) -> Intent:
-        """This intent, with the other's values where it has none."""
-        fill = {f: getattr(other, f) for f in ("metric_ids", "client", "region", "periods", "aggregation", "grouping", "limit") if not getattr(self, f) and getattr(other, f)}
-        return replace(self, **fill, assumptions=self.assumptions + tuple(f"{k} taken from the proposal" for k in sorted(fill)))
-
-    def unresolved(self) -> list[str]:
-        return [f for f in ("metric_ids", "client", "region", "periods") if not getattr(self, f)]
+FOUND = ("metric_ids", "client", "region", "period")
+
+
+def resolved(questions: DataFrame, aliases: DataFrame, clients: DataFrame, anchor: Column, disambiguation: DataFrame | None = None) -> DataFrame:
+    """qid, metric_ids (best first), client, region, period, aggregation, grouping and top of each question (qid, unique, and text):
+    what the resolvers find by themselves. Null questions have none of these."""
+    ranked = resolve_metrics(questions, aliases, disambiguation).groupBy("qid").agg(F.array_sort(F.collect_list(F.struct("rank", "metric_id"))).alias("r"))
+    t = F.col("text")
+    own = questions.select("qid", resolve_region(t)[0].alias("region"), resolve_period(t, anchor).alias("period"), aggregation(t).alias("aggregation"), grouping(t).alias("grouping"), top_n(t).alias("top"))
+    out = own.join(ranked, "qid", "left").join(resolve_client(questions, clients).select("qid", "client"), "qid", "left")
+    return out.select("qid", F.coalesce("r.metric_id", F.array().cast("array<string>")).alias("metric_ids"), "client", "region", "period", "aggregation", "grouping", "top")
+
+
+def overridden(proposed: DataFrame, found: DataFrame) -> DataFrame:
+    """A model's intents (the columns of resolved; one row a qid at most) with what resolvers found in their place. What the question
+    itself names counts, and an assumption names each field that the model had otherwise. A question without a proposal keeps its own."""
+    named = {f: F.size(f) > 0 if f == "metric_ids" else F.col(f).isNotNull() for f in FOUND}
+    had = {f: F.coalesce(F.size(f"own_{f}") > 0, F.lit(False)) if f == "metric_ids" else F.col(f"own_{f}").isNotNull() for f in FOUND}
+    differ = {f: F.array_sort(f) != F.array_sort(f"own_{f}") if f == "metric_ids" else F.col(f) != F.col(f"own_{f}") for f in FOUND}
+    rows = found.join(proposed.select("qid", *[F.col(c).alias(f"own_{c}") for c in found.columns if c != "qid"]), "qid", "left")
+    values = [F.when(named[f], F.col(f)).otherwise(F.coalesce(f"own_{f}", f)).alias(f) for f in FOUND]
+    rest = [F.coalesce(f"own_{c}", c).alias(c) for c in ("aggregation", "grouping", "top")]
+    said = F.array_compact(F.array(*[F.when(named[f] & had[f] & differ[f], f"{f} taken from the question, not from the proposal") for f in FOUND]))
+    return rows.select("qid", *values, *rest, said.alias("assumptions"))
+
+
+def candidates(proposed: DataFrame, column: str) -> DataFrame:
+    """asked, place, qid and text of each word that was proposed in an array column; qid tells the words of all questions apart."""
+    words = proposed.select(F.col("qid").alias("asked"), F.posexplode(column).alias("place", "text"))
+    return words.select("asked", "place", F.concat_ws(":", F.col("asked").cast("string"), F.col("place").cast("string")).alias("qid"), "text")
+
+
+def completed(found: DataFrame, questions: DataFrame, proposed: DataFrame, aliases: DataFrame, clients: DataFrame, anchor: Column, disambiguation: DataFrame | None = None) -> DataFrame:
+    """qid, metric_ids, clients, region, periods, assumptions, unresolved: what was found, and where that is nothing, what the proposed
+    words (qid, metrics, clients, regions, periods: arrays) stand for by the same resolvers. A metric counts if the words name no other
+    one, a region if the question has the word too and no other is named; clients and periods may be several, in the words' order.
+    assumptions names what was completed, unresolved what is still open."""
+    metric, client, region, period = (candidates(proposed, c) for c in ("metrics", "clients", "regions", "periods"))
+    best = resolve_metrics(metric.select("qid", "text"), aliases, disambiguation).filter("rank = 1")
+    metric = metric.join(best, "qid").groupBy("asked").agg(F.collect_set("metric_id").alias("words_metric"))
+    client = in_order(client.join(resolve_client(client.select("qid", "text"), clients).filter("client is not null").select("qid", "client"), "qid"), F.col("client"), "words_client")
+    said = region.join(questions.select(F.col("qid").alias("asked"), F.col("text").alias("question")), "asked").filter(F.rlike("question", quoted(F.col("text"))))
+    region = said.groupBy("asked").agg(F.collect_set(resolve_region(F.col("text"))[0]).alias("words_region"))
+    period = in_order(period, resolve_period(F.col("text"), anchor), "words_period")
+    rows = found
+    for words in (metric, client, region, period):
+        rows = rows.join(words.withColumnRenamed("asked", "qid"), "qid", "left")
+    have = {"metric": F.size("metric_ids") > 0, "client": F.col("client").isNotNull(), "region": F.col("region").isNotNull(), "period": F.col("period").isNotNull()}
+    words = {f: F.coalesce(F.size(f"words_{f}") == 1 if f in ("metric", "region") else F.size(f"words_{f}") > 0, F.lit(False)) for f in have}
+    return rows.select(
+        "qid",
+        F.when(have["metric"] | ~words["metric"], F.col("metric_ids")).otherwise(F.col("words_metric")).alias("metric_ids"),
+        F.when(have["client"], F.array("client")).when(words["client"], F.col("words_client")).alias("clients"),
+        F.when(have["region"], F.col("region")).when(words["region"], F.element_at("words_region", 1)).alias("region"),
+        F.when(have["period"], F.array("period")).when(words["period"], F.col("words_period")).alias("periods"),
+        F.array_compact(F.array(*[F.when(~have[f] & words[f], f) for f in have])).alias("assumptions"),
+        F.array_compact(F.array(*[F.when(~have[f] & ~words[f], f) for f in have])).alias("unresolved"),
+    )
+
+
+def in_order(words: DataFrame, value: Column, name: str) -> DataFrame:
+    """asked and the distinct values of its words, by place, nulls left out."""
+    rows = words.select("asked", "place", value.alias("v")).filter("v is not null").groupBy("asked", "v").agg(F.min("place").alias("place"))
+    return rows.groupBy("asked").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "v"))), lambda x: x["v"]).alias(name))
 
 
 class Cache:

@@ -110,10 +110,36 @@ def f14(spark, d):
     return questions(spark).select("qid", op.aggregation(t).alias("aggregation"), op.grouping(t).alias("grouping"), op.top_n(t).alias("top"), op.intent_type(t, t.contains("CTR"), F.lit(False)).alias("kind"))
 
 
-@query("f15_intent_merge")
+#: A question for each order, made of a metric (one in four names none), its customer's segment (one in three orders leaves it out), a
+#: region (one in five names two, one none), the quarter of its date (two in seven leave it out) and a word for an aggregation.
+ORDER_QUESTION = "concat('Show ', case o_orderstatus when 'F' then 'average ' when 'P' then 'the latest ' else '' end, element_at(array('clicks', 'impressions', 'leads', 'nothing'), cast(o_orderkey % 4 as int) + 1), case when o_custkey % 3 <> 0 then concat(' for ', coalesce(c_mktsegment, 'nobody')) else '' end, element_at(array(' in the US', ' in Europe', ' worldwide', ' in the US and Europe', ''), cast(o_orderkey % 5 as int) + 1), case when o_orderkey % 7 < 5 then concat(' Q', quarter(o_orderdate), ' ', year(o_orderdate)) else '' end)"
+ORDER_FOUND = """WITH q AS (SELECT o_orderkey AS qid, CASE o_orderkey % 4 WHEN 0 THEN 'clicks' WHEN 1 THEN 'impressions' WHEN 2 THEN 'leads' END AS metric, CASE WHEN o_custkey % 3 <> 0 THEN c_mktsegment END AS client, CASE o_orderkey % 5 WHEN 0 THEN 'US' WHEN 1 THEN 'EMEA' WHEN 2 THEN 'GLOBAL' END AS region,
+CASE WHEN o_orderkey % 7 < 5 THEN make_date(year(o_orderdate) - 1, 10, 1) + to_months(CAST(3 * (quarter(o_orderdate) - 1) AS INT)) END AS first, CASE o_orderstatus WHEN 'F' THEN 'average' WHEN 'P' THEN 'latest' END AS aggregation, o_orderkey % 5 = 3 AS two FROM orders LEFT JOIN customer ON o_custkey = c_custkey),
+f AS (SELECT *, strftime(first, '%Y-%m-%d') AS s, strftime(first + INTERVAL 3 MONTH - INTERVAL 1 DAY, '%Y-%m-%d') AS e FROM q)"""
+ANCHOR = "2025-06-30"
+
+
+def order_questions(spark, d):
+    x = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"), "left")
+    return x.select(F.col("o_orderkey").alias("qid"), F.expr(ORDER_QUESTION).alias("text"))
+
+
+def order_intents(spark, d):
+    """The questions, the catalogue's aliases, the clients, and what the resolvers find."""
+    q, clients = order_questions(spark, d), table(spark, d, "customer").filter("c_mktsegment is not null").select(F.col("c_mktsegment").alias("client")).distinct()
+    aliases = catalog.aliases(spark).select("metric_id", "alias", "priority")
+    return q, aliases, clients, op.resolved(q, aliases, clients, F.lit(ANCHOR).cast("date"))
+
+
+@query("f15_intent_merge", ORDER_FOUND + """, p AS (SELECT qid, qid % 2 = 0 AS p, qid % 3 = 0 AS same FROM f) SELECT qid, coalesce(metric, CASE WHEN p THEN 'reach' ELSE '' END) AS metrics, coalesce(client, CASE WHEN p AND NOT same THEN 'BUILDING' END) AS client, coalesce(region, CASE WHEN p THEN 'EMEA' END) AS region, coalesce(s, CASE WHEN p THEN '2024-10-01' END) AS start, coalesce(e, CASE WHEN p THEN '2024-12-31' END) AS "end", CASE WHEN p THEN 'trend' ELSE aggregation END AS aggregation,
+concat_ws(';', CASE WHEN p AND metric IS NOT NULL THEN 'metric_ids' END, CASE WHEN p AND NOT same AND client <> 'BUILDING' THEN 'client' END, CASE WHEN p AND region <> 'EMEA' THEN 'region' END, CASE WHEN p AND s <> '2024-10-01' THEN 'period' END) AS overrode FROM f JOIN p USING (qid)""")
 def f15(spark, d):
-    merged = op.Intent(metric_ids=("spend",), region="US").merged(op.Intent(metric_ids=("reach",), client="Client A", aggregation="sum"))
-    return spark.createDataFrame([(",".join(merged.metric_ids), merged.client, merged.region, merged.aggregation, ";".join(merged.assumptions), ",".join(merged.unresolved()))], "metrics string, client string, region string, aggregation string, assumptions string, unresolved string")
+    *_, found = order_intents(spark, d)
+    period = F.struct(F.lit("quarter").alias("kind"), F.lit("2024-10-01").cast("date").alias("start"), F.lit("2024-12-31").cast("date").alias("end"))
+    model = table(spark, d, "orders").filter("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("qid"), F.array(F.lit("reach")).alias("metric_ids"), F.when(F.col("o_orderkey") % 3 != 0, "BUILDING").alias("client"), F.lit("EMEA").alias("region"), period.alias("period"), F.lit("trend").alias("aggregation"), F.lit(None).cast("string").alias("grouping"), F.lit(None).cast("int").alias("top"))
+    x = op.overridden(model, found)
+    fields = F.transform("assumptions", lambda a: F.substring_index(a, " ", 1))
+    return x.select("qid", F.array_join("metric_ids", ",").alias("metrics"), "client", "region", F.col("period.start").cast("string").alias("start"), F.col("period.end").cast("string").alias("end"), "aggregation", F.array_join(fields, ";").alias("overrode"))
 
 
 @query("f16_fuzzy_resolution")
@@ -128,10 +154,15 @@ def f17(spark, d):
     return questions(spark).select("qid", F.array_join(op.periods(F.col("text")), ",").alias("periods")).filter("periods <> ''")
 
 
-@query("f18_intent_refinement")
+@query("f18_intent_refinement", ORDER_FOUND + """, p AS (SELECT *, qid % 2 = 0 AS p FROM f) SELECT qid, coalesce(metric, CASE WHEN p THEN 'unique_reach' ELSE '' END) AS metrics, coalesce(client, CASE WHEN p THEN 'BUILDING,FURNITURE' END) AS clients, coalesce(region, CASE WHEN p AND two THEN 'EMEA' END) AS region, coalesce(s, CASE WHEN p THEN '2024-10-01,2025-10-01' END) AS starts,
+concat_ws(';', CASE WHEN p AND metric IS NULL THEN 'metric' END, CASE WHEN p AND client IS NULL THEN 'client' END, CASE WHEN p AND region IS NULL AND two THEN 'region' END, CASE WHEN p AND s IS NULL THEN 'period' END) AS assumed, concat_ws(';', CASE WHEN NOT p AND metric IS NULL THEN 'metric' END, CASE WHEN NOT p AND client IS NULL THEN 'client' END, CASE WHEN region IS NULL AND NOT (p AND two) THEN 'region' END, CASE WHEN NOT p AND s IS NULL THEN 'period' END) AS unresolved FROM p""")
 def f18(spark, d):
-    i = op.Intent(region="US").merged(op.Intent(client="Client A"))
-    return spark.createDataFrame([(a, "assumption") for a in i.assumptions] + [(u, "unresolved") for u in i.unresolved()], "item string, kind string")
+    q, aliases, clients, found = order_intents(spark, d)
+    words = lambda *x: F.array(*[F.lit(w) for w in x])
+    model = q.filter("qid % 2 = 0").select("qid", words("unique reach", "no such thing").alias("metrics"), words("the building people", "nobody", "Furniture", "building").alias("clients"), words("global", "europe").alias("regions"), words("Q1 2025", "some time", "Q1 FY26", "Q1 2025").alias("periods"))
+    x = op.completed(found, q, model, aliases, clients, F.lit(ANCHOR).cast("date"))
+    starts = F.transform("periods", lambda p: p["start"].cast("string"))
+    return x.select("qid", F.array_join("metric_ids", ",").alias("metrics"), F.array_join("clients", ",").alias("clients"), "region", F.array_join(starts, ",").alias("starts"), F.array_join("assumptions", ";").alias("assumed"), F.array_join("unresolved", ";").alias("unresolved"))
 
 
 @query("f19_comparison_cues", "SELECT qid, CASE qid WHEN 2 THEN 'keyword:compare' END AS reason FROM (SELECT unnest(range(1, 11)) AS qid)")

@@ -74,9 +74,24 @@ def test_fuzzy_needs_a_lead(spark):
     assert [r.b.choice if r.b else None for r in x.select(intent.fuzzy_best("t", "c").alias("b")).collect()] == ["unique reach", None, None]
 
 
-def test_intents_merge_and_cache():
-    i = intent.Intent(region="US").merged(intent.Intent(region="EMEA", client="A"))
-    assert (i.region, i.client, i.unresolved()) == ("US", "A", ["metric_ids", "periods"])
+def test_intents_of_empty_and_null_questions(spark):
+    q = spark.createDataFrame([(1, None), (2, ""), (3, "top 5 clicks for Client A in the US by region, Q1 2025")], "qid int, text string")
+    aliases = spark.createDataFrame([("clicks", "clicks", 2)], "metric_id string, alias string, priority int")
+    clients = spark.createDataFrame([("Client A",)], "client string")
+    anchor = F.lit("2025-06-30").cast("date")
+    found = intent.resolved(q, aliases, clients, anchor)
+    rows = [(r.metric_ids, r.client, r.region, r.period and str(r.period.start), r.aggregation, r.grouping, r.top) for r in found.orderBy("qid").collect()]
+    assert rows == [([], None, None, None, None, None, None)] * 2 + [(["clicks"], "Client A", "US", "2024-10-01", None, "by_region", 5)]
+    none = found.limit(0)
+    assert [(r.client, r.assumptions) for r in intent.overridden(none, found).orderBy("qid").collect()] == [(None, []), (None, []), ("Client A", [])]
+    words = spark.createDataFrame([(1, None, ["client a", None], ["US"], [])], "qid int, metrics array<string>, clients array<string>, regions array<string>, periods array<string>")
+    done = intent.completed(found, q, words, aliases, clients, anchor).orderBy("qid").collect()
+    assert [(r.clients, r.assumptions, r.unresolved) for r in done] == [
+        (["Client A"], ["client"], ["metric", "region", "period"]), (None, [], ["metric", "client", "region", "period"]), (["Client A"], [], []),
+    ]
+
+
+def test_cache_forgets_the_oldest():
     c = intent.Cache(2)
     for k in "abac":
         c.get(k) or c.put(k, k)
