@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -15,6 +17,8 @@ from .facts import any_of, first_by
 K1, B = 1.2, 0.75
 #: Queries that go to a catalogue at once.
 MATCH_BLOCK = 2048
+#: Folders of a full-text index.
+BUCKETS = 64
 #: Fixed: words that full-text search leaves out.
 STOP_WORDS = ["a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "to", "was", "with"]
 
@@ -25,9 +29,31 @@ def postings(chunks: DataFrame) -> DataFrame:
     return words.select("chunk_id", F.size("w").cast("long").alias("n"), F.explode("w").alias("term")).groupBy("term", "chunk_id", "n").agg(F.count("*").alias("tf"))
 
 
-def write_postings(chunks: DataFrame, name: str, buckets: int = 16) -> None:
-    """The index as a table bucketed by term, so that queries read their terms' buckets and joins on them need no shuffle."""
-    postings(chunks).write.bucketBy(buckets, "term").sortBy("term").mode("overwrite").saveAsTable(name)
+class Index(NamedTuple):
+    """A full-text index that was written: postings by bucket of their term, and one row with the chunks' number and mean length."""
+
+    postings: DataFrame
+    size: DataFrame
+
+
+def bucket(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+
+
+def write_index(chunks: DataFrame, path: str) -> None:
+    """Writes the index of chunks (chunk_id, unique, and text; a null text has no words). Postings are ranged over tasks by bucket, term
+    and chunk, so a word that most chunks have is spread over many files, and sorted, so a file's statistics tell which terms it has."""
+    by = ["bucket", "term", "chunk_id"]
+    rows = postings(chunks).withColumn("bucket", bucket(F.col("term")))
+    rows.repartitionByRange(*by).sortWithinPartitions(*by).write.partitionBy("bucket").parquet(f"{path}/postings")
+    size = F.size(tokens(F.col("text")))
+    chunks.agg(F.count("*").alias("__n"), F.avg(size).alias("__mean")).write.parquet(f"{path}/size")
+
+
+def read_index(spark: SparkSession, path: str, id_type: str = "long") -> Index:
+    """The index as written; id_type: of chunk_id (an index without postings has no file that tells)."""
+    rows = spark.read.schema(f"term string, chunk_id {id_type}, n long, tf long, bucket int").parquet(f"{path}/postings")
+    return Index(rows, spark.read.schema("__n long, __mean double").parquet(f"{path}/size"))
 
 
 def upserted(index: DataFrame, changed: DataFrame, removed: DataFrame | None = None) -> DataFrame:
@@ -40,23 +66,42 @@ def occurrences(words: Column, term: str) -> Column:
     return F.size(F.filter(words, lambda x: x == term))
 
 
+def query_terms(query: str) -> list[str]:
+    return sorted({t for t in query.lower().split() if t})
+
+
+def bm25_score(hit: DataFrame, terms: list[str], limit: int | None) -> DataFrame:
+    """chunk_id and score of rows with t0, t1 ... (counts of the terms), n, and the corpus's __n, __mean, df0, df1 ..."""
+    score = F.lit(0.0)
+    for i in range(len(terms)):
+        idf = F.log(1 + (F.col("__n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5))
+        score += idf * F.col(f"t{i}") * (K1 + 1) / (F.col(f"t{i}") + K1 * (1 - B + B * F.col("n") / F.col("__mean")))
+    out = hit.select("chunk_id", score.alias("score"))
+    return out if limit is None else out.orderBy(F.desc("score"), "chunk_id").limit(limit)
+
+
 def bm25(chunks: DataFrame, query: str, limit: int | None = None) -> DataFrame:
-    """chunk_id and score of the chunks that have all words of the query, best first. One pass over the texts: the corpus statistics
-    and the counts of the query's words come from the same rows."""
-    terms = sorted({t for t in query.lower().split() if t})
+    """chunk_id and score of the chunks that have all words of the query, best first, without an index: one pass over the texts, and the
+    corpus statistics and the counts of the query's words come from the same rows."""
+    terms = query_terms(query)
     w = tokens(F.col("text"))
     rows = chunks.select("chunk_id", F.size(w).alias("n"), *[occurrences(w, t).alias(f"t{i}") for i, t in enumerate(terms)])
     stats = rows.agg(F.count("*").alias("__n"), F.avg("n").alias("__mean"), *[F.sum((F.col(f"t{i}") > 0).cast("long")).alias(f"df{i}") for i in range(len(terms))])
     hit = rows
     for i in range(len(terms)):
         hit = hit.filter(F.col(f"t{i}") > 0)
-    hit = hit.join(F.broadcast(stats))
-    score = F.lit(0.0)
-    for i in range(len(terms)):
-        idf = F.log(1 + (F.col("__n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5))
-        score += idf * F.col(f"t{i}") * (K1 + 1) / (F.col(f"t{i}") + K1 * (1 - B + B * F.col("n") / F.col("__mean")))
-    out = hit.select("chunk_id", score.alias("score"))
-    return out if limit is None else out.orderBy(F.desc("score"), "chunk_id").limit(limit)
+    return bm25_score(hit.join(F.broadcast(stats)), terms, limit)
+
+
+def bm25_indexed(index: Index, query: str, limit: int | None = None) -> DataFrame:
+    """The rows of bm25 from the postings of the query's words alone: their buckets are all that is read, and what is shuffled is a row
+    for each chunk that has one of them. A query without words finds nothing."""
+    terms = query_terms(query)
+    hit = index.postings.filter(any_of([(F.col("bucket") == bucket(F.lit(t))) & (F.col("term") == t) for t in terms] or [F.lit(False)]))
+    stats = hit.agg(*[F.count_if(F.col("term") == t).alias(f"df{i}") for i, t in enumerate(terms)]) if terms else None
+    rows = hit.groupBy("chunk_id", "n").agg(F.count("*").alias("words"), *[F.max(F.when(F.col("term") == t, F.col("tf"))).alias(f"t{i}") for i, t in enumerate(terms)])
+    rows = rows.filter(F.col("words") == len(terms)).join(F.broadcast(index.size))
+    return bm25_score(rows if stats is None else rows.join(F.broadcast(stats)), terms, limit)
 
 
 def stemmed(words: Column) -> Column:
@@ -85,9 +130,10 @@ def like(chunks: DataFrame, query: str, limit: int = 20) -> DataFrame:
 BACKENDS = {"bm25": bm25, "rank": text_rank, "like": like}
 
 
-def text_search(chunks: DataFrame, query: str, limit: int = 20, chain: tuple[str, ...] = ("bm25", "like")) -> DataFrame:
-    """The results of the first backend of the chain that has any, in one plan."""
-    parts = [BACKENDS[b](chunks, query, limit).withColumn("tier", F.lit(i)) for i, b in enumerate(chain)]
+def text_search(chunks: DataFrame, query: str, limit: int = 20, chain: tuple[str, ...] = ("bm25", "like"), index: Index | None = None) -> DataFrame:
+    """The results of the first backend of the chain that has any, in one plan; bm25 from the index of chunks, where there is one."""
+    found = [bm25_indexed(index, query, limit) if b == "bm25" and index else BACKENDS[b](chunks, query, limit) for b in chain]
+    parts = [rows.withColumn("tier", F.lit(i)) for i, rows in enumerate(found)]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -197,10 +243,10 @@ def document_cap(candidates: DataFrame, k: int, per_document: int = 3) -> DataFr
     return candidates.withColumn("__r", F.row_number().over(w)).filter(F.col("__r") <= per_document).drop("__r").orderBy("position").limit(k)
 
 
-def hybrid(chunks: DataFrame, vectors: DataFrame, query: str, query_vector: DataFrame, k: int = 5, min_score: float = 0.0, per_document: int = 3, rerank_scores: DataFrame | None = None) -> DataFrame:
+def hybrid(chunks: DataFrame, vectors: DataFrame, query: str, query_vector: DataFrame, k: int = 5, min_score: float = 0.0, per_document: int = 3, rerank_scores: DataFrame | None = None, index: Index | None = None) -> DataFrame:
     """Text and vector search of max(4 k, k) candidates each, fused, reranked and capped."""
     n = max(4 * k, k)
-    text = text_search(chunks, query, n).select("chunk_id", "score")
+    text = text_search(chunks, query, n, index=index).select("chunk_id", "score")
     vector = vector_only(chunks, vectors, query_vector, n).select("chunk_id", "score")
     both = fused(text, vector).filter(F.col("score") >= min_score).join(chunks.select("chunk_id", "document_id"), "chunk_id")
     return document_cap(reranked(both, rerank_scores), k, per_document)

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import search as op
 from ..functions.vector import cosine, hash_embedding
 from ..sources.star import LINES_SQL, numbered_lines
-from ..sources.tables import conformed, table
+from ..sources.tables import checkpoint_dir, conformed, table
 from .registry import query
 
 TOK = "list_filter(regexp_split_to_array(lower(text), '[^\\pL\\pN]+'), lambda x: x <> '')"
@@ -23,6 +26,25 @@ def chunks(spark, d):
     return x.select(F.col("doc_id").alias("chunk_id"), F.expr("doc_id div 4").alias("document_id"), "text", s.alias("start_slide"), F.when(F.col("doc_id") % 3 == 0, s).otherwise(5).alias("end_slide"), "lang", "source")
 
 
+#: Indexes written by this process, by application and version of the table.
+WRITTEN: dict = {}
+
+
+def text_index(spark, d):
+    """The full-text index of all documents, written once for each version (files, sizes, times) of the table."""
+    files = table(spark, d, "documents").select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+    version = files.agg(F.sha2(F.to_json(F.sort_array(F.collect_list(F.struct("*")))), 256)).first()[0]
+    key = (spark.sparkContext.applicationId, version)
+    if key in WRITTEN:
+        try:
+            return op.read_index(spark, WRITTEN[key])
+        except AnalysisException:  # the shared folder has been cleared
+            pass
+    WRITTEN[key] = f"{checkpoint_dir(spark)}/text-index-{uuid.uuid4().hex}"
+    op.write_index(chunks(spark, d), WRITTEN[key])
+    return op.read_index(spark, WRITTEN[key])
+
+
 def vectors(spark, d):
     return table(spark, d, "embeddings").withColumnRenamed("vec_id", "id")
 
@@ -52,7 +74,7 @@ def bm25_sql(terms: list[str]) -> str:
 
 @query("c01_bm25", CH + bm25_sql(["heti", "the"]) + " SELECT chunk_id, round(score, 6) AS score FROM bm ORDER BY bm.score DESC, chunk_id LIMIT 20")
 def c01(spark, d):
-    return rounded(op.bm25(chunks(spark, d), "the heti", 20))
+    return rounded(op.bm25_indexed(text_index(spark, d), "the heti", 20))
 
 
 STEMS = f"list_transform(list_filter({TOK}, lambda x: x NOT IN ({', '.join(repr(x) for x in op.STOP_WORDS)})), lambda x: regexp_replace(x, '([a-z]{{3}})(es|s)$', '\\1'))"
@@ -70,7 +92,7 @@ def c03(spark, d):
 
 @query("c04_backend_fallback", CH + " SELECT chunk_id, CAST((text ILIKE '%hetixyz%')::INT + (text ILIKE '%wh%')::INT AS DOUBLE) AS score, 'like' AS backend FROM ch WHERE text ILIKE '%hetixyz%' OR text ILIKE '%wh%' ORDER BY chunk_id LIMIT 20")
 def c04(spark, d):
-    return op.text_search(chunks(spark, d), "hetixyz wh")
+    return op.text_search(chunks(spark, d), "hetixyz wh", index=text_index(spark, d))
 
 
 @query("c05_postings", CH + f", w AS (SELECT chunk_id, {TOK} AS w FROM ch WHERE chunk_id % 3 <> 1), u AS (SELECT chunk_id, len(w) AS n, unnest(w) AS term FROM w) SELECT term, count(*) AS postings, CAST(sum(tf) AS BIGINT) AS occurrences FROM (SELECT term, chunk_id, n, count(*) AS tf FROM u GROUP BY ALL) GROUP BY 1")
@@ -128,7 +150,7 @@ FUSED = CH + bm25_sql(["the"]) + ", " + V + FUSE
 
 def fused(spark, d):
     v = op.vector_only(chunks(spark, d), vectors(spark, d), query_vector(spark, d), 20).select("chunk_id", "score")
-    return op.fused(op.bm25(chunks(spark, d), "the", 20), v)
+    return op.fused(op.bm25_indexed(text_index(spark, d), "the", 20), v)
 
 
 @query("c13_fusion", FUSED + " SELECT chunk_id, round(score, 6) AS score FROM f")
@@ -166,7 +188,7 @@ def c17(spark, d):
 
 @query("c18_hybrid_search", FUSED + ", p AS (SELECT f.chunk_id, document_id, score, row_number() OVER (ORDER BY score DESC, f.chunk_id) AS position FROM f JOIN ch USING (chunk_id)), c AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY position) AS k FROM p) SELECT chunk_id, document_id, round(score, 6) AS score, position FROM c WHERE k <= 3 ORDER BY position LIMIT 5")
 def c18(spark, d):
-    out = op.hybrid(chunks(spark, d), vectors(spark, d), "the", query_vector(spark, d))
+    out = op.hybrid(chunks(spark, d), vectors(spark, d), "the", query_vector(spark, d), index=text_index(spark, d))
     return rounded(out.select("chunk_id", "document_id", "score", F.col("position").cast("long").alias("position")))
 
 
@@ -174,7 +196,7 @@ HITS = CH + bm25_sql(["the"]) + ", h AS (SELECT bm.chunk_id, document_id, round(
 
 
 def hits(spark, d):
-    return rounded(op.bm25(chunks(spark, d), "the")).join(chunks(spark, d).select("chunk_id", "document_id"), "chunk_id")
+    return rounded(op.bm25_indexed(text_index(spark, d), "the")).join(chunks(spark, d).select("chunk_id", "document_id"), "chunk_id")
 
 
 @query("c19_context_blocks", HITS + ", t AS (SELECT chunk_id, row_number() OVER (ORDER BY score DESC, chunk_id) AS position FROM h ORDER BY position LIMIT 20) SELECT position, '[' || position || '] ' || source || ' (' || CASE WHEN start_slide = end_slide THEN 'slide ' || start_slide ELSE 'slides ' || start_slide || '-' || end_slide END || ')' || chr(10) || text AS block FROM t JOIN ch USING (chunk_id)")

@@ -24,6 +24,28 @@ def test_bm25_needs_all_words(spark):
     assert [r.chunk_id for r in op.text_rank(c, "the alphas").collect()] in ([1, 2], [2, 1])
 
 
+def test_index_gives_the_rows_of_the_scan_from_its_terms_buckets(spark, tmp_path):
+    words = ["alpha", "beta", "gamma", "delta"]
+    rows = [(i, " ".join(words[j % 4] for j in range(i % 7)) + (" rare" if i % 11 == 0 else "")) for i in range(60)] + [(60, None), (61, ""), (62, "alpha " * 500)]
+    c = spark.createDataFrame(rows, "chunk_id long, text string")
+    op.write_index(c, f"{tmp_path}/index")
+    index = op.read_index(spark, f"{tmp_path}/index")
+    for query in ("alpha", "beta alpha", "alpha rare", "Alpha alpha BETA", "none", "alpha none"):
+        seen = [(r.chunk_id, round(r.score, 9)) for r in op.bm25_indexed(index, query, 10).collect()]
+        assert seen == [(r.chunk_id, round(r.score, 9)) for r in op.bm25(c, query, 10).collect()]
+        assert bool(seen) == ("none" not in query)
+    assert op.bm25_indexed(index, " ").count() == 0
+    plan = op.bm25_indexed(index, "alpha rare")._jdf.queryExecution().executedPlan().toString()
+    assert "bucket" in plan.split("PartitionFilters: [")[1].split("]")[0] and "EqualTo(term,alpha)" in plan
+
+
+def test_index_of_no_chunks(spark, tmp_path):
+    op.write_index(spark.createDataFrame([(1, None)], "chunk_id long, text string"), f"{tmp_path}/null")
+    assert op.bm25_indexed(op.read_index(spark, f"{tmp_path}/null"), "alpha").count() == 0
+    op.write_index(spark.createDataFrame([], "chunk_id long, text string"), f"{tmp_path}/none")
+    assert op.bm25_indexed(op.read_index(spark, f"{tmp_path}/none"), "alpha").count() == 0
+
+
 def test_postings_upsert(spark):
     c = spark.createDataFrame([(1, "a b"), (2, "b c")], "chunk_id long, text string")
     now = op.upserted(op.postings(c), spark.createDataFrame([(1, "d")], "chunk_id long, text string"), spark.createDataFrame([(2,)], "chunk_id long"))
