@@ -14,6 +14,9 @@ MODULES = {
     "op8_quality_classifier": "quality",
     "op9_benchmark_decontamination": "decontaminate",
     "op10_suffix_array_dedup": "suffix_dedup",
+    "op11_conversation_trie": "conversation_trie",
+    "op12_centroid_clustering": "clustering",
+    "op13_best_fit_packing": "packing",
 }
 
 _loaded = {name: import_module(f".{module}", __package__) for name, module in MODULES.items()}
