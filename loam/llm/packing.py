@@ -42,8 +42,8 @@ CAPACITY, END_ID = 4096, 1
 #: covers at most, how fast weights fall with it, and by what share the first weight of a piece as large as a sequence is above its
 #: size: large pieces are hard to place later, small ones aren't.
 CLASSES, SAND, ROUNDS, SHARE, ETA, LARGE = 384, 8, 5000, 0.25, 0.1, 0.3
-#: Pieces of a bucket, about, when the pieces of a length are numbered.
-BUCKET = 20_000
+#: Pieces of a bucket, about, when the pieces of a length are numbered: a length that most pieces have is many buckets.
+BUCKET = 500
 #: Words (or units) that a worker remembers; twice as many for a while.
 WORDS = 250_000
 #: Lower-case letters (with a few others) of texts that are split here; all other texts are split by the library alone.
@@ -324,10 +324,11 @@ def runs(plan: list[tuple[int, list[tuple[int, int]]]]) -> dict[int, np.ndarray]
     return {length: np.array(x, np.int64) for length, x in out.items()}
 
 
-def numbered(found: DataFrame, n: int) -> DataFrame:
-    """found (written, n rows) with number: from 0 among the pieces of a length, by bucket, doc_id and piece."""
-    buckets = n // BUCKET + 1
-    rows = found.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)).cast("int"))
+def numbered(found: DataFrame, counts: dict[int, int]) -> DataFrame:
+    """found (written; counts: pieces by length) with number: from 0 among the pieces of a length, by bucket, doc_id and piece. A
+    length has a bucket for each BUCKET of its pieces."""
+    buckets = found.sparkSession.createDataFrame([(x, n // BUCKET + 1) for x, n in counts.items()], "length long, buckets long")
+    rows = found.join(F.broadcast(buckets), "length").withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), "buckets")).drop("buckets")
     firsts = rows.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     firsts = firsts.select("length", "bucket", (F.sum("n").over(W.Window.partitionBy("length").orderBy("bucket")) - F.col("n")).alias("first"))
     own = F.row_number().over(W.Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")) - 1
@@ -337,7 +338,7 @@ def numbered(found: DataFrame, n: int) -> DataFrame:
 def packed(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """found (pieces, written) with sequence_id and offset."""
     spark = found.sparkSession
-    counts = {r.length: r.n for r in found.groupBy("length").agg(F.count("*").alias("n")).collect()}  # capacity rows at most
+    counts = {r.length: r.n for r in found.groupBy("length").agg(F.count("*").alias("n")).collect()}  # capacity rows at most, and so below
     where, names = spark.sparkContext.broadcast(runs(planned(counts, capacity))), found.columns
 
     def run(batch: pa.RecordBatch) -> dict:
@@ -352,7 +353,7 @@ def packed(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         return {c: batch.column(c) for c in names} | {"sequence_id": sequence, "offset": offset}
 
     kinds = ", ".join(f"{c} {t}" for c, t in found.dtypes)
-    return map_arrow(numbered(found, sum(counts.values())), run, f"{kinds}, sequence_id long, offset long")
+    return map_arrow(numbered(found, counts), run, f"{kinds}, sequence_id long, offset long")
 
 
 def sequences(rows: DataFrame) -> DataFrame:
