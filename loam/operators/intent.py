@@ -28,9 +28,13 @@ DECK_CUES = ["deck", "presentation", "pptx", ".pptx", "slides from"]
 FOLLOW_UPS = ["and", "also", "compare", "vs", "versus", "what about", "same", "that", "those", "it"]
 #: Greetings.
 GREETINGS = ["hi", "hello", "hey", "hiya", "yo", "sup", "good morning", "good afternoon", "good evening"]
-#: Phrases that ask to be let out of the rules; the second line is this library's own.
-JAILBREAK = ["ignore all instructions", "ignore previous instructions", "ignore prior instructions", "system prompt", "developer message", "policy bypass", "bypass rules", "bypass safety", "bypass guardrails", "prompt injection", "jailbreak", "do anything now", "dan", "unfiltered answer", "reveal hidden instructions", "reveal internal instructions"]
-JAILBREAK += ["ignore all previous instructions", "ignore any previous instructions", "ignore all prior instructions", "ignore above instructions", "pretend to be", "pretend you are", "developer mode"]
+#: Pairs of word lists: a question with a word of both asks to be let out of the rules, or to see what is hidden.
+ATTACKS = [
+    (["ignore", "disregard", "forget", "override", "bypass", "circumvent"], ["instruction", "instructions", "rules", "guidelines", "guardrails", "restrictions", "safety", "policy"]),
+    (["reveal", "print", "leak", "repeat", "show"], ["prompt", "hidden", "internal", "confidential"]),
+    (["pretend", "act", "roleplay", "behave"], ["unrestricted", "unfiltered", "jailbroken", "limitless", "developer"]),
+    (["jailbreak", "injection"], ["jailbreak", "prompt"]),
+]
 
 
 def quoted(word: Column) -> Column:
@@ -148,9 +152,16 @@ def greeting(text: Column) -> Column:
     return F.coalesce(F.regexp_replace(said, " there$", "").isin(GREETINGS), F.lit(False))
 
 
+def attack(text: Column) -> Column:
+    """Whether a text has a word of both lists of a pair of ATTACKS."""
+    words = plain_tokens(text)
+    has = lambda x: F.arrays_overlap(words, F.array(*[F.lit(w) for w in x]))
+    return any_of([has(a) & has(b) for a, b in ATTACKS])
+
+
 def guard(text: Column, scope_score: Column, words: list[str], limit: float = 0.5) -> Column:
     """What stops a question: an attack, too little to do with the data; or allowed."""
-    return F.when(has_word(F.regexp_replace(text, r"\s+", " "), *JAILBREAK), "jailbreak").when(greeting(text), "greeting").when(is_metric_query(text, words), "allowed").when(scope_score < limit, "out_of_scope").otherwise("allowed")
+    return F.when(attack(text), "jailbreak").when(greeting(text), "greeting").when(is_metric_query(text, words), "allowed").when(scope_score < limit, "out_of_scope").otherwise("allowed")
 
 
 def region_verdict(text: Column) -> Column:
