@@ -429,23 +429,6 @@ def masked(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: pattern.sub(masked_number, t), na_action="ignore")
 
 
-def column_letter(index: Column) -> Column:
-    """A, B, ... Z, AA, ... of a column index from 0 (up to 701)."""
-    return F.concat(F.when(index >= 26, F.chr(F.floor(index / 26) + 64)).otherwise(F.lit("")), F.chr(index % 26 + 65))
-
-
-def a1_range(sheet: Column, r0: Column, r1: Column, c0: Column, c1: Column) -> Column:
-    """A grid range (ends excluded, from 0) in A1 notation."""
-    return F.concat(sheet, F.lit("!"), column_letter(c0), (r0 + 1).cast("string"), F.lit(":"), column_letter(c1 - 1), r1.cast("string"))
-
-
-def grid_ranges(df: DataFrame, column: str, *keep: str) -> DataFrame:
-    """Grid ranges anywhere in a chart's JSON."""
-    schema = "sheetId int, startRowIndex int, endRowIndex int, startColumnIndex int, endColumnIndex int"
-    found = df.select(*keep, F.posexplode(F.regexp_extract_all(column, F.lit(r'(\{[^{}]*"startRowIndex"[^{}]*\})'), 1)).alias("n", "g"))
-    return found.select(*keep, "n", F.from_json("g", schema).alias("g")).select(*keep, "n", "g.*")
-
-
 def deck_links(files: DataFrame, mapping: DataFrame) -> DataFrame:
     """url of each file from the mapping (file names are unique in it), or its path."""
     return files.join(mapping, "filename", "left").select("filename", F.coalesce("url", "path").alias("url"))

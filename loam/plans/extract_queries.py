@@ -8,6 +8,7 @@ from ..functions import catalog
 from ..functions.text import chunked, window_around
 from ..operators import boxes as bx
 from ..operators import extract as op
+from ..operators import trees
 from ..operators.facts import first_by
 from ..sources.star import FACT_SQL, LINES_SQL, numbered_lines
 from ..sources.tables import table
@@ -382,11 +383,39 @@ def d49(spark, d):
     return x.select("text", op.masked("text").alias("masked"))
 
 
-@query("d50_chart_ranges", "SELECT p_partkey, 'S!' || chr(CAST(65 + p_size % 20 AS INT)) || (p_size % 7 + 1) || ':' || chr(CAST(67 + p_size % 20 AS INT)) || (p_size % 7 + 5) AS a1 FROM part")
+#: Charts drawn from orders and their lines: ranges in nested lists and objects, with bounds left out by turns; one in seven has none.
+RANGE_SQL = "SELECT o_orderkey, path, sheet_id, sr, CASE WHEN er IS NULL THEN sr + 1 ELSE er END AS er, sc, CASE WHEN ec IS NULL THEN sc + 1 ELSE ec END AS ec FROM r"
+COLUMN_SQL = "CASE WHEN {0} < 26 THEN chr(CAST(65 + {0} AS INT)) WHEN {0} < 702 THEN chr(CAST(64 + {0} // 26 AS INT)) || chr(CAST(65 + {0} % 26 AS INT)) ELSE chr(CAST(65 + ({0} - 702) // 676 AS INT)) || chr(CAST(65 + ({0} - 702) // 26 % 26 AS INT)) || chr(CAST(65 + ({0} - 702) % 26 AS INT)) END"
+
+
+@query(
+    "d50_chart_ranges",
+    "WITH m AS (SELECT l_orderkey, count(*) AS n, CAST(max(l_quantity) AS BIGINT) AS q FROM lineitem GROUP BY 1), b AS (SELECT o_orderkey, o_orderkey % 5 AS k, n, q FROM orders JOIN m ON l_orderkey = o_orderkey WHERE o_orderkey % 7 <> 0), "
+    "r AS (SELECT o_orderkey, '$.spec.basic.series[0].data.sources[0]' AS path, k AS sheet_id, n AS sr, n + q AS er, CAST(0 AS BIGINT) AS sc, CAST(NULL AS BIGINT) AS ec FROM b "
+    "UNION ALL SELECT o_orderkey, '$.spec.basic.domains[0][1]', k, 0, NULL, q * 20, q * 20 + n FROM b), "
+    "d AS (" + RANGE_SQL + ") SELECT o_orderkey, path, '''sheet ' || sheet_id || '''!' || " + COLUMN_SQL.format("sc") + " || (sr + 1) || ':' || " + COLUMN_SQL.format("(ec - 1)") + " || er AS a1 FROM d".replace("\\'", "''"),
+)
 def d50(spark, d):
-    text = F.concat(F.lit('{"spec":{"basic":[{"sources":[{"sheetId":1,"startRowIndex":'), (F.col("p_size") % 7).cast("string"), F.lit(',"endRowIndex":'), (F.col("p_size") % 7 + 5).cast("string"), F.lit(',"startColumnIndex":'), (F.col("p_size") % 20).cast("string"), F.lit(',"endColumnIndex":'), (F.col("p_size") % 20 + 3).cast("string"), F.lit("}]}]}}"))
-    g = op.grid_ranges(table(spark, d, "part").select("p_partkey", text.alias("chart")), "chart", "p_partkey")
-    return g.select("p_partkey", op.a1_range(F.lit("S"), F.col("startRowIndex"), F.col("endRowIndex"), F.col("startColumnIndex"), F.col("endColumnIndex")).alias("a1"))
+    lines = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n"), F.max("l_quantity").cast("long").alias("q"))
+    rows = table(spark, d, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
+    source = F.struct((F.col("o_orderkey") % 5).alias("sheetId"), F.col("n").alias("startRowIndex"), (F.col("n") + F.col("q")).alias("endRowIndex"), F.struct(F.lit("kept").alias("note")).alias("format"))
+    domain = F.struct((F.col("o_orderkey") % 5).alias("sheetId"), (F.col("q") * 20).alias("startColumnIndex"), (F.col("q") * 20 + F.col("n")).alias("endColumnIndex"))
+    none = F.lit(None).cast("long")  # an absent field
+    bare = F.struct(F.lit(1).cast("long").alias("sheetId"), none.alias("startColumnIndex"), none.alias("endColumnIndex"))
+    series = F.array(F.struct(F.struct(F.array(source).alias("sources")).alias("data")))
+    whole = F.to_json(F.struct(F.struct(F.struct(series.alias("series"), F.array(F.array(bare, domain)).alias("domains")).alias("basic"), F.lit("t").alias("title")).alias("spec")))
+    chart = rows.select("o_orderkey", F.when(F.col("o_orderkey") % 7 != 0, whole).otherwise(F.lit("no chart {")).alias("chart"))
+    g = trees.grid_ranges(chart, "chart", "o_orderkey")
+    sheet = F.concat(F.lit("sheet "), F.col("sheet_id").cast("string"))
+    return g.select("o_orderkey", "path", trees.a1(sheet, F.col("start_row"), F.col("end_row"), F.col("start_column"), F.col("end_column")).alias("a1"))
+
+
+@query("s28_section_tree", "WITH RECURSIVE t AS (SELECT p_partkey, p_partkey AS root, CAST(0 AS BIGINT) AS depth FROM part WHERE p_partkey % 97 = 0 OR p_partkey // 3 + p_size // 10 = p_partkey OR p_partkey // 3 + p_size // 10 NOT IN (SELECT p_partkey FROM part) UNION ALL SELECT p.p_partkey, t.root, t.depth + 1 FROM t JOIN part p ON p.p_partkey // 3 + p.p_size // 10 = t.p_partkey AND p.p_partkey % 97 <> 0 AND p.p_partkey // 3 + p.p_size // 10 <> p.p_partkey) SELECT p_partkey, max(root) AS root, max(depth) AS depth FROM (SELECT * FROM t UNION ALL SELECT p_partkey, NULL, NULL FROM part) GROUP BY 1")
+def s28(spark, d):
+    """Sections that name the section above them: a forest drawn from the keys and sizes of parts, some without a parent."""
+    parent = F.expr("p_partkey div 3 + p_size div 10")
+    rows = table(spark, d, "part").select("p_partkey", F.when((F.col("p_partkey") % 97 != 0) & (parent != F.col("p_partkey")), parent).alias("parent"))
+    return trees.ancestry(rows, "p_partkey", "parent")
 
 
 @query("d51_deck_mapping", "SELECT 'f' || p_partkey AS filename, CASE WHEN p_partkey % 2 = 0 THEN 'url' || p_size ELSE '/in/' || p_partkey END AS url FROM part")
