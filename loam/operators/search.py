@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 from ..functions.text import plain_tokens, tokens
 from ..functions.vector import cosine, distance, doubles, dot, hash_embedding, norm, normalised
 from .facts import any_of, first_by
+from .vector_index import VectorIndex
+from .vector_index import search as search_index
 
 K1, B = 1.2, 0.75
-#: Queries that go to a catalogue at once.
-MATCH_BLOCK = 2048
 #: Folders of a full-text index.
 BUCKETS = 64
 #: Fixed: words that full-text search leaves out.
@@ -56,12 +56,6 @@ def read_index(spark: SparkSession, path: str, id_type: str = "long") -> Index:
     return Index(rows, spark.read.schema("__n long, __mean double").parquet(f"{path}/size"))
 
 
-def upserted(index: DataFrame, changed: DataFrame, removed: DataFrame | None = None) -> DataFrame:
-    """The index after chunks have changed (or come) and others gone: what the index's triggers keep in step."""
-    gone = changed.select("chunk_id") if removed is None else changed.select("chunk_id").unionByName(removed.select("chunk_id"))
-    return index.join(gone.distinct(), "chunk_id", "left_anti").unionByName(postings(changed).select(*index.columns))
-
-
 def occurrences(words: Column, term: str) -> Column:
     return F.size(F.filter(words, lambda x: x == term))
 
@@ -312,18 +306,11 @@ def chunk_metadata(chunks: DataFrame, slides: DataFrame) -> DataFrame:
     return chunks.join(s, (F.col("document_id") == F.col("__d")) & (F.col("start_slide") == F.col("__s")), "left").drop("__d", "__s")
 
 
-def embedding_match(queries: DataFrame, catalog: DataFrame, least: float = 0.7) -> DataFrame:
-    """The nearest catalogue entry of each query (query_id, q), if it is near enough; of equal ones the smallest metric_id.
-
-    The catalogue may be of any size and stays where it is; the queries go to it in blocks of MATCH_BLOCK, and each task keeps one
-    best entry a query before anything is shuffled."""
-    blocks = max(1, -(-queries.count() // MATCH_BLOCK))
-    best = None
-    for i in range(blocks):
-        part = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)
-        rows = catalog.join(F.broadcast(part)).select("query_id", "metric_id", F.round(cosine(F.col("embedding"), F.col("q")), 6).alias("score"))
-        rows = rows.groupBy("query_id").agg(F.max(F.struct("score", (-F.col("metric_id")).alias("m"))).alias("b"))
-        best = rows if best is None else best.unionByName(rows)
+def embedding_match(queries: DataFrame, catalog: VectorIndex, least: float = 0.7, nearest: int = 4) -> DataFrame:
+    """The nearest catalogue entry of each query (query_id, embedding), if it is near enough; of equal ones (to six places) the smallest
+    metric_id. The catalogue is an index on disk; `nearest` entries are looked at, so that equal ones meet."""
+    rows = search_index(catalog, queries, nearest).select("query_id", F.col("id").alias("metric_id"), F.round("cosine", 6).alias("score"))
+    best = rows.groupBy("query_id").agg(F.max(F.struct("score", (-F.col("metric_id")).alias("m"))).alias("b"))
     return best.filter(F.col("b.score") >= least).select("query_id", (-F.col("b.m")).alias("metric_id"), F.col("b.score").alias("score"))
 
 

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import search as op
+from ..operators import segments, vector_index
 from ..functions.vector import cosine, hash_embedding
 from ..sources.star import LINES_SQL, numbered_lines
 from ..sources.tables import checkpoint_dir, conformed, table
@@ -26,23 +26,31 @@ def chunks(spark, d):
     return x.select(F.col("doc_id").alias("chunk_id"), F.expr("doc_id div 4").alias("document_id"), "text", s.alias("start_slide"), F.when(F.col("doc_id") % 3 == 0, s).otherwise(5).alias("end_slide"), "lang", "source")
 
 
-#: Indexes written by this process, by application and version of the table.
-WRITTEN: dict = {}
+def version(spark, d, name: str) -> str:
+    """Tells a version of a table by its files, their sizes and times."""
+    files = table(spark, d, name).select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+    return files.agg(F.sha2(F.to_json(F.sort_array(F.collect_list(F.struct("*")))), 256)).first()[0][:32]
 
 
 def text_index(spark, d):
-    """The full-text index of all documents, written once for each version (files, sizes, times) of the table."""
-    files = table(spark, d, "documents").select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
-    version = files.agg(F.sha2(F.to_json(F.sort_array(F.collect_list(F.struct("*")))), 256)).first()[0]
-    key = (spark.sparkContext.applicationId, version)
-    if key in WRITTEN:
-        try:
-            return op.read_index(spark, WRITTEN[key])
-        except AnalysisException:  # the shared folder has been cleared
-            pass
-    WRITTEN[key] = f"{checkpoint_dir(spark)}/text-index-{uuid.uuid4().hex}"
-    op.write_index(chunks(spark, d), WRITTEN[key])
-    return op.read_index(spark, WRITTEN[key])
+    """The full-text index of all documents, built once for each version of the table in the shared folder, for all applications."""
+    path = f"{checkpoint_dir(spark)}/text-index-{version(spark, d, 'documents')}"
+    if (found := segments.open_index(spark, path)) is None:
+        segments.apply(chunks(spark, d), path, batch=0)
+        found = segments.open_index(spark, path)
+    return found
+
+
+DIMS = 64
+
+
+def index_of_vectors(spark, d):
+    """The same for the index of all embeddings."""
+    path = f"{checkpoint_dir(spark)}/vector-index-{version(spark, d, 'embeddings')}"
+    if (found := vector_index.open_vector_index(spark, path)) is None:
+        vector_index.write_vector_index(vectors(spark, d), path, DIMS)
+        found = vector_index.open_vector_index(spark, path)
+    return found
 
 
 def vectors(spark, d):
@@ -59,10 +67,9 @@ def rounded(df):
 
 @query("a18_embedding_match", "WITH " + V + ", r AS (SELECT a.id AS query_id, b.id AS metric_id, round(list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))), 6) AS score FROM (SELECT id, list_reverse(e) AS e FROM v WHERE id % 50 = 0) a, v b), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, metric_id) AS n FROM r) SELECT query_id, metric_id, score FROM k WHERE n = 1 AND score >= 0.1")
 def a18(spark, d):
-    v = vectors(spark, d)
     # queries are the vectors of the query rows turned round, so that no query is its own answer
-    queries = v.filter("id % 50 = 0").select(F.col("id").alias("query_id"), F.reverse("embedding").alias("q"))
-    return op.embedding_match(queries, v.select(F.col("id").alias("metric_id"), "embedding"), 0.1)
+    queries = vectors(spark, d).filter("id % 50 = 0").select(F.col("id").alias("query_id"), F.reverse("embedding").alias("embedding"))
+    return op.embedding_match(queries, index_of_vectors(spark, d), 0.1)
 
 
 def bm25_sql(terms: list[str]) -> str:
@@ -97,10 +104,12 @@ def c04(spark, d):
 
 @query("c05_postings", CH + f", w AS (SELECT chunk_id, {TOK} AS w FROM ch WHERE chunk_id % 3 <> 1), u AS (SELECT chunk_id, len(w) AS n, unnest(w) AS term FROM w) SELECT term, count(*) AS postings, CAST(sum(tf) AS BIGINT) AS occurrences FROM (SELECT term, chunk_id, n, count(*) AS tf FROM u GROUP BY ALL) GROUP BY 1")
 def c05(spark, d):
-    c = chunks(spark, d)
-    old = op.postings(c.filter("chunk_id % 3 <> 2").withColumn("text", F.when(F.col("chunk_id") % 3 == 0, F.lit("old words")).otherwise(F.col("text"))))
-    now = op.upserted(old, c.filter("chunk_id % 3 <> 1"), c.filter("chunk_id % 3 = 1"))
-    return now.groupBy("term").agg(F.count("*").alias("postings"), F.sum("tf").alias("occurrences"))
+    """Half of the texts are stale, others are to go: a change replaces the ones and removes the others."""
+    c, path = chunks(spark, d), f"{checkpoint_dir(spark)}/text-index-kept-{uuid.uuid4().hex}"
+    segments.apply(c.filter("chunk_id % 3 <> 2").withColumn("text", F.when(F.col("chunk_id") % 3 == 0, F.lit("old words")).otherwise(F.col("text"))), path)
+    segments.apply(c.filter("chunk_id % 3 <> 1"), path, c.filter("chunk_id % 3 = 1"))
+    now = segments.open_index(spark, path)
+    return now.postings.groupBy("term").agg(F.count("*").alias("postings"), F.sum("tf").alias("occurrences"))
 
 
 @query("c06_cosine_topk", "WITH " + V + f" SELECT id, round({COS}, 6) AS score FROM v, q WHERE label <> 3 ORDER BY {COS} DESC, id LIMIT 10")
@@ -115,7 +124,15 @@ def c07(spark, d):
 
 @query("c08_flat_l2", "WITH " + V + " SELECT id, round(1 / (1 + list_distance(e, qe)), 6) AS score FROM v, q ORDER BY list_distance(e, qe), id LIMIT 10")
 def c08(spark, d):
-    return rounded(op.vector_search(vectors(spark, d), query_vector(spark, d), 10, "l2"))
+    query = query_vector(spark, d).select(F.lit(0).alias("query_id"), F.col("q").alias("embedding"))
+    return rounded(vector_index.search(index_of_vectors(spark, d), query, 10).select("id", (1 / (1 + F.col("apart"))).alias("score")))
+
+
+@query("s06_vector_index_search", "WITH " + V + ", r AS (SELECT a.id AS query_id, v.id, list_dot_product(v.e, a.qe) / (sqrt(list_dot_product(v.e, v.e)) * sqrt(list_dot_product(a.qe, a.qe))) AS s FROM (SELECT id, e AS qe FROM v WHERE id % 50 = 0) a, v), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, id) AS n FROM r) SELECT query_id, id, round(s, 6) AS score FROM k WHERE n <= 5")
+def s06(spark, d):
+    """The five nearest of each vector whose id is divisible by 50, among all, from the index."""
+    queries = vectors(spark, d).filter("id % 50 = 0").select(F.col("id").alias("query_id"), "embedding")
+    return vector_index.search(index_of_vectors(spark, d), queries, 5).select("query_id", "id", F.round("cosine", 6).alias("score"))
 
 
 @query("c09_index_build", "WITH " + V + " SELECT id, round(e[1] / sqrt(list_dot_product(e, e)), 6) AS first, round(list_sum(e) / sqrt(list_dot_product(e, e)), 4) AS total FROM v")

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from loam.functions.vector import cosine
 from loam.operators import search as op
+from loam.operators import vector_index
 
 
 def test_rerank_and_cap_give_the_golden_order(spark):
@@ -46,12 +47,6 @@ def test_index_of_no_chunks(spark, tmp_path):
     assert op.bm25_indexed(op.read_index(spark, f"{tmp_path}/none"), "alpha").count() == 0
 
 
-def test_postings_upsert(spark):
-    c = spark.createDataFrame([(1, "a b"), (2, "b c")], "chunk_id long, text string")
-    now = op.upserted(op.postings(c), spark.createDataFrame([(1, "d")], "chunk_id long, text string"), spark.createDataFrame([(2,)], "chunk_id long"))
-    assert [(r.term, r.chunk_id, r.tf) for r in now.collect()] == [("d", 1, 1)]
-
-
 def test_cosine_edges(spark):
     v = spark.createDataFrame([([0.1, 0.2, 0.3], [0.1, 0.2, 0.3]), ([1.0], [1.0, 2.0]), ([0.0, 0.0], [1.0, 1.0]), (None, [1.0])], "a array<double>, b array<double>")
     assert [round(r[0], 9) for r in v.select(cosine(F.col("a"), F.col("b"))).collect()] == [1.0, 0.0, 0.0, 0.0]
@@ -90,10 +85,9 @@ def test_vectors_without_a_chunk_take_no_place(spark):
     assert {r.chunk_id for r in op.vector_only(chunks, vectors, query, 2).collect()} == {2, 3}
 
 
-def test_matches_in_blocks_of_queries(spark, monkeypatch):
-    catalog = spark.createDataFrame([(i, [1.0, i / 10]) for i in range(10)], "metric_id long, embedding array<double>")
-    queries = spark.createDataFrame([(i, [1.0, i / 10]) for i in range(5)], "query_id long, q array<double>")
-    whole = sorted(map(tuple, op.embedding_match(queries, catalog).collect()))
-    monkeypatch.setattr(op, "MATCH_BLOCK", 2)
-    assert sorted(map(tuple, op.embedding_match(queries, catalog).collect())) == whole
-    assert [(q, m) for q, m, _ in whole] == [(i, i) for i in range(5)]
+def test_matches_from_an_index(spark, tmp_path):
+    catalog = spark.createDataFrame([(i, [1.0, i / 10]) for i in range(10)] + [(10, [2.0, 0.4])], "id long, embedding array<double>")
+    queries = spark.createDataFrame([(i, [1.0, i / 10]) for i in range(5)] + [(9, [-1.0, -1.0])], "query_id long, embedding array<double>")
+    vector_index.write_vector_index(catalog, f"{tmp_path}/i", 2, pivots=3)
+    got = op.embedding_match(queries, vector_index.open_vector_index(spark, f"{tmp_path}/i"))
+    assert sorted((q, m) for q, m, _ in got.collect()) == [(i, i) for i in range(5)]  # 4 and 10 are equal
