@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from ..functions import catalog
 from ..functions.fiscal import half_bounds, quarter_bounds, year_bounds
 from ..functions.text import plain, plain_tokens, squeezed
+from . import dictionary
 from .facts import any_of, bounded, first_by
 
 PAGE = r"<!-- PAGE (\d+) -->"
@@ -153,17 +154,10 @@ def spans(pattern_groups: dict[str, str], text: str = "text"):
 SPAN_SCHEMA = "id long, label string, raw string, start int, end int"
 
 
-def alias_patterns(entries: list[tuple] | None = None) -> dict[str, str]:
-    """metric_id -> one pattern of all its aliases, longest first; spaces and hyphens are alike."""
-    out = {}
-    for metric_id, _, _, _, aliases, _ in entries or catalog.entries():
-        parts = [r"[\s\-]+".join(map(re.escape, re.split(r"[\s\-]+", a.strip()))) for a in sorted(aliases, key=len, reverse=True)]
-        out[metric_id] = r"(?i)\b(?:" + "|".join(parts) + r")\b"
-    return out
-
-
 def label_spans(texts: DataFrame, entries: list[tuple] | None = None) -> DataFrame:
-    return texts.select("id", "text").mapInPandas(spans(alias_patterns(entries)), SPAN_SCHEMA)
+    """id, label (metric_id), raw, start and end of the catalogue's aliases in texts (id, text): per metric the leftmost, longest ones."""
+    phrases = [(metric_id, alias) for metric_id, _, _, _, aliases, _ in entries or catalog.entries() for alias in aliases]
+    return dictionary.scanned(texts, "id", phrases).select("id", "label", "raw", "start", "end")
 
 
 def value_spans(texts: DataFrame) -> DataFrame:

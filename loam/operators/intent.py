@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from ..functions.fiscal import half_bounds, quarter_bounds, year_bounds
 from ..functions.text import plain_tokens
+from . import dictionary
 from .facts import any_of, bounded
 
 #: Fixed: words too general to choose a metric by themselves.
@@ -50,7 +51,8 @@ def resolve_metrics(questions: DataFrame, aliases: DataFrame, disambiguation: Da
     """qid, metric_id, score and rank of the metrics whose aliases a question has; aliases are the catalogue's, a small table that is
     checked before it is broadcast."""
     q = questions.select("qid", F.lower("text").alias("text"), plain_tokens(F.col("text")).alias("qt"))
-    hit = q.join(bounded(aliases, 20_000, "aliases"), F.expr("contains(text, lower(alias)) and text rlike concat('(?i)(?<!\\\\w)\\\\Q', alias, '\\\\E(?!\\\\w)')"))
+    named = dictionary.scanned(q, "qid", dictionary.phrases_of(aliases, "alias")).select("qid", F.col("label").alias("alias")).distinct()
+    hit = q.join(named, "qid").join(bounded(aliases, 20_000, "aliases"), "alias")
     terms = plain_tokens(F.col("alias"))
     score = F.col("priority") + F.least(F.lit(1.0), 0.2 * F.size(F.array_intersect(terms, "qt"))) + F.when(F.size(terms) >= 2, 0.25).otherwise(0.0)
     score = score - F.when((F.size(terms) == 1) & terms[0].isin(GENERIC) & (F.size("qt") >= 3), 0.35).otherwise(0.0)
@@ -66,7 +68,7 @@ def resolve_metrics(questions: DataFrame, aliases: DataFrame, disambiguation: Da
 
 def resolve_client(questions: DataFrame, clients: DataFrame) -> DataFrame:
     """qid, client, confidence: the longest client named; 0.3 and none if two are equally long, 0 if there is none."""
-    hit = questions.join(bounded(clients, 20_000, "clients"), F.expr("contains(lower(text), lower(client)) and text rlike concat('(?i)(?<!\\\\w)\\\\Q', client, '\\\\E(?!\\\\w)')"))
+    hit = dictionary.scanned(questions, "qid", dictionary.phrases_of(clients, "client")).select("qid", F.col("label").alias("client"))
     most = hit.groupBy("qid").agg(F.max(F.length("client")).alias("n"))
     best = hit.join(most, "qid").filter(F.length("client") == F.col("n")).groupBy("qid").agg(F.count_distinct("client").alias("k"), F.min("client").alias("client"))
     out = questions.join(best, "qid", "left")

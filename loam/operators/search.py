@@ -100,17 +100,42 @@ def bm25_indexed(index: Index, query: str, limit: int | None = None) -> DataFram
 
 def stemmed(words: Column) -> Column:
     """Words without stop words and plural endings."""
-    return F.transform(F.filter(words, lambda x: ~x.isin(STOP_WORDS)), lambda x: F.regexp_replace(x, "(?<=[a-z]{3})(es|s)$", ""))
+    return F.transform(F.filter(words, lambda x: ~x.isin(STOP_WORDS)), stem)
+
+
+def stem(word: Column) -> Column:
+    """A word without a plural ending."""
+    return F.regexp_replace(word, "(?<=[a-z]{3})(es|s)$", "")
+
+
+def cover_density(words: Column, terms: Column) -> Column:
+    """0.1 for each cover divided by one more than the other words in it. words: stems in their places; terms: distinct stems.
+
+    A cover is a stretch that holds all terms and has no shorter one within it. One pass over the places of terms keeps the last place of
+    each; where all have one, the earliest of these and the present place bound a cover, unless the last cover began there too."""
+    m = F.size(terms)
+    spot = lambda at, nth: F.struct(at.cast("int").alias("at"), nth.cast("int").alias("nth"))
+    places = F.transform(words, lambda w, i: F.struct(F.array_position(terms, w).cast("int").alias("t"), i.alias("at")))
+    hits = F.transform(F.filter(places, lambda p: p["t"] > 0), lambda p, i: F.struct(p["t"].alias("t"), p["at"].alias("at"), i.alias("nth")))
+    start = F.struct(F.transform(F.sequence(F.lit(1), m), lambda i: spot(F.lit(-1), F.lit(-1))).alias("last"), F.lit(-1).alias("begun"), F.lit(0.0).alias("score"))
+
+    def step(s, h):
+        last = F.transform(s["last"], lambda x, i: F.when(i + 1 == h["t"], spot(h["at"], h["nth"])).otherwise(x))
+        first = F.array_min(last)
+        others = (h["at"] - first["at"]) - (h["nth"] - first["nth"])
+        new = (first["at"] >= 0) & (first["at"] > s["begun"])
+        return F.struct(last.alias("last"), F.when(new, first["at"]).otherwise(s["begun"]).alias("begun"), (s["score"] + F.when(new, 0.1 / (1 + others)).otherwise(0.0)).alias("score"))
+
+    return F.when(m > 0, F.aggregate(hits, start, step)["score"]).otherwise(0.0)
 
 
 def text_rank(chunks: DataFrame, query: str, limit: int = 20) -> DataFrame:
-    """Chunks with all stems of the query, by cover density: the more and the nearer together, the higher."""
-    want = chunks.sparkSession.range(1).select(stemmed(tokens(F.lit(query))).alias("q"))
-    rows = chunks.join(F.broadcast(want)).select("chunk_id", "q", stemmed(tokens(F.col("text"))).alias("w"))
-    rows = rows.filter(F.size(F.array_except("q", "w")) == 0)
-    at = F.transform("q", lambda t: F.array_position(F.col("w"), t))
-    hits = F.size(F.filter("w", lambda x: F.array_contains(F.col("q"), x)))
-    return rows.select("chunk_id", (hits / (F.array_max(at) - F.array_min(at) + 1)).alias("score")).orderBy(F.desc("score"), "chunk_id").limit(limit)
+    """Chunks with all stems of the query, by cover density: more covers, and shorter ones, are better. Stop words keep their places but
+    are no terms; a query of stop words alone finds nothing."""
+    want = chunks.sparkSession.range(1).select(F.array_distinct(stemmed(tokens(F.lit(query)))).alias("q"))
+    rows = chunks.join(F.broadcast(want)).select("chunk_id", "q", F.transform(tokens(F.col("text")), stem).alias("w"))
+    rows = rows.filter((F.size("q") > 0) & (F.size(F.array_except("q", "w")) == 0))
+    return rows.select("chunk_id", cover_density(F.col("w"), F.col("q")).alias("score")).orderBy(F.desc("score"), "chunk_id").limit(limit)
 
 
 def like(chunks: DataFrame, query: str, limit: int = 20) -> DataFrame:

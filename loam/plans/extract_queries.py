@@ -168,12 +168,12 @@ def cells(spark, d):
     return x.select("id", F.inline(F.array(cell(0, 0, F.lit("CTR")), cell(0, 1, F.concat(F.round(F.col("l_discount") * 100).cast("int").cast("string"), F.lit("%"))), cell(1, 0, F.lit("Spend")), cell(1, 1, F.concat(F.lit("$"), F.col("l_quantity").cast("int").cast("string"))), cell(0, 2, F.lit("Goal")), cell(1, 2, F.lit("9%")))))
 
 
-@query("d20_table_links", "WITH " + LINE + CELLS_SQL + " SELECT a.id, a.text AS label, b.text AS value, CASE WHEN a.row = b.row THEN 'table_row_right' ELSE 'table_col_down' END AS relation, CASE WHEN a.row = b.row THEN b.col - a.col ELSE b.row - a.row END AS distance FROM c a JOIN c b ON a.id = b.id AND ((a.row = b.row AND b.col > a.col) OR (a.col = b.col AND b.row > a.row)) WHERE NOT regexp_matches(a.text, '\\d') AND regexp_matches(b.text, '\\d')")
+@query("d20_table_links", "WITH " + LINE + CELLS_SQL + ", l2 AS (SELECT * FROM c WHERE NOT regexp_matches(text, '\\d')), v2 AS (SELECT * FROM c WHERE regexp_matches(text, '\\d')), ab AS (SELECT a.id, a.text AS label, b.text AS value, true AS same_row, b.col - a.col AS dist FROM l2 a JOIN v2 b ON a.id = b.id AND a.row = b.row WHERE b.col > a.col UNION ALL SELECT a.id, a.text, b.text, false, b.row - a.row FROM l2 a JOIN v2 b ON a.id = b.id AND a.col = b.col WHERE b.row > a.row) SELECT id, label, value, CASE WHEN same_row THEN 'table_row_right' ELSE 'table_col_down' END AS relation, dist AS distance FROM ab")
 def d20(spark, d):
     return op.table_links(cells(spark, d)).select("id", "label", "value", "relation", "distance")
 
 
-@query("d21_link_score", "WITH " + LINE + CELLS_SQL + ", k AS (SELECT a.id, a.text AS label, b.text AS value, CASE WHEN a.row = b.row THEN 0.25 ELSE 0.18 END AS r, CASE WHEN a.row = b.row THEN b.col - a.col ELSE b.row - a.row END AS dist FROM c a JOIN c b ON a.id = b.id AND ((a.row = b.row AND b.col > a.col) OR (a.col = b.col AND b.row > a.row)) WHERE NOT regexp_matches(a.text, '\\d') AND regexp_matches(b.text, '\\d')) SELECT id, label, value, round(greatest(0, least(1, 0.35 + CASE WHEN label = 'Goal' THEN 0 WHEN (label = 'CTR') = contains(value, '%') THEN 0.25 ELSE -0.25 END + r + (1 - dist / 160.0) * 0.18 + 0.06)), 6) AS score FROM k")
+@query("d21_link_score", "WITH " + LINE + CELLS_SQL + ", l2 AS (SELECT * FROM c WHERE NOT regexp_matches(text, '\\d')), v2 AS (SELECT * FROM c WHERE regexp_matches(text, '\\d')), ab AS (SELECT a.id, a.text AS label, b.text AS value, true AS same_row, b.col - a.col AS dist FROM l2 a JOIN v2 b ON a.id = b.id AND a.row = b.row WHERE b.col > a.col UNION ALL SELECT a.id, a.text, b.text, false, b.row - a.row FROM l2 a JOIN v2 b ON a.id = b.id AND a.col = b.col WHERE b.row > a.row), k AS (SELECT id, label, value, CASE WHEN same_row THEN 0.25 ELSE 0.18 END AS r, dist FROM ab) SELECT id, label, value, round(greatest(0, least(1, 0.35 + CASE WHEN label = 'Goal' THEN 0 WHEN (label = 'CTR') = contains(value, '%') THEN 0.25 ELSE -0.25 END + r + (1 - dist / 160.0) * 0.18 + 0.06)), 6) AS score FROM k")
 def d21(spark, d):
     expected = F.when(F.col("label") == "CTR", "percent").when(F.col("label") == "Spend", "currency").otherwise("")
     score = op.link_score(F.col("relation"), F.col("distance"), F.lit(0), F.lit(0), expected, op.unit_of(F.col("value")), F.lit(2), F.lit(""))

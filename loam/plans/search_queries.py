@@ -84,10 +84,11 @@ def c01(spark, d):
     return rounded(op.bm25_indexed(text_index(spark, d), "the heti", 20))
 
 
-STEMS = f"list_transform(list_filter({TOK}, lambda x: x NOT IN ({', '.join(repr(x) for x in op.STOP_WORDS)})), lambda x: regexp_replace(x, '([a-z]{{3}})(es|s)$', '\\1'))"
+#: Two stems: every two neighbouring places of different ones bound a cover.
+ALL_STEMS = f"list_transform({TOK}, lambda x: regexp_replace(x, '([a-z]{{3}})(es|s)$', '\\1'))"
 
 
-@query("c02_text_rank", CH + f", w AS (SELECT chunk_id, {STEMS} AS w FROM ch), r AS (SELECT chunk_id, len(list_filter(w, lambda x: x IN ('en', 'que'))) / CAST(abs(list_position(w, 'en') - list_position(w, 'que')) + 1 AS DOUBLE) AS score FROM w WHERE list_contains(w, 'en') AND list_contains(w, 'que')) SELECT chunk_id, round(score, 6) AS score FROM r ORDER BY r.score DESC, chunk_id LIMIT 20")
+@query("c02_text_rank", CH + f", w AS (SELECT chunk_id, {ALL_STEMS} AS w FROM ch), u AS (SELECT chunk_id, unnest(w) AS t, unnest(range(len(w))) AS pos FROM w), h AS (SELECT chunk_id, t, pos, lag(t) OVER o AS t0, lag(pos) OVER o AS pos0 FROM u WHERE t IN ('en', 'que') WINDOW o AS (PARTITION BY chunk_id ORDER BY pos)), r AS (SELECT chunk_id, sum(0.1::DOUBLE / (pos - pos0)) AS score FROM h WHERE t <> t0 GROUP BY 1) SELECT chunk_id, round(score, 6) AS score FROM r ORDER BY r.score DESC, chunk_id LIMIT 20")
 def c02(spark, d):
     return rounded(op.text_rank(chunks(spark, d), "the en ques"))
 

@@ -91,3 +91,27 @@ def test_matches_from_an_index(spark, tmp_path):
     vector_index.write_vector_index(catalog, f"{tmp_path}/i", 2, pivots=3)
     got = op.embedding_match(queries, vector_index.open_vector_index(spark, f"{tmp_path}/i"))
     assert sorted((q, m) for q, m, _ in got.collect()) == [(i, i) for i in range(5)]  # 4 and 10 are equal
+
+
+def covers(words, terms):
+    """0.1 / (1 + other words) of each stretch with all terms that holds no shorter one, by trying all."""
+    n, out = len(words), []
+    holds = lambda a, b: set(terms) <= set(words[a : b + 1])
+    for a in range(n):
+        for b in range(a, n):
+            if holds(a, b) and not holds(a + 1, b) and not holds(a, b - 1):
+                out.append(0.1 / (1 + sum(w not in terms for w in words[a : b + 1])))
+    return sum(out)
+
+
+def test_rank_by_all_covers(spark):
+    rng = np.random.default_rng(7)
+    texts = [" ".join(rng.choice(["alpha", "beta", "gamma", "x", "y"], rng.integers(0, 14))) for _ in range(120)] + ["alpha beta", "alpha x x x x x x x alpha beta", None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "chunk_id long, text string")
+    for query in ("alpha beta", "the gammas", "alpha gamma beta alpha", "the"):
+        terms = sorted({w.rstrip("s") for w in query.split()} - {"the"})
+        want = {i: round(covers((t or "").split(), terms), 9) for i, t in enumerate(texts) if terms and set(terms) <= set((t or "").split())}
+        got = {r.chunk_id: round(r.score, 9) for r in op.text_rank(df, query, 1000).collect()}
+        assert got == want
+    best = op.text_rank(df, "alpha beta", 1000).filter("chunk_id = 121").first()
+    assert round(best.score, 6) == round(0.1 + 0.0, 6)  # of the second alpha and beta alone: the first alpha's stretch holds it
