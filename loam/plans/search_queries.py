@@ -34,7 +34,7 @@ def version(spark, d, name: str) -> str:
 
 def text_index(spark, d):
     """The full-text index of all documents, built once for each version of the table in the shared folder, for all applications."""
-    path = f"{checkpoint_dir(spark)}/text-index-{version(spark, d, 'documents')}"
+    path = f"{checkpoint_dir(spark)}/text-segments-{version(spark, d, 'documents')}"
     if (found := segments.open_index(spark, path)) is None:
         segments.apply(chunks(spark, d), path, batch=0)
         found = segments.open_index(spark, path)
