@@ -42,18 +42,34 @@ def chunked(df, size: int = 1500, step: int = 1300, text: str = "text"):
     return out.select("*", F.least(F.col("start") + size, n).alias("end"), F.expr(f"substring({text}, start + 1, {size})").alias("chunk"))
 
 
+def let(value: Column, f) -> Column:
+    """f of a value that is computed once, however often f names it."""
+    return F.transform(F.array(value), f)[0]
+
+
+def without_note(name: Column, opening: str, closing: str) -> Column:
+    """A name without the bracketed number at its end, if there is one."""
+
+    def cut(x: Column) -> Column:
+        last = F.substring_index(x, opening, -1)
+        note = F.endswith(x, F.lit(closing)) & F.contains(x, F.lit(opening)) & F.rtrim(last, F.lit(closing)).rlike("^[0-9]+$")
+        return F.when(note, F.rtrim(F.substring(x, F.lit(1), F.length(x) - F.length(last) - 1))).otherwise(x)
+
+    return let(name, cut)
+
+
 def without_marks(name: Column) -> Column:
     """A name with white space collapsed, without stars, daggers, or a bracketed number after it, and without punctuation at its end."""
     out = F.rtrim(squeezed(F.coalesce(name, F.lit(""))), F.lit("*†‡ "))
-    for opening, closing in ("[]", "()"):
-        last = F.substring_index(out, opening, -1)
-        note = F.endswith(out, F.lit(closing)) & F.contains(out, F.lit(opening)) & F.rtrim(last, F.lit(closing)).rlike("^[0-9]+$")
-        out = F.when(note, F.rtrim(F.substring(out, F.lit(1), F.length(out) - F.length(last) - 1))).otherwise(out)
-    return F.rtrim(out, F.lit(" :;,.|/-"))
+    return F.rtrim(without_note(without_note(out, "[", "]"), "(", ")"), F.lit(" :;,.|/-"))
 
 
 def label_before_value(text: Column, least: int = 2, most: int = 120) -> Column:
     """What stands before the first colon or equals sign of a text, if a number (or an amount) stands after it; else null."""
-    parts = F.split(text, "[:=]", 2)
-    label, value = F.trim(parts[0]), F.ltrim(F.get(parts, F.lit(1)), F.lit(" \t$+-"))
-    return F.when(value.rlike("^[0-9]") & F.length(label).between(least, most), label)
+
+
+    def label(parts: Column) -> Column:
+        value = F.ltrim(F.get(parts, F.lit(1)), F.lit(" \t$+-"))
+        return let(F.trim(parts[0]), lambda x: F.when(value.rlike("^[0-9]") & F.length(x).between(least, most), x))
+
+    return let(F.split(text, "[:=]", 2), label)

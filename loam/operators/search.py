@@ -24,9 +24,13 @@ STOP_WORDS = ["a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "i
 
 
 def postings(chunks: DataFrame) -> DataFrame:
-    """term, chunk_id, tf and n (words of the chunk): the full-text index."""
-    words = chunks.select("chunk_id", tokens(F.col("text")).alias("w"))
-    return words.select("chunk_id", F.size("w").cast("long").alias("n"), F.explode("w").alias("term")).groupBy("term", "chunk_id", "n").agg(F.count("*").alias("tf"))
+    """term, chunk_id, tf and n (words of the chunk): the full-text index. Each row is counted by itself, from its words in order, so
+    nothing is shuffled; chunk_id is unique."""
+    words = chunks.select("chunk_id", F.array_sort(tokens(F.col("text"))).alias("w"))
+    begins = F.filter(F.transform("w", lambda x, i: i), lambda i: (i == 0) | (F.get("w", i) != F.get("w", i - 1)))
+    rows = words.select("chunk_id", F.size("w").cast("long").alias("n"), "w", begins.alias("at")).filter("n > 0")
+    runs = F.transform("at", lambda a, i: F.struct(F.get("w", a).alias("term"), (F.coalesce(F.get("at", i + 1), F.col("n").cast("int")) - a).cast("long").alias("tf")))
+    return rows.select("chunk_id", "n", F.inline(runs)).select("term", "chunk_id", "n", "tf")
 
 
 class Index(NamedTuple):

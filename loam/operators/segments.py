@@ -25,9 +25,12 @@ from pyspark.sql import functions as F
 
 from ..functions.text import tokens
 from .search import Index, bucket, postings
+from .trees import stored
 
 #: Segments of about one size (within a factor of FAN) that become one.
 FAN = 4
+#: Ids that come more than once in a change and are broadcast; more of them are joined by a shuffle.
+OFTEN = 100_000
 
 
 class State(NamedTuple):
@@ -101,8 +104,12 @@ def apply(changed: DataFrame, path: str, removed: DataFrame | None = None, batch
     if batch is not None and batch <= before.batches.get(feed_name, -1):
         return
     kind = dict(changed.dtypes)["chunk_id"]
-    new = changed.filter("chunk_id is not null").groupBy("chunk_id").agg(F.max("text").alias("text"))
-    gone = new.select("chunk_id")
+    rows = changed.filter("chunk_id is not null").select("chunk_id", "text")
+    # texts of ids that come once, nearly all, are not shuffled
+    often = stored(rows.groupBy("chunk_id").agg(F.count("*").alias("k")).filter("k > 1").select("chunk_id"), "often")
+    often = F.broadcast(often) if often.limit(OFTEN + 1).count() <= OFTEN else often
+    new = rows.join(often, "chunk_id", "left_anti").unionByName(rows.join(often, "chunk_id", "left_semi").groupBy("chunk_id").agg(F.max("text").alias("text")))
+    gone = rows.select("chunk_id").distinct()
     if removed is not None:
         gone = gone.unionByName(removed.filter("chunk_id is not null").select(F.col("chunk_id").cast(kind).alias("chunk_id"))).distinct()
     name = f"segment-{uuid.uuid4().hex}"

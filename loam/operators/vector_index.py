@@ -33,6 +33,8 @@ from ..functions.vector import norm, normalised
 from ..sources.tables import checkpoint_dir
 
 PIVOTS, BLOCK = 64, 1024
+#: Vectors that are held against a block of queries at once.
+ROWS = 2000
 #: What rounding may take off a distance.
 SLACK = 1e-6
 
@@ -106,9 +108,7 @@ def nearest_of(rows: DataFrame, queries: np.ndarray, low: np.ndarray, high: np.n
         q, lo, hi = shared.value
         best_d, best_i = np.zeros((len(q), 0)), np.zeros((len(q), 0), object)
         compared = np.zeros(len(q), np.int64)
-        for frame in frames:
-            if not len(frame):
-                continue
+        for frame in (whole.iloc[at : at + ROWS] for whole in frames for at in range(0, len(whole), ROWS)):
             cell, distance, ids = frame["cell"].to_numpy(), frame["distance"].to_numpy(), frame["id"].to_numpy()
             x = matrix(frame["embedding"])
             seen = (distance[None, :] >= lo[:, cell]) & (distance[None, :] <= hi[:, cell])
@@ -121,9 +121,10 @@ def nearest_of(rows: DataFrame, queries: np.ndarray, low: np.ndarray, high: np.n
             d = np.concatenate([best_d, d], axis=1)
             i = np.concatenate([best_i, np.broadcast_to(ids.astype(object), (len(q), len(ids)))], axis=1)
             keep = min(d.shape[1], k)
-            limit = np.partition(d, keep - 1, axis=1)[:, keep - 1 : keep] + 1e-12  # of equals all stay for now
-            width = int((d <= limit).sum(1).max())
-            order = np.argsort(np.where(d <= limit, d, np.inf), axis=1, kind="stable")[:, :width]
+            limit = np.partition(d, keep - 1, axis=1)[:, keep - 1 : keep] + 1e-9  # of equals all stay for now
+            d = np.where(d <= limit, d, np.inf)
+            width = int(np.isfinite(d).sum(1).max())
+            order = np.argsort(d, axis=1, kind="stable")[:, :width]
             best_d, best_i = np.take_along_axis(d, order, 1), np.take_along_axis(i, order, 1)
         at, place = np.nonzero(np.isfinite(best_d))
         yield pd.DataFrame({"q": at.astype(np.int32), "id": best_i[at, place].astype(np.int64 if kind in ("bigint", "int") else object), "apart": best_d[at, place], "compared": 0})
