@@ -2,7 +2,7 @@
 timers on event time.
 
 Time is the events' own, moved on by the watermark, so a stream that is run again gives the same rows whatever its batches were. Events
-behind the watermark are dropped by Spark. Rows without a session, a number or a time are left out (`timed`). State of a session is
+at the watermark or behind it are dropped by Spark, which starts with 1970. Rows without a session, a number or a time are left out (`timed`). State of a session is
 bounded: by what is younger than the limit (cache), by the number of turns (memory), by the lateness allowed (projection), and a timer
 clears it. The state lives in RocksDB, which these operators need (`start`), so it may outgrow memory and survives lost executors."""
 
