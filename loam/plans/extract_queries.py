@@ -8,6 +8,7 @@ from ..functions import catalog
 from ..functions.text import chunked, window_around
 from ..operators import boxes as bx
 from ..operators import extract as op
+from ..operators import neighbours as nb
 from ..operators import trees
 from ..operators.facts import first_by
 from ..sources.star import FACT_SQL, LINES_SQL, numbered_lines
@@ -368,7 +369,7 @@ def d46(spark, d):
 
 @query("d47_box_pipeline")
 def d47(spark, d):
-    return bx.extracted(box_decks(lines(spark, d)))
+    return nb.extracted(box_decks(lines(spark, d)))
 
 
 @query("d48_duplicate_context", W + ", n AS (SELECT metric_name, unit, count(DISTINCT slide_number) AS n FROM fact GROUP BY 1, 2) SELECT fact_id, CASE WHEN n > 1 THEN 'slide ' || slide_number || ': ' || region || ' ' || f.context ELSE f.context END AS context FROM fact f JOIN n USING (metric_name, unit)")
@@ -440,3 +441,38 @@ def d53(spark, d):
 @query("d54_manifest", "SELECT 'orders' AS task, count(*) AS n FROM orders UNION ALL SELECT 'lines', count(*) FROM lineitem")
 def d54(spark, d):
     return op.manifest({"orders": table(spark, d, "orders"), "lines": table(spark, d, "lineitem")})
+
+
+def loose_decks(x):
+    """Pages of lone values, countries, partial lines and narrow tables; every other quantity has a title, twelve boxes from the last."""
+    bar = "\n- - - - -\n"
+    n = F.col("l_quantity").cast("int").cast("string")
+    boxes = [
+        F.when(F.col("l_quantity").cast("int") % 2 == 0, "Average cost by market").otherwise("Source: team"),
+        F.concat(F.lit("$"), F.col("l_extendedprice").cast("decimal(12,2)").cast("string")),
+        F.concat(F.lit("US\n"), n, F.lit("%")),
+        F.concat(F.lit("Uplift: grew "), n, F.lit("% over plan")),
+        F.concat(F.lit("[TABLE]\nClick rate | "), n, F.lit("%\n"), n, F.lit(" | Open rate")),
+        F.concat(F.lit("[TABLE]\n | "), n, F.lit("x\nWin rate | ")),
+        *[F.lit("Source: team")] * 6,
+        F.concat(F.lit("France\n"), n, F.lit("%")),
+    ]
+    text = F.concat(F.lit("<!-- PAGE "), F.col("page").cast("int").cast("string"), F.lit(f" -->{bar}"), F.concat_ws(f"{bar}ignored{bar}", *boxes), F.lit(bar))
+    return x.select(F.col("id").alias("deck_id"), text.alias("text"))
+
+
+@query(
+    "d29_neighbour_pairs",
+    "WITH "
+    + LINE
+    + """, q AS (SELECT id AS deck_id, CAST(page AS INT) AS page, CAST(l_quantity AS INT) AS n, CAST(l_quantity AS INT) % 2 = 0 AS titled, '$' || CAST(l_extendedprice AS DECIMAL(12, 2)) AS price FROM l)
+SELECT deck_id, page, 1 AS idx, 'Average cost' AS name, price AS raw, 'cross_box' AS pattern, NULL AS country FROM q WHERE titled
+UNION ALL SELECT deck_id, page, 2, CASE WHEN titled THEN 'Average cost' ELSE 'US' END, n || '%', 'stacked', CASE WHEN titled THEN 'US' END FROM q
+UNION ALL SELECT deck_id, page, 3, 'Uplift', n || '%', 'inline_partial', NULL FROM q
+UNION ALL SELECT deck_id, page, 4, 'Click rate', n || '%', 'table_pipe', NULL FROM q
+UNION ALL SELECT deck_id, page, 4, 'Open rate', n || '', 'table_pipe', NULL FROM q
+UNION ALL SELECT deck_id, page, 5, 'Win rate', n || 'x', 'table_stacked', NULL FROM q
+UNION ALL SELECT deck_id, page, 12, CASE WHEN titled THEN 'Average cost' ELSE 'France' END, n || '%', 'stacked', CASE WHEN titled THEN 'France' END FROM q""",
+)
+def d29_neighbours(spark, d):
+    return nb.all_pairs(bx.boxes(loose_decks(lines(spark, d)))).drop("n")
