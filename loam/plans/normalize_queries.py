@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import catalog
+from ..operators import labels
 from ..operators import normalize as op
 from ..sources.tables import table
 from .registry import query
@@ -97,6 +98,27 @@ def e12(spark, d):
     return op.unknown_labels(p.select(F.col("p_type").alias("label"), F.col("p_brand").alias("deck"), F.col("p_name").alias("sample")), known)
 
 
+LABELS_SQL = r"""
+WITH t AS (SELECT doc_id AS id, text FROM documents UNION ALL SELECT -1 - p_partkey, p_brand || ' ' || p_type || ': ' || p_size FROM part),
+s AS (SELECT id, unnest(string_split_regex(text, '[\n|;]+')) AS part FROM t),
+w AS (SELECT id, [x FOR x IN string_split_regex(part, '[ \t]+') IF x <> '' AND NOT regexp_full_match(x, '[:=-]+')] AS w FROM s WHERE regexp_matches(part, '[0-9]')),
+v AS (SELECT id, w, unnest(range(2, len(w) + 1)) AS i FROM w),
+p AS (SELECT id, w[i] AS value, w[greatest(1, i - 5):i - 1] AS l FROM v WHERE regexp_full_match(w[i], '[$]?[+-]?[0-9][0-9,.]*[%xKMB]?[.,;:)]*')),
+g AS (SELECT id, value, array_to_string(l[len(l) - k + 1:], ' ') AS g FROM p, (SELECT unnest(range(1, 6)) AS k) WHERE k <= len(l)),
+f AS (SELECT id, value, lower(regexp_replace(g, '[:=]+$', '')) AS key FROM g WHERE regexp_full_match(g, '[A-Za-z][A-Za-z0-9/&+%-]*( [A-Za-z][A-Za-z0-9/&+%-]*)*[:=]*')),
+c AS (SELECT key, CASE WHEN contains(key, ' ') THEN regexp_replace(key, '^[^ ]+ ', '') END AS shorter, count(*) AS n, count(DISTINCT id) AS texts, min(struct_pack(id := id, value := value)).value AS first_value, max(struct_pack(id := id, value := value)).value AS last_value FROM f GROUP BY 1 HAVING count(*) >= 2)
+SELECT key, n, texts, first_value, last_value FROM c LEFT JOIN (SELECT shorter AS k, max(n) AS most FROM c WHERE shorter IS NOT NULL GROUP BY 1) ON k = key
+WHERE (most IS NULL OR most < n) AND length(key) BETWEEN 4 AND 80 AND length(regexp_replace(key, '[^a-z]', '', 'g')) >= 3 AND NOT regexp_full_match(key, 'fy ?[0-9]{2,4}|q[1-4]|h[12]|source|slide|notes?|page') AND key <> (SELECT lower(min(p_type)) FROM part)"""
+
+
+@query("e12_labels_in_texts", LABELS_SQL)
+def e12_labels(spark, d):
+    p = table(spark, d, "part")
+    said = p.select((-1 - F.col("p_partkey")).alias("id"), F.concat("p_brand", F.lit(" "), "p_type", F.lit(": "), F.col("p_size").cast("string")).alias("text"))
+    texts = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text").unionByName(said)
+    return labels.discovered(texts, p.agg(F.min("p_type").alias("name")))
+
+
 @query("e13_unknown_histogram", "WITH t AS (SELECT p_type, count(*) AS n FROM part GROUP BY 1 HAVING count(*) >= 3) SELECT n, count(*) AS labels FROM t GROUP BY 1")
 def e13(spark, d):
     return table(spark, d, "part").groupBy("p_type").agg(F.count("*").alias("n")).filter("n >= 3").groupBy("n").agg(F.count("*").alias("labels"))

@@ -5,7 +5,7 @@ import itertools
 
 from pyspark.sql import functions as F
 
-from loam.operators import boxes, extract, intent, normalize
+from loam.operators import boxes, extract, intent, normalize, similar
 
 
 def test_values_of_a_line(spark):
@@ -100,4 +100,4 @@ def test_cache_forgets_the_oldest():
 
 def test_ratio(spark):
     x = spark.createDataFrame([("abcd", "bcde"), ("", ""), (None, "a")], "a string, b string")
-    assert [r[0] for r in x.select(boxes.sequence_ratio("a", "b")).collect()] == [difflib.SequenceMatcher(a="abcd", b="bcde").ratio(), 1.0, None]
+    assert [r[0] for r in x.select(similar.sequence_ratio("a", "b")).collect()] == [difflib.SequenceMatcher(a="abcd", b="bcde").ratio(), 1.0, None]
