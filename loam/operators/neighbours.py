@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.text import plain, plain_tokens
 from .boxes import blended, boxes, category, clean_name, is_country, is_descriptor, is_label, is_metric_like, is_sentence, is_table, is_value, ladder, lines, name_score, name_support, pair_score, pairs, table_pairs
 from .extract import NUMBER, parsed_number, unit_of
+from .trees import stored
 
 PAGE = ["deck_id", "page"]
 #: Fixed: what speaks for a title and against it, how near it must be, and what it must reach.
@@ -76,21 +77,24 @@ def narrow_table_pairs(bx: DataFrame) -> DataFrame:
     return rows.select(*PAGE, "idx", "n", F.inline(F.filter(every, lambda x: x.isNotNull())))
 
 
+def is_lone(text: Column) -> Column:
+    return is_value(F.trim(text)) & ~F.trim(text).contains("\n")
+
+
 def lone_values(boxes_described: DataFrame) -> DataFrame:
     """Boxes that are one value and nothing else, under the title that describes them (cross_box)."""
-    text = F.trim("text")
-    rows = boxes_described.filter(is_value(text) & ~text.contains("\n") & F.col("described_by").isNotNull())
-    return rows.select(*PAGE, "idx", F.lit(0).alias("n"), clean_name(F.col("described_by")).alias("name"), text.alias("raw"), F.lit("cross_box").alias("pattern"))
+    rows = boxes_described.filter(is_lone(F.col("text")) & F.col("described_by").isNotNull())
+    return rows.select(*PAGE, "idx", F.lit(0).alias("n"), clean_name(F.col("described_by")).alias("name"), F.trim("text").alias("raw"), F.lit("cross_box").alias("pattern"))
 
 
 def all_pairs(bx: DataFrame) -> DataFrame:
     """Pairs of lines, of tables of two columns and of lone values, none twice in a box; where a name is a country, the title that
-    describes its box takes its place and the country stands in `country`. Boxes of sources give none."""
-    d = described(bx)
+    describes its box takes its place and the country stands in `country`. Boxes of sources give none. The described boxes are written
+    once and read by each kind of pair."""
+    d = stored(described(bx), "described")
     own = d.filter(~is_source(F.col("text")))
-    lone = lone_values(own)
-    found = pairs(own).join(lone.select(*PAGE, "idx"), [*PAGE, "idx"], "left_anti")
-    found = found.select(*PAGE, "idx", "n", "name", "raw", "pattern").unionByName(partial_pairs(own)).unionByName(narrow_table_pairs(own)).unionByName(lone)
+    more = own.filter(~is_lone(F.col("text")))
+    found = pairs(more).select(*PAGE, "idx", "n", "name", "raw", "pattern").unionByName(partial_pairs(more)).unionByName(narrow_table_pairs(more)).unionByName(lone_values(own))
     first = found.groupBy(*PAGE, "idx", F.lower("name").alias("__k"), "raw").agg(F.min(F.struct("n", "pattern", "name")).alias("m")).select(*PAGE, "idx", "raw", "m.*")
     named = first.join(d.select(*PAGE, "idx", "described_by"), [*PAGE, "idx"])
     swap = is_country(F.col("name")) & F.col("described_by").isNotNull()
