@@ -45,6 +45,12 @@ def grams(name: Column, size: int) -> Column:
     return F.when(n >= size, F.transform(F.sequence(F.lit(1), n - size + 1), lambda i: F.substring(name, i, F.lit(size)))).otherwise(F.array().cast("array<string>"))
 
 
+def ratio_bound(a: Column, b: Column) -> Column:
+    """What the sequence ratio of two names is at most: by the characters that they share at all."""
+    whole = lambda c: counted(F.filter(F.split(c, ""), lambda x: x != ""))
+    return 2 * F.size(F.array_intersect(whole(a), whole(b))) / F.greatest(F.length(a) + F.length(b), F.lit(1))
+
+
 def rarest_first(names: DataFrame, items: Column) -> DataFrame:
     """a, item and place (from 1): the distinct items of each name, the rarest first, each with the number of names that have it."""
     rows = names.select("a", F.explode(F.array_distinct(items)).alias("item"))

@@ -1,31 +1,52 @@
-"""Clusters of similar names against a union-find over all pairs, and ids of rows that are equal."""
+"""The flow over metric names against plain Python over all pairs, and ids of rows that are equal."""
 
+from collections import Counter
+
+import names_brute as brute
 import pytest
 from pyspark.sql import functions as F
 
+from loam.functions import catalog
 from loam.operators import extract, normalize
 from loam.plans import normalize_queries
 from loam.plans.all import QUERIES
 
 
-def test_clusters_of_all_pairs(spark, small):
-    names = normalize_queries.name_sets(spark, small)
-    x = names.select(F.col("name").alias("a"), F.col("units").alias("ua"), F.col("context").alias("ca"))
-    y = names.select(F.col("name").alias("b"), F.col("units").alias("ub"), F.col("context").alias("cb"))
-    score = F.round(normalize.similarity(F.col("a"), F.col("b"), F.col("ua"), F.col("ub"), F.col("ca"), F.col("cb")), 6)
-    pairs = [(r.a, r.b, r.score) for r in x.crossJoin(y).filter("a < b").select("a", "b", score.alias("score")).collect() if r.score >= 0.86]
-    assert sorted(pairs) == sorted(map(tuple, QUERIES["e06_similar_pairs"](spark, small).collect()))
-    up: dict = {}
-
-    def top(x):
-        while up.setdefault(x, x) != x:
-            x = up[x]
-        return x
-
-    for a, b, _ in pairs:
-        low, high = sorted((top(a), top(b)))
-        up[high] = low
-    assert sorted(map(tuple, QUERIES["e07_components"](spark, small).collect())) == sorted((n, top(n)) for n in list(up))
+@pytest.fixture(scope="module")
+def rows(spark, small):
+    return [r.asDict() for r in normalize_queries.named(spark, small).collect()]
+
+
+def test_ids_of_named_rows(rows):
+    assert len({r["id"] for r in rows}) == len(rows) and any(not r["id"].startswith("part/") for r in rows)
+
+
+def test_pairs_and_clusters_of_all_names(spark, small, rows):
+    pairs = brute.similar(rows)
+    assert pairs and sorted(map(tuple, QUERIES["e06_similar_pairs"](spark, small).collect())) == sorted(pairs)
+    assert dict(map(tuple, QUERIES["e07_components"](spark, small).collect())) == brute.clusters(pairs)
+
+
+def test_refined_names_of_all_rows(spark, small, rows):
+    want = sorted((r["id"], r["name"], r["rounds"]) for r in brute.refined(rows))
+    assert sorted(map(tuple, QUERIES["e05_refined_names"](spark, small).collect())) == want and any(x[2] for x in want)
+
+
+def test_verdicts_of_all_rows(spark, small, rows):
+    entries = [(r["name"], r["unit"], r["aliases"]) for r in catalog.frame(spark).collect()]
+    want = {x[0]: x[1:] for x in brute.verdicts(rows, entries)}
+    got = {r[0]: tuple(r)[1:] for r in QUERIES["e09_verdicts"](spark, small).collect()}
+    near = lambda x: (*x[:4], pytest.approx(x[4], abs=2e-6), *x[5:])
+    assert set(got) == set(want) and [k for k in want if got[k] != near(want[k])] == []
+    assert {x[1] for x in want.values()} >= {"catalog_mapped", "cluster_review", "cluster_auto", "needs_review"}
+    count = Counter((x[1], x[5]) for x in want.values())
+    assert {(r.status, r.validation): r.n for r in QUERIES["e15_flow_summary"](spark, small).collect()} == count
+
+
+def test_names_without_words_or_alike(spark):
+    names = spark.createDataFrame([("%", []), ("%*", []), ("", []), ("é", []), ("Click Rate", ["count"]), ("click rates", ["count"]), ("Reach", [])], "name string, units array<string>").selectExpr("name", "units", "array() AS context")
+    got = {(r.a, r.b) for r in normalize.similar_pairs(names.withColumn("context", F.array().cast("array<string>"))).collect()}
+    assert ("%", "%*") in got and not any("" in x or "é" in x or "Reach" in x for x in got)
 
 
 def test_a_long_chain_is_one_cluster(spark):
