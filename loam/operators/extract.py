@@ -6,6 +6,7 @@ import json
 import re
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -374,16 +375,28 @@ def to_refine(rows: DataFrame) -> DataFrame:
     return out.withColumn("reasons", F.array_join(why, ",")).filter("reasons <> ''").drop("values")
 
 
+#: Batches that one task numbers, and keys (the most frequent) that are split; no other key holds more than an MOST_KEYS-th of all rows.
+BATCHES, MOST_KEYS = 100, 20_000
+
+
 def in_batches(rows: DataFrame, keys: list[str], client: Callable[[list[dict]], list[int]], size: int = 60) -> DataFrame:
-    """Rows that the client keeps of each batch of a key (the positions it returns); batches are bounded by size."""
-    w = W.partitionBy(*keys).orderBy("fact_id")
-    batched = rows.withColumn("batch", F.floor((F.row_number().over(w) - 1) / size))
+    """Rows that the client keeps of each batch of a key (the positions it returns); a batch has size rows at most.
+
+    A frequent key is dealt by fact_id to buckets of about BATCHES batches, and batches are numbered within a bucket, so no task gets all
+    rows of a key; only the last batch of a bucket may be short. Null keys are a key of their own."""
+    often = rows.groupBy(*keys).agg(F.count("*").alias("__n")).filter(F.col("__n") > size * BATCHES).orderBy(F.desc("__n"), *keys).limit(MOST_KEYS)
+    often = F.broadcast(often.toDF(*[f"__k{i}" for i in range(len(keys))], "__n"))
+    same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)])
+    buckets = F.coalesce(F.ceil(F.col("__n") / (size * BATCHES)), F.lit(1))
+    dealt = rows.join(often, same, "left").withColumn("__b", F.pmod(F.xxhash64("fact_id"), buckets)).select(*rows.columns, "__b")
+    w = W.partitionBy(*keys, "__b").orderBy("fact_id")
+    batched = dealt.withColumn("__batch", F.floor((F.row_number().over(w) - 1) / size))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("fact_id").reset_index(drop=True)
         return pdf.iloc[client(pdf.to_dict("records"))]
 
-    return batched.groupBy(*keys, "batch").applyInPandas(run, batched.schema).drop("batch")
+    return batched.groupBy(*keys, "__b", "__batch").applyInPandas(run, batched.schema).drop("__b", "__batch")
 
 
 def slide_titles(shapes: DataFrame) -> DataFrame:

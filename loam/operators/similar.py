@@ -45,10 +45,9 @@ def grams(name: Column, size: int) -> Column:
     return F.when(n >= size, F.transform(F.sequence(F.lit(1), n - size + 1), lambda i: F.substring(name, i, F.lit(size)))).otherwise(F.array().cast("array<string>"))
 
 
-def ratio_bound(a: Column, b: Column) -> Column:
-    """What the sequence ratio of two names is at most: by the characters that they share at all."""
-    whole = lambda c: counted(F.filter(F.split(c, ""), lambda x: x != ""))
-    return 2 * F.size(F.array_intersect(whole(a), whole(b))) / F.greatest(F.length(a) + F.length(b), F.lit(1))
+def characters(name: Column) -> Column:
+    """The characters of a name, each with how often it has come before: names have as many in common as these arrays have."""
+    return counted(F.filter(F.split(name, ""), lambda x: x != ""))
 
 
 def rarest_first(names: DataFrame, items: Column) -> DataFrame:
@@ -98,9 +97,8 @@ def by_ratio(names: DataFrame) -> DataFrame:
     single = names.filter(n < few).select("a", F.explode(F.array_distinct(F.filter(F.split("a", ""), lambda c: c != ""))).alias("item"))
     both = met(first, first).unionByName(met(single, single)).distinct()
     la, lb = F.length("a"), F.length("b")
-    whole = lambda c: counted(F.filter(F.split(c, ""), lambda x: x != ""))
     near = both.filter(2 * F.least(la, lb) >= RATIO * (la + lb) - 1e-9)
-    return near.filter(2 * F.size(F.array_intersect(whole("a"), whole("b"))) >= RATIO * (la + lb) - 1e-9)
+    return near.filter(2 * F.size(F.array_intersect(characters(F.col("a")), characters(F.col("b")))) >= RATIO * (la + lb) - 1e-9)
 
 
 def similar_pairs(names: DataFrame) -> DataFrame:

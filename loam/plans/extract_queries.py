@@ -103,7 +103,13 @@ def d12(spark, d):
     return table(spark, d, "pages").select("page_id", F.sha2(F.col("html").cast("binary"), 256).alias("sha256"))
 
 
-@query("d13_table_identity")
+TABLE_SQL = r"""WITH j AS (SELECT p_partkey, '[["Metric","Value"],["' || p_brand || '","' || p_size || '"]]' AS j FROM part),
+k AS (SELECT p_partkey, sha256(j) AS k FROM j),
+h AS (SELECT *, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode(k)) AS h FROM k)
+SELECT p_partkey, k, h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || ['8', '9', 'a', 'b'][CAST(instr('0123456789abcdef', h[17]) - 1 AS INT) % 4 + 1] || h[18:20] || '-' || h[21:32] AS table_id FROM h"""
+
+
+@query("d13_table_identity", TABLE_SQL)
 def d13(spark, d):
     rows = F.array(F.array(F.lit(" Metric "), F.lit("Value")), F.array(F.lit(""), F.lit(" ")), F.array("p_brand", F.col("p_size").cast("string")))
     k = table(spark, d, "part").select("p_partkey", op.table_key(op.normal_rows(rows)).alias("k"))
@@ -187,7 +193,11 @@ def d22(spark, d):
     return op.selected_links(k, ["document_id"], ["fact_id"]).select("document_id", "fact_id", "adjudicate")
 
 
-@query("d23_adjudication_cache")
+REQUESTS_SQL = """WITH r AS (SELECT DISTINCT p_brand, '{"p_brand":"' || p_brand || '","p_type":"' || p_type || '"}' AS request FROM part)
+SELECT sha256(request) AS key, CASE WHEN p_brand = 'Brand#11' THEN 'known' ELSE 'first of ' || length(request) END AS answer, p_brand = 'Brand#11' AS cached FROM r"""
+
+
+@query("d23_adjudication_cache", REQUESTS_SQL)
 def d23(spark, d):
     r = table(spark, d, "part").select("p_brand", "p_type")
     known = r.filter("p_brand = 'Brand#11'").select(op.request_key("p_brand", "p_type").alias("key"), F.lit("known").alias("answer")).distinct()
@@ -348,9 +358,9 @@ def d43(spark, d):
     return op.to_refine(f).select("fact_id", "reasons")
 
 
-@query("d44_batched_client")
+@query("d44_batched_client", W + " SELECT unit, fact_id, round(value, 6) AS value FROM fact WHERE fact_id % 2 = 0")
 def d44(spark, d):
-    f = facts(spark, d).select("unit", "fact_id", F.round("value", 2).alias("value"))
+    f = facts(spark, d).select("unit", "fact_id", F.round("value", 6).alias("value"))
     return op.in_batches(f, ["unit"], lambda rows: [i for i, r in enumerate(rows) if r["fact_id"] % 2 == 0])
 
 
