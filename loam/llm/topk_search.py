@@ -8,12 +8,12 @@ with the query are no results.
 
 A shard is SHARD documents of one task. Its inverted index holds, of the words that occur in queries, the postings in order of
 documents with their impacts, the place at which each word's postings of each block of BLOCK documents begin, and the largest impact
-of the word in the block. Each query has a cursor for each of its words, which moves from block to block: all cursors stand at one
-block, the pivot, which is the next one whose maxima of the query's words together can exceed the query's k-th best score so far.
-Blocks before the pivot are skipped with their postings unread; the pivot's postings are read and scored. The k-th best score only
-rises, from shard to shard of a task too, so what is skipped has no place among the k best. The blocks with the highest maxima are
-visited first, STEP at a time and then twice as many, so that the score to beat rises soon. Every task yields at most k results a
-query, and the k best of all tasks are the k best of all documents. `tally` counts postings read, and those of the queries' words.
+of the word in the block. A query goes through the blocks in the order of documents. The next pivot is the first block from where the
+cursor stands whose maxima of the query's words together can reach the query's k-th best score so far; the cursor (one for all words
+of the query, since it moves by whole blocks) goes there, and the postings of the blocks before it are never read. The pivot's
+postings are read and scored, STEP pivots at a time. The k-th best score only rises, from shard to shard of a task too, so what is
+skipped has no place among the k best. Every task yields at most k results a query, and the k best of all tasks are the k best of all
+documents. `tally` counts postings read and those of the queries' words, pivots and the blocks that hold a word of the query.
 
 Document frequencies are reduced by Spark to a table of all words; the words of queries are joined with it there. Queries go to the
 executors in chunks of about CHUNK, as hashes of words and weights; each chunk is one pass over the documents.
@@ -141,12 +141,12 @@ class Shard:
         if not len(words):
             return
         bound = self.peak[words].sum(0, dtype=np.float64) * (1 + 1e-6)
-        # the cursors' way: pivots in order of their bounds; each step takes the blocks that can still hold a result
-        way = np.argsort(-bound, kind="stable")
-        at, step = 0, STEP
-        while at < len(way) and bound[way[at]] > 0 and bound[way[at]] >= best.limit(q) - 1e-5:
-            pivots = way[at : at + step]
-            pivots = np.sort(pivots[(bound[pivots] >= best.limit(q) - 1e-5) & (bound[pivots] > 0)])
+        cursor = 0
+        while cursor < self.n_blocks:
+            pivots = cursor + np.flatnonzero((bound[cursor:] > 0) & (bound[cursor:] >= best.limit(q) - 1e-5))[:STEP]
+            if not len(pivots):
+                break
+            cursor = int(pivots[-1]) + 1
             cells = (words[:, None] * self.n_blocks + pivots).ravel()
             begin = self.begin[cells]
             posting = ranges(begin, self.begin[cells + 1] - begin)
@@ -157,13 +157,14 @@ class Shard:
             score = np.round(np.bincount(place[column // BLOCK] + column % BLOCK, self.impact[posting], len(pivots) * BLOCK), DIGITS)
             if tally is not None:
                 tally["read"] = tally.get("read", 0) + len(posting)
+                tally["pivots"] = tally.get("pivots", 0) + len(pivots)
             hit = np.flatnonzero((score >= best.limit(q)) & (score > 0))
             if len(hit) > 8 * best.k:  # no more than k, and what ties with the last of them
                 hit = hit[score[hit] >= np.partition(score[hit], len(hit) - best.k)[len(hit) - best.k]]
             if len(hit):
                 best.add(q, score[hit], self.docs[pivots[hit // BLOCK] * BLOCK + hit % BLOCK])
-            at, step = at + step, 2 * step
         if tally is not None:
+            tally["blocks"] = tally.get("blocks", 0) + int((bound > 0).sum())
             tally["all"] = tally.get("all", 0) + int((self.begin[(words + 1) * self.n_blocks] - self.begin[words * self.n_blocks]).sum())
 
 

@@ -55,7 +55,7 @@ def test_blocks_are_skipped_unread():
     norm = m.K1
     full = sorted(((-round(sum(idf[t] * c * 2.2 / (c + norm) for t, c in zip(term.tolist(), tf.tolist()) if t in words), 6), d) for d, term, tf, _ in rows))[:5]
     assert [(-s, d) for s, d in full] == [(float(s), int(d)) for s, d in zip(best.score[0], best.doc[0])]
-    assert tally["read"] < tally["all"] / 2
+    assert tally["read"] < tally["all"] / 2 and tally["pivots"] < tally["blocks"] / 2
 
 
 def test_odd_rows(odd, none):
