@@ -202,10 +202,13 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 
 def resolved(spark: SparkSession, path: str) -> DataFrame:
-    """read() with each revisit's size, digest and refers_to taken from the response it refers to."""
+    """read() with each revisit's size, digest and refers_to taken from the response it refers to; a response that very many revisits
+    refer to meets them by broadcast."""
     rows = written(read(spark, path), "warc-headers")
-    originals = rows.filter("record_type = 'response'").select(F.col("rid").alias("o_rid"), F.col("page_id").alias("o_page"), F.col("payload_bytes").alias("o_bytes"), F.col("payload_digest").alias("o_digest")).dropDuplicates(["o_rid"])
-    out = rows.filter("record_type = 'revisit'").join(originals, F.col("refers_rid") == F.col("o_rid"), "left")
+    found = rows.filter("record_type = 'revisit'")
+    counts = found.groupBy("refers_rid").agg(F.count("*").alias("n"))
+    originals = rows.filter("record_type = 'response'").select(F.col("rid").alias("refers_rid"), F.col("page_id").alias("o_page"), F.col("payload_bytes").alias("o_bytes"), F.col("payload_digest").alias("o_digest")).dropDuplicates(["refers_rid"])
+    out = join_hot(found.drop("payload_bytes", "payload_digest"), written(originals.join(counts, "refers_rid"), "originals"), ["refers_rid"], "left")
     revisits = out.select("page_id", F.col("o_bytes").alias("payload_bytes"), F.col("o_digest").alias("payload_digest"), "record_type", F.col("o_page").alias("refers_to"), "url")
     return rows.filter("record_type = 'response'").select("page_id", "payload_bytes", "payload_digest", "record_type", F.lit(None).cast("long").alias("refers_to"), "url").unionByName(revisits)
 

@@ -39,6 +39,12 @@ def test_empty_table_and_null_ids(spark):
     assert got[None][2:] == ("revisit", 1)
 
 
+def test_many_revisits_of_one_response(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_FROM", 3)
+    rows = [(i, f"u{i}", "same" if i % 4 else f"own {i // 8}") for i in range(60)]
+    assert back(spark, rows)[1] == m.brute(rows)
+
+
 def test_rows_with_one_page_id(spark):
     path, _ = back(spark, [(1, "a", "x"), (1, "b", "x"), (1, "c", "y"), (2, "d", "z")])
     assert sorted((r.page_id, r.url, r.record_type, r.refers_to) for r in m.resolved(spark, path).collect()) == [(1, "a", "revisit", 1), (1, "b", "response", None), (1, "c", "response", None), (2, "d", "response", None)]
