@@ -5,6 +5,7 @@ takes logarithmic time, and it ends when the root holds no mergeable pair. Words
 (NFC, white space to one space, lower case) and splitting pattern; special tokens in a text become their ids, as the library does.
 
 Defined cases: a null or empty text has no ids and decodes to the empty string; repeated rows are encoded each; a null doc_id stays.
+A very long text is one row of a task, with its ids; a very long word costs its length times the logarithm. An empty table gives no rows.
 Words already seen are kept in a bounded table per worker. Nothing is shuffled; extra columns are ignored by `query` and kept by
 `encoded`.
 """

@@ -5,7 +5,8 @@ consecutive words of an item; an item of fewer words, but not none, is one windo
 window is hit.
 
 Defined cases: a null or wordless text has 0 words and no hit; a null, empty or wordless item has no window; equal items, or items
-that share a window, are all named; a null item_id takes part in hits but is not named; an empty benchmark hits nothing. Columns of
+that share a window, are all named; a null item_id takes part in hits but is not named; an empty benchmark hits nothing, and an empty
+`documents` gives no rows. Repeated rows, and rows with one doc_id, are judged each by its own text; a null doc_id stays. Columns of
 `documents` other than doc_id and text are ignored by `hits` and kept by `cleaned`.
 
 A very long text is one row of a task, with a few numbers of 8 bytes for each of its words.

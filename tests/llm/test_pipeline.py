@@ -1,8 +1,9 @@
 import hashlib
 
 import corpus_pipeline
-from loam.llm import bpe, decontaminate, jaccard_join
+from loam.llm import bpe, decontaminate, jaccard_join, quality
 from loam.llm.common import written
+from test_line_dedup import plain
 
 
 def test_stages(spark, small):
@@ -13,11 +14,48 @@ def test_stages(spark, small):
         before, docs = docs, written(stage(spark, docs, small), "stage")
         assert docs.columns == columns
         assert docs.join(before, "doc_id", "left_anti").count() == 0
-        if name == "n-gram Jaccard join":
-            want = jaccard_join.brute([(r.doc_id, r.text) for r in before.collect()], 5, 80)
+        rows = [(r.doc_id, r.text) for r in before.collect()]
+        if name == "quality classifier":
+            kept = {r.doc_id for r in docs.collect()}
+            labels = spark.read.parquet(f"{small}/labels.parquet").collect()
+            there = {d for d, _ in rows}
+            right = [(r.doc_id in kept) == (r.quality == 1 and r.toxic == 0) for r in labels if r.doc_id in there]
+            assert sum(right) >= 0.9 * len(right) and len(kept) < len(there)
+        elif name == "line dedup":
+            assert {r.doc_id: r.text for r in docs.collect()} == dict(rows) | plain(rows)
+        elif name == "n-gram Jaccard join":
+            want = jaccard_join.brute(rows, 5, 80)
             assert {r.doc_id for r in docs.collect()} == {d for d, (_, c) in want.items() if c == d}
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     assert not any(x[-1] for x in decontaminate.brute(rows, bench).values())
     mine = bpe.Encoder(bpe.vocabulary())
     got = {r.doc_id: r.ids_sha256 for r in corpus_pipeline.run(spark, small).collect()}
     assert got == {d: hashlib.sha256(mine.encode(t)).hexdigest() for d, t in rows}
+
+
+def test_odd_rows_in_every_stage(spark, odd, small):
+    texts = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
+    rows = texts(odd)
+    named = [x for x in rows if x[0] is not None]
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = written(stage(spark, odd, small), "odd")
+        got = texts(out)
+        assert out.columns == odd.columns, name
+        if name == "quality classifier":
+            keep = {(r.doc_id, r.text): r.own for r in quality.scored(odd, spark.read.parquet(f"{small}/labels.parquet")).selectExpr("doc_id", "text", "`keep` AS own").collect()}
+            assert got == [x for x in rows if keep[x]] and not any((t or "").strip() == "" for _, t in got)
+        elif name == "line dedup":
+            assert [x for x in got if x[0] is not None] == sorted(((d, (plain(named) | {3: None})[d]) for d, _ in named), key=str)
+        elif name == "n-gram Jaccard join":
+            want = jaccard_join.brute(named, 5, 80)
+            assert got == [x for x in rows if x[0] is None or want[x[0]][1] == x[0]]
+        else:
+            assert [d for d, _ in got] == [d for d, _ in rows] and (3, None) in got
+    last = corpus_pipeline.STAGES[-1][1](spark, odd, small)
+    mine = bpe.Encoder(bpe.vocabulary())
+    assert sorted(((r.doc_id, r.ids_sha256) for r in last.collect()), key=str) == sorted(((d, hashlib.sha256(mine.encode(t or "")).hexdigest()) for d, t in rows), key=str)
+
+
+def test_no_rows_in_every_stage(spark, none, small):
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none, small).count() == 0, name
