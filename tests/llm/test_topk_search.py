@@ -66,3 +66,38 @@ def test_odd_rows(odd, none):
     # rows with one query_id are one query, and a null one is none
     both = odd.sparkSession.createDataFrame([(1, "one"), (1, "two"), (None, "one")], "query_id long, text string")
     assert [(r.query_id, r.doc_id) for r in m.search(odd, both, 5).orderBy("query_id", "rank").collect()] == [(1, 8), (1, 9)]
+
+
+def test_limits_from_first_documents(spark, monkeypatch):
+    for name, v in {"SHARD": 16, "FIRST": 20, "SHARE": 4, "OFTEN": 3, "MOST": 16, "AT_ONCE": 3}.items():
+        monkeypatch.setattr(m, name, v)
+    seen = []
+    limits = m.first_limits
+    monkeypatch.setattr(m, "first_limits", lambda *a: seen.append(limits(*a)) or seen[-1])
+    rnd = np.random.default_rng(5)
+    rows = [(i, " ".join(f"t{x}" for x in rnd.zipf(1.3, 1 + i % 40) if x < 300)) for i in range(400)]
+    rows += [(i + 400, rows[i % 50][1]) for i in range(100)]  # copies tie
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got: dict = {}
+    for r in m.search(df, df.filter("doc_id % 50 = 0").selectExpr("doc_id AS query_id", "text"), 4).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.doc_id, r.score))
+    assert got == {q: x for q, x in brute(rows, 4).items() if x}
+    assert len(seen) == 1 and np.isfinite(seen[0].value).any()
+
+
+def test_few_documents_of_a_whole_document_query_are_read():
+    # 40 topics of 200 words, and 30 words that all documents take from
+    rnd = np.random.default_rng(4)
+    idf = np.concatenate([np.full(8000, 4.0), np.full(30, 0.5)])
+    rows = []
+    for d in range(4096):
+        term = np.sort(np.concatenate([d % 40 * 200 + rnd.choice(200, 40, replace=False), 8000 + rnd.choice(30, 20, replace=False)]))
+        rows.append((d, term, np.ones(60, np.int64), 60))
+    shard, words = m.Shard(rows, idf, 60.0), rows[7][1]
+    full = m.Best(1, 10)
+    shard.search(0, words, full)
+    tally: dict = {}
+    best = m.Best(1, 10, full.score[:, -1] - 1)
+    shard.search(0, words, best, tally)
+    assert (best.doc == full.doc).all() and (best.score == full.score).all()
+    assert tally["pivots"] < tally["blocks"] / 10 and tally["read"] < tally["all"] / 2
