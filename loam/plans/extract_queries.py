@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import catalog
+from ..functions.number import rounded
 from ..functions.text import chunked, window_around
 from ..operators import boxes as bx
 from ..operators import extract as op
@@ -216,7 +217,7 @@ def d24(spark, d):
 
 @query("d25_first_wins", W + ", r AS (SELECT fact_id, row_number() OVER (PARTITION BY lower(metric_name), round(value, 2), unit ORDER BY fact_id) AS n FROM fact) SELECT fact_id FROM r WHERE n = 1")
 def d25(spark, d):
-    f = facts(spark, d).withColumns({"k": F.lower("metric_name"), "v": F.round("value", 2)})
+    f = facts(spark, d).withColumns({"k": F.lower("metric_name"), "v": rounded(F.col("value"), 2)})
     return first_by(f, ["k", "v", "unit"], ["fact_id"]).select("fact_id")
 
 
