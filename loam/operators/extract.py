@@ -218,11 +218,13 @@ def merged_maps(a: Column, b: Column) -> Column:
 
 
 def text_links(labels: DataFrame, values: DataFrame, texts: DataFrame, most: int = 160) -> DataFrame:
-    """Labels with the values of their block (id, unique in texts): distance, whether on one line, whether a separator stands between."""
+    """Labels with the values of their block (id, unique in texts): distance, whether on one line, whether a separator stands between.
+
+    The planner can't know how many rows Python functions make of a text, and broadcasts too many; so these joins shuffle."""
     l = labels.select("id", F.col("label").alias("metric_id"), F.col("start").alias("ls"), F.col("end").alias("le"))  # noqa: E741
     v = values.select("id", F.col("raw").alias("value"), F.col("start").alias("vs"), F.col("end").alias("ve"))
     low, high = F.least("le", "ve"), F.greatest("ls", "vs")
-    rows = l.join(v, "id").filter((F.col("ve") <= F.col("ls")) | (F.col("vs") >= F.col("le"))).join(texts.select("id", "text"), "id").withColumn("between", F.expr("substring(text, least(le, ve) + 1, greatest(ls, vs) - least(le, ve))"))
+    rows = l.join(v.hint("merge"), "id").filter((F.col("ve") <= F.col("ls")) | (F.col("vs") >= F.col("le"))).join(texts.select("id", "text").hint("merge"), "id").withColumn("between", F.expr("substring(text, least(le, ve) + 1, greatest(ls, vs) - least(le, ve))"))
     return rows.select("id", "metric_id", "ls", "le", "value", "vs", F.lit("same_block").alias("relation"), (high - low).alias("distance"), (~F.col("between").contains("\n")).cast("int").alias("same_line"), F.col("between").rlike("[:=|-]").cast("int").alias("separator")).filter(F.col("distance") <= most)
 
 
@@ -293,7 +295,7 @@ def resolved(facts: DataFrame) -> DataFrame:
 
 def scanned(mentions: DataFrame, values: DataFrame, within: int = 120) -> DataFrame:
     """Each mention's (id, metric_id, at; unique) nearest value within reach whose unit fits; for counts one with K, M or B before others."""
-    rows = mentions.join(values, "id").withColumn("distance", F.abs(F.col("value_at") - F.col("at"))).filter((F.col("distance") <= within) & ((F.col("expected") == F.col("unit")) | (F.col("expected") == "")))
+    rows = mentions.join(values.hint("merge"), "id").withColumn("distance", F.abs(F.col("value_at") - F.col("at"))).filter((F.col("distance") <= within) & ((F.col("expected") == F.col("unit")) | (F.col("expected") == "")))
     large = F.when((F.col("expected") == "count") & F.col("raw").rlike(r"(?i)\d\s*[KMB]\b"), 0).otherwise(1)
     return first_by(rows.withColumn("large", large), ["id", "metric_id", "at"], ["large", "distance", "value_at"]).drop("large")
 
